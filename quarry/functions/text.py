@@ -56,4 +56,4 @@ def tokens_sql(expr: str, stop_words: tuple[str, ...] = ENGLISH_STOP_WORDS) -> s
     words = f"regexp_extract_all(lower(coalesce({expr}, '')), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
     if not stop_words:
         return words
-    return f"list_filter({words}, w -> NOT list_contains({stop_words_sql(stop_words)}, w))"
+    return f"list_filter({words}, lambda w: NOT list_contains({stop_words_sql(stop_words)}, w))"

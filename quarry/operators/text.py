@@ -38,15 +38,18 @@ def text_stats(df: DataFrame, x: str, y: str | None = None, color: str | None =
     number of occurrences in that colour and ``mean`` = sum(tf*y)/sum(tf).
     """
     keep = ([F.col(color).alias("color")] if color else []) + ([F.col(y).cast("double").alias("y")] if y else [])
-    occ = df.select(*keep, F.explode(tokens(x, stop_words)).alias("x"))
+    # explode_outer keeps rows without any word, so their colour still counts
+    occ = df.select(*keep, F.explode_outer(tokens(x, stop_words)).alias("x"))
     by = ["x"] + (["color"] if color else [])
     aggs = [F.count(F.lit(1)).alias("count")] + ([F.sum("y").alias("__sy")] if y else [])
     pre = occ.groupBy(*by).agg(*aggs)
-    vocab = top_words(pre.withColumnRenamed("count", "n"), max_features, word="x")
+    vocab = top_words(pre.where(F.col("x").isNotNull()).withColumnRenamed("count", "n"),
+                      max_features, word="x")
     stats = pre.join(F.broadcast(vocab), "x", "left_semi")
     if color:
-        grid = full_grid(stats)
-        # words with no occurrence in any colour still need their rows
+        # every vocabulary word beside every colour of the rows (bounded lists)
+        colors = pre.select(F.sort_array(F.collect_set("color")).alias("c"))
+        grid = vocab.select("x", F.explode(colors.scalar()).alias("color"))
         stats = grid.join(stats, by, "left").fillna({"count": 0})
     cols = [F.col(c) for c in by] + [F.col("count")]
     if y:
