@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ENGLISH_STOP_WORDS, tokens
+from ..session import cut_lineage
 from .aggregates import full_grid
 
 
@@ -42,7 +43,9 @@ def text_stats(df: DataFrame, x: str, y: str | None = None, color: str | None =
     occ = df.select(*keep, F.explode_outer(tokens(x, stop_words)).alias("x"))
     by = ["x"] + (["color"] if color else [])
     aggs = [F.count(F.lit(1)).alias("count")] + ([F.sum("y").alias("__sy")] if y else [])
-    pre = occ.groupBy(*by).agg(*aggs)
+    # (word, colour) totals feed the vocabulary, the counts and the colour list:
+    # written once to the shared checkpoint folder so the text is tokenised once
+    pre = cut_lineage(occ.groupBy(*by).agg(*aggs))
     vocab = top_words(pre.where(F.col("x").isNotNull()).withColumnRenamed("count", "n"),
                       max_features, word="x")
     stats = pre.join(F.broadcast(vocab), "x", "left_semi")
@@ -97,7 +100,8 @@ def tfidf(df: DataFrame, key: str, text: str, min_df: float = 0.005,
     reference's vectoriser does.
     """
     n_docs = df.select(F.count(F.lit(1))).scalar()
-    tc = term_counts(df, key, text, stop_words)
+    # term counts feed both the document frequencies and the weights: tokenise once
+    tc = cut_lineage(term_counts(df, key, text, stop_words))
     vocab = (tc.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
                .where(F.col("df") >= F.lit(min_df) * n_docs))
     idf = vocab.select("word", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))

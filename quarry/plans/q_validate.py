@@ -252,3 +252,105 @@ def roc_auc(t):
     """M9: trapezoid area under the exact ROC curve."""
     d = t("documents").join(t("labels"), "doc_id").select(F.col("n_chars").cast("double").alias("s"), "quality")
     return M.roc_auc(d, F.col("quality") == 1, "s", buckets=16)
+
+
+# --- preprocessing F3-F9, T7 ----------------------------------------------------------------
+
+def _numeric_block(t, imputer, scaler):
+    from ..operators.features import NumericBlock
+    from .q_explore import _orders_with_nulls
+    o = _orders_with_nulls(t).select("o_orderkey", "o_totalprice", "o_custkey")
+    train = o.where(~V.holdout_flag("o_orderkey", 0.1))
+    model = NumericBlock(inputCols=["o_totalprice", "o_custkey"], outputCol="v",
+                         imputer=imputer, scaler=scaler).fit(train)
+    arr = vector_to_array(F.col("v"))
+    return model.transform(o).select("o_orderkey", arr[0].alias("price"), arr[1].alias("cust"))
+
+
+def _numeric_sql(fill: str, center: str, scale: str, scale_guard: bool = True) -> str:
+    from .q_explore import ORDERS_NULLS
+    hold = f"({key_hash_sql('o_orderkey')} % 1000) < 100"
+    parts = []
+    for c, name in (("o_totalprice", "price"), ("o_custkey", "cust")):
+        fill_c = fill.format(c=f"CAST({c} AS DOUBLE)")
+        parts.append(f"""f_{name} AS (SELECT {fill_c} AS f FROM src WHERE NOT hold),
+s_{name} AS (SELECT {center.format(c=f"coalesce(CAST({c} AS DOUBLE), (SELECT f FROM f_{name}))")} AS a,
+                    {scale.format(c=f"coalesce(CAST({c} AS DOUBLE), (SELECT f FROM f_{name}))")} AS b
+             FROM src WHERE NOT hold)""")
+    cols = []
+    for c, name in (("o_totalprice", "price"), ("o_custkey", "cust")):
+        b = f"(SELECT CASE WHEN b = 0 OR b IS NULL THEN 1.0 ELSE b END FROM s_{name})"
+        cols.append(f"round((coalesce(CAST({c} AS DOUBLE), (SELECT f FROM f_{name})) - (SELECT a FROM s_{name})) / {b}, 6) AS {name}")
+    return (f"WITH src AS (SELECT *, {hold} AS hold FROM {ORDERS_NULLS}),\n" + ",\n".join(parts) +
+            f"\nSELECT o_orderkey, {', '.join(cols)} FROM src")
+
+
+@query("scale_standard", _numeric_sql("avg({c})", "avg({c})", "stddev_pop({c})"))
+def scale_standard(t):
+    """F3 mean imputation then F6 standard scaling (population std), fitted on train rows."""
+    return _numeric_block(t, "mean", "Standard")
+
+
+@query("scale_minmax", _numeric_sql("quantile_cont({c}, 0.5)", "min({c})", "max({c}) - min({c})"))
+def scale_minmax(t):
+    """F3 median imputation then F4 min-max scaling."""
+    return _numeric_block(t, "median", "MinMax")
+
+
+@query("scale_maxabs", _numeric_sql("avg({c})", "0.0", "max(abs({c}))"))
+def scale_maxabs(t):
+    """F5 max-abs scaling after mean imputation."""
+    return _numeric_block(t, "mean", "MaxAbs")
+
+
+@query("scale_robust", _numeric_sql("avg({c})", "quantile_cont({c}, 0.5)",
+                                    "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)"))
+def scale_robust(t):
+    """F7 robust scaling: (x - median) / IQR (exact percentiles)."""
+    return _numeric_block(t, "mean", "Robust")
+
+
+@query("impute_most_frequent", _numeric_sql(
+    "(SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM src WHERE NOT hold AND {c} IS NOT NULL GROUP BY v) "
+    "ORDER BY n DESC, v LIMIT 1) + min(0.0)", "min(0.0)", "max(1.0)"))
+def impute_most_frequent(t):
+    """F3 most-frequent imputation (smallest value on ties), no scaling."""
+    return _numeric_block(t, "most_frequent", "None")
+
+
+@query("one_hot", """
+WITH tr AS (SELECT DISTINCT coalesce(CAST(o_orderpriority AS VARCHAR), 'nan') AS v FROM orders
+            WHERE o_orderpriority <> '5-LOW'),
+idx AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS i FROM tr)
+SELECT o.o_orderkey, coalesce(idx.i, -1) AS hot, CAST((SELECT count(*) FROM tr) AS INTEGER) AS width
+FROM orders o LEFT JOIN idx ON coalesce(CAST(o.o_orderpriority AS VARCHAR), 'nan') = idx.v
+""")
+def one_hot(t):
+    """categories from the training rows (one priority never seen): unseen -> all zeros."""
+    from pyspark.ml import Pipeline
+    from ..operators.features import categoric_stages
+    o = t("orders").select("o_orderkey", "o_orderpriority")
+    model = Pipeline(stages=categoric_stages(["o_orderpriority"])).fit(o.where(F.col("o_orderpriority") != "5-LOW"))
+    arr = vector_to_array(F.col("__ohe_o_orderpriority"))
+    return model.transform(o).select("o_orderkey", (F.array_position(arr, 1.0) - 1).cast("int").alias("hot"),
+                                     F.size(arr).alias("width"))
+
+
+@query("tfidf_pipeline", f"""
+WITH n AS (SELECT count(*) AS n FROM documents),
+tc AS (SELECT doc_id, w AS word, count(*) AS tf FROM (SELECT doc_id, unnest({__import__('quarry.functions.text', fromlist=['x']).tokens_sql('text')}) AS w FROM documents)
+       GROUP BY doc_id, w),
+v AS (SELECT word, count(*) AS df FROM tc GROUP BY word HAVING count(*) >= 0.005 * (SELECT n FROM n)),
+raw AS (SELECT tc.doc_id, tc.word, tc.tf * (ln((1.0 + (SELECT n FROM n)) / (1.0 + v.df)) + 1.0) AS w
+        FROM tc JOIN v ON tc.word = v.word)
+SELECT doc_id, 'text_' || word AS feature, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw
+""")
+def tfidf_pipeline(t):
+    """The ML text block (tokenise, stop words, minDF vocabulary, smoothed tf-idf, L2)."""
+    from ..operators.features import feature_names, preprocessor
+    d = t("documents").select("doc_id", "text")
+    model = preprocessor(text=["text"]).fit(d)
+    names = F.array(*[F.lit(n) for n in feature_names(model, text=["text"])])
+    out = model.transform(d).select("doc_id", F.posexplode(vector_to_array("features")).alias("i", "weight"))
+    return out.where(F.col("weight") != 0).select("doc_id", F.element_at(names, F.col("i") + 1).alias("feature"),
+                                                  "weight")
