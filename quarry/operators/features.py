@@ -19,6 +19,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, Normalizer, OneHotEncoder,
@@ -126,7 +127,12 @@ class NumericBlockModel(Model, HasInputCols, HasOutputCol, _Stage):
                 for i, n in enumerate(self.getInputCols())]
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(self.getOutputCol(), array_to_vector(F.array(*self.columns())))
+        names = self.getInputCols()
+        # ML attribute metadata: the vector size and names, as VectorAssembler expects
+        meta = {"ml_attr": {"num_attrs": len(names),
+                            "attrs": {"numeric": [{"idx": i, "name": n} for i, n in enumerate(names)]}}}
+        return df.withColumn(self.getOutputCol(),
+                             array_to_vector(F.array(*self.columns())).alias(self.getOutputCol(), metadata=meta))
 
 
 # --- categoric block -------------------------------------------------------------------
@@ -259,7 +265,6 @@ class RBFFeaturesModel(Model, HasInputCol, HasOutputCol, _Stage):
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        import pandas as pd
         d, n = self.getOrDefault(self.dims)
         w = np.asarray(self.getOrDefault(self.weights)).reshape(d, n)
         b = np.asarray(self.getOrDefault(self.offsets))
