@@ -135,7 +135,8 @@ def grouped_average_numeric(df: DataFrame, feature: str, bins: int = 10,
     hi = bounds.select("hi").scalar()
     width = (hi - lo) / F.lit(float(bins))
     b = F.least(F.floor((F.col(feature).cast("double") - lo) / width).cast("int"), F.lit(bins - 1))
-    stats = (data.groupBy(b.alias("bin"))
+    # bin as a projected column, so the bounds' subqueries stay out of the grouping keys
+    stats = (data.withColumn("bin", b).groupBy("bin")
                  .agg(F.count(F.lit(1)).alias("count"), *[F.avg(c).alias(c) for c in others]))
     all_bins = data.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (all_bins.join(stats, "bin", "left")

@@ -54,7 +54,7 @@ class NumericBlock(Estimator, HasInputCols, HasOutputCol, _Stage):
     @keyword_only
     def __init__(self, inputCols=None, outputCol="nums_vec", imputer="mean", scaler="None", accuracy=0):
         super().__init__()
-        self._setDefault(imputer="mean", scaler="None", accuracy=0)
+        self._setDefault(imputer="mean", scaler="None", accuracy=0, outputCol="nums_vec")
         self._set(**self._input_kwargs)
 
     def setParams(self, **kw):
@@ -226,6 +226,7 @@ class ConstantFeature(Transformer, HasOutputCol, _Stage):
     @keyword_only
     def __init__(self, outputCol="features"):
         super().__init__()
+        self._setDefault(outputCol="features")
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -241,7 +242,7 @@ class RBFFeatures(Estimator, HasInputCol, HasOutputCol, _Stage):
     @keyword_only
     def __init__(self, inputCol="features", outputCol="rbf_features", gamma=1.0, nComponents=100, seed=42):
         super().__init__()
-        self._setDefault(gamma=1.0, nComponents=100, seed=42)
+        self._setDefault(gamma=1.0, nComponents=100, seed=42, inputCol="features", outputCol="rbf_features")
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "RBFFeaturesModel":

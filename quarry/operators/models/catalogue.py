@@ -29,6 +29,7 @@ from ..features import IMPUTERS, SCALERS, RBFFeatures
 from .closed_form import (DummyClassifier, DummyRegressor, GaussianNB, LinearDiscriminant,
                           QuadraticDiscriminant)
 from . import iterative as it
+from .linear import PenalisedLinearRegression
 
 
 @dataclass(frozen=True)
@@ -87,18 +88,18 @@ def regression_models(nums: Sequence[str] = (), cats: Sequence[str] = (),
                   lambda p, c: [LinearRegression(featuresCol=c.features, labelCol=c.label, weightCol=c.weight,
                                                  regParam=0.0, solver="normal")]),
         ModelSpec("Lasso Regression", "regression", [Dim("mod__alpha", "exponential", (-5, 5))] + impsc,
-                  lambda p, c: [LinearRegression(featuresCol=c.features, labelCol=c.label, weightCol=c.weight,
-                                                 regParam=p["mod__alpha"], elasticNetParam=1.0,
-                                                 standardization=False)], scaled=True),
+                  lambda p, c: [PenalisedLinearRegression(featuresCol=c.features, labelCol=c.label,
+                                                          weightCol=c.weight, l1=p["mod__alpha"])], scaled=True),
         ModelSpec("Ridge Regression", "regression", [Dim("mod__alpha", "exponential", (-5, 5))] + impsc,
-                  lambda p, c: [LinearRegression(featuresCol=c.features, labelCol=c.label, weightCol=c.weight,
-                                                 regParam=p["mod__alpha"] / c.n, elasticNetParam=0.0,
-                                                 standardization=False)], scaled=True),
+                  lambda p, c: [PenalisedLinearRegression(featuresCol=c.features, labelCol=c.label,
+                                                          weightCol=c.weight, l2=p["mod__alpha"] / c.n)],
+                  scaled=True),
         ModelSpec("ElasticNet Regression", "regression",
                   [Dim("mod__l1_ratio", "float", (1e-3, 1 - 1e-3)), Dim("mod__alpha", "exponential", (-5, 5))] + impsc,
-                  lambda p, c: [LinearRegression(featuresCol=c.features, labelCol=c.label, weightCol=c.weight,
-                                                 regParam=p["mod__alpha"], elasticNetParam=p["mod__l1_ratio"],
-                                                 standardization=False)], scaled=True),
+                  lambda p, c: [PenalisedLinearRegression(
+                      featuresCol=c.features, labelCol=c.label, weightCol=c.weight,
+                      l1=p["mod__alpha"] * p["mod__l1_ratio"], l2=p["mod__alpha"] * (1 - p["mod__l1_ratio"]))],
+                  scaled=True),
         ModelSpec("Passive Aggressive Regression", "regression", [Dim("mod__C", "exponential", (-5, 5))] + impsc,
                   lambda p, c: [it.PassiveAggressiveRegressor(featuresCol=c.features, labelCol=c.label,
                                                               C=p["mod__C"])], scaled=True),

@@ -29,7 +29,7 @@ def diag_moments(df: DataFrame, features: Column, label: str, weight: Column):
                    F.posexplode(features).alias("j", "x"))
     agg = ex.groupBy("c", "j").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("x")).alias("s"),
                                    F.sum(F.col("w") * F.col("x") * F.col("x")).alias("q"))
-    rows = collect_small(agg, MAX_CLASSES * 4096)
+    rows = collect_small(agg, 50_000_000)
     classes = sorted({r["c"] for r in rows})
     d = max(r["j"] for r in rows) + 1
     n = np.zeros(len(classes)); s = np.zeros((len(classes), d)); q = np.zeros((len(classes), d))
@@ -62,7 +62,7 @@ def full_moments(df: DataFrame, features_col: str, label: str, weight: Column):
             yield pd.DataFrame({"c": c, "k": np.arange(len(v)), "v": v})
 
     long = src.mapInPandas(partial, "c double, k long, v double")
-    rows = collect_small(long.groupBy("c", "k").agg(F.sum("v").alias("v")), MAX_CLASSES * 1100000)
+    rows = collect_small(long.groupBy("c", "k").agg(F.sum("v").alias("v")), 50_000_000)
     classes = sorted({r["c"] for r in rows})
     size = max(r["k"] for r in rows) + 1
     d = int((-1 + math.isqrt(1 + 4 * (size - 1))) // 2)

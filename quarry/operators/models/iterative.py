@@ -422,8 +422,11 @@ class AdaBoostClassifier(BaseEstimator):
             a = lr * (math.log((1.0 - err) / err) + math.log(K - 1.0))
             models.append(stump)
             alphas.append(a)
-            cur = scored.withColumn("__aw", F.col("__aw") * F.exp(F.lit(a) * F.col("__bad"))) \
+            # w * exp(a * bad), rescaled by exp(-a) so large learning rates cannot overflow
+            cur = scored.withColumn("__aw", F.col("__aw") * F.exp(F.lit(a) * (F.col("__bad") - 1.0))) \
                         .select(self.getFeaturesCol(), label, "__aw")
+            total = cur.agg(F.sum("__aw")).first()[0]
+            cur = cur.withColumn("__aw", F.col("__aw") / total)
         model = AdaBoostClassificationModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(),
                                             modelData=[alphas, K])
         model._trees = models

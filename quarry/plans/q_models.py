@@ -1 +1,315 @@
-"""Registered queries: text features and word statistics."""
+"""Registered queries: models, predictions, explanations and search (R*, K*, X*, D10-D11, H*).
+
+Closed-form models (least squares, ridge, Gaussian naive Bayes, LDA, QDA,
+dummies) are checked against DuckDB; search and iterative models get the
+rows-only check (their outputs are not SQL-expressible).
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions.expressions import key_hash_sql
+from ..operators.search import proposals
+from ..sources import files
+from .catalog import query
+from .experiment import Experiment
+
+LI_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+CLASSES = list(range(10))
+
+
+# --- helpers --------------------------------------------------------------------------------
+
+def _emb(t, k: int = 2):
+    e = t("embeddings")
+    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(k)])
+
+
+def _emb_experiment(t, model: str, k: int = 2, params: dict | None = None) -> Experiment:
+    exp = Experiment(_emb(t, k), "label", True, key="vec_id", nums=[f"e{i}" for i in range(k)],
+                     scorer="accuracy", validation_method="test", name="embeddings")
+    exp.fit_fixed(model, params or {})
+    return exp
+
+
+def _li_experiment(t, nums=("l_quantity",), cats=(), name="lineitem", validation="test"):
+    li = t("lineitem")
+    return Experiment(li, "l_extendedprice", False, key=LI_KEY, nums=list(nums), cats=list(cats), scorer="r2",
+                      validation_method=validation, name=name)
+
+
+EMB_HOLD = f"({key_hash_sql('vec_id')} % 1000) < 100"
+
+
+def _emb_base(k: int = 2) -> str:
+    cols = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(k))
+    return f"SELECT vec_id, label AS y, {cols}, {EMB_HOLD} AS hold FROM embeddings"
+
+
+def _gnb_sql(variants: str, out: str) -> str:
+    """Gaussian NB on (e0, e1) fitted on the training rows; ``variants`` gives (vec_id, v, x0, x1)."""
+    return f"""
+WITH d AS ({_emb_base()}),
+tr AS (SELECT * FROM d WHERE NOT hold),
+tot AS (SELECT count(*) AS n, sum(e0 * e0) / count(*) - (sum(e0) / count(*)) ^ 2 AS v0,
+               sum(e1 * e1) / count(*) - (sum(e1) / count(*)) ^ 2 AS v1, avg(e0) AS m0, avg(e1) AS m1 FROM tr),
+par AS (SELECT y AS c, count(*) / (SELECT n FROM tot) AS prior, sum(e0) / count(*) AS mu0, sum(e1) / count(*) AS mu1,
+               greatest(sum(e0 * e0) / count(*) - (sum(e0) / count(*)) ^ 2, 0)
+                 + 1e-9 * (SELECT greatest(v0, v1) FROM tot) AS s0,
+               greatest(sum(e1 * e1) / count(*) - (sum(e1) / count(*)) ^ 2, 0)
+                 + 1e-9 * (SELECT greatest(v0, v1) FROM tot) AS s1
+        FROM tr GROUP BY y),
+var AS ({variants}),
+jll AS (SELECT var.*, par.c, ln(prior) - 0.5 * (ln(2 * pi() * s0) + ln(2 * pi() * s1))
+               - 0.5 * ((x0 - mu0) ^ 2 / s0 + (x1 - mu1) ^ 2 / s1) AS s FROM var, par),
+pr AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id, v)) AS ex FROM jll),
+pp AS (SELECT vec_id, v, c, ex / sum(ex) OVER (PARTITION BY vec_id, v) AS p FROM pr)
+{out}"""
+
+
+_GNB_PRED = _gnb_sql("SELECT vec_id, 0 AS v, e0 AS x0, e1 AS x1 FROM d WHERE hold", """
+SELECT pp.vec_id, arg_max(c, p) AS "Prediction", """ + ", ".join(
+    f'round(max(CASE WHEN c = {c} THEN p END), 6) AS "Probability {c}"' for c in CLASSES) + """,
+  round(any_value(d.e0), 6) AS e0, round(any_value(d.e1), 6) AS e1
+FROM pp JOIN d ON pp.vec_id = d.vec_id GROUP BY pp.vec_id""")
+
+
+@query("gnb_predictions", _GNB_PRED)
+def gnb_predictions(t):
+    """K16 + X1-X3: class and 'Probability <class>' columns for the held-out rows, inputs appended."""
+    exp = _emb_experiment(t, "Gaussian Naive Bayes")
+    return exp.predictions("Gaussian Naive Bayes", exp.split(False).select("vec_id", "e0", "e1"), append=True)
+
+
+_GNB_REASONS = _gnb_sql("""SELECT vec_id, 0 AS v, e0 AS x0, e1 AS x1 FROM d WHERE hold
+  UNION ALL SELECT vec_id, 1, (SELECT m0 FROM tot), e1 FROM d WHERE hold
+  UNION ALL SELECT vec_id, 2, e0, (SELECT m1 FROM tot) FROM d WHERE hold""", """,
+orig AS (SELECT vec_id, arg_max(c, p) AS c0, max(p) AS p0 FROM pp WHERE v = 0 GROUP BY vec_id)
+SELECT pp.vec_id, CASE WHEN v = 1 THEN 'e0' ELSE 'e1' END AS "Feature", round(orig.p0 - pp.p, 6) AS "Difference"
+FROM pp JOIN orig ON pp.vec_id = orig.vec_id AND pp.c = orig.c0 WHERE pp.v > 0""")
+
+
+@query("prediction_reasons", _GNB_REASONS)
+def prediction_reasons(t):
+    """Probability of the predicted class minus that with one feature blanked (imputed)."""
+    exp = _emb_experiment(t, "Gaussian Naive Bayes")
+    return exp.prediction_reasons("Gaussian Naive Bayes", exp.split(False))
+
+
+_GNB_DEP = _gnb_sql("SELECT vec_id, 0 AS v, e0 AS x0, e1 AS x1 FROM d WHERE NOT hold", """,
+b AS (SELECT min(e0) AS lo, max(e0) AS hi FROM tr),
+rows AS (SELECT d.e0, CASE WHEN d.y = 3 THEN 1.0 ELSE 0.0 END AS yy, pp.p AS yp,
+                least(CAST(floor((d.e0 - lo) / ((hi - lo) / 10.0)) AS INTEGER), 9) AS bin
+         FROM d JOIN pp ON d.vec_id = pp.vec_id AND pp.c = 3, b WHERE NOT d.hold),
+st AS (SELECT bin, count(*) AS n, avg(yy) AS yy, avg(yp) AS yp FROM rows GROUP BY bin),
+bins AS (SELECT CAST(range AS INTEGER) AS bin FROM range(10))
+SELECT round(lo + (bins.bin + 0.5) * ((hi - lo) / 10.0), 6) AS "Category", CAST(coalesce(n, 0) AS BIGINT) AS "Count",
+       round(st.yy, 6) AS "Proportion", round(st.yp, 6) AS "Predicted"
+FROM bins CROSS JOIN b LEFT JOIN st ON bins.bin = st.bin""")
+
+
+@query("dependence_table", _GNB_DEP)
+def dependence_table(t):
+    """Share of class 3 and mean predicted probability in 10 bins of e0 (training rows)."""
+    exp = _emb_experiment(t, "Gaussian Naive Bayes")
+    return exp.dependence_table("e0", "Gaussian Naive Bayes", cat=3, train=True)
+
+
+def _one_feature_sql(score: str, params: str) -> str:
+    return f"""
+WITH d AS ({_emb_base(1)}),
+tr AS (SELECT * FROM d WHERE NOT hold),
+cls AS (SELECT y AS c, count(*) AS n, avg(e0) AS mu, sum(e0 * e0) - count(*) * avg(e0) ^ 2 AS ss FROM tr GROUP BY y),
+par AS ({params}),
+jll AS (SELECT d.vec_id, par.c, {score} AS s FROM d, par WHERE d.hold),
+pr AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id)) AS ex FROM jll),
+pp AS (SELECT vec_id, c, ex / sum(ex) OVER (PARTITION BY vec_id) AS p FROM pr)
+SELECT vec_id, arg_max(c, p) AS "Prediction", round(max(p), 6) AS top_probability FROM pp GROUP BY vec_id"""
+
+
+def _top_prob(exp, model):
+    p = exp.predictions(model, exp.split(False).select("vec_id", "e0"), append=True)
+    return p.select("vec_id", "Prediction",
+                    F.greatest(*[F.col(f"`Probability {c}`") for c in exp.classes]).alias("top_probability"))
+
+
+@query("lda_predictions", _one_feature_sql(
+    "d.e0 * mu / s2 - 0.5 * mu * mu / s2 + ln(prior)",
+    "SELECT c, mu, n / (SELECT sum(n) FROM cls) AS prior, "
+    "(SELECT sum(ss) FROM cls) / ((SELECT sum(n) FROM cls) - (SELECT count(*) FROM cls)) AS s2 FROM cls"))
+def lda_predictions(t):
+    """Shared-covariance discriminant on one feature."""
+    return _top_prob(_emb_experiment(t, "Linear Discriminant Analysis", k=1), "Linear Discriminant Analysis")
+
+
+@query("qda_predictions", _one_feature_sql(
+    "-0.5 * ln(v) - 0.5 * (d.e0 - mu) ^ 2 / v + ln(prior)",
+    "SELECT c, mu, n / (SELECT sum(n) FROM cls) AS prior, ss / (n - 1) AS v FROM cls"))
+def qda_predictions(t):
+    """One covariance per class, on one feature."""
+    return _top_prob(_emb_experiment(t, "Quadratic Discriminant Analysis", k=1), "Quadratic Discriminant Analysis")
+
+
+@query("dummy_classifier", f"""
+WITH d AS ({_emb_base(1)}),
+pri AS (SELECT y AS c, count(*) / (SELECT count(*) FROM d WHERE NOT hold) AS p FROM d WHERE NOT hold GROUP BY y)
+SELECT d.vec_id, (SELECT arg_max(c, p) FROM pri) AS "Prediction", round((SELECT max(p) FROM pri), 6) AS top_probability
+FROM d WHERE hold
+""")
+def dummy_classifier(t):
+    """Class priors from the training rows; the most frequent class."""
+    return _top_prob(_emb_experiment(t, "Dummy Benchmark", k=1), "Dummy Benchmark")
+
+
+_LI_HOLD = f"({key_hash_sql(*LI_KEY)} % 1000) < 100"
+
+
+@query("linear_predictions", f"""
+WITH d AS (SELECT *, {_LI_HOLD} AS hold FROM lineitem),
+m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a
+      FROM d WHERE NOT hold)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(a + b * l_quantity, 4) AS "Prediction" FROM d, m WHERE hold
+""")
+def linear_predictions(t):
+    """Least squares (normal equations) fitted on the training rows, predicted on the holdout."""
+    exp = _li_experiment(t)
+    exp.fit_fixed("Linear Regression", {"pre__nums__imputer": "mean"})
+    p = exp.predictions("Linear Regression", exp.split(False).select(*LI_KEY, "l_quantity"), append=True)
+    return p.select(*LI_KEY, F.round("Prediction", 4).alias("Prediction"))
+
+
+@query("ridge_predictions", f"""
+WITH d AS (SELECT *, {_LI_HOLD} AS hold FROM lineitem),
+s AS (SELECT count(*) AS n, sum(l_quantity) AS sx, sum(l_extendedprice) AS sy, sum(l_quantity * l_quantity) AS sxx,
+             sum(l_quantity * l_extendedprice) AS sxy FROM d WHERE NOT hold),
+m AS (SELECT (sxy - sx * sy / n) / (sxx - sx * sx / n + 5000.0) AS b FROM s),
+m2 AS (SELECT b, ((SELECT sy FROM s) - b * (SELECT sx FROM s)) / (SELECT n FROM s) AS a FROM m)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(a + b * l_quantity, 3) AS "Prediction" FROM d, m2 WHERE hold
+""")
+def ridge_predictions(t):
+    """Ridge (alpha 5000, the reference library's sum-of-squares scale), one feature."""
+    exp = _li_experiment(t)
+    exp.fit_fixed("Ridge Regression", {"pre__nums__imputer": "mean", "mod__alpha": 5000.0})
+    p = exp.predictions("Ridge Regression", exp.split(False).select(*LI_KEY, "l_quantity"), append=True)
+    return p.select(*LI_KEY, F.round("Prediction", 3).alias("Prediction"))
+
+
+@query("dummy_regressor", f"""
+WITH d AS (SELECT *, {_LI_HOLD} AS hold FROM lineitem)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
+       round((SELECT avg(l_extendedprice) FROM d WHERE NOT hold), 4) AS "Prediction" FROM d WHERE hold
+""")
+def dummy_regressor(t):
+    """The mean of the training target."""
+    exp = _li_experiment(t)
+    exp.fit_fixed("Dummy Benchmark")
+    p = exp.predictions("Dummy Benchmark", exp.split(False).select(*LI_KEY, "l_quantity"), append=True)
+    return p.select(*LI_KEY, F.round("Prediction", 4).alias("Prediction"))
+
+
+# --- rows-only: search, importances, what-if, sinks ----------------------------------------------
+
+def _searched(t, models=("Ridge Regression", "Decision Tree"), trials=3):
+    exp = _li_experiment(t, nums=("l_quantity", "l_discount", "l_tax"), cats=("l_returnflag",), name="search")
+    for m in models:
+        exp.fit_model(m, max_train_time=120, max_trials=trials, n_random=2)
+    return exp
+
+
+@query("search_trials")
+def search_trials(t):
+    """H1-H7: two random trials then a Gaussian-process proposal; one row per trial."""
+    return _searched(t).trials_table().drop("seconds", "total_seconds")
+
+
+@query("training_curve")
+def training_curve(t):
+    """Best score so far per model."""
+    return _searched(t).training_scores().drop("time")
+
+
+@query("leaderboard")
+def leaderboard(t):
+    """H9: validation and holdout score, trials and time per model."""
+    return _searched(t).leaderboard().drop("total_seconds")
+
+
+@query("best_parameters")
+def best_parameters(t):
+    """Parameters of the best trial by stage."""
+    return _searched(t).best_parameters()
+
+
+@query("proposal_batch")
+def proposal_batch(t):
+    """H7: one proposal per (experiment, model) for the whole trial log in one grouped job."""
+    exp = _searched(t)
+    doms = {m: exp.models[m].domain for m in exp.trials}
+    return proposals(exp.trials_table(), doms).select("experiment", "model", F.size("raw").alias("dims"),
+                                                      "prob_improvement")
+
+
+@query("feature_importance")
+def feature_importance(t):
+    """Forest importances scaled to a maximum of 1, names nums / col_value."""
+    exp = _li_experiment(t, nums=("l_quantity", "l_discount", "l_tax"), cats=("l_returnflag",))
+    exp.fit_fixed("Random Forest", {"mod__max_depth": 4, "mod__min_samples_leaf": 5, "pre__nums__imputer": "mean"})
+    return exp.feature_importance("Random Forest")
+
+
+@query("importance_by_variable")
+def importance_by_variable(t):
+    """Importances summed per source column."""
+    exp = _li_experiment(t, nums=("l_quantity", "l_discount", "l_tax"), cats=("l_returnflag",))
+    exp.fit_fixed("Random Forest", {"mod__max_depth": 4, "mod__min_samples_leaf": 5, "pre__nums__imputer": "mean"})
+    return exp.importance_by_variable("Random Forest")
+
+
+@query("what_if")
+def what_if(t):
+    """Held-out rows with one feature cleared (defaults fill it), class probabilities long form."""
+    exp = _emb_experiment(t, "Gaussian Naive Bayes")
+    edits = exp.split(False).select("vec_id", "e0")
+    return exp.what_if("Gaussian Naive Bayes", edits)
+
+
+@query("model_confusion")
+def model_confusion(t):
+    """M10 on a fitted model's held-out predictions."""
+    exp = _emb_experiment(t, "Gaussian Naive Bayes")
+    return exp.confusion_matrix("Gaussian Naive Bayes", train=False)
+
+
+@query("model_roc")
+def model_roc(t):
+    """One ROC curve per class (one-vs-rest) on the training rows."""
+    exp = _emb_experiment(t, "Gaussian Naive Bayes")
+    return exp.roc_curves("Gaussian Naive Bayes", train=True)
+
+
+@query("rbf_features")
+def rbf_features(t):
+    """random Fourier features of the embedding vectors."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from ..operators.features import RBFFeatures
+    e = t("embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    out = RBFFeatures(gamma=0.5, nComponents=50).fit(e).transform(e)
+    return out.select("vec_id", F.size(vector_to_array("rbf_features")).alias("dims"),
+                      F.aggregate(vector_to_array("rbf_features"), F.lit(0.0), lambda a, b: a + b * b).alias("sq"))
+
+
+@query("prediction_file")
+def prediction_file(t):
+    """Predictions written as CSV to the shared folder, then read back as a score file."""
+    exp = _li_experiment(t)
+    exp.fit_fixed("Linear Regression")
+    spark = exp.data.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir")
+    path = os.path.join(base, f"predictions-{uuid.uuid4().hex}.csv")
+    files.write_predictions(exp.predictions("Linear Regression", append=True), path)
+    back = files.open_table(spark, path)
+    return back.select(*LI_KEY, "Prediction")
