@@ -313,3 +313,55 @@ def prediction_file(t):
     files.write_predictions(exp.predictions("Linear Regression", append=True), path)
     back = files.open_table(spark, path)
     return back.select(*LI_KEY, "Prediction")
+
+
+# --- every catalogue model, fitted once with middle-of-domain parameters --------------------------
+
+def _middle(domain) -> dict:
+    """A fixed point of each domain: the middle of numeric ranges, the first category."""
+    import math as _m
+    from ..operators.search import decode
+    raw = []
+    for d in domain:
+        if d.kind == "categoric":
+            raw.append(0.0)
+        else:
+            lo, hi = d.bounds
+            raw.append(float(round((lo + hi) / 2)) if d.kind == "integer" else (lo + hi) / 2.0)
+    return decode(domain, raw)
+
+
+def _zoo(exp: Experiment):
+    rows = []
+    for name, spec in exp.models.items():
+        exp.fit_fixed(name, _middle(spec.domain))
+        rows.append((name, float(exp.score(exp.fitted[name], exp.split(False)))))
+    spark = exp.data.sparkSession
+    return spark.createDataFrame(rows, "model string, holdout_score double")
+
+
+@query("regression_models")
+def regression_models(t):
+    """Every regression model fitted on lineitem, R^2 on the holdout."""
+    exp = _li_experiment(t, nums=("l_quantity", "l_discount", "l_tax"), cats=("l_returnflag",), name="zoo")
+    return _zoo(exp)
+
+
+@query("classification_models")
+def classification_models(t):
+    """Every classification model on embedding features (10 classes), holdout accuracy."""
+    exp = Experiment(_emb(t, 4), "label", True, key="vec_id", nums=[f"e{i}" for i in range(4)],
+                     scorer="accuracy", validation_method="test", name="zoo")
+    return _zoo(exp)
+
+
+@query("text_classification_models")
+def text_classification_models(t):
+    """Text features (tf-idf block) with the text-capable classifiers: document quality."""
+    d = t("documents").join(t("labels"), "doc_id")
+    exp = Experiment(d, "quality", True, key="doc_id", cats=["lang"], text=["text"], scorer="neg_log_loss",
+                     validation_method="test", name="text")
+    keep = ["Ridge Logistic Regression", "Random Forest", "Bernoulli Naive Bayes", "Multinomial Naive Bayes",
+            "Dummy Benchmark"]
+    exp.models = {k: v for k, v in exp.models.items() if k in keep}
+    return _zoo(exp)

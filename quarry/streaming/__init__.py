@@ -1 +1,7 @@
-"""quarry.streaming"""
+"""quarry.streaming -- intentionally empty.
+
+The reference has no streaming, watermark, window or state code, so there is
+no streaming operator to rebuild.  Every fitted pipeline here is a Spark ML
+``PipelineModel`` made of column expressions, so it applies unchanged to a
+``readStream`` DataFrame when predictions are wanted on arriving files.
+"""
