@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ENGLISH_STOP_WORDS, tokens
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .aggregates import full_grid
 
 
@@ -40,7 +40,9 @@ def text_stats(df: DataFrame, x: str, y: str | None = None, color: str | None =
     """
     keep = ([F.col(color).alias("color")] if color else []) + ([F.col(y).cast("double").alias("y")] if y else [])
     # explode_outer keeps rows without any word, so their colour still counts
-    occ = df.select(*keep, F.explode_outer(tokens(x, stop_words)).alias("x"))
+    src = spread(df.select(F.col(x).alias("__text"), *keep))
+    kept = [c for c in ("color", "y") if c in src.columns]
+    occ = src.select(*kept, F.explode_outer(tokens("__text", stop_words)).alias("x"))
     by = ["x"] + (["color"] if color else [])
     aggs = [F.count(F.lit(1)).alias("count")] + ([F.sum("y").alias("__sy")] if y else [])
     # (word, colour) totals feed the vocabulary, the counts and the colour list:
@@ -65,16 +67,24 @@ def grouped_average_text(df: DataFrame, feature: str, columns: Sequence[str] | N
     """Top-100 words of ``feature``; total count and tf-weighted mean of each column."""
     data = df.where(F.col(feature).isNotNull())
     others = [c for c in (columns or data.columns) if c != feature]
-    occ = data.select(*[F.col(c).cast("double").alias(c) for c in others],
-                      F.explode(tokens(feature, stop_words)).alias("x"))
+    occ = spread(data).select(*[F.col(c).cast("double").alias(c) for c in others],
+                              F.explode(tokens(feature, stop_words)).alias("x"))
     pre = occ.groupBy("x").agg(F.count(F.lit(1)).alias("count"), *[F.sum(c).alias(c) for c in others])
     vocab = pre.orderBy(F.desc("count"), F.asc("x")).limit(max_features)
     return vocab.select("x", "count", *[(F.col(c) / F.col("count")).alias(c) for c in others])
 
 
-def term_counts(df: DataFrame, key: str, text: str, stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
-    """T5: (key, word, tf) -- the sparse document x word matrix in long form."""
-    return (words(df, text, keep=[key], stop_words=stop_words)
+def term_counts(df: DataFrame, key: str, text: str, stop_words=ENGLISH_STOP_WORDS,
+                colocate: bool = False) -> DataFrame:
+    """T5: (key, word, tf) -- the sparse document x word matrix in long form.
+
+    ``colocate`` hash-partitions the rows by ``key`` before tokenising, so the
+    counts come out partitioned by document: the per-document steps that follow
+    (L2 norms) need no further shuffle.  Keys are unique rows: no hot key.
+    """
+    src = df.select(key, text)
+    src = src.repartition(key) if colocate else spread(src)
+    return (words(src, text, keep=[key], stop_words=stop_words)
             .groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf")))
 
 
@@ -101,7 +111,7 @@ def tfidf(df: DataFrame, key: str, text: str, min_df: float = 0.005,
     """
     n_docs = df.select(F.count(F.lit(1))).scalar()
     # term counts feed both the document frequencies and the weights: tokenise once
-    tc = cut_lineage(term_counts(df, key, text, stop_words))
+    tc = cut_lineage(term_counts(df, key, text, stop_words, colocate=True))
     vocab = (tc.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
                .where(F.col("df") >= F.lit(min_df) * n_docs))
     idf = vocab.select("word", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))

@@ -2,9 +2,9 @@
 
 P0 builds the plot frame: type inference, top categories, null dropping,
 binning or subsetting.  Counting and averaging plots on a categoric x are
-planned from **one** pre-aggregation of the source by (x, colour): the top-N
-lists and the final counts are all derived from it, so the big table is
-scanned once and shuffled once (the repeated sub-plan is a reused exchange).
+planned from **one** pre-aggregation of the source by (x, colour), written
+once to the shared checkpoint folder: the top-N lists and the final counts are
+all derived from that small table, so the big table is scanned once.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from ..operators.aggregates import (categorical_stats, full_grid, quantiles_wide
                                     stack_offsets)
 from ..operators.rows import keep_categories, top_categories, dodge_offset, jitter as jitter_expr
 from ..operators.text import text_stats
+from ..session import cut_lineage
 
 X_TOP = 25
 COLOR_TOP = 10
@@ -84,12 +85,17 @@ def plot_frame(df: DataFrame, x: str, y: str | None = None, x_type: str | None =
 
 
 def _categoric_pre(df: DataFrame, x: str, color: str | None, y: str | None) -> DataFrame:
-    """One aggregation of the source by (x, colour), nulls included."""
+    """One aggregation of the source by (x, colour), nulls included.
+
+    It is materialised in the shared checkpoint folder: its three consumers
+    (top x, top colours, bars) would otherwise each re-scan the source, since
+    Catalyst pushes their filters below the aggregate and no exchange is reused.
+    """
     keys = [F.col(x).alias("x")] + ([F.col(color).alias("color")] if color else [])
     aggs = [F.count(F.lit(1)).alias("n_all")]
     if y:
         aggs += [F.count(F.col(y)).alias("n_y"), F.sum(F.col(y).cast("double")).alias("s_y")]
-    return df.groupBy(*keys).agg(*aggs)
+    return cut_lineage(df.groupBy(*keys).agg(*aggs))
 
 
 def _top_from(pre: DataFrame, column: str, n: int) -> DataFrame:

@@ -349,8 +349,13 @@ def regression_models(t):
 
 @query("classification_models")
 def classification_models(t):
-    """Every classification model on embedding features (10 classes), holdout accuracy."""
-    exp = Experiment(_emb(t, 4), "label", True, key="vec_id", nums=[f"e{i}" for i in range(4)],
+    """Every classification model on embedding features, holdout accuracy.
+
+    The target is the embedding label folded into three groups (label % 3), so
+    the multi-class paths (one-vs-rest, softmax) run at a third of the cost.
+    """
+    e = _emb(t, 4).withColumn("group", (F.col("label") % 3).cast("int"))
+    exp = Experiment(e, "group", True, key="vec_id", nums=[f"e{i}" for i in range(4)],
                      scorer="accuracy", validation_method="test", name="zoo")
     return _zoo(exp)
 

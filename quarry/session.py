@@ -62,3 +62,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin rows over all cores when a scan yields fewer partitions.
+
+    CPU-heavy per-row work (tokenising whole texts) is bound by the number of
+    input splits; a table stored in a few large row groups would leave most
+    cores idle.  On a cluster reading many files this is a no-op.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
