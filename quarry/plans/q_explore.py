@@ -429,3 +429,18 @@ def class_weights(t):
     """C11: balanced weights n/(k*n_c), attached to every row then summarised."""
     o = C.class_weights(t("orders"), "o_orderstatus")
     return o.groupBy("o_orderstatus", "class_weight").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select_columns", """
+SELECT o_orderkey, o_totalprice, CAST(NULL AS DOUBLE) AS o_missing, '' AS o_comment FROM orders
+""")
+def select_columns(t):
+    """Selecting columns by name; absent columns become null, absent text columns ''."""
+    return C.select_columns(t("orders"), ["o_orderkey", "o_totalprice", "o_missing", "o_comment"],
+                            text=["o_comment"])
+
+
+@query("scatter_jitter")
+def scatter_jitter(t):
+    """Scatter positions with the default jitter (0.5 for a categoric x), seeded."""
+    return P.scatter_plot(t("orders"), "o_orderpriority", "o_totalprice", color="o_orderstatus")

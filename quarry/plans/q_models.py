@@ -370,3 +370,23 @@ def text_classification_models(t):
             "Dummy Benchmark"]
     exp.models = {k: v for k, v in exp.models.items() if k in keep}
     return _zoo(exp)
+
+
+@query("top_reasons")
+def top_reasons(t):
+    """The five largest |difference| reasons per held-out row (four features)."""
+    exp = _emb_experiment(t, "Gaussian Naive Bayes", k=6)
+    return exp.top_reasons("Gaussian Naive Bayes", exp.split(False))
+
+
+@query("project_roundtrip")
+def project_roundtrip(t):
+    """An experiment saved (spec JSON, trial log parquet, fitted pipeline) and loaded back."""
+    exp = _li_experiment(t, name="saved")
+    exp.fit_model("Linear Regression", max_train_time=60, max_trials=1, n_random=1)
+    spark = exp.data.sparkSession
+    path = os.path.join(spark.conf.get("spark.checkpoint.dir"), f"project-{uuid.uuid4().hex}")
+    exp.save(path)
+    spec, trials, models = files.load_project_part(spark, path)
+    loaded = models["Linear Regression"].transform(exp.split(False)).select(*LI_KEY, "prediction")
+    return loaded.withColumn("experiment", F.lit(spec["name"]))
