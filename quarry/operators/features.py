@@ -318,3 +318,17 @@ def feature_names(model: PipelineModel, nums: Sequence[str] = (), cats: Sequence
             if type(st).__name__ == "CountVectorizerModel" and st.getInputCol() == f"__words_{c}":
                 names += [f"{c}_{w}" for w in st.vocabulary]
     return names
+
+
+def sparse_entries(vector_col: str, index: str = "i", value: str = "value"):
+    """Non-zero (index, value) pairs of an ML vector column, without densifying it.
+
+    The vector's storage struct (type, size, indices, values) is read through
+    its JSON form -- a JVM-side conversion -- so a 10 000-word tf-idf vector
+    costs its non-zeros, not 10 000 array slots.
+    """
+    schema = "struct<v:struct<type:tinyint,size:int,indices:array<int>,values:array<double>>>"
+    parsed = F.from_json(F.to_json(F.struct(F.col(vector_col).alias("v"))), schema)["v"]
+    dense = F.transform(parsed["values"], lambda v, i: F.struct(i.alias(index), v.alias(value)))
+    sparse = F.arrays_zip(parsed["indices"].alias(index), parsed["values"].alias(value))
+    return F.explode(F.when(parsed["type"] == 0, sparse).otherwise(dense))

@@ -32,6 +32,7 @@ from ..operators.models.catalogue import (Context, classification_benchmark, cla
 from ..operators.models.closed_form import MAX_CLASSES
 from ..operators.search import TRIAL_SCHEMA, best_parameters, leaderboard, run_search, training_curve
 from ..operators.text import grouped_average_text
+from ..session import spread
 from ..sources import files
 
 # Validation option names accepted by the reference (plus ours).
@@ -123,7 +124,8 @@ class Experiment:
 
     def prepared(self) -> DataFrame:
         """All rows with ``label``, ``__w``, ``__cw``, ``__hold`` and the validation column."""
-        df = self.data.where(F.col(self.target).isNotNull())
+        # model fitting is CPU-bound: use every core even when the input has few splits
+        df = spread(self.data.where(F.col(self.target).isNotNull()))
         df = df.withColumn("label", self._label())
         df = df.withColumn("__w", F.col(self.weights).cast("double") if self.weights else F.lit(1.0))
         df = df.withColumn("__hold", V.holdout_flag(self.key, self.holdout_size))

@@ -347,10 +347,11 @@ SELECT doc_id, 'text_' || word AS feature, round(w / sqrt(sum(w * w) OVER (PARTI
 """)
 def tfidf_pipeline(t):
     """The ML text block (tokenise, stop words, minDF vocabulary, smoothed tf-idf, L2)."""
-    from ..operators.features import feature_names, preprocessor
-    d = t("documents").select("doc_id", "text")
+    from ..operators.features import feature_names, preprocessor, sparse_entries
+    from ..session import spread
+    d = spread(t("documents").select("doc_id", "text"))
     model = preprocessor(text=["text"]).fit(d)
     names = F.array(*[F.lit(n) for n in feature_names(model, text=["text"])])
-    out = model.transform(d).select("doc_id", F.posexplode(vector_to_array("features")).alias("i", "weight"))
-    return out.where(F.col("weight") != 0).select("doc_id", F.element_at(names, F.col("i") + 1).alias("feature"),
-                                                  "weight")
+    out = model.transform(d).select("doc_id", sparse_entries("features").alias("e"))
+    return out.select("doc_id", F.element_at(names, F.col("e.i") + 1).alias("feature"),
+                      F.col("e.value").alias("weight")).where(F.col("weight") != 0)
