@@ -16,6 +16,7 @@ import os
 import time
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -123,9 +124,19 @@ class Experiment:
         return (F.array_position(arr, F.col(self.target)) - 1).cast("double")
 
     def prepared(self) -> DataFrame:
-        """All rows with ``label``, ``__w``, ``__cw``, ``__hold`` and the validation column."""
-        # model fitting is CPU-bound: use every core even when the input has few splits
-        df = spread(self.data.where(F.col(self.target).isNotNull()))
+        """All rows with ``label``, ``__w``, ``__cw``, ``__hold`` and the validation column.
+
+        Only the used columns are kept; the frame is spread over all cores and
+        persisted (memory, then disk) once for the whole search -- every fold
+        fit and score reads it instead of re-reading and re-hashing the source.
+        Membership columns are key hashes, so a lost partition recomputes the
+        same rows.  ``release()`` drops it.
+        """
+        if getattr(self, "_prepared", None) is not None:
+            return self._prepared
+        used = list(dict.fromkeys(self.key + [self.target] + self.nums + self.cats + self.text +
+                                  ([self.weights] if self.weights else []) + ([self.groups] if self.groups else [])))
+        df = spread(self.data.where(F.col(self.target).isNotNull()).select(*[F.col(f"`{c}`") for c in used]))
         df = df.withColumn("label", self._label())
         df = df.withColumn("__w", F.col(self.weights).cast("double") if self.weights else F.lit(1.0))
         df = df.withColumn("__hold", V.holdout_flag(self.key, self.holdout_size))
@@ -147,7 +158,14 @@ class Experiment:
             df = V.stratified_kfold(df, self.key, "label", int(self.validation_size), out="__fold")
         else:
             df = V.group_folds(df, self.groups, out="__fold")
-        return df
+        self._prepared = df.persist(StorageLevel.MEMORY_AND_DISK)
+        return self._prepared
+
+    def release(self) -> None:
+        """Unpersist the prepared training frame."""
+        if getattr(self, "_prepared", None) is not None:
+            self._prepared.unpersist()
+            self._prepared = None
 
     def split(self, train: bool = True) -> DataFrame:
         d = self.prepared()
