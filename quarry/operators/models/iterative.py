@@ -66,14 +66,30 @@ def _partial_sums(data: DataFrame, theta: np.ndarray, batch_fn) -> tuple[float,
             n += w.sum()
         yield pd.DataFrame({"f": [f], "g": [g.tolist()], "n": [n]})
 
-    rows = data.mapInPandas(part, "f double, g array<double>, n double").collect()   # one row per partition
+    partial = data.mapInPandas(part, "f double, g array<double>, n double")
+    f, g, n = _reduce_vectors(partial, "g", len(theta), extra=("f", "n"))
     bt.unpersist()
-    f = sum(r["f"] for r in rows)
-    g = np.sum([np.asarray(r["g"]) for r in rows], axis=0)
-    n = sum(r["n"] for r in rows)
     return f, g, n
 
 
+def _reduce_vectors(partial: DataFrame, vec: str, size: int, extra: tuple = ()):
+    """Sum per-partition vectors on the executors (index -> value, ``groupBy``), then
+    collect one vector: the driver never receives one row per partition."""
+    scal = [F.struct(F.lit(-1 - i).alias("k"), F.col(c).alias("v")) for i, c in enumerate(extra)]
+    long = partial.select(F.inline(F.concat(
+        F.array(*scal) if scal else F.array().cast("array<struct<k:int,v:double>>"),
+        F.transform(F.col(vec), lambda v, i: F.struct(i.alias("k"), v.alias("v"))))))
+    rows = long.groupBy("k").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(size)
+    scalars = [0.0] * len(extra)
+    for r in rows:
+        if r["k"] >= 0:
+            out[r["k"]] = r["v"]
+        else:
+            scalars[-1 - r["k"]] = r["v"]
+    return (scalars[0], out, *scalars[1:]) if extra else out
+
+
 def lbfgs(fg, x0: np.ndarray, max_iter: int = 60, m: int = 8, tol: float = 1e-7) -> np.ndarray:
     """Limited-memory BFGS with Armijo backtracking (driver side, small vectors)."""
     x = x0.copy()
@@ -282,10 +298,11 @@ class PassiveAggressiveRegressor(BaseEstimator):
                 if n:
                     yield pd.DataFrame({"t": [th.tolist()], "n": [float(n)]})
 
-            rows = data.mapInPandas(part, "t array<double>, n double").collect()   # one row per partition
+            mixed = data.mapInPandas(part, "t array<double>, n double") \
+                        .select(F.transform("t", lambda v: v * F.col("n")).alias("t"), "n")
+            tot, summed = _reduce_vectors(mixed, "t", d + 1, extra=("n",))
             bt.unpersist()
-            tot = sum(r["n"] for r in rows)
-            theta = np.sum([np.asarray(r["t"]) * r["n"] for r in rows], axis=0) / tot
+            theta = summed / tot
         data.unpersist()
         return LinearModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(),
                            modelData=[theta[:-1].tolist(), float(theta[-1])])

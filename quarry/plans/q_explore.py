@@ -444,3 +444,24 @@ def select_columns(t):
 def scatter_jitter(t):
     """Scatter positions with the default jitter (0.5 for a categoric x), seeded."""
     return P.scatter_plot(t("orders"), "o_orderpriority", "o_totalprice", color="o_orderstatus")
+
+
+_PHI = ("CASE WHEN z >= 0 THEN 0.5 * (1 + e) ELSE 0.5 * (1 - e) END")
+
+
+@query("normal_scores", """
+WITH s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS sd FROM orders),
+z AS (SELECT o_orderkey, (o_totalprice - m) / sd AS z FROM orders, s),
+t AS (SELECT o_orderkey, z, abs(z) / sqrt(2.0) AS x, 1.0 / (1.0 + 0.3275911 * abs(z) / sqrt(2.0)) AS t FROM z),
+e AS (SELECT o_orderkey, z, 1.0 - (((((1.061405429 * t + -1.453152027) * t + 1.421413741) * t + -0.284496736) * t
+        + 0.254829592) * t) * exp(-x * x) AS e FROM t)
+SELECT o_orderkey, round(""" + _PHI + """, 6) AS cdf, round(exp(-0.5 * z * z) / sqrt(2 * pi()), 6) AS pdf FROM e
+""")
+def normal_scores(t):
+    """2.9 math: normal cdf (Abramowitz-Stegun erf) and pdf of standardised order totals."""
+    from ..functions.expressions import normal_cdf, normal_pdf
+    o = t("orders")
+    m = o.agg(F.avg("o_totalprice")).scalar()
+    sd = o.agg(F.stddev_pop("o_totalprice")).scalar()
+    z = (F.col("o_totalprice") - m) / sd
+    return o.select("o_orderkey", normal_cdf(z).alias("cdf"), normal_pdf(z).alias("pdf"))

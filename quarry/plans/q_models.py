@@ -318,16 +318,18 @@ def prediction_file(t):
 # --- every catalogue model, fitted once with middle-of-domain parameters --------------------------
 
 def _middle(domain) -> dict:
-    """A fixed point of each domain: the middle of numeric ranges, the first category."""
-    import math as _m
+    """A fixed point of each domain: the middle of continuous ranges, the lower end of
+    integer ranges (fewest rounds / components: the cheapest fit), the first category."""
     from ..operators.search import decode
     raw = []
     for d in domain:
         if d.kind == "categoric":
             raw.append(0.0)
+        elif d.kind == "integer":
+            raw.append(float(d.bounds[0]))
         else:
             lo, hi = d.bounds
-            raw.append(float(round((lo + hi) / 2)) if d.kind == "integer" else (lo + hi) / 2.0)
+            raw.append((lo + hi) / 2.0)
     return decode(domain, raw)
 
 

@@ -139,3 +139,17 @@ def test_search_trials_unique(spark):
     raws = [tuple(t["raw"]) for t in exp.trials["Decision Tree"]]
     assert len(raws) == len(set(raws)) == 4
     assert exp.holdout_scores["Decision Tree"] is not None
+
+
+def test_linear_svr_large_c_is_least_squares(spark):
+    from quarry.operators.models.iterative import LinearSVR, PassiveAggressiveRegressor
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select(
+        F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").alias("y"))
+    want = ridge_line(li, "x", "y", 0.0).first()
+    v = VectorAssembler(inputCols=["x"], outputCol="features").transform(li)
+    m = LinearSVR(labelCol="y", C=1e8).fit(v)
+    coef, intercept = m.getModelData()
+    assert math.isclose(coef[0], want["slope"], rel_tol=1e-3, abs_tol=1e-3)
+    assert math.isclose(intercept, want["intercept"], rel_tol=1e-4)
+    pa = PassiveAggressiveRegressor(labelCol="y", C=1.0, epochs=2).fit(v)
+    assert len(pa.getModelData()[0]) == 1
