@@ -486,7 +486,7 @@ class ProbabilisticLinearSVC(BaseEstimator):
         for k in targets:
             d = data.withColumn("__y", (F.col(label) == k).cast("double"))
             svc = LinearSVC(featuresCol=self.getFeaturesCol(), labelCol="__y", weightCol="__pw",
-                            regParam=self.getOrDefault(self.regParam), maxIter=100).fit(d)
+                            regParam=self.getOrDefault(self.regParam), maxIter=50, tol=1e-4).fit(d)
             m = svc.transform(d).select("__y", "__pw", vector_to_array("rawPrediction")[1].alias("__m"))
             m = VectorAssembler(inputCols=["__m"], outputCol="__mv").transform(m)
             platt = LogisticRegression(featuresCol="__mv", labelCol="__y", weightCol="__pw", regParam=0.0).fit(m)

@@ -333,9 +333,14 @@ def _middle(domain) -> dict:
     return decode(domain, raw)
 
 
-def _zoo(exp: Experiment):
+SVMS = ("Linear SVM", "Kernel SVM")
+
+
+def _zoo(exp: Experiment, skip=()):
     rows = []
     for name, spec in exp.models.items():
+        if name in skip:
+            continue
         exp.fit_fixed(name, _middle(spec.domain))
         rows.append((name, float(exp.score(exp.fitted[name], exp.split(False)))))
     spark = exp.data.sparkSession
@@ -359,6 +364,16 @@ def classification_models(t):
     e = _emb(t, 4).withColumn("group", (F.col("label") % 3).cast("int"))
     exp = Experiment(e, "group", True, key="vec_id", nums=[f"e{i}" for i in range(4)],
                      scorer="accuracy", validation_method="test", name="zoo")
+    return _zoo(exp, skip=SVMS)
+
+
+@query("svm_classifiers")
+def svm_classifiers(t):
+    """K4/K5: linear and kernel SVMs with Platt probabilities, binary target (document quality)."""
+    d = t("documents").join(t("labels"), "doc_id")
+    exp = Experiment(d, "quality", True, key="doc_id", nums=["n_chars"], cats=["lang"], scorer="neg_log_loss",
+                     validation_method="test", name="svm")
+    exp.models = {k: v for k, v in exp.models.items() if k in SVMS}
     return _zoo(exp)
 
 
