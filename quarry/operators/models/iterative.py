@@ -90,10 +90,11 @@ def _reduce_vectors(partial: DataFrame, vec: str, size: int, extra: tuple = ()):
     return (scalars[0], out, *scalars[1:]) if extra else out
 
 
-def lbfgs(fg, x0: np.ndarray, max_iter: int = 60, m: int = 8, tol: float = 1e-7) -> np.ndarray:
+def lbfgs(fg, x0: np.ndarray, max_iter: int = 100, m: int = 8, tol: float = 1e-10) -> np.ndarray:
     """Limited-memory BFGS with Armijo backtracking (driver side, small vectors)."""
     x = x0.copy()
     f, g = fg(x)
+    g_tol = 1e-8 * max(1.0, float(np.linalg.norm(g)))
     s_hist, y_hist = [], []
     for _ in range(max_iter):
         q = g.copy()
@@ -108,8 +109,9 @@ def lbfgs(fg, x0: np.ndarray, max_iter: int = 60, m: int = 8, tol: float = 1e-7)
             b = yv.dot(q) / yv.dot(s)
             q += s * (a - b)
         d = -q
-        if g.dot(d) >= 0:
-            d = -g
+        if g.dot(d) >= 0 or not s_hist:
+            # first step (or a bad direction): steepest descent scaled to unit length
+            d = -g / max(1.0, float(np.linalg.norm(g)))
         step = 1.0
         while True:
             xn = x + step * d
@@ -124,9 +126,9 @@ def lbfgs(fg, x0: np.ndarray, max_iter: int = 60, m: int = 8, tol: float = 1e-7)
             if len(s_hist) > m:
                 s_hist.pop(0)
                 y_hist.pop(0)
-        converged = abs(f - fn) <= tol * max(1.0, abs(f))
+        converged = abs(f - fn) <= tol * max(1.0, abs(f)) and len(s_hist) > 1
         x, f, g = xn, fn, gn
-        if converged or np.linalg.norm(g) < 1e-10:
+        if converged or np.linalg.norm(g) < g_tol:
             break
     return x
 
