@@ -47,8 +47,18 @@ def test_query_matches_oracle(spark, con, name):
     assert gr == wr
 
 
+# model-zoo and search queries fit every catalogue model or run a search; they are
+# exercised by tools/check.py and the driver, here only when QUARRY_SLOW=1
+HEAVY = {"regression_models", "classification_models", "text_classification_models", "svm_classifiers",
+         "search_trials", "training_curve", "leaderboard", "best_parameters", "proposal_batch"}
+
+
 def test_every_query_runs(spark):
+    import os
+    slow = os.environ.get("QUARRY_SLOW") == "1"
     for name, fn in E.queries().items():
+        if name in HEAVY and not slow:
+            continue
         assert fn(spark, SF).schema is not None, name
 
 
