@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .mixing import digest, mixture
+from .packing import pack
 from .simhash import near_duplicates
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -21,11 +23,22 @@ def _query(name: str, sql: str | None = None):
     return deco
 
 
+@_query("op1_source_mixing")
+def op1(spark, sf_dir):
+    return digest(mixture(table(spark, sf_dir, "documents")))
+
+
 @_query("op5_simhash_dedup")
 def op5(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+@_query("op10_packing")
+def op10(spark, sf_dir):
+    import public_tokenizers
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, QueryFn]:
     import corpus_pipeline
     return {k: v[0] for k, v in REGISTRY.items()} | {"pipeline": corpus_pipeline.run}

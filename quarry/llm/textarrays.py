@@ -77,8 +77,12 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         a = b
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte of each word, end byte of each word, first word of each row and the total)."""
+def word_spans(data: np.ndarray, offs: np.ndarray,
+               parted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte of each word, end byte of each word, first word of each row and the total).
+
+    ``parted`` marks bytes that begin a word of their own right after another.
+    """
     if len(data) == 0:
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, np.zeros(len(offs), dtype=np.int64)
@@ -86,6 +90,9 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     head, tail = w.copy(), w.copy()
     head[1:] &= ~w[:-1]
     tail[:-1] &= ~w[1:]
+    if parted is not None:
+        head |= parted
+        tail[:-1] |= parted[1:]
     edge = offs[(offs > 0) & (offs < len(data))]
     head[edge] = w[edge]
     tail[edge - 1] = w[edge - 1]
