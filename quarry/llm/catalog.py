@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from . import suffix_array, suffix_tree
 from .mixing import digest, mixture
 from .packing import pack
 from .simhash import near_duplicates
@@ -28,11 +29,21 @@ def op1(spark, sf_dir):
     return digest(mixture(table(spark, sf_dir, "documents")))
 
 
+@_query("op2_substring_dedup")
+def op2(spark, sf_dir):
+    return suffix_tree.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+
+
 @_query("op5_simhash_dedup")
 def op5(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+@_query("op7_suffix_array_dedup")
+def op7(spark, sf_dir):
+    return suffix_array.remove_repeats(table(spark, sf_dir, "documents"), match=100)
+
+
 @_query("op10_packing")
 def op10(spark, sf_dir):
     import public_tokenizers
