@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import suffix_array, suffix_tree
+from . import language_id, suffix_array, suffix_tree
 from .mixing import digest, mixture
 from .packing import pack
 from .simhash import near_duplicates
@@ -44,6 +44,12 @@ def op7(spark, sf_dir):
     return suffix_array.remove_repeats(table(spark, sf_dir, "documents"), match=100)
 
 
+@_query("op9_language_id")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.learn(docs))
+
+
 @_query("op10_packing")
 def op10(spark, sf_dir):
     import public_tokenizers
