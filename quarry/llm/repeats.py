@@ -366,7 +366,7 @@ def repeated_windows(base: DataFrame, window: int, gram: int, words: bool, index
     spark = base.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sampled = base.select("_id", "_tie", "text").mapInArrow(_sample(window, gram, words, buckets), _SAMPLE)
-    anchors = cut_lineage(sampled.repartition(buckets, "bucket").mapInArrow(
+    anchors = cut_lineage(sampled.repartitionById(buckets, F.col("bucket")).mapInArrow(
         _repeated, "hash bigint, _id bigint, _tie bigint, lo bigint, at bigint, size bigint, n bigint"))
     hot = anchors.groupBy("hash").count().where(F.col("count") > hot_rows).select("hash", F.lit(True).alias("hot"))
     placed = (anchors.join(hot, "hash", "left").groupBy("_id", "_tie").agg(F.collect_list(F.struct(
