@@ -36,32 +36,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from ..session import cut_lineage
 from .textarrays import (bytes_prefix, gram_hash, mix, prefix_hash, slices, span_hash, text_column, word_spans)
 
 #: text of contexts that is indexed at once
 CHUNK_BYTES = 2 << 20
 #: contexts of one anchor that a group may hold
-HOT_ROWS = 200_000
+HOT_ROWS = 50_000
 NULL_ID = -(1 << 63)
 
 _ANCHOR = np.dtype([("lo", "<i8"), ("at", "<i8"), ("size", "<i8"), ("n", "<i4")])
 
 
 def window_anchors(grams: np.ndarray, offs: np.ndarray, window: int,
-                   gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, number of windows) of each run of windows with one anchor.
+                   gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, number of windows, whether the anchor moves) of each run of windows.
 
     ``grams`` are the hashes of the runs of ``gram`` symbols at each place of
-    the concatenated rows, ``offs`` the rows' bounds in symbols.  Windows of
-    one anchor are consecutive; ties go to the leftmost.
+    the concatenated rows, ``offs`` the rows' bounds in symbols.  A run is
+    consecutive windows of one row with equal least hash, so that periodic text
+    is one run.  Two equal windows have their least gram at equal offsets; if
+    both lie in one run, the leftmost place of it moves within the run.
     """
     wide = window - gram + 1
     n = int(offs[-1]) - window + 1
     if n <= 0:
         empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, empty
+        return empty, empty, empty, empty.astype(bool)
     low = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     span = 1
     while span * 2 <= wide:
@@ -76,32 +76,31 @@ def window_anchors(grams: np.ndarray, offs: np.ndarray, window: int,
     np.subtract.at(edge, bad_to, 1)
     valid = np.cumsum(edge[:-1]) == 0
     new = np.ones(n, dtype=bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | ~valid[:-1]
-    # the first window of a row begins a run even if the row before ends in one
-    heads = offs[:-1][offs[:-1] < n]
-    new[heads] = True
+    moves = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+    new[1:] = ~valid[:-1]
+    new[moves] |= grams[anchor[moves]] != grams[anchor[moves - 1]]
+    new[offs[:-1][offs[:-1] < n]] = True
     lo = np.flatnonzero(new & valid)
     last = np.ones(n, dtype=bool)
     last[:-1] = new[1:] | ~valid[1:]
     hi = np.flatnonzero(last & valid)
-    return anchor[lo], lo, hi - lo + 1
+    return anchor[lo], lo, hi - lo + 1, anchor[lo] != anchor[hi]
 
 
 def _row_anchors(data, offs, window, gram, words):
-    """hash, row, lo, n, at, size of all anchors of a slice of rows."""
+    """Of all runs of a slice of rows: hash, row, whether it repeats in itself, first window, windows, byte, bytes."""
     if words:
         starts, ends, first = word_spans(data, offs)
-        prefix = prefix_hash(span_hash(bytes_prefix(data), starts, ends))
-        a, lo, n = window_anchors(gram_hash(prefix, gram), first, window, gram)
+        grams = gram_hash(prefix_hash(span_hash(bytes_prefix(data), starts, ends)), gram)
+        a, lo, n, moved = window_anchors(grams, first, window, gram)
         row = np.searchsorted(first, lo, side="right") - 1
-        begin, end = starts[lo] if len(lo) else lo, ends[lo + n + window - 2] if len(lo) else lo
-        hashes = span_hash(prefix, a, a + gram)
-        return hashes, row, lo - first[row], n, begin - offs[row], end - begin
-    prefix = bytes_prefix(data)
-    a, lo, n = window_anchors(gram_hash(prefix, gram), offs, window, gram)
+        begin, end = (starts[lo], ends[lo + n + window - 2]) if len(lo) else (lo, lo)
+        return grams[a], row, moved, lo - first[row], n, begin - offs[row], end - begin
+    grams = gram_hash(bytes_prefix(data), gram)
+    a, lo, n, moved = window_anchors(grams, offs, window, gram)
     row = np.searchsorted(offs, lo, side="right") - 1
     at = lo - offs[row]
-    return span_hash(prefix, a, a + gram), row, at, n, at, n + window - 1
+    return grams[a], row, moved, at, n, at, n + window - 1
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -114,17 +113,19 @@ def _unpack(b: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-_FIELDS = (("hash", "<u8"), ("id", "<i8"), ("tie", "<u4"), ("lo", "<i8"), ("at", "<i8"), ("size", "<i8"), ("n", "<i4"),
-           ("seen", "<i1"))
-_SAMPLE = "bucket int, " + ", ".join(f"`{f}` binary" for f, _ in _FIELDS)
+_BYTES = (("hash", "<u8"), ("id", "<i8"), ("tie", "<u4"), ("lo", "<i8"), ("n", "<i4"), ("seen", "<i4"))
+_WORDS = (*_BYTES, ("at", "<i8"), ("size", "<i8"))
 
 
 def _sample(window: int, gram: int, words: bool, buckets: int):
-    """Anchors of each batch of documents, by bucket of their hash, as packed columns.
+    """Runs of each batch of documents, by bucket of their anchor's hash, as packed columns.
 
-    ``seen`` is 0 for an anchor met once in the batch; of one met more often a
-    single row with 2 goes to the hash's bucket, the others get 1 and any bucket.
+    ``seen`` is how often the batch has the anchor, 0 for all but the first of
+    them: those are known to repeat and go to any bucket.  A run that repeats in
+    itself counts twice.
     """
+    fields = _WORDS if words else _BYTES
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("_id").to_numpy(zero_copy_only=False)
@@ -135,52 +136,75 @@ def _sample(window: int, gram: int, words: bool, buckets: int):
                 got.append((h, row + a, *rest))
             if not got:
                 continue
-            h, row, lo, n, at, size = (np.concatenate(x) for x in zip(*got))
+            h, row, moved, lo, n, at, size = (np.concatenate(x) for x in zip(*got))
             if not len(h):
                 continue
             order = np.argsort(h, kind="stable")
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = h[order][1:] != h[order][:-1]
-            many = np.diff(np.append(np.flatnonzero(new), len(h)))
-            seen = np.zeros(len(h), dtype=np.int8)
-            seen[order] = np.where(new, np.where(np.repeat(many, many) > 1, 2, 0), 1)
-            spread = np.where(seen == 1, mix(h + np.arange(len(h), dtype=np.uint64)), mix(h))
+            head = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+            seen = np.zeros(len(h), dtype=np.int32)
+            seen[order[head]] = np.add.reduceat(1 + moved[order], head)
+            spread = np.where(seen == 0, mix(h + np.arange(len(h), dtype=np.uint64)), mix(h))
             bucket = (spread % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            values = {"hash": h, "id": ids[row].astype(np.int64), "tie": ties[row].astype(np.uint32), "lo": lo, "at": at,
-                      "size": size, "n": n.astype(np.int32), "seen": seen}
-            parts = np.split(order, cuts)
+            values = {"hash": h, "id": ids[row], "tie": ties[row], "lo": lo, "n": n, "seen": seen, "at": at, "size": size}
+            parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(bucket[p[0]]) for p in parts], type=pa.int32())]
-                + [pa.array([_pack(values[f][p].astype(k)) for p in parts], type=pa.binary()) for f, k in _FIELDS],
-                names=["bucket"] + [f for f, _ in _FIELDS])
+                + [pa.array([_pack(values[f][p].astype(k)) for p in parts], type=pa.binary()) for f, k in fields],
+                names=["bucket"] + [f for f, _ in fields])
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchors of a partition of hashes that occur more than once."""
-    cols: dict[str, list] = {f: [] for f, _ in _FIELDS}
+def _unpacked(batches: Iterator[pa.RecordBatch], fields: tuple) -> dict[str, np.ndarray] | None:
+    cols: dict[str, list] = {f: [] for f, _ in fields}
     for batch in batches:
-        for f, k in _FIELDS:
+        for f, k in fields:
             cols[f].extend(_unpack(b.as_py(), k) for b in batch.column(f))
-    if not cols["hash"]:
-        return
-    v = {f: np.concatenate(x) for f, x in cols.items()}
-    keep = v["seen"] > 0
-    held = np.flatnonzero(v["seen"] != 1)
+    return {f: np.concatenate(x) for f, x in cols.items()} if cols["hash"] else None
+
+
+def _totals(v: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows counted, in hash order; first of each hash among them; occurrences of each hash)."""
+    held = np.flatnonzero(v["seen"] > 0)
     order = held[np.argsort(v["hash"][held], kind="stable")]
     h = v["hash"][order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = h[1:] != h[:-1]
-    many = np.diff(np.append(np.flatnonzero(new), len(h)))
-    keep[order[np.repeat(many, many) > 1]] = True
-    for a in range(0, len(keep), 1 << 18):
-        k = np.flatnonzero(keep[a:a + (1 << 18)]) + a
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v["hash"][k].view(np.int64)), pa.array(v["id"][k]), pa.array(v["tie"][k].astype(np.int64))]
-            + [pa.array(v[f][k].astype(np.int64)) for f in ("lo", "at", "size", "n")],
-            names=["hash", "_id", "_tie", "lo", "at", "size", "n"])
+    head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, dtype=np.int64)
+    total = np.add.reduceat(v["seen"][order].astype(np.int64), head) if len(h) else head
+    return order, head, total
+
+
+def _repeated(window: int, words: bool):
+    """The runs of a partition whose anchors occur more than once."""
+    fields = _WORDS if words else _BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _unpacked(batches, fields)
+        if v is None:
+            return
+        order, head, total = _totals(v)
+        keep = v["seen"] == 0
+        keep[order[np.repeat(total > 1, np.diff(np.append(head, len(order))))]] = True
+        if not words:
+            v["at"], v["size"] = v["lo"], v["n"] + window - 1
+        for a in range(0, len(keep), 1 << 18):
+            k = np.flatnonzero(keep[a:a + (1 << 18)]) + a
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v["hash"][k].view(np.int64)), pa.array(v["id"][k]), pa.array(v["tie"][k].astype(np.int64))]
+                + [pa.array(v[f][k].astype(np.int64)) for f in ("lo", "at")]
+                + [pa.array(v[f][k].astype(np.int32)) for f in ("size", "n")],
+                names=["hash", "_id", "_tie", "lo", "at", "size", "n"])
+    return run
+
+
+def _frequent(words: bool, hot_rows: int):
+    """The hashes of a partition with more than ``hot_rows`` occurrences."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _unpacked(batches, _WORDS if words else _BYTES)
+        if v is not None:
+            order, head, total = _totals(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v["hash"][order[head[total > hot_rows]]].view(np.int64))],
+                                             names=["hash"])
+    return run
 
 
 _CONTEXT = "key bigint, _id bigint, _tie bigint, lo bigint, n bigint, context binary, copies array<bigint>"
@@ -346,32 +370,40 @@ def _grouped(index: Index, chunk_bytes: int, other_documents: bool):
     return run
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _tie, null_id, text): documents dealt once by identity, for all later joins."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _identity(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("_id"),
-                       F.crc32(text).alias("_tie"), F.col(id_col).isNull().alias("null_id"), text.alias("text")
-                       ).repartition(partitions, "_id", "_tie")
+                       F.crc32(text).alias("_tie"), F.col(id_col).isNull().alias("null_id"), text.alias("text"))
+
+
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _tie, null_id, text): documents dealt once by identity, for both joins with them."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _identity(docs, id_col, text_col).repartition(partitions, "_id", "_tie")
 
 
-def repeated_windows(base: DataFrame, window: int, gram: int, words: bool, index: Index,
+def repeated_windows(docs: DataFrame, window: int, gram: int, words: bool, index: Index, id_col: str, text_col: str,
                      chunk_bytes: int = CHUNK_BYTES, hot_rows: int = HOT_ROWS,
                      other_documents: bool = False) -> DataFrame:
-    """``base`` with ``runs``: (first window, windows) of its windows that have an earlier equal.
+    """_id, null_id, text and ``runs``: (first window, windows) of a document's windows that have an earlier equal.
 
     Runs may overlap; null where there are none.  With ``other_documents`` only
     documents before count, else also earlier places of the same one.
     """
-    spark = base.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sampled = base.select("_id", "_tie", "text").mapInArrow(_sample(window, gram, words, buckets), _SAMPLE)
-    anchors = cut_lineage(sampled.repartitionById(buckets, F.col("bucket")).mapInArrow(
-        _repeated, "hash bigint, _id bigint, _tie bigint, lo bigint, at bigint, size bigint, n bigint"))
-    hot = anchors.groupBy("hash").count().where(F.col("count") > hot_rows).select("hash", F.lit(True).alias("hot"))
+    base = identified(docs, id_col, text_col)
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fields = _WORDS if words else _BYTES
+    dealt = (_identity(docs, id_col, text_col).select("_id", "_tie", "text")
+             .mapInArrow(_sample(window, gram, words, buckets),
+                         "bucket int, " + ", ".join(f"`{f}` binary" for f, _ in fields))
+             .repartitionById(buckets, F.col("bucket")))
+    anchors = dealt.mapInArrow(_repeated(window, words),
+                               "hash bigint, _id bigint, _tie bigint, lo bigint, at bigint, size int, n int")
+    hot = dealt.mapInArrow(_frequent(words, hot_rows), "hash bigint").select("hash", F.lit(True).alias("hot"))
     placed = (anchors.join(hot, "hash", "left").groupBy("_id", "_tie").agg(F.collect_list(F.struct(
         "hash", "lo", "at", "size", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("anchors")))
-    both = base.join(placed.hint("shuffle_hash"), ["_id", "_tie"], "left").select("_id", "_tie", "text", "anchors")
+    # the same columns as in the last join, so that both read one exchange
+    both = base.join(placed.hint("shuffle_hash"), ["_id", "_tie"], "left")
     contexts = both.mapInArrow(_contexts(window, words, other_documents), _CONTEXT)
     found = (contexts.repartition(buckets, "key").sortWithinPartitions("key")
              .mapInArrow(_grouped(index, chunk_bytes, other_documents), "_id bigint, _tie bigint, lo bigint, n bigint"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import CHUNK_BYTES, HOT_ROWS, covered, identified, repeated_windows
+from .repeats import CHUNK_BYTES, HOT_ROWS, covered, repeated_windows
 from .textarrays import text_column
 
 #: consecutive equal words that count as a repeat
@@ -75,7 +75,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM
     def index(contexts, counts):
         return shared_windows(contexts, counts, window)
 
-    return repeated_windows(identified(docs, id_col, text_col), window, gram, True, index, chunk_bytes, hot_rows,
+    return repeated_windows(docs, window, gram, True, index, id_col, text_col, chunk_bytes, hot_rows,
                             other_documents=True)
 
 
