@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language_id, suffix_array, suffix_tree
+from . import ann_forest, exact_topk, language_id, license_scan, suffix_array, suffix_tree, url_filter
 from .mixing import digest, mixture
 from .packing import pack
 from .simhash import near_duplicates
@@ -34,16 +34,37 @@ def op2(spark, sf_dir):
     return suffix_tree.remove_repeats(table(spark, sf_dir, "documents"), window=13)
 
 
+@_query("op3_license_scan", license_scan.oracle_sql())
+def op3(spark, sf_dir):
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
+@_query("op4_ann_forest")
+def op4(spark, sf_dir):
+    return ann_forest.nearest(table(spark, sf_dir, "embeddings"), k=5, query_step=50)
+
+
 @_query("op5_simhash_dedup")
 def op5(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+@_query("op6_exact_topk")
+def op6(spark, sf_dir):
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), k=10, query_step=100)
+
+
 @_query("op7_suffix_array_dedup")
 def op7(spark, sf_dir):
     return suffix_array.remove_repeats(table(spark, sf_dir, "documents"), match=100)
 
 
+@_query("op8_url_filter")
+def op8(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 @_query("op9_language_id")
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
