@@ -2,30 +2,84 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet in the shared checkpoint folder and read again as the next one's
-``docs``.  All but the last return the columns of ``documents``.
+``docs``.  All but the last return the columns of ``documents``; extra columns
+go along until packing.  Every stage accepts null and empty texts, nulls in any
+column, repeated rows and an empty table.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.llm import language_id
+from quarry.llm.mixing import mixed_documents
+from quarry.llm.packing import pack
 from quarry.llm.simhash import near_duplicates
-from quarry.session import ensure_checkpoint_dir, table
+from quarry.llm.suffix_array import without_repeats
+from quarry.session import ensure_checkpoint_dir, ship_package, table
+
+#: expected share of a document's words that its language must reach
+MIN_LANGUAGE_SHARE = 0.3
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: null or letterless texts, and those whose best label is too weak.
+
+    The model learns from ``documents``, never from its held-out third.
+    """
+    field = language_id.learn(table(spark, sf_dir, "documents"))
+    judged = language_id.with_language(docs, field)
+    kept = judged.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SHARE))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the smallest id."""
+    """One document of each SimHash component stays: the one with the smallest id.
+
+    Of rows that share an id (null ids among them) the first by text stays, so
+    that ids are unique from here on.
+    """
+    ship_package(spark)
     found = near_duplicates(docs)
     heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi")
+    kept = docs.join(heads, docs.doc_id.eqNullSafe(heads.doc_id), "left_semi")
+    first = Window.partitionBy("doc_id").orderBy("text")
+    row = F.struct(*[kept[c] for c in docs.columns])
+    ranked = kept.select(row.alias("_row"), "doc_id", "text").withColumn("_n", F.row_number().over(first))
+    return ranked.where("_n = 1").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+
+
+def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every byte of a 100-byte string that also starts earlier goes; documents of which nothing is left go whole."""
+    ship_package(spark)
+    cut = without_repeats(docs)
+    return cut.where(F.col("text") != "").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as the mix takes them: one row for each pass over a source that takes words of the document."""
+    return mixed_documents(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows, packed into sequences of 2048 tokens."""
+    import public_tokenizers
+    ship_package(spark)
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("near duplicates", near_duplicate_stage)]
+STAGES = [
+    ("language ID", language_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("repeated passages", repeat_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
-#: hash functions, learned weights, byte spans and tokenizers are beyond SQL
+#: learned weights, fingerprints, byte spans, random blocks and tokenizers are beyond SQL
 ORACLE_SQL = None
 
 

@@ -280,30 +280,38 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit([(r["lang"], [bytes(w) for w in r["words"]]) for r in rows])
 
 
-def predict(docs: DataFrame, field: WordField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, lang_pred, score of every document; only the text is used.
-
-    A text that is null or has no letter, or any text when nothing was learned,
-    is ``und`` with score 0.  Ties go to the label first in order.  Repeated
-    rows are labelled each; an empty table gives no rows.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
+def with_language(docs: DataFrame, field: WordField, text_col: str = "text",
+                  carry: list[str] | None = None) -> DataFrame:
+    """(row, lang_pred, score): every row (its ``carry`` columns, all by default) as a struct with its prediction."""
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
     labels = np.array(field.labels + [UNDETERMINED], dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters = np.asarray(batch.column("letters"))
             share = field.shares(text_column(batch)) if len(labels) > 1 else np.zeros((batch.num_rows, 1))
-            best = share.argmax(axis=1)
-            score = share.max(axis=1)
+            best, score = share.argmax(axis=1), share.max(axis=1)
             none = ~letters | (score <= 0)
             best[none], score[none] = len(labels) - 1, 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("held_out"), pa.array(labels[best], type=pa.string()),
-                 pa.array(np.minimum(score, 1.0))], names=["id", "held_out", "lang_pred", "score"])
+                [batch.column("row"), pa.array(labels[best], type=pa.string()), pa.array(np.minimum(score, 1.0))],
+                names=["row", "lang_pred", "score"])
 
     text = F.col(text_col)
-    return (docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"),
-                        F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), text.alias("text"))
-            .mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double")
-            .withColumnRenamed("id", id_col))
+    carry = docs.columns if carry is None else carry
+    out = StructType([StructField("row", docs.select(*carry).schema), StructField("lang_pred", StringType()),
+                      StructField("score", DoubleType())])
+    return docs.select(F.struct(*[docs[c] for c in carry]).alias("row"),
+                       F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"),
+                       text.alias("text")).mapInArrow(run, out)
+
+
+def predict(docs: DataFrame, field: WordField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, held_out, lang_pred, score of every document; only the text is used.
+
+    A text that is null or has no letter, or any text when nothing was learned,
+    is ``und`` with score 0.  Ties go to the label first in order.  Repeated
+    rows are labelled each; an empty table gives no rows.
+    """
+    return with_language(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), field, carry=["id"]).select(
+        F.col("row.id").alias(id_col), held_out(F.col("row.id")).alias("held_out"), "lang_pred", "score")

@@ -373,11 +373,13 @@ def _grouped(index: Index, chunk_bytes: int, other_documents: bool):
 def _identity(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("_id"),
-                       F.crc32(text).alias("_tie"), F.col(id_col).isNull().alias("null_id"), text.alias("text"))
+                       F.crc32(text).alias("_tie"), F.col(id_col).isNull().alias("null_id"), text.alias("text"),
+                       F.struct(F.lit(0).alias("_"), *[docs[c] for c in docs.columns if c not in (id_col, text_col)])
+                       .alias("carried"))
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _tie, null_id, text): documents dealt once by identity, for both joins with them."""
+    """(_id, _tie, null_id, text, carried): documents dealt once by identity, for both joins with them."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return _identity(docs, id_col, text_col).repartition(partitions, "_id", "_tie")
 
@@ -385,7 +387,7 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_windows(docs: DataFrame, window: int, gram: int, words: bool, index: Index, id_col: str, text_col: str,
                      chunk_bytes: int = CHUNK_BYTES, hot_rows: int = HOT_ROWS,
                      other_documents: bool = False) -> DataFrame:
-    """_id, null_id, text and ``runs``: (first window, windows) of a document's windows that have an earlier equal.
+    """_id, null_id, text, carried (the other columns) and ``runs``: (first window, windows) of a document's windows that have an earlier equal.
 
     Runs may overlap; null where there are none.  With ``other_documents`` only
     documents before count, else also earlier places of the same one.
