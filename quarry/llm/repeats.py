@@ -8,8 +8,8 @@ each symbol:
    anchor).  Equal windows name equal anchors at equal places, so a window whose
    anchor occurs once in the corpus is unique.  About one symbol in
    ``(window - gram) / 2`` starts an anchor; only (hash, place) is shuffled.
-   Inside a task an anchor met often sends one row to its hash's partition and
-   spreads the others, which are known to repeat.
+   An anchor that one batch meets often sends one row to its hash's partition
+   and spreads the others, which are known to repeat.
 2. *Contexts.* The text around each repeated anchor (all windows that name it)
    is cut out where the document is.
 3. *Groups.* Contexts are dealt by their prefix and handed, in memory-sized
@@ -42,6 +42,8 @@ from .textarrays import (bytes_prefix, gram_hash, mix, prefix_hash, slices, span
 CHUNK_BYTES = 2 << 20
 #: contexts of one anchor that a group may hold
 HOT_ROWS = 50_000
+#: equal anchors that one batch sends to one partition
+SPREAD_ROWS = 64
 NULL_ID = -(1 << 63)
 
 _ANCHOR = np.dtype([("lo", "<i8"), ("at", "<i8"), ("size", "<i8"), ("n", "<i4")])
@@ -117,12 +119,12 @@ _BYTES = (("hash", "<u8"), ("id", "<i8"), ("tie", "<u4"), ("lo", "<i8"), ("n", "
 _WORDS = (*_BYTES, ("at", "<i8"), ("size", "<i8"))
 
 
-def _sample(window: int, gram: int, words: bool, buckets: int):
+def _sample(window: int, gram: int, words: bool, buckets: int, spread_rows: int):
     """Runs of each batch of documents, by bucket of their anchor's hash, as packed columns.
 
-    ``seen`` is how often the batch has the anchor, 0 for all but the first of
-    them: those are known to repeat and go to any bucket.  A run that repeats in
-    itself counts twice.
+    ``seen`` is 1, or 2 for a run that repeats in itself.  Of an anchor that the
+    batch has more than ``spread_rows`` times the first run stands for all; the
+    others get 0 and go to any bucket: they are known to repeat.
     """
     fields = _WORDS if words else _BYTES
 
@@ -141,8 +143,11 @@ def _sample(window: int, gram: int, words: bool, buckets: int):
                 continue
             order = np.argsort(h, kind="stable")
             head = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
-            seen = np.zeros(len(h), dtype=np.int32)
-            seen[order[head]] = np.add.reduceat(1 + moved[order], head)
+            many = np.diff(np.append(head, len(h)))
+            often = np.repeat(many > spread_rows, many)
+            seen = np.empty(len(h), dtype=np.int32)
+            seen[order] = np.where(often, 0, 1 + moved[order])
+            seen[order[head[many > spread_rows]]] = many[many > spread_rows]
             spread = np.where(seen == 0, mix(h + np.arange(len(h), dtype=np.uint64)), mix(h))
             bucket = (spread % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
@@ -173,8 +178,11 @@ def _totals(v: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return order, head, total
 
 
-def _repeated(window: int, words: bool):
-    """The runs of a partition whose anchors occur more than once."""
+_RUNS = "hash bigint, _id bigint, _tie bigint, lo bigint, at bigint, size int, n int, hot boolean"
+
+
+def _repeated(window: int, words: bool, hot_rows: int):
+    """The runs of a partition whose anchors occur more than once; ``hot`` is null for those that were spread."""
     fields = _WORDS if words else _BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +190,11 @@ def _repeated(window: int, words: bool):
         if v is None:
             return
         order, head, total = _totals(v)
+        total = np.repeat(total, np.diff(np.append(head, len(order))))
         keep = v["seen"] == 0
-        keep[order[np.repeat(total > 1, np.diff(np.append(head, len(order))))]] = True
+        keep[order[total > 1]] = True
+        hot = np.zeros(len(keep), dtype=bool)
+        hot[order[total > hot_rows]] = True
         if not words:
             v["at"], v["size"] = v["lo"], v["n"] + window - 1
         for a in range(0, len(keep), 1 << 18):
@@ -191,8 +202,9 @@ def _repeated(window: int, words: bool):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v["hash"][k].view(np.int64)), pa.array(v["id"][k]), pa.array(v["tie"][k].astype(np.int64))]
                 + [pa.array(v[f][k].astype(np.int64)) for f in ("lo", "at")]
-                + [pa.array(v[f][k].astype(np.int32)) for f in ("size", "n")],
-                names=["hash", "_id", "_tie", "lo", "at", "size", "n"])
+                + [pa.array(v[f][k].astype(np.int32)) for f in ("size", "n")]
+                + [pa.array(hot[k], mask=v["seen"][k] == 0)],
+                names=["hash", "_id", "_tie", "lo", "at", "size", "n", "hot"])
     return run
 
 
@@ -253,6 +265,8 @@ def _contexts(window: int, words: bool, other_documents: bool):
                 f = anchors.values.flatten()
                 for key, lo, at, size, n, hot in zip(*(c.to_pylist() for c in f)):
                     context = text[at:at + size]
+                    if words:       # blanks don't tell words apart
+                        context = b" ".join(context.split())
                     if not hot:
                         put(key, (ids[d], ties[d], lo), n, context)
                         continue
@@ -396,21 +410,24 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, words: bool, index
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fields = _WORDS if words else _BYTES
     dealt = (_identity(docs, id_col, text_col).select("_id", "_tie", "text")
-             .mapInArrow(_sample(window, gram, words, buckets),
+             .mapInArrow(_sample(window, gram, words, buckets, SPREAD_ROWS),
                          "bucket int, " + ", ".join(f"`{f}` binary" for f, _ in fields))
              .repartitionById(buckets, F.col("bucket")))
-    anchors = dealt.mapInArrow(_repeated(window, words),
-                               "hash bigint, _id bigint, _tie bigint, lo bigint, at bigint, size int, n int")
-    hot = dealt.mapInArrow(_frequent(words, hot_rows), "hash bigint").select("hash", F.lit(True).alias("hot"))
-    placed = (anchors.join(hot, "hash", "left").groupBy("_id", "_tie").agg(F.collect_list(F.struct(
-        "hash", "lo", "at", "size", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("anchors")))
+    runs = dealt.mapInArrow(_repeated(window, words, hot_rows), _RUNS)
+    # only spread runs have to ask whether their anchor is hot
+    frequent = dealt.mapInArrow(_frequent(words, hot_rows), "hash bigint").select("hash", F.lit(True).alias("found"))
+    asked = (runs.where(F.col("hot").isNull()).join(frequent, "hash", "left")
+             .withColumn("hot", F.coalesce("found", F.lit(False))).drop("found"))
+    anchors = runs.where(F.col("hot").isNotNull()).unionByName(asked)
+    placed = anchors.groupBy("_id", "_tie").agg(F.collect_list(F.struct(
+        "hash", "lo", "at", "size", "n", "hot")).alias("anchors"))
     # the same columns as in the last join, so that both read one exchange
     both = base.join(placed.hint("shuffle_hash"), ["_id", "_tie"], "left")
     contexts = both.mapInArrow(_contexts(window, words, other_documents), _CONTEXT)
     found = (contexts.repartition(buckets, "key").sortWithinPartitions("key")
              .mapInArrow(_grouped(index, chunk_bytes, other_documents), "_id bigint, _tie bigint, lo bigint, n bigint"))
-    runs = found.groupBy("_id", "_tie").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
-    return base.join(runs.hint("shuffle_hash"), ["_id", "_tie"], "left")
+    spans = found.groupBy("_id", "_tie").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
+    return base.join(spans.hint("shuffle_hash"), ["_id", "_tie"], "left")
 
 
 def covered(runs: pa.Scalar, window: int, length: int) -> np.ndarray:
