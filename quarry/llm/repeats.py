@@ -1,8 +1,7 @@
 """Windows of consecutive symbols that also occur earlier: the distributed part of both repeat operators.
 
 A symbol is a byte or a word; a window is ``window`` consecutive symbols of one
-document.  The work runs in four shuffles, none of which holds a window for
-each symbol:
+document.  No step shuffles a window for each symbol:
 
 1. *Sampling.* Every window names its least-hashed run of ``gram`` symbols (its
    anchor).  Equal windows name equal anchors at equal places, so a window whose
@@ -12,13 +11,14 @@ each symbol:
    and spreads the others, which are known to repeat.
 2. *Contexts.* The text around each repeated anchor (all windows that name it)
    is cut out where the document is.
-3. *Groups.* Contexts are dealt by their prefix and handed, in memory-sized
-   chunks of whole groups, to the operator's own structure (suffix array or
-   suffix tree), which says which windows have an earlier equal.  The prefix is
-   the anchor; an anchor with more than ``hot_rows`` occurrences (a passage in
-   a third of all documents) has its windows dealt one by one, by their whole
-   content.  Equal contexts are reduced to the earliest one inside each task
-   before they are shuffled, and again in the group.
+3. *Groups.* Contexts are dealt by their prefix, the anchor, and handed, in
+   memory-sized chunks of whole groups, to the operator's own structure (suffix
+   array or suffix tree), which says which windows have an earlier equal.
+   Equal contexts are reduced to the earliest one inside each task before they
+   are shuffled, and again in the group.  A group that still has more than
+   ``hot_rows`` contexts (around a passage in a third of all documents) is
+   passed on window by window: one more exchange deals those by their whole
+   content, so that no task has to hold what merely touches a frequent anchor.
 4. *Spans.* The windows found go back to their documents.
 
 Hashes only decide what meets; what is equal is decided on the symbols
@@ -29,7 +29,7 @@ equal id and other texts are ordered by that checksum.  Null ids come first.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,14 +40,12 @@ from .textarrays import (bytes_prefix, gram_hash, mix, prefix_hash, slices, span
 
 #: text of contexts that is indexed at once
 CHUNK_BYTES = 2 << 20
-#: contexts of one anchor that a group may hold
+#: different contexts of one anchor that a group may hold
 HOT_ROWS = 50_000
 #: equal anchors that one batch sends to one partition
 SPREAD_ROWS = 64
 NULL_ID = -(1 << 63)
 
-_ANCHOR = np.dtype([("lo", "<i8"), ("at", "<i8"), ("size", "<i8"), ("n", "<i4")])
-
 
 def window_anchors(grams: np.ndarray, offs: np.ndarray, window: int,
                    gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,33 +88,33 @@ def window_anchors(grams: np.ndarray, offs: np.ndarray, window: int,
 
 
 def _row_anchors(data, offs, window, gram, words):
-    """Of all runs of a slice of rows: hash, row, whether it repeats in itself, first window, windows, byte, bytes."""
+    """Of all runs of a slice of rows: hash, row, whether it repeats in itself, first window, windows."""
+    prefix = bytes_prefix(data)
     if words:
-        starts, ends, first = word_spans(data, offs)
-        grams = gram_hash(prefix_hash(span_hash(bytes_prefix(data), starts, ends)), gram)
-        a, lo, n, moved = window_anchors(grams, first, window, gram)
-        row = np.searchsorted(first, lo, side="right") - 1
-        begin, end = (starts[lo], ends[lo + n + window - 2]) if len(lo) else (lo, lo)
-        return grams[a], row, moved, lo - first[row], n, begin - offs[row], end - begin
-    grams = gram_hash(bytes_prefix(data), gram)
+        starts, ends, offs = word_spans(data, offs)
+        prefix = prefix_hash(span_hash(prefix, starts, ends))
+    grams = gram_hash(prefix, gram)
     a, lo, n, moved = window_anchors(grams, offs, window, gram)
     row = np.searchsorted(offs, lo, side="right") - 1
-    at = lo - offs[row]
-    return grams[a], row, moved, at, n, at, n + window - 1
+    return grams[a], row, moved, lo - offs[row], n
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Bytes of an integer column, place by place, so that shuffle compression finds the equal high bytes."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+#: packed columns of a sampled run: name, type, bytes kept.  48 bits of a hash
+#: decide what may be equal; the symbols decide what is.
+_FIELDS = (("hash", "<u8", 6), ("id", "<i8", 8), ("tie", "<u4", 4), ("lo", "<i8", 8), ("n", "<i4", 4), ("seen", "<i4", 4))
 
 
-def _unpack(b: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+def _pack(x: np.ndarray, kind: str, width: int) -> bytes:
+    """Bytes of an integer column, place by place, so that shuffle compression finds the equal high bytes."""
+    planes = np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T
+    return np.ascontiguousarray(planes[:width]).tobytes()
 
 
-_BYTES = (("hash", "<u8"), ("id", "<i8"), ("tie", "<u4"), ("lo", "<i8"), ("n", "<i4"), ("seen", "<i4"))
-_WORDS = (*_BYTES, ("at", "<i8"), ("size", "<i8"))
+def _unpack(b: bytes, kind: str, width: int) -> np.ndarray:
+    planes = np.frombuffer(b, dtype=np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], np.dtype(kind).itemsize), dtype=np.uint8)
+    out[:, :width] = planes.T
+    return out.view(kind).ravel()
 
 
 def _sample(window: int, gram: int, words: bool, buckets: int, spread_rows: int):
@@ -126,8 +124,6 @@ def _sample(window: int, gram: int, words: bool, buckets: int, spread_rows: int)
     batch has more than ``spread_rows`` times the first run stands for all; the
     others get 0 and go to any bucket: they are known to repeat.
     """
-    fields = _WORDS if words else _BYTES
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("_id").to_numpy(zero_copy_only=False)
@@ -138,7 +134,7 @@ def _sample(window: int, gram: int, words: bool, buckets: int, spread_rows: int)
                 got.append((h, row + a, *rest))
             if not got:
                 continue
-            h, row, moved, lo, n, at, size = (np.concatenate(x) for x in zip(*got))
+            h, row, moved, lo, n = (np.concatenate(x) for x in zip(*got))
             if not len(h):
                 continue
             order = np.argsort(h, kind="stable")
@@ -151,97 +147,94 @@ def _sample(window: int, gram: int, words: bool, buckets: int, spread_rows: int)
             spread = np.where(seen == 0, mix(h + np.arange(len(h), dtype=np.uint64)), mix(h))
             bucket = (spread % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            values = {"hash": h, "id": ids[row], "tie": ties[row], "lo": lo, "n": n, "seen": seen, "at": at, "size": size}
+            values = {"hash": h, "id": ids[row], "tie": ties[row], "lo": lo, "n": n, "seen": seen}
             parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(bucket[p[0]]) for p in parts], type=pa.int32())]
-                + [pa.array([_pack(values[f][p].astype(k)) for p in parts], type=pa.binary()) for f, k in fields],
-                names=["bucket"] + [f for f, _ in fields])
+                + [pa.array([_pack(values[f][p], k, w) for p in parts], type=pa.binary()) for f, k, w in _FIELDS],
+                names=["bucket"] + [f for f, _, _ in _FIELDS])
     return run
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], fields: tuple) -> dict[str, np.ndarray] | None:
-    cols: dict[str, list] = {f: [] for f, _ in fields}
-    for batch in batches:
-        for f, k in fields:
-            cols[f].extend(_unpack(b.as_py(), k) for b in batch.column(f))
-    return {f: np.concatenate(x) for f, x in cols.items()} if cols["hash"] else None
+_RUNS = "hash bigint, _id bigint, _tie bigint, lo bigint, n int"
 
 
-def _totals(v: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows counted, in hash order; first of each hash among them; occurrences of each hash)."""
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of a partition whose anchors occur more than once."""
+    cols: dict[str, list] = {f: [] for f, _, _ in _FIELDS}
+    for batch in batches:
+        for f, k, w in _FIELDS:
+            cols[f].extend(_unpack(b.as_py(), k, w) for b in batch.column(f))
+    if not cols["hash"]:
+        return
+    v = {f: np.concatenate(x) for f, x in cols.items()}
     held = np.flatnonzero(v["seen"] > 0)
     order = held[np.argsort(v["hash"][held], kind="stable")]
     h = v["hash"][order]
     head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, dtype=np.int64)
     total = np.add.reduceat(v["seen"][order].astype(np.int64), head) if len(h) else head
-    return order, head, total
-
+    keep = v["seen"] == 0
+    keep[order[np.repeat(total > 1, np.diff(np.append(head, len(order))))]] = True
+    for a in range(0, len(keep), 1 << 18):
+        k = np.flatnonzero(keep[a:a + (1 << 18)]) + a
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v["hash"][k].view(np.int64)), pa.array(v["id"][k]), pa.array(v["tie"][k].astype(np.int64)),
+             pa.array(v["lo"][k]), pa.array(v["n"][k])], names=["hash", "_id", "_tie", "lo", "n"])
 
-_RUNS = "hash bigint, _id bigint, _tie bigint, lo bigint, at bigint, size int, n int, hot boolean"
 
+_CONTEXT = "key bigint, _id bigint, _tie bigint, lo bigint, n bigint, context binary, copies array<bigint>"
 
-def _repeated(window: int, words: bool, hot_rows: int):
-    """The runs of a partition whose anchors occur more than once; ``hot`` is null for those that were spread."""
-    fields = _WORDS if words else _BYTES
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _unpacked(batches, fields)
-        if v is None:
-            return
-        order, head, total = _totals(v)
-        total = np.repeat(total, np.diff(np.append(head, len(order))))
-        keep = v["seen"] == 0
-        keep[order[total > 1]] = True
-        hot = np.zeros(len(keep), dtype=bool)
-        hot[order[total > hot_rows]] = True
-        if not words:
-            v["at"], v["size"] = v["lo"], v["n"] + window - 1
-        for a in range(0, len(keep), 1 << 18):
-            k = np.flatnonzero(keep[a:a + (1 << 18)]) + a
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v["hash"][k].view(np.int64)), pa.array(v["id"][k]), pa.array(v["tie"][k].astype(np.int64))]
-                + [pa.array(v[f][k].astype(np.int64)) for f in ("lo", "at")]
-                + [pa.array(v[f][k].astype(np.int32)) for f in ("size", "n")]
-                + [pa.array(hot[k], mask=v["seen"][k] == 0)],
-                names=["hash", "_id", "_tie", "lo", "at", "size", "n", "hot"])
-    return run
+def _context_rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, (id, tie, lo), n, context, copies)."""
+    for a in range(0, len(rows), 50_000):
+        part = rows[a:a + 50_000]
+        key = np.array([r[0] for r in part], dtype=np.uint64).view(np.int64)
+        place = np.array([r[1] for r in part], dtype=np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key), *(pa.array(place[:, i]) for i in range(3)), pa.array([r[2] for r in part], type=pa.int64()),
+             pa.array([r[3] for r in part], type=pa.binary()), pa.array([r[4] for r in part], type=pa.list_(pa.int64()))],
+            names=["key", "_id", "_tie", "lo", "n", "context", "copies"])
 
 
-def _frequent(words: bool, hot_rows: int):
-    """The hashes of a partition with more than ``hot_rows`` occurrences."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _unpacked(batches, _WORDS if words else _BYTES)
-        if v is not None:
-            order, head, total = _totals(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v["hash"][order[head[total > hot_rows]]].view(np.int64))],
-                                             names=["hash"])
-    return run
-
-
-_CONTEXT = "key bigint, _id bigint, _tie bigint, lo bigint, n bigint, context binary, copies array<bigint>"
+def _anywhere(place: np.ndarray) -> np.ndarray:
+    """Keys that spread rows which no group needs."""
+    return mix(place[:, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place[:, 2].astype(np.uint64))
 
 
 def _contexts(window: int, words: bool, other_documents: bool):
     """The text of each anchor's windows; equal ones of a batch only once, the later ones as found.
 
-    Where only other documents count, equal contexts of the document that is
-    first are ``copies`` of its row: they stand or fall with it.
+    Found rows have no context.  Where only other documents count, equal
+    contexts of the document that is first are ``copies`` of its row: they
+    stand or fall with it.
     """
-    def ranges(text: bytes, lo: int, n: int) -> Iterator[tuple[int, int]]:
-        if not words:
-            yield from ((i, i + window) for i in range(n))
-            return
-        starts, ends, _ = word_spans(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
-        yield from ((int(starts[i]), int(ends[i + window - 1])) for i in range(n))
+    def cut(batch) -> Iterator[tuple]:
+        ids, ties = batch.column("_id").to_pylist(), batch.column("_tie").to_pylist()
+        anchors = batch.column("anchors")
+        for a, b, data, offs in slices(text_column(batch)):
+            if words:
+                starts, ends, first = word_spans(data, offs)
+            for d in range(a, b):
+                if not anchors[d].is_valid:
+                    continue
+                key, lo, n = (c.to_numpy(zero_copy_only=False) for c in anchors[d].values.flatten())
+                if words:
+                    begin, end = starts[first[d - a] + lo], ends[first[d - a] + lo + n + window - 2]
+                else:
+                    begin = offs[d - a] + lo
+                    end = begin + n + window - 1
+                for k, i, many, x, y in zip(key.view(np.uint64).tolist(), lo.tolist(), n.tolist(), begin.tolist(), end.tolist()):
+                    text = data[x:y].tobytes()
+                    # blanks don't tell words apart
+                    yield k, (ids[d], ties[d], i), many, b" ".join(text.split()) if words else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best: dict[bytes, tuple] = {}
             copies: dict[bytes, list[int]] = {}
             later: list[tuple] = []
-
-            def put(key, place, n, text):
+            for key, place, n, text in cut(batch):
                 old = best.get(text)
                 if old is None:
                     best[text] = (place, n, key)
@@ -255,33 +248,10 @@ def _contexts(window: int, words: bool, other_documents: bool):
                     best[text] = (place, n, key)
                 else:
                     later.append((place, n))
-
-            texts = text_column(batch).cast(pa.large_binary())
-            ids, ties = batch.column("_id").to_pylist(), batch.column("_tie").to_pylist()
-            for d, anchors in enumerate(batch.column("anchors")):
-                if not anchors.is_valid or not len(anchors):
-                    continue
-                text = texts[d].as_py()
-                f = anchors.values.flatten()
-                for key, lo, at, size, n, hot in zip(*(c.to_pylist() for c in f)):
-                    context = text[at:at + size]
-                    if words:       # blanks don't tell words apart
-                        context = b" ".join(context.split())
-                    if not hot:
-                        put(key, (ids[d], ties[d], lo), n, context)
-                        continue
-                    for i, (a, b) in enumerate(ranges(context, lo, n)):
-                        one = context[a:b]
-                        put(zlib.crc32(one) << 32 | zlib.adler32(one[::-1]), (ids[d], ties[d], lo + i), 1, one)
-            rows = [(key if key < 1 << 63 else key - (1 << 64), *place, n, text, copies.get(text))
-                    for text, (place, n, key) in best.items()]
-            rows += [((hash(place) & 0x7FFFFFFFFFFFFFFF), *place, n, None, None) for place, n in later]
-            for a in range(0, len(rows), 50_000):
-                cols = list(zip(*rows[a:a + 50_000]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=pa.int64()) for c in cols[:5]]
-                    + [pa.array(cols[5], type=pa.binary()), pa.array(cols[6], type=pa.list_(pa.int64()))],
-                    names=["key", "_id", "_tie", "lo", "n", "context", "copies"])
+            yield from _context_rows([(key, place, n, text, copies.get(text)) for text, (place, n, key) in best.items()])
+            if later:
+                key = _anywhere(np.array([p for p, _ in later], dtype=np.int64)).tolist()
+                yield from _context_rows([(k, place, n, None, None) for k, (place, n) in zip(key, later)])
     return run
 
 
@@ -334,53 +304,124 @@ def earlier_windows(contexts: list[bytes], places: np.ndarray, counts: np.ndarra
     return np.concatenate(out)
 
 
-def _grouped(index: Index, chunk_bytes: int, other_documents: bool):
-    """Reads contexts sorted by key; gives the windows with an earlier equal, (id, tie, first window, windows)."""
-    def frame(places, lo, n):
+def _windows(context: bytes, n: int, window: int, words: bool) -> Iterator[bytes]:
+    """The ``n`` windows of a context."""
+    if words:
+        parts = context.split(b" ")
+        yield from (b" ".join(parts[i:i + window]) for i in range(n))
+    else:
+        yield from (context[i:i + window] for i in range(n))
+
+
+def _grouped(index: Index, chunk_bytes: int, other_documents: bool, window: int, words: bool, hot_rows: int | None):
+    """Reads contexts sorted by key; gives the windows with an earlier equal, as rows without context.
+
+    A key with more than ``hot_rows`` different contexts is passed on as
+    single windows, keyed by their content.
+    """
+    def frame(places: np.ndarray, lo: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        where = np.stack([places[:, 0], places[:, 1], lo], axis=1)
+        none = pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays(
-            [pa.array(places[:, 0]), pa.array(places[:, 1]), pa.array(lo), pa.array(n)], names=["_id", "_tie", "lo", "n"])
-
-    def work(places, counts, contexts, copies):
-        found = earlier_windows(contexts, places, counts, index, other_documents)
-        at, w, n = found[:, 0], found[:, 1], found[:, 2]
-        if len(found):
-            yield frame(places[at], places[at, 2] + w, n)
-        more = [(*places[i, :2].tolist(), lo + a, b) for i, a, b in found.tolist() for lo in copies.get(i, ())]
-        if more:
-            m = np.array(more, dtype=np.int64)
-            yield frame(m, m[:, 2], m[:, 3])
+            [pa.array(_anywhere(where).view(np.int64)), *(pa.array(np.ascontiguousarray(where[:, i])) for i in range(3)),
+             pa.array(n), *none], names=["key", "_id", "_tie", "lo", "n", "context", "copies"])
+
+    class Held:
+        """Contexts of whole keys, and of the key that is being read."""
+
+        def __init__(self):
+            self.keys, self.places = np.zeros(0, dtype=np.int64), np.zeros((0, 3), dtype=np.int64)
+            self.counts, self.contexts, self.copies = np.zeros(0, dtype=np.int64), [], {}
+
+        def add(self, keys, places, counts, contexts, copies):
+            base = len(self.contexts)
+            self.copies.update((base + i, c) for i, c in copies)
+            self.keys, self.places, self.counts = (np.concatenate(x) for x in (
+                (self.keys, keys), (self.places, places), (self.counts, counts)))
+            self.contexts += contexts
+
+        def take(self, pick: np.ndarray):
+            """Leave only the rows ``pick``."""
+            self.keys, self.places, self.counts = self.keys[pick], self.places[pick], self.counts[pick]
+            self.contexts = [self.contexts[i] for i in pick.tolist()]
+            self.copies = {j: self.copies[i] for j, i in enumerate(pick.tolist()) if i in self.copies}
+
+        def bytes(self) -> int:
+            return sum(map(len, self.contexts))
+
+        def found(self, index) -> Iterator[pa.RecordBatch]:
+            got = earlier_windows(self.contexts, self.places, self.counts, index, other_documents)
+            if len(got):
+                yield frame(self.places[got[:, 0]], self.places[got[:, 0], 2] + got[:, 1], got[:, 2])
+            more = [(*self.places[i, :2].tolist(), lo + a, b) for i, a, b in got.tolist() for lo in self.copies.get(i, ())]
+            if more:
+                m = np.array(more, dtype=np.int64)
+                yield frame(m, m[:, 2], m[:, 3])
+            self.gone = got[:, 0]
+
+        def reduce(self) -> Iterator[pa.RecordBatch]:
+            """Give what equals an earlier context and forget it."""
+            none = np.zeros(0, dtype=np.int64)
+            yield from self.found(lambda contexts, counts: (none, none, none))
+            stay = np.ones(len(self.contexts), dtype=bool)
+            stay[self.gone] = False
+            self.take(np.flatnonzero(stay))
+
+        def windows(self) -> Iterator[pa.RecordBatch]:
+            """Every window as a context of its own."""
+            for a in range(0, len(self.contexts), 2000):
+                rows = []
+                for i in range(a, min(a + 2000, len(self.contexts))):
+                    d, t, lo = self.places[i].tolist()
+                    for w, text in enumerate(_windows(self.contexts[i], int(self.counts[i]), window, words)):
+                        key = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
+                        rows.append((key, (d, t, lo + w), 1, text, [x + w for x in self.copies.get(i, ())] or None))
+                yield from _context_rows(rows)
+            self.__init__()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, places, counts = np.zeros(0, dtype=np.int64), np.zeros((0, 3), dtype=np.int64), np.zeros(0, dtype=np.int64)
-        contexts: list[bytes] = []
-        copies: dict[int, list[int]] = {}
-        held = 0
+        held, hot, size = Held(), None, 0
         for batch in batches:
             place = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_tie", "lo")], axis=1)
             n = batch.column("n").to_numpy(zero_copy_only=False)
             key = batch.column("key").to_numpy(zero_copy_only=False)
-            texts = batch.column("context")
-            there = np.asarray(texts.is_valid())
+            there = np.asarray(batch.column("context").is_valid())
             if not there.all():
                 yield frame(place[~there], place[~there, 2], n[~there])
-            base = len(contexts)
             more = batch.column("copies").filter(pa.array(there))
-            copies.update((base + i, more[i].as_py()) for i in np.flatnonzero(np.asarray(more.is_valid())).tolist())
-            keys, places, counts = (np.concatenate(x) for x in ((keys, key[there]), (places, place[there]),
-                                                                (counts, n[there])))
-            some = texts.drop_null().to_pylist()
-            contexts += some
-            held += sum(map(len, some))
-            if held >= chunk_bytes:
-                other = np.flatnonzero(keys != keys[-1])
-                cut = int(other[-1]) + 1 if len(other) else 0
-                if cut:
-                    yield from work(places[:cut], counts[:cut], contexts[:cut], copies)
-                    keys, places, counts, contexts = keys[cut:], places[cut:], counts[cut:], contexts[cut:]
-                    copies = {i - cut: c for i, c in copies.items() if i >= cut}
-                    held = sum(map(len, contexts))
-        if contexts:
-            yield from work(places, counts, contexts, copies)
+            copies = [(i, more[i].as_py()) for i in np.flatnonzero(np.asarray(more.is_valid())).tolist()]
+            contexts = batch.column("context").drop_null().to_pylist()
+            size += sum(map(len, contexts))
+            held.add(key[there], place[there], n[there], contexts, copies)
+            if hot is not None:
+                other = np.flatnonzero(held.keys != hot)
+                cut = int(other[0]) if len(other) else len(held.keys)
+                rest = Held()
+                rest.__dict__.update(held.__dict__)
+                rest.take(np.arange(cut, len(held.keys)))
+                held.take(np.arange(cut))
+                yield from held.reduce()
+                yield from held.windows()
+                held, hot, size = rest, hot if not len(other) else None, rest.bytes()
+            if size < chunk_bytes or not len(held.keys):
+                continue
+            other = np.flatnonzero(held.keys != held.keys[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            last = Held()
+            last.__dict__.update(held.__dict__)
+            last.take(np.arange(cut, len(held.keys)))
+            if cut:
+                held.take(np.arange(cut))
+                yield from held.found(index)
+            held, size = last, last.bytes()
+            if size >= chunk_bytes:
+                yield from held.reduce()
+                if hot_rows is not None and len(held.contexts) > hot_rows:
+                    hot = held.keys[-1]
+                    yield from held.windows()
+                size = held.bytes()
+        if held.contexts:
+            yield from held.found(index)
     return run
 
 
@@ -408,25 +449,18 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, words: bool, index
     """
     base = identified(docs, id_col, text_col)
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fields = _WORDS if words else _BYTES
-    dealt = (_identity(docs, id_col, text_col).select("_id", "_tie", "text")
-             .mapInArrow(_sample(window, gram, words, buckets, SPREAD_ROWS),
-                         "bucket int, " + ", ".join(f"`{f}` binary" for f, _ in fields))
-             .repartitionById(buckets, F.col("bucket")))
-    runs = dealt.mapInArrow(_repeated(window, words, hot_rows), _RUNS)
-    # only spread runs have to ask whether their anchor is hot
-    frequent = dealt.mapInArrow(_frequent(words, hot_rows), "hash bigint").select("hash", F.lit(True).alias("found"))
-    asked = (runs.where(F.col("hot").isNull()).join(frequent, "hash", "left")
-             .withColumn("hot", F.coalesce("found", F.lit(False))).drop("found"))
-    anchors = runs.where(F.col("hot").isNotNull()).unionByName(asked)
-    placed = anchors.groupBy("_id", "_tie").agg(F.collect_list(F.struct(
-        "hash", "lo", "at", "size", "n", "hot")).alias("anchors"))
+    sampled = _identity(docs, id_col, text_col).select("_id", "_tie", "text").mapInArrow(
+        _sample(window, gram, words, buckets, SPREAD_ROWS), "bucket int, " + ", ".join(f"`{f}` binary" for f, _, _ in _FIELDS))
+    anchors = sampled.repartitionById(buckets, F.col("bucket")).mapInArrow(_repeated, _RUNS)
+    placed = anchors.groupBy("_id", "_tie").agg(F.collect_list(F.struct("hash", "lo", "n")).alias("anchors"))
     # the same columns as in the last join, so that both read one exchange
     both = base.join(placed.hint("shuffle_hash"), ["_id", "_tie"], "left")
     contexts = both.mapInArrow(_contexts(window, words, other_documents), _CONTEXT)
-    found = (contexts.repartition(buckets, "key").sortWithinPartitions("key")
-             .mapInArrow(_grouped(index, chunk_bytes, other_documents), "_id bigint, _tie bigint, lo bigint, n bigint"))
-    spans = found.groupBy("_id", "_tie").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
+    # the second pass is for the windows of frequent anchors; what the first has found goes through
+    for limit in (hot_rows, None):
+        contexts = contexts.repartition(buckets, "key").sortWithinPartitions("key").mapInArrow(
+            _grouped(index, chunk_bytes, other_documents, window, words, limit), _CONTEXT)
+    spans = contexts.groupBy("_id", "_tie").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
     return base.join(spans.hint("shuffle_hash"), ["_id", "_tie"], "left")
 
 
