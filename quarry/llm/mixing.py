@@ -244,12 +244,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Extra columns are kept.
     """
     mixed = mixture(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    epochs = mixed.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.explode(F.expr(
+    epochs = mixed.select(F.col(id_col).alias("id"), F.col("size"), F.explode(F.expr(
         "transform(array_sort(array_distinct(transform(pieces, p -> p.epoch))), "
         "e -> array_sort(transform(filter(pieces, p -> p.epoch = e), p -> named_struct('start', p.start, 'words', p.words))))"))
-        .alias("_parts"))
-    whole = F.expr("aggregate(_parts, 0L, (s, p) -> s + p.words) = _size")
-    cut = F.expr(f"array_join(flatten(transform(_parts, p -> slice(regexp_extract_all(`{text_col}`, r'{WORD}', 0), "
+        .alias("parts"))
+    # the document as one struct, so that no name of its columns can clash
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    joined = rows.join(epochs, rows["row"][id_col].eqNullSafe(epochs["id"]))
+    whole = F.expr("aggregate(parts, 0L, (s, p) -> s + p.words) = size")
+    cut = F.expr(f"array_join(flatten(transform(parts, p -> slice(regexp_extract_all(text, r'{WORD}', 0), "
                  "int(p.start) + 1, int(p.words)))), ' ')")
-    return (docs.join(epochs, docs[id_col].eqNullSafe(epochs["_id"]))
-            .withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut)).select(*docs.columns))
+    text = F.when(whole, F.col("text")).otherwise(cut)
+    return joined.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
