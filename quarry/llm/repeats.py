@@ -433,21 +433,22 @@ def _identity(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        .alias("carried"))
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _tie, null_id, text, carried): documents dealt once by identity, for both joins with them."""
+def identified(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """(_id, _tie, null_id, text, [carried]): documents dealt once by identity, for both joins with them."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _identity(docs, id_col, text_col).repartition(partitions, "_id", "_tie")
+    rows = _identity(docs, id_col, text_col)
+    return (rows if carry else rows.drop("carried")).repartition(partitions, "_id", "_tie")
 
 
 def repeated_windows(docs: DataFrame, window: int, gram: int, words: bool, index: Index, id_col: str, text_col: str,
                      chunk_bytes: int = CHUNK_BYTES, hot_rows: int = HOT_ROWS,
-                     other_documents: bool = False) -> DataFrame:
-    """_id, null_id, text, carried (the other columns) and ``runs``: (first window, windows) of a document's windows that have an earlier equal.
+                     other_documents: bool = False, carry: bool = False) -> DataFrame:
+    """_id, null_id, text, carried (the other columns, on request) and ``runs``: (first window, windows) of a document's windows that have an earlier equal.
 
     Runs may overlap; null where there are none.  With ``other_documents`` only
     documents before count, else also earlier places of the same one.
     """
-    base = identified(docs, id_col, text_col)
+    base = identified(docs, id_col, text_col, carry)
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sampled = _identity(docs, id_col, text_col).select("_id", "_tie", "text").mapInArrow(
         _sample(window, gram, words, buckets, SPREAD_ROWS), "bucket int, " + ", ".join(f"`{f}` binary" for f, _, _ in _FIELDS))
