@@ -191,11 +191,16 @@ def held_out(id_: Column) -> Column:
 
 def training_segments(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int,
                       segments: int, segment_words: int) -> DataFrame:
-    """(lang, words): word runs cut at hashed places from ``per_language`` labelled documents of each language."""
+    """(lang, words): word runs cut at hashed places from about ``per_language`` labelled documents of each language."""
     ready = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(3)).alias("h"), F.col(text_col).alias("text"))
+    # about twice as many as wanted by a hash threshold, so that no language's rows meet in one task;
+    # one row for each label, and the model holds weights for every label: small enough to broadcast
+    counts = ready.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count("*")).alias("share"))
+    near = ready.join(F.broadcast(counts), "lang").where(
+        F.shiftrightunsigned("h", 11) / float(1 << 53) <= F.col("share"))
     first = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
-    some = ready.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
+    some = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
