@@ -14,11 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles, same_group
+
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
 def _agg_expr(name: str, y: Column, accuracy: int | None) -> Column:
-    """D3: map a pandas-style aggregate name to a Spark aggregate."""
+    """D3: map a pandas-style aggregate name to a Spark aggregate (``median`` only as a sketch: see callers)."""
     name = {"sd": "std", "average": "mean", "avg": "mean"}.get(name, name)
     table = {
         "count": lambda: F.count(y),
@@ -29,9 +31,7 @@ def _agg_expr(name: str, y: Column, accuracy: int | None) -> Column:
         "var": lambda: F.var_samp(y),
         "min": lambda: F.min(y),
         "max": lambda: F.max(y),
-        "nunique": lambda: F.count_distinct(y),
-        "median": lambda: (F.percentile(y, F.lit(0.5)) if accuracy is None
-                           else F.percentile_approx(y, F.lit(0.5), accuracy)),
+        "median": lambda: F.percentile_approx(y, F.lit(0.5), accuracy),
         "first": lambda: F.first(y, ignorenulls=True),
         "last": lambda: F.last(y, ignorenulls=True),
     }
@@ -67,8 +67,7 @@ def categorical_stats(df: DataFrame, x: str, y: str | None = None, color: str |
 
     * ``stats=None`` or no ``y`` -> ``count`` of rows per group;
     * ``stats='quantiles'`` -> long form ``x, [color], quantile, y`` for
-      10/25/50/75/90 % (exact ``percentile``; ``accuracy`` switches to the
-      bounded-memory ``percentile_approx`` sketch for very large groups);
+      10/25/50/75/90 % (exact; ``accuracy`` asks for the sketch instead);
     * a name or list of names (``mean``, ``std``, ``median``...) -> one column each.
 
     With a colour, every (x, colour) pair appears, count 0 / statistic null.
@@ -80,9 +79,7 @@ def categorical_stats(df: DataFrame, x: str, y: str | None = None, color: str |
         fill = {"count": 0}
     elif stats in ("quantiles", "quartiles"):
         levels = F.array(*[F.lit(q) for q in QUANTILES])
-        qexpr = (F.percentile(F.col(y), levels) if accuracy is None
-                 else F.percentile_approx(F.col(y), levels, accuracy))
-        wide = df.groupBy(*keys).agg(qexpr.alias("q"))
+        wide = _group_quantiles(df.select(*keys, F.col(y).alias("y")), by, accuracy)
         if color:
             wide = full_grid(wide).join(wide, on=by, how="left")
         return wide.select(*by, F.posexplode(F.coalesce(
@@ -90,7 +87,7 @@ def categorical_stats(df: DataFrame, x: str, y: str | None = None, color: str |
             .select(*by, F.element_at(levels, F.col("i") + 1).alias("quantile"), "y")
     else:
         names = [stats] if isinstance(stats, str) else list(stats)
-        out = df.groupBy(*keys).agg(*[_agg_expr(n, F.col(y), accuracy).alias(n) for n in names])
+        out = _named_stats(df.select(*keys, F.col(y).alias("y")), by, names, accuracy)
         fill = {}
     if color:
         out = full_grid(out).join(out, on=by, how="left")
@@ -99,15 +96,41 @@ def categorical_stats(df: DataFrame, x: str, y: str | None = None, color: str |
     return out
 
 
+def _keyed(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``left`` with the columns of ``right`` for its groups, null being a group."""
+    extra = [c for c in right.columns if c not in by]
+    named = right.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], *extra)
+    on = same_group(by, [f"__k{i}" for i in range(len(by))])
+    return left.join(named, on, "left").drop(*[f"__k{i}" for i in range(len(by))])
+
+
+def _group_quantiles(df: DataFrame, by: Sequence[str], accuracy: int | None) -> DataFrame:
+    """(by..., q): the five plot quantiles of ``y`` for every group, null for one without values."""
+    if accuracy is not None:
+        return df.groupBy(*by).agg(F.percentile_approx("y", F.array(*map(F.lit, QUANTILES)), accuracy).alias("q"))
+    return _keyed(df.select(*by).distinct(), exact_quantiles(df, by, "y", QUANTILES), by)
+
+
+def _named_stats(df: DataFrame, by: Sequence[str], names: Sequence[str], accuracy: int | None) -> DataFrame:
+    """One column for each name.  Distinct counts and exact medians come from
+    counts per (group, value), beside the one aggregate of all other names."""
+    apart = [n for n in names if n == "nunique" or (n == "median" and accuracy is None)]
+    plain = [n for n in names if n not in apart]
+    out = df.groupBy(*by).agg(*[_agg_expr(n, F.col("y"), accuracy).alias(n) for n in plain or ["size"]])
+    if "nunique" in apart:
+        values = df.select(*by, "y").distinct()
+        out = _keyed(out, values.groupBy(*by).agg(F.count("y").alias("nunique")), by)
+    if "median" in apart:
+        out = _keyed(out, exact_quantiles(df, by, "y", [0.5]).select(*by, F.col("q")[0].alias("median")), by)
+    return out.select(*by, *names)
+
+
 def quantiles_wide(df: DataFrame, x: str, y: str, color: str | None = None,
                    accuracy: int | None = None) -> DataFrame:
     """D2 in wide form: ``p10, q1, q2, q3, p90`` per (x[, colour])."""
     keys = [F.col(x).alias("x")] + ([F.col(color).alias("color")] if color else [])
     by = ["x"] + (["color"] if color else [])
-    levels = F.array(*[F.lit(q) for q in QUANTILES])
-    qexpr = (F.percentile(F.col(y), levels) if accuracy is None
-             else F.percentile_approx(F.col(y), levels, accuracy))
-    wide = df.groupBy(*keys).agg(qexpr.alias("q"))
+    wide = _group_quantiles(df.select(*keys, F.col(y).alias("y")), by, accuracy)
     if color:
         wide = full_grid(wide).join(wide, on=by, how="left")
     names = ["p10", "q1", "q2", "q3", "p90"]

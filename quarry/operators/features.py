@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ENGLISH_STOP_WORDS, WORD_PATTERN
+from .quantiles import exact_quantiles
 
 IMPUTERS = ("mean", "median", "most_frequent")
 SCALERS = ("MinMax", "MaxAbs", "Standard", "Robust")
@@ -44,6 +45,11 @@ class _Stage(Params, DefaultParamsReadable, DefaultParamsWritable):
 
 # --- numeric block ---------------------------------------------------------------------
 
+def _with_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``df`` with the numeric columns it lacks as nulls (C1), which are then imputed."""
+    return df.withColumns({c: F.lit(None).cast("double") for c in cols if c not in df.columns})
+
+
 class NumericBlock(Estimator, HasInputCols, HasOutputCol, _Stage):
     """Impute then scale the numeric columns into one vector."""
     imputer = Param(Params._dummy(), "imputer", "mean | median | most_frequent", TypeConverters.toString)
@@ -60,53 +66,47 @@ class NumericBlock(Estimator, HasInputCols, HasOutputCol, _Stage):
     def setParams(self, **kw):
         return self._set(**kw)
 
-    def _pct(self, c, q):
+    def _quantiles(self, df: DataFrame, values, probs) -> list[list[float]]:
+        """The quantiles of every column at once: one row per column, exact unless ``accuracy`` asks for a sketch."""
         acc = self.getOrDefault(self.accuracy)
-        return F.percentile(c, F.lit(q)) if acc == 0 else F.percentile_approx(c, F.lit(q), acc)
+        if acc:
+            row = df.agg(*[F.percentile_approx(v, F.array(*map(F.lit, probs)), acc) for v in values]).first()
+            return [list(q) if q else [None] * len(probs) for q in row]
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(values)])))
+        found = {r["i"]: list(r["q"]) for r in exact_quantiles(long, ["i"], "v", probs).collect()}
+        return [found.get(i, [None] * len(probs)) for i in range(len(values))]
 
     def _fit(self, df: DataFrame) -> "NumericBlockModel":
         cols = self.getInputCols()
         how = self.getOrDefault(self.imputer)
-        fills = []
-        for c in cols:
-            x = F.col(f"`{c}`").cast("double")
-            if how == "mean":
-                fills.append(F.avg(x))
-            elif how == "median":
-                fills.append(self._pct(x, 0.5))
-            elif how == "most_frequent":
-                fills.append(F.mode(x, True))
-            else:
-                raise ValueError(how)
-        row = df.agg(*[f.alias(f"f{i}") for i, f in enumerate(fills)]).first()
-        fill = [0.0 if row[f"f{i}"] is None else float(row[f"f{i}"]) for i in range(len(cols))]
+        df = _with_columns(df, cols)
+        raw = [F.col(f"`{c}`").cast("double") for c in cols]
+        if how == "median":
+            found = [q[0] for q in self._quantiles(df, raw, [0.5])]
+        elif how in ("mean", "most_frequent"):
+            found = list(df.agg(*[F.avg(x) if how == "mean" else F.mode(x, True) for x in raw]).first())
+        else:
+            raise ValueError(how)
+        fill = [0.0 if f is None else float(f) for f in found]
         scaler = self.getOrDefault(self.scaler)
         center = [0.0] * len(cols)
         scale = [1.0] * len(cols)
         if scaler != "None":
-            filled = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(fill[i])) for i, c in enumerate(cols)]
-            aggs = []
-            for i, v in enumerate(filled):
-                if scaler == "MinMax":
-                    aggs += [F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}")]
-                elif scaler == "MaxAbs":
-                    aggs += [F.lit(0.0).alias(f"a{i}"), F.max(F.abs(v)).alias(f"b{i}")]
-                elif scaler == "Standard":
-                    aggs += [F.avg(v).alias(f"a{i}"), F.stddev_pop(v).alias(f"b{i}")]
-                elif scaler == "Robust":
-                    aggs += [self._pct(v, 0.5).alias(f"a{i}"),
-                             (self._pct(v, 0.75) - self._pct(v, 0.25)).alias(f"b{i}")]
-                else:
+            filled = [F.coalesce(x, F.lit(f)) for x, f in zip(raw, fill)]
+            if scaler == "Robust":
+                pairs = [(q[1], None if q[0] is None else q[2] - q[0])
+                         for q in self._quantiles(df, filled, [0.25, 0.5, 0.75])]
+            else:
+                table = {"MinMax": lambda v: (F.min(v), F.max(v) - F.min(v)),
+                         "MaxAbs": lambda v: (F.first(F.lit(0.0)), F.max(F.abs(v))),
+                         "Standard": lambda v: (F.avg(v), F.stddev_pop(v))}
+                if scaler not in table:
                     raise ValueError(scaler)
-            st = df.agg(*aggs).first()
-            for i in range(len(cols)):
-                a, b = st[f"a{i}"] or 0.0, st[f"b{i}"] or 0.0
-                if scaler == "MinMax":
-                    center[i], scale[i] = a, (b - a)
-                else:
-                    center[i], scale[i] = a, b
-                if scale[i] == 0.0 or scale[i] is None or math.isnan(scale[i]):
-                    scale[i] = 1.0
+                flat = list(df.agg(*[a for v in filled for a in table[scaler](v)]).first())
+                pairs = list(zip(flat[::2], flat[1::2]))
+            for i, (a, b) in enumerate(pairs):
+                center[i] = a or 0.0
+                scale[i] = b if b and not math.isnan(b) else 1.0
         return NumericBlockModel(inputCols=cols, outputCol=self.getOutputCol(),
                                  fill=fill, center=center, scale=scale)
 
@@ -131,8 +131,9 @@ class NumericBlockModel(Model, HasInputCols, HasOutputCol, _Stage):
         # ML attribute metadata: the vector size and names, as VectorAssembler expects
         meta = {"ml_attr": {"num_attrs": len(names),
                             "attrs": {"numeric": [{"idx": i, "name": n} for i, n in enumerate(names)]}}}
-        return df.withColumn(self.getOutputCol(),
-                             array_to_vector(F.array(*self.columns())).alias(self.getOutputCol(), metadata=meta))
+        vector = array_to_vector(F.array(*self.columns())).alias(self.getOutputCol(), metadata=meta)
+        missing = [c for c in names if c not in df.columns]
+        return _with_columns(df, names).withColumn(self.getOutputCol(), vector).drop(*missing)
 
 
 # --- categoric block -------------------------------------------------------------------
@@ -306,17 +307,17 @@ def preprocessor(nums: Sequence[str] = (), cats: Sequence[str] = (), text: Seque
 
 
 def feature_names(model: PipelineModel, nums: Sequence[str] = (), cats: Sequence[str] = (),
-                  text: Sequence[str] = ()) -> list[str]:
-    """Names of the assembled features: nums, ``col_value``, ``col_word``."""
-    names = list(nums)
+                  text: Sequence[str] = ()) -> list[tuple[str, str]]:
+    """(name, source column) of the assembled features: nums, ``col_value``, ``col_word``."""
+    names = [(c, c) for c in nums]
     for st in model.stages:
         if cats and type(st).__name__ == "StringIndexerModel":
             for c, labels in zip(cats, st.labelsArray):
-                names += [f"{c}_{v}" for v in labels]
+                names += [(f"{c}_{v}", c) for v in labels]
     for c in text:
         for st in model.stages:
             if type(st).__name__ == "CountVectorizerModel" and st.getInputCol() == f"__words_{c}":
-                names += [f"{c}_{w}" for w in st.vocabulary]
+                names += [(f"{c}_{w}", c) for w in st.vocabulary]
     return names
 
 

@@ -5,11 +5,8 @@ folds or models (``by``) -- are computed in one pass over the predictions.
 Every metric takes an optional weight column.  Scorer names follow the
 reference's (greater is better: losses are negated).
 
-The exact ROC curve needs cumulative counts in score order.  Instead of one
-global window, scores are pre-aggregated (one row per distinct score), cut
-into ``buckets`` score ranges whose boundaries come from a quantile sketch,
-prefix-summed per bucket on a table of ``buckets`` rows, and numbered inside
-each bucket only: no task ever holds all scores.
+The exact ROC curve needs cumulative counts in score order, the median its
+ranks: both come from :mod:`.quantiles`, where no task holds all scores.
 """
 
 from __future__ import annotations
@@ -19,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import cumulated, exact_quantiles, same_group
+
 EPS = 1e-15
 
 # Scorer names (the reference uses these library scorer ids).
@@ -37,12 +36,17 @@ def _wavg(x: Column, weight: str | None) -> Column:
 
 
 def r2(y: str, p: str, weight: str | None = None) -> Column:
-    """M1: 1 - SSE/SST (weighted); SST from sums, one pass."""
+    """M1: 1 - SSE/SST (weighted), one pass.
+
+    SST comes from central co-moments, which keep their digits when the target
+    is large beside its spread (sum(y^2) - sum(y)^2 / n does not).
+    """
     w, yc, pc = _w(weight), F.col(y).cast("double"), F.col(p).cast("double")
     sse = F.sum(w * (yc - pc) * (yc - pc))
-    sw, swy, swyy = F.sum(w), F.sum(w * yc), F.sum(w * yc * yc)
-    sst = swyy - swy * swy / sw
-    return 1.0 - sse / sst
+    n = F.count(w * yc)
+    if weight is None:
+        return 1.0 - sse / (F.var_pop(yc) * n)
+    return 1.0 - sse / (n * (F.covar_pop(w * yc, yc) - F.avg(w * yc) * F.covar_pop(w, yc) / F.avg(w)))
 
 
 def mse(y: str, p: str, weight: str | None = None) -> Column:
@@ -54,15 +58,18 @@ def mae(y: str, p: str, weight: str | None = None) -> Column:
     return _wavg(F.abs(F.col(y).cast("double") - F.col(p).cast("double")), weight)
 
 
-def medae(y: str, p: str, accuracy: int | None = None) -> Column:
-    """M4: median absolute error (exact percentile, or the sketch at scale)."""
+def median_absolute_error(df: DataFrame, y: str, p: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """M4: (by..., medae), exact; weighted: the least error that half of the weight doesn't exceed."""
     d = F.abs(F.col(y).cast("double") - F.col(p).cast("double"))
-    return F.percentile(d, F.lit(0.5)) if accuracy is None else F.percentile_approx(d, F.lit(0.5), accuracy)
+    q = exact_quantiles(df, by, d, [0.5], None if weight is None else _w(weight))
+    return q.select(*by, F.col("q")[0].alias("medae"))
 
 
 def msle(y: str, p: str, weight: str | None = None) -> Column:
-    d = F.log1p(F.col(y).cast("double")) - F.log1p(F.col(p).cast("double"))
-    return _wavg(d * d, weight)
+    """M5: null where a target or prediction is -1 or less, for which the loss is undefined."""
+    yc, pc = F.col(y).cast("double"), F.col(p).cast("double")
+    d = F.log1p(yc) - F.log1p(pc)
+    return F.when(F.min(F.least(yc, pc)) > -1.0, _wavg(d * d, weight))
 
 
 def accuracy(y: str, p: str, weight: str | None = None) -> Column:
@@ -86,23 +93,30 @@ def f1(y: str, p: str, positive=1, weight: str | None = None) -> Column:
 
 def regression_scores(df: DataFrame, y: str, p: str, weight: str | None = None,
                       by: Sequence[str] = ()) -> DataFrame:
-    """All regression scorers in one aggregate (losses negated)."""
-    return df.groupBy(*by).agg(
+    """All regression scorers (losses negated): one aggregate, and the exact median's."""
+    out = df.groupBy(*by).agg(
         r2(y, p, weight).alias("r2"),
         (-mse(y, p, weight)).alias("neg_mean_squared_error"),
         (-mae(y, p, weight)).alias("neg_mean_absolute_error"),
-        (-medae(y, p)).alias("neg_median_absolute_error"),
         (-msle(y, p, weight)).alias("neg_mean_squared_log_error"))
+    med = median_absolute_error(df, y, p, weight, by)
+    if not by:
+        return out.withColumn("neg_median_absolute_error", -med.select("medae").scalar())
+    med = med.select(*[F.col(c).alias(f"__m{i}") for i, c in enumerate(by)], (-F.col("medae")).alias("neg_median_absolute_error"))
+    return out.join(med, same_group(by, [f"__m{i}" for i in range(len(by))]), "left").drop(*[f"__m{i}" for i in range(len(by))])
 
 
 def scorer_column(name: str, y: str, p: str, p_true: str | None = None,
                   weight: str | None = None, positive=1) -> Column:
-    """Aggregate Column for one scorer name (``roc_auc`` excluded: see :func:`roc_auc`)."""
+    """Aggregate Column for one scorer name.
+
+    ``roc_auc`` and ``neg_median_absolute_error`` are no aggregates: see
+    :func:`roc_auc` and :func:`median_absolute_error`.
+    """
     table = {
         "r2": lambda: r2(y, p, weight),
         "neg_mean_squared_error": lambda: -mse(y, p, weight),
         "neg_mean_absolute_error": lambda: -mae(y, p, weight),
-        "neg_median_absolute_error": lambda: -medae(y, p),
         "neg_mean_squared_log_error": lambda: -msle(y, p, weight),
         "accuracy": lambda: accuracy(y, p, weight),
         "neg_log_loss": lambda: -log_loss(p_true, weight),
@@ -122,7 +136,7 @@ def probability_of(prob_array: str, classes: Sequence, value: Column) -> Column:
 # --- ROC (W3, M9, M11) --------------------------------------------------------------------
 
 def roc_curve(df: DataFrame, label: Column | str, score: str, weight: str | None = None,
-              by: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+              by: Sequence[str] = ()) -> DataFrame:
     """Exact ROC points, one per distinct score (threshold), per ``by`` group.
 
     ``label`` is a boolean/0-1 column (positive class).  Columns:
@@ -133,50 +147,28 @@ def roc_curve(df: DataFrame, label: Column | str, score: str, weight: str | None
     w = _w(weight)
     is_pos = lab.cast("boolean")
     per = (df.groupBy(*by, F.col(score).cast("double").alias("threshold"))
-             .agg(F.sum(F.when(is_pos, w).otherwise(0.0)).alias("__tp"),
-                  F.sum(F.when(~is_pos, w).otherwise(0.0)).alias("__fp")))
-    levels = [i / buckets for i in range(1, buckets)]
-    # bucket boundaries: buckets-1 numbers from a quantile sketch of the distinct scores
-    cuts = per.select(F.percentile_approx("threshold", F.array(*[F.lit(q) for q in levels]), 10000)).first()[0]
-    cuts = sorted({float(c) for c in (cuts or []) if c is not None})
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-    per = per.withColumn("__b", F.size(F.filter(bounds, lambda b: b < F.col("threshold"))))
-    totals = per.groupBy(*by, "__b").agg(F.sum("__tp").alias("__bt"), F.sum("__fp").alias("__bf"))
-    # scores descend: a bucket's offset is the sum over buckets with higher scores
-    hi_first = Window.partitionBy(*by).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select(*by, "__b",
-                         F.coalesce(F.sum("__bt").over(hi_first), F.lit(0.0)).alias("__ot"),
-                         F.coalesce(F.sum("__bf").over(hi_first), F.lit(0.0)).alias("__of"))
-    whole = Window.partitionBy(*by)
-    offs = offs.join(totals, [*by, "__b"]).select(
-        *by, "__b", "__ot", "__of",
-        F.sum("__bt").over(whole).alias("__P"), F.sum("__bf").over(whole).alias("__N"))
-    run = (Window.partitionBy(*by, "__b").orderBy(F.desc("threshold"))
-                 .rowsBetween(Window.unboundedPreceding, 0))
-    cum = per.join(F.broadcast(offs), [*by, "__b"]).select(
-        *by, "threshold", "__tp", "__fp", "__P", "__N",
-        (F.col("__ot") + F.sum("__tp").over(run)).alias("tp"),
-        (F.col("__of") + F.sum("__fp").over(run)).alias("fp"))
+             .agg(F.sum(F.when(is_pos, w).otherwise(0.0)).alias("p"),
+                  F.sum(F.when(~is_pos, w).otherwise(0.0)).alias("n")))
+    cum = cumulated(per, by, "threshold", ["p", "n"], descending=True)
     return cum.select(
-        *by, "threshold", "tp", "fp",
-        (F.col("tp") / F.col("__P")).alias("tpr"), (F.col("fp") / F.col("__N")).alias("fpr"),
-        (F.col("__fp") / F.col("__N") * (2.0 * F.col("tp") - F.col("__tp")) / (2.0 * F.col("__P"))).alias("area"))
+        *by, "threshold", F.col("p_upto").alias("tp"), F.col("n_upto").alias("fp"),
+        (F.col("p_upto") / F.col("p_all")).alias("tpr"), (F.col("n_upto") / F.col("n_all")).alias("fpr"),
+        (F.col("n") / F.col("n_all") * (2.0 * F.col("p_upto") - F.col("p")) / (2.0 * F.col("p_all"))).alias("area"))
 
 
 def roc_auc(df: DataFrame, label: Column | str, score: str, weight: str | None = None,
-            by: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+            by: Sequence[str] = ()) -> DataFrame:
     """M9: area under the exact ROC curve (trapezoids), per ``by`` group."""
-    return roc_curve(df, label, score, weight, by, buckets).groupBy(*by).agg(F.sum("area").alias("roc_auc"))
+    return roc_curve(df, label, score, weight, by).groupBy(*by).agg(F.sum("area").alias("roc_auc"))
 
 
-def one_vs_rest_roc(df: DataFrame, y: str, prob_cols: dict, weight: str | None = None,
-                    buckets: int = 64) -> DataFrame:
+def one_vs_rest_roc(df: DataFrame, y: str, prob_cols: dict, weight: str | None = None) -> DataFrame:
     """One ROC curve per class (class -> probability column), classes sorted."""
     parts = [F.struct(F.lit(str(c)).alias("class"), (F.col(y).cast("string") == F.lit(str(c))).alias("__pos"),
                       F.col(pc).cast("double").alias("__s")) for c, pc in sorted(prob_cols.items())]
     keep = [weight] if weight else []
     long = df.select(*keep, F.inline(F.array(*parts)))
-    return roc_curve(long, "__pos", "__s", weight, by=["class"], buckets=buckets)
+    return roc_curve(long, "__pos", "__s", weight, by=["class"])
 
 
 def confusion_matrix(df: DataFrame, y: str, p: str) -> DataFrame:

@@ -21,7 +21,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import (HasFeaturesCol, HasLabelCol, HasPredictionCol,
                                      HasProbabilityCol, HasRawPredictionCol, HasWeightCol)
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
+                             MLReader, MLWriter)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,14 +63,14 @@ class BaseModel(Model, HasFeaturesCol, HasPredictionCol, HasModelData,
 
 
 class BaseClassifierModel(BaseModel, HasProbabilityCol, HasRawPredictionCol):
-    def _emit(self, df: DataFrame, scores: Sequence[Column], classes: Sequence[float],
+    def _emit(self, df: DataFrame, scores: Sequence[Column] | Column, classes: Sequence[float],
               log_space: bool = True) -> DataFrame:
-        """Append rawPrediction, probability, prediction from per-class scores.
+        """Append rawPrediction, probability, prediction from per-class scores (columns, or one array).
 
         ``log_space``: scores are log-likelihoods (probability by a stable
         softmax); otherwise they are already probabilities.
         """
-        raw = F.array(*scores)
+        raw = scores if isinstance(scores, Column) else F.array(*scores)
         if log_space:
             top = F.array_max(raw)
             ex = F.transform(raw, lambda s: F.exp(s - top))
@@ -86,9 +87,52 @@ class BaseClassifierModel(BaseModel, HasProbabilityCol, HasRawPredictionCol):
         return out.withColumn(self.getPredictionCol(), F.element_at(labels, pos))
 
 
-def collect_small(df: DataFrame, limit: int):
-    """Collect a result that is bounded by model size; fail loudly if it is not."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"model parameter table exceeds {limit} rows")
-    return rows
+# --- models made of other models -----------------------------------------------------------
+
+class _SubModelWriter(MLWriter):
+    """Parameters as any stage, and every part with its own writer in a folder beside them."""
+
+    def __init__(self, instance):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        parts = self.instance.subModels
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sc, extraMetadata={"subModels": len(parts)})
+        for i, part in enumerate(parts):
+            part.write().save(f"{path}/subModels/{i}")
+
+
+class _SubModelReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str):
+        metadata = DefaultParamsReader.loadMetadata(path, self.sc)
+        model = self.cls()
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        model.subModels = [DefaultParamsReader.loadParamsInstance(f"{path}/subModels/{i}", self.sc)
+                           for i in range(metadata["subModels"])]
+        return model
+
+
+class HasSubModels:
+    """Mixin of a fitted model whose ``subModels`` are saved and loaded with it."""
+
+    subModels: list = []
+
+    def with_parts(self, parts: list):
+        self.subModels = list(parts)
+        return self
+
+    def write(self) -> MLWriter:
+        return _SubModelWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _SubModelReader(cls)
+
+    def copy(self, extra=None):
+        return super().copy(extra).with_parts(self.subModels)

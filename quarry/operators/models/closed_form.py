@@ -2,10 +2,10 @@
 the benchmark dummies (R16, K19).
 
 Fitting is one aggregate of per-class moments.  Diagonal moments come from
-``posexplode`` + ``groupBy(class, feature)`` (JVM only); full covariances come
-from per-batch NumPy cross-products in ``mapInPandas`` emitted in long form
-and summed by ``groupBy`` -- the shuffle carries classes x features^2 numbers
-per partition, never rows.  Parameters are bounded by the model size.
+Spark's ``Summarizer`` (JVM only, centred); full covariances come from
+per-batch NumPy cross-products in ``mapInPandas`` emitted in long form and
+summed by ``groupBy`` -- the shuffle carries classes x features^2 numbers per
+partition, never rows.  The driver receives one row per class: the model.
 """
 
 from __future__ import annotations
@@ -15,35 +15,36 @@ import math
 import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import BaseClassifierModel, BaseEstimator, BaseModel, collect_small
+from .base import BaseClassifierModel, BaseEstimator, BaseModel
 
-MAX_CLASSES = 10000
 
-
-def diag_moments(df: DataFrame, features: Column, label: str, weight: Column):
-    """Per class: weighted count, and per feature sum(w x), sum(w x^2)."""
-    ex = df.select(F.col(label).cast("double").alias("c"), weight.alias("w"),
-                   F.posexplode(features).alias("j", "x"))
-    agg = ex.groupBy("c", "j").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("x")).alias("s"),
-                                   F.sum(F.col("w") * F.col("x") * F.col("x")).alias("q"))
-    rows = collect_small(agg, 50_000_000)
-    classes = sorted({r["c"] for r in rows})
-    d = max(r["j"] for r in rows) + 1
-    n = np.zeros(len(classes)); s = np.zeros((len(classes), d)); q = np.zeros((len(classes), d))
-    idx = {c: i for i, c in enumerate(classes)}
-    for r in rows:
-        i = idx[r["c"]]
-        n[i] = r["n"]; s[i, r["j"]] = r["s"]; q[i, r["j"]] = r["q"]
-    return classes, n, s, q
+def class_moments(df: DataFrame, features_col: str, label: str, weight: Column):
+    """(classes, weights, means, population variances): one aggregated vector row per class."""
+    rows = (df.select(F.col(label).cast("double").alias("c"), weight.alias("w"), F.col(features_col).alias("x"))
+            .groupBy("c").agg(Summarizer.metrics("mean", "variance").summary(F.col("x"), F.col("w")).alias("s"),
+                              F.sum("w").alias("w1"), F.sum(F.col("w") * F.col("w")).alias("w2"))
+            .select("c", "s.*", "w1", "w2").orderBy("c").collect())
+    n = np.array([r["w1"] for r in rows])
+    mean = np.array([r["mean"].toArray() for r in rows])
+    # the summary divides by n - sum(w^2) / n
+    back = (n - np.array([r["w2"] for r in rows]) / n) / n
+    var = np.array([r["variance"].toArray() for r in rows]) * np.maximum(back, 0.0)[:, None]
+    return [r["c"] for r in rows], n, mean, var
 
 
 def full_moments(df: DataFrame, features_col: str, label: str, weight: Column):
-    """Per class: weighted count, sum vector and sum of outer products (NumPy per batch)."""
-    src = df.select(F.col(label).cast("double").alias("c"), weight.alias("w"),
-                    vector_to_array(F.col(features_col)).alias("x"))
+    """(classes, weights, means, centred scatter matrices), one assembled row per class.
+
+    Sums are taken about the overall mean, so that they keep their digits, in
+    NumPy per batch, and added per (class, element) on the executors.
+    """
+    src = df.select(F.col(label).cast("double").alias("c"), weight.alias("w"), F.col(features_col).alias("f"))
+    centre = src.select(Summarizer.mean(F.col("f"), F.col("w")).alias("m")).first()["m"].toArray()
+    src = src.select("c", "w", vector_to_array("f").alias("x"))
 
     def partial(batches):
         import pandas as pd
@@ -51,7 +52,7 @@ def full_moments(df: DataFrame, features_col: str, label: str, weight: Column):
         for b in batches:
             if len(b) == 0:
                 continue
-            X = np.stack(b["x"].to_numpy())
+            X = np.stack(b["x"].to_numpy()) - centre
             w = b["w"].to_numpy(dtype=float)
             for c in np.unique(b["c"].to_numpy()):
                 m = b["c"].to_numpy() == c
@@ -61,19 +62,14 @@ def full_moments(df: DataFrame, features_col: str, label: str, weight: Column):
         for c, v in acc.items():
             yield pd.DataFrame({"c": c, "k": np.arange(len(v)), "v": v})
 
-    long = src.mapInPandas(partial, "c double, k long, v double")
-    rows = collect_small(long.groupBy("c", "k").agg(F.sum("v").alias("v")), 50_000_000)
-    classes = sorted({r["c"] for r in rows})
-    size = max(r["k"] for r in rows) + 1
-    d = int((-1 + math.isqrt(1 + 4 * (size - 1))) // 2)
-    data = np.zeros((len(classes), size))
-    idx = {c: i for i, c in enumerate(classes)}
-    for r in rows:
-        data[idx[r["c"]], r["k"]] = r["v"]
-    n = data[:, 0]
-    s = data[:, 1:1 + d]
-    outer = data[:, 1 + d:].reshape(len(classes), d, d)
-    return classes, n, s, outer
+    sums = src.mapInPandas(partial, "c double, k long, v double").groupBy("c", "k").agg(F.sum("v").alias("v"))
+    rows = (sums.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("a"))
+            .select("c", F.transform("a", lambda e: e["v"]).alias("v")).orderBy("c").collect())
+    d = len(centre)
+    data = np.array([r["v"] for r in rows])
+    n, shift = data[:, 0], data[:, 1:1 + d] / data[:, :1]
+    scatter = data[:, 1 + d:].reshape(-1, d, d) - n[:, None, None] * shift[:, :, None] * shift[:, None, :]
+    return [r["c"] for r in rows], n, centre + shift, scatter
 
 
 # --- Gaussian naive Bayes --------------------------------------------------------------
@@ -91,12 +87,10 @@ class GaussianNB(BaseEstimator):
             self._set(weightCol=weightCol)
 
     def _fit(self, df: DataFrame):
-        classes, n, s, q = diag_moments(df, self._features(), self.getLabelCol(), self._weight())
-        mean = s / n[:, None]
-        var = q / n[:, None] - mean ** 2
+        classes, n, mean, var = class_moments(df, self.getFeaturesCol(), self.getLabelCol(), self._weight())
         tot_n = n.sum()
-        all_mean = s.sum(0) / tot_n
-        all_var = q.sum(0) / tot_n - all_mean ** 2
+        all_mean = (n[:, None] * mean).sum(0) / tot_n
+        all_var = (n[:, None] * (var + (mean - all_mean) ** 2)).sum(0) / tot_n
         eps = self.getOrDefault(self.varSmoothing) * float(all_var.max())
         var = np.maximum(var, 0.0) + eps
         prior = n / tot_n
@@ -109,14 +103,14 @@ class GaussianNBModel(BaseClassifierModel):
     def _transform(self, df: DataFrame) -> DataFrame:
         classes, prior, mean, var = self.getModelData()
         x = self._features()
-        scores = []
-        for k in range(len(classes)):
-            const = math.log(prior[k]) - 0.5 * sum(math.log(2 * math.pi * v) for v in var[k])
-            mu = F.array(*[F.lit(float(v)) for v in mean[k]])
-            vv = F.array(*[F.lit(float(v)) for v in var[k]])
-            quad = F.aggregate(F.zip_with(F.zip_with(x, mu, lambda a, b: a - b), vv, lambda d, v: d * d / v),
-                               F.lit(0.0), lambda a, b: a + b)
-            scores.append(F.lit(const) - 0.5 * quad)
+        # one literal array of classes and one expression over it, however many classes there are
+        params = F.array(*[F.struct(
+            F.lit(math.log(prior[k]) - 0.5 * sum(math.log(2 * math.pi * v) for v in var[k])).alias("c"),
+            F.lit([float(v) for v in mean[k]]).alias("m"), F.lit([float(v) for v in var[k]]).alias("v"))
+            for k in range(len(classes))])
+        scores = F.transform(params, lambda p: p["c"] - 0.5 * F.aggregate(
+            F.zip_with(F.zip_with(x, p["m"], lambda a, b: a - b), p["v"], lambda d, v: d * d / v),
+            F.lit(0.0), lambda a, b: a + b))
         return self._emit(df, scores, classes)
 
     @property
@@ -152,10 +146,8 @@ class LinearDiscriminant(BaseEstimator):
             self._set(weightCol=weightCol)
 
     def _fit(self, df: DataFrame):
-        classes, n, s, outer = full_moments(df, self.getFeaturesCol(), self.getLabelCol(), self._weight())
-        means = s / n[:, None]
-        scatter = sum(outer[k] - n[k] * np.outer(means[k], means[k]) for k in range(len(classes)))
-        cov = scatter / max(n.sum() - len(classes), 1.0)
+        classes, n, means, scatter = full_moments(df, self.getFeaturesCol(), self.getLabelCol(), self._weight())
+        cov = scatter.sum(0) / max(n.sum() - len(classes), 1.0)
         inv = np.linalg.pinv(cov)
         prior = n / n.sum()
         coef = means @ inv
@@ -183,12 +175,12 @@ class QuadraticDiscriminant(BaseEstimator):
             self._set(weightCol=weightCol)
 
     def _fit(self, df: DataFrame):
-        classes, n, s, outer = full_moments(df, self.getFeaturesCol(), self.getLabelCol(), self._weight())
+        classes, n, means, scatter = full_moments(df, self.getFeaturesCol(), self.getLabelCol(), self._weight())
         prior = n / n.sum()
         params = []
         for k in range(len(classes)):
-            mu = s[k] / n[k]
-            cov = (outer[k] - n[k] * np.outer(mu, mu)) / max(n[k] - 1.0, 1.0)
+            mu = means[k]
+            cov = scatter[k] / max(n[k] - 1.0, 1.0)
             sign, logdet = np.linalg.slogdet(cov)
             inv = np.linalg.pinv(cov)
             inv = (inv + inv.T) / 2 + np.eye(len(mu)) * 1e-12
@@ -238,8 +230,8 @@ class DummyClassifier(BaseEstimator):
             self._set(weightCol=weightCol)
 
     def _fit(self, df: DataFrame):
-        counts = collect_small(df.groupBy(F.col(self.getLabelCol()).cast("double").alias("c"))
-                                 .agg(F.sum(self._weight()).alias("n")), MAX_CLASSES)
+        counts = (df.groupBy(F.col(self.getLabelCol()).cast("double").alias("c"))
+                    .agg(F.sum(self._weight()).alias("n")).collect())
         counts = sorted((r["c"], r["n"]) for r in counts)
         total = sum(n for _, n in counts)
         return DummyClassificationModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(),

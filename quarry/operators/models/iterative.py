@@ -1,9 +1,9 @@
 """Models with no Spark ML counterpart, as distributed iterative estimators.
 
-* ``LinearSVR`` (R6, R7) and ``MLPRegressor`` (R15): full-batch objective and
-  gradient computed on the executors (one ``mapInPandas`` partial sum per
-  partition, NumPy inside the task), L-BFGS steps on the driver over a
-  parameter vector bounded by the model size.
+* ``MLPRegressor`` (R15): full-batch objective and gradient computed on the
+  executors (one ``mapInPandas`` partial sum per partition, NumPy inside the
+  task), L-BFGS steps on the driver over a parameter vector bounded by the
+  model size.
 * ``PassiveAggressiveRegressor`` (R5): iterative parameter mixing -- every
   partition runs passive-aggressive updates from the current weights, the
   driver averages the partition weights, five epochs.
@@ -27,13 +27,14 @@ from pyspark import StorageLevel
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...session import cut_lineage
-from .base import BaseClassifierModel, BaseEstimator, BaseModel
+from .base import BaseClassifierModel, BaseEstimator, BaseModel, HasSubModels
 
 # ---------------------------------------------------------------------------------------
 # distributed objective / gradient + L-BFGS on the driver
@@ -133,45 +134,6 @@ def lbfgs(fg, x0: np.ndarray, max_iter: int = 100, m: int = 8, tol: float = 1e-1
     return x
 
 
-class LinearSVR(BaseEstimator):
-    """0.5||w||^2 + C sum w_i (y - w.x - b)^2 (squared epsilon-insensitive, epsilon 0)."""
-    C = Param(Params._dummy(), "C", "inverse penalty", TypeConverters.toFloat)
-
-    def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", weightCol=None, C=1.0):
-        super().__init__()
-        self._set(featuresCol=featuresCol, labelCol=labelCol, predictionCol=predictionCol, C=C)
-        if weightCol:
-            self._set(weightCol=weightCol)
-
-    def _fit(self, df: DataFrame):
-        data = _training_arrays(df, self.getFeaturesCol(), self.getLabelCol(), self._weight())
-        stats = data.agg(F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("my"),
-                         F.sqrt(F.sum(F.col("w") * F.col("y") * F.col("y")) / F.sum("w")).alias("ry"),
-                         F.max(F.size("x")).alias("d")).first()
-        n, my, d = stats["n"], stats["my"], stats["d"]
-        sy = max(math.sqrt(max(stats["ry"] ** 2 - my ** 2, 0.0)), 1e-12)
-        C = self.getOrDefault(self.C)
-
-        def batch(th, X, y, w):
-            r = (X @ th[:-1] + th[-1]) - (y - my) / sy
-            f = float((w * r * r).sum())
-            g = np.concatenate([2.0 * X.T @ (w * r), [2.0 * (w * r).sum()]])
-            return f, g
-
-        def fg(th):
-            f, g, _ = _partial_sums(data, th, batch)
-            f = f / n + th[:-1].dot(th[:-1]) / (2.0 * C * n)
-            g = g / n
-            g[:-1] += th[:-1] / (C * n)
-            return f, g
-
-        theta = lbfgs(fg, np.zeros(d + 1))
-        data.unpersist()
-        coef = (theta[:-1] * sy).tolist()
-        return LinearModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(),
-                           modelData=[coef, float(theta[-1] * sy + my)])
-
-
 class LinearModel(BaseModel):
     def _transform(self, df: DataFrame) -> DataFrame:
         coef, intercept = self.getModelData()
@@ -202,10 +164,10 @@ class MLPRegressor(BaseEstimator):
     def _fit(self, df: DataFrame):
         data = _training_arrays(df, self.getFeaturesCol(), self.getLabelCol(), self._weight())
         st = data.agg(F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("my"),
-                      (F.sum(F.col("w") * F.col("y") * F.col("y")) / F.sum("w")).alias("qy"),
                       F.max(F.size("x")).alias("d")).first()
         n, my, d, h = st["n"], st["my"], st["d"], self.getOrDefault(self.hidden)
-        sy = max(math.sqrt(max(st["qy"] - my * my, 0.0)), 1e-12)
+        about = F.sum(F.col("w") * (F.col("y") - F.lit(my)) * (F.col("y") - F.lit(my)))
+        sy = max(math.sqrt(data.agg(about).first()[0] / n), 1e-12)
         alpha = self.getOrDefault(self.alpha)
         rng = np.random.RandomState(self.getOrDefault(self.seed))
         lim1, lim2 = math.sqrt(6.0 / (d + h)), math.sqrt(6.0 / (h + 1))
@@ -261,16 +223,19 @@ class MLPRegressionModel(BaseModel):
 
 
 class PassiveAggressiveRegressor(BaseEstimator):
-    """PA-I updates (epsilon 0.1) per partition, weights averaged per epoch."""
+    """PA-I updates (epsilon 0.1) per partition, coefficients averaged per epoch; a row's weight scales its C."""
     C = Param(Params._dummy(), "C", "aggressiveness", TypeConverters.toFloat)
     epochs = Param(Params._dummy(), "epochs", "passes", TypeConverters.toInt)
 
-    def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", C=1.0, epochs=5):
+    def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", weightCol=None, C=1.0,
+                 epochs=5):
         super().__init__()
         self._set(featuresCol=featuresCol, labelCol=labelCol, predictionCol=predictionCol, C=C, epochs=epochs)
+        if weightCol:
+            self._set(weightCol=weightCol)
 
     def _fit(self, df: DataFrame):
-        data = _training_arrays(df, self.getFeaturesCol(), self.getLabelCol(), F.lit(1.0))
+        data = _training_arrays(df, self.getFeaturesCol(), self.getLabelCol(), self._weight())
         d = data.agg(F.max(F.size("x"))).first()[0]
         C = self.getOrDefault(self.C)
         eps = 0.1
@@ -288,15 +253,16 @@ class PassiveAggressiveRegressor(BaseEstimator):
                         continue
                     X = np.stack(b["x"].to_numpy())
                     y = b["y"].to_numpy(dtype=float)
+                    w = b["w"].to_numpy(dtype=float)
                     for i in range(len(y)):
                         r = y[i] - (X[i] @ th[:-1] + th[-1])
                         loss = abs(r) - eps
                         if loss > 0:
-                            tau = min(C, loss / (X[i] @ X[i] + 1.0))
+                            tau = min(C * w[i], loss / (X[i] @ X[i] + 1.0))
                             s = tau * math.copysign(1.0, r)
                             th[:-1] += s * X[i]
                             th[-1] += s
-                    n += len(y)
+                    n += w.sum()
                 if n:
                     yield pd.DataFrame({"t": [th.tolist()], "n": [float(n)]})
 
@@ -314,6 +280,25 @@ class PassiveAggressiveRegressor(BaseEstimator):
 # boosting loops over Spark trees
 # ---------------------------------------------------------------------------------------
 
+class _Frames:
+    """The boosting frame of the current round; the one before is released when its successor exists."""
+
+    def __init__(self):
+        self.held = []
+
+    def keep(self, df: DataFrame, cut: bool) -> DataFrame:
+        df = (cut_lineage(df) if cut else df).persist(StorageLevel.MEMORY_AND_DISK)
+        df.count()
+        self.release()
+        self.held.append(df)
+        return df
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
+        self.held = []
+
+
 class _Ensemble:
     """Sub-models applied in turn; each adds one named prediction column."""
 
@@ -334,6 +319,12 @@ class _Ensemble:
         return out
 
 
+def _mean_importances(models, weights) -> DenseVector:
+    """Importances of the parts, averaged by their weights in the ensemble."""
+    parts = np.array([m.featureImportances.toArray() for m in models])
+    return DenseVector(np.average(parts, axis=0, weights=weights))
+
+
 class AdaBoostRegressor(BaseEstimator):
     """AdaBoost.R2 over depth-3 trees fitted with boosting weights."""
     loss = Param(Params._dummy(), "loss", "linear | square | exponential", TypeConverters.toString)
@@ -354,9 +345,9 @@ class AdaBoostRegressor(BaseEstimator):
         cur = df.select(self.getFeaturesCol(), label, self._weight().alias("__aw"))
         tot = cur.agg(F.sum("__aw")).first()[0]
         cur = cur.withColumn("__aw", F.col("__aw") / tot)
-        models, weights = [], []
+        models, weights, frames = [], [], _Frames()
         for m in range(self.getOrDefault(self.nEstimators)):
-            cur = cut_lineage(cur) if m % 5 == 0 else cur.persist(StorageLevel.MEMORY_AND_DISK)
+            cur = frames.keep(cur, cut=m % 5 == 0)
             tree = DecisionTreeRegressor(featuresCol=self.getFeaturesCol(), labelCol=label, weightCol="__aw",
                                          maxDepth=3, seed=42 + m).fit(cur)
             scored = tree.transform(cur).withColumn("__err", F.abs(F.col(label) - F.col("prediction")))
@@ -381,19 +372,22 @@ class AdaBoostRegressor(BaseEstimator):
             cur = scored.withColumn("__aw", nw).select(self.getFeaturesCol(), label, "__aw")
             s = cur.agg(F.sum("__aw")).first()[0]
             cur = cur.withColumn("__aw", F.col("__aw") / s)
-        model = AdaBoostRegressionModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(),
-                                        modelData=[weights])
-        model._trees = models
-        return model
+        frames.release()
+        return AdaBoostRegressionModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(),
+                                       modelData=[weights]).with_parts(models)
 
 
-class AdaBoostRegressionModel(BaseModel):
+class AdaBoostRegressionModel(HasSubModels, BaseModel):
     """Weighted median of the trees' predictions."""
 
+    @property
+    def featureImportances(self):
+        return _mean_importances(self.subModels, self.getModelData()[0])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         weights = self.getModelData()[0]
-        cols = [f"__t{i}" for i in range(len(self._trees))]
-        out = _Ensemble(self._trees, cols).apply(df, keep=[])
+        cols = [f"__t{i}" for i in range(len(self.subModels))]
+        out = _Ensemble(self.subModels, cols).apply(df, keep=[])
         pairs = F.array_sort(F.array(*[F.struct(F.col(c).alias("p"), F.lit(float(w)).alias("w"))
                                        for c, w in zip(cols, weights)]))
         half = 0.5 * sum(weights)
@@ -421,9 +415,9 @@ class AdaBoostClassifier(BaseEstimator):
         lr, K = self.getOrDefault(self.learningRate), max(self.getOrDefault(self.numClasses), 2)
         label = self.getLabelCol()
         cur = df.select(self.getFeaturesCol(), label, self._weight().alias("__aw"))
-        models, alphas = [], []
+        models, alphas, frames = [], [], _Frames()
         for m in range(self.getOrDefault(self.nEstimators)):
-            cur = cut_lineage(cur) if m % 5 == 0 else cur.persist(StorageLevel.MEMORY_AND_DISK)
+            cur = frames.keep(cur, cut=m % 5 == 0)
             stump = DecisionTreeClassifier(featuresCol=self.getFeaturesCol(), labelCol=label, weightCol="__aw",
                                            maxDepth=1, seed=42 + m).fit(cur)
             scored = stump.transform(cur).withColumn("__bad", (F.col("prediction") != F.col(label)).cast("double"))
@@ -446,17 +440,20 @@ class AdaBoostClassifier(BaseEstimator):
                         .select(self.getFeaturesCol(), label, "__aw")
             total = cur.agg(F.sum("__aw")).first()[0]
             cur = cur.withColumn("__aw", F.col("__aw") / total)
-        model = AdaBoostClassificationModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(),
-                                            modelData=[alphas, K])
-        model._trees = models
-        return model
+        frames.release()
+        return AdaBoostClassificationModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(),
+                                           modelData=[alphas, K]).with_parts(models)
 
 
-class AdaBoostClassificationModel(BaseClassifierModel):
+class AdaBoostClassificationModel(HasSubModels, BaseClassifierModel):
+    @property
+    def featureImportances(self):
+        return _mean_importances(self.subModels, self.getModelData()[0])
+
     def _transform(self, df: DataFrame) -> DataFrame:
         alphas, K = self.getModelData()
-        cols = [f"__s{i}" for i in range(len(self._trees))]
-        out = _Ensemble(self._trees, cols).apply(df, keep=[])
+        cols = [f"__s{i}" for i in range(len(self.subModels))]
+        out = _Ensemble(self.subModels, cols).apply(df, keep=[])
         total = sum(alphas)
         scores = []
         for k in range(K):
@@ -535,18 +532,20 @@ class OneVsRestProbabilistic(BaseEstimator):
             clf.setLabelCol("__y")
             models.append(clf.fit(data.withColumn("__y", (F.col(self.getLabelCol()) == float(k)).cast("double"))))
         data.unpersist()
-        model = OneVsRestProbModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(),
-                                   modelData=[K])
-        model._models = models
-        return model
+        return OneVsRestProbModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(),
+                                  modelData=[K]).with_parts(models)
 
 
-class OneVsRestProbModel(BaseClassifierModel):
+class OneVsRestProbModel(HasSubModels, BaseClassifierModel):
+    @property
+    def featureImportances(self):
+        return _mean_importances(self.subModels, [1.0] * len(self.subModels))
+
     def _transform(self, df: DataFrame) -> DataFrame:
         K = self.getModelData()[0]
         out = df
         cols = []
-        for k, m in enumerate(self._models):
+        for k, m in enumerate(self.subModels):
             m = m.copy()
             m.setPredictionCol(f"__ovr_p{k}").setProbabilityCol(f"__ovr_q{k}").setRawPredictionCol(f"__ovr_r{k}")
             out = m.transform(out)

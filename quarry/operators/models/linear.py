@@ -22,21 +22,19 @@ def fit_line(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> Data
 
 
 def ridge_line(df: DataFrame, x: str, y: str, alpha: float) -> DataFrame:
-    """R3 with one feature and intercept: slope = Sxy_c / (Sxx_c + alpha) on centred data."""
+    """R3 with one feature and intercept: slope = Sxy_c / (Sxx_c + alpha) on central moments."""
     s = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
-        F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(x) * F.col(y)).alias("sxy"))
-    slope = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / \
-            (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n") + F.lit(alpha))
-    return s.select(slope.alias("slope"),
-                    ((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("intercept"))
+        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"),
+        F.var_pop(x).alias("vx"), F.covar_pop(x, y).alias("cxy"))
+    slope = F.col("cxy") * F.col("n") / (F.col("vx") * F.col("n") + F.lit(alpha))
+    return s.select(slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"))
 
 
 def predict_line(df: DataFrame, model: DataFrame, x: str, out: str = "prediction",
                  on: list[str] | None = None) -> DataFrame:
     """Apply a one-feature line; ``model`` is tiny (one row per ``on`` group)."""
     if on:
-        return (df.join(F.broadcast(model), on)
+        return (df.join(model, on)
                   .withColumn(out, F.col("intercept") + F.col("slope") * F.col(x))
                   .drop("slope", "intercept"))
     slope = model.select("slope").scalar()
@@ -47,14 +45,18 @@ def predict_line(df: DataFrame, model: DataFrame, x: str, out: str = "prediction
 def line_fold_models(df: DataFrame, x: str, y: str, fold: str = "fold") -> DataFrame:
     """Per-fold training models from one pass of sufficient statistics."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    per = d.groupBy(fold).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("sx"),
-                              F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"),
-                              F.sum(F.col(x) * F.col(y)).alias("sxy"))
+    # sums about the overall means keep their digits
+    mx, my = d.select(F.avg(x)).scalar(), d.select(F.avg(y)).scalar()
+    d = d.select(fold, (F.col(x) - mx).alias("x"), (F.col(y) - my).alias("y"))
+    per = d.groupBy(fold).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("x").alias("sx"),
+                              F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
+                              F.sum(F.col("x") * F.col("y")).alias("sxy"))
     from pyspark.sql import Window
     whole = Window.partitionBy()
     tr = per.select(fold, *[(F.sum(c).over(whole) - F.col(c)).alias(c) for c in ["n", "sx", "sy", "sxx", "sxy"]])
     slope = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"))
-    return tr.select(fold, slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / F.col("n")).alias("intercept"))
+    return tr.select(fold, slope.alias("slope"),
+                     ((F.col("sy") - slope * F.col("sx")) / F.col("n") + my - slope * mx).alias("intercept"))
 
 
 # --- penalised least squares on Spark ML (R2-R4) ------------------------------------------
@@ -85,11 +87,10 @@ class PenalisedLinearRegression(BaseEstimator):
 
     def _fit(self, df: DataFrame):
         w, y = self._weight(), F.col(self.getLabelCol()).cast("double")
-        s = df.agg(F.sum(w).alias("sw"), F.sum(w * w).alias("sww"), F.sum(w * y).alias("swy"),
-                   F.sum(w * y * y).alias("swyy")).first()
-        mean = s["swy"] / s["sw"]
-        denom = s["sw"] - s["sww"] / s["sw"]
-        std = math.sqrt(max((s["swyy"] - s["sw"] * mean * mean) / denom, 0.0)) if denom > 0 else 0.0
+        s = df.agg(F.sum(w).alias("sw"), F.sum(w * y).alias("swy")).first()
+        mean = F.lit(s["swy"] / s["sw"])
+        # the population deviation, as in Spark's normal-equation solver (up to 4096 features)
+        std = math.sqrt(df.agg(F.sum(w * (y - mean) * (y - mean))).first()[0] / s["sw"])
         l1, l2 = self.getOrDefault(self.l1), self.getOrDefault(self.l2)
         lam = l1 + l2 * (std if std > 0 else 1.0)
         kw = dict(featuresCol=self.getFeaturesCol(), labelCol=self.getLabelCol(),

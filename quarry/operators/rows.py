@@ -75,14 +75,11 @@ def dodge_offset(color_pos: Column, n_colors: Column | int) -> Column:
     return (F.lit(0.8) / k) * (color_pos - (k / 2.0 - 0.5))
 
 
-def jitter(amount: float, n_colors: int, seed: int = 42, key: Column | None = None) -> Column:
-    """uniform(-j, j) / 2 / k.  With a key the noise is a hash of it (repeatable)."""
+def jitter(amount: float, n_colors: int, key: Column, seed: int = 42) -> Column:
+    """uniform(-j, j) / 2 / k, a hash of ``key``: the same wherever the row lies."""
     if amount == 0:
         return F.lit(0.0)
-    if key is not None:
-        u = (key_hash(key, salt=str(seed)) % 1000000) / 1000000.0
-    else:
-        u = F.rand(seed)
+    u = key_hash(key, salt=str(seed)) / float(1 << 32)
     return (u * 2.0 - 1.0) * amount / 2.0 / n_colors
 
 

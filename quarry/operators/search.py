@@ -1,79 +1,81 @@
-"""Hyper-parameter search.
-
-The data work of a trial (fitting and scoring a pipeline on every fold) runs
-on the executors; the driver only keeps the loop and the trial log, a table of
-one row per trial.  Proposals after the first random trials (H7) are computed
-by ``applyInPandas`` grouped by (experiment, model) over the trial log: a
-Matern-5/2 Gaussian-process surrogate of the score and of log cost, scored on
-seeded random candidates plus local perturbations of the best point, picking
-the highest expected improvement per second.
+"""Hyper-parameter search.
+
+Trials are planned as a table: every dimension of a model's domain is a column
+expression over the trial number, and the decoded parameters are the JSON text
+of those columns.  The search takes planned trials in batches and fits and
+scores them on the executors; the trial log is a table of one row per trial.
+Proposals by a surrogate model are not offered: every trial is a seeded uniform
+draw, and a finite space is walked until each of its points has been tried.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .models.catalogue import Dim
 
-N_RANDOM = 5
-COST_OFFSET = 10.0
-N_CANDIDATES = 10000
-N_LOCAL = 20
+#: trials planned at a time
+BATCH = 5
 
 TRIAL_SCHEMA = T.StructType([
     T.StructField("experiment", T.StringType()), T.StructField("model", T.StringType()),
     T.StructField("trial", T.IntegerType()), T.StructField("params", T.StringType()),
-    T.StructField("raw", T.ArrayType(T.DoubleType())), T.StructField("score", T.DoubleType()),
+    T.StructField("point", T.StringType()), T.StructField("score", T.DoubleType()),
     T.StructField("score_std", T.DoubleType()), T.StructField("seconds", T.DoubleType()),
     T.StructField("total_seconds", T.DoubleType()), T.StructField("method", T.StringType()),
-    T.StructField("prob_improvement", T.DoubleType()),
 ])
 
 
-# --- H1-H3: sampling, decoding, space size ------------------------------------------------
+# --- H1-H3: the trial table -----------------------------------------------------------------
 
-def raw_bounds(domain: Sequence[Dim]) -> np.ndarray:
-    """Numeric bounds of the raw search space (categorics are indices)."""
-    return np.array([[0, len(d.bounds) - 1] if d.kind == "categoric" else list(d.bounds) for d in domain],
-                    dtype=float).reshape(-1, 2)
+def raw_value(d: Dim, u: Column) -> Column:
+    """H1: where a uniform number falls in a dimension; whole for integers and category numbers."""
+    if d.kind == "categoric":
+        return F.floor(u * len(d.bounds))
+    lo, hi = d.bounds
+    if d.kind == "integer":
+        return F.floor(u * (hi - lo + 1)) + lo
+    return u * (hi - lo) + lo
 
 
-def sample_raw(domain: Sequence[Dim], rng: np.random.RandomState) -> list[float]:
-    """H1: uniform draw in each dimension (integers and categorics as integers)."""
-    out = []
+def parameter(d: Dim, raw: Column) -> Column:
+    """H2: the parameter that a raw value stands for; a null category is an absent parameter."""
+    if d.kind == "exponential":
+        return F.exp(raw)
+    if d.kind == "categoric":
+        return F.element_at(F.array(*[F.lit(b) for b in d.bounds]), (raw + 1).cast("int"))
+    if d.name == "mod__hidden_layer_sizes":
+        return F.array(raw.cast("int"))
+    return raw.cast("int") if d.kind == "integer" else raw
+
+
+def plan_trials(spark: SparkSession, domain: Sequence[Dim], first: int, count: int, seed: int = 42) -> DataFrame:
+    """H1/H2: trials ``first`` .. ``first + count - 1`` as (trial, point, params, one column per dimension).
+
+    The draw of a dimension is a hash of (seed, trial, name): the same on any
+    cluster.  ``point`` is the JSON of the raw values, equal for equal points.
+    """
+    trials = spark.range(first, first + count).withColumnRenamed("id", "trial")
+    raws = {}
     for d in domain:
-        if d.kind == "integer":
-            out.append(float(rng.randint(d.bounds[0], d.bounds[1] + 1)))
-        elif d.kind == "categoric":
-            out.append(float(rng.randint(len(d.bounds))))
-        else:
-            out.append(float(rng.uniform(d.bounds[0], d.bounds[1])))
-    return out
-
-
-def decode(domain: Sequence[Dim], raw: Sequence[float]) -> dict:
-    """H2: raw value -> parameter (exp, round, pick; hidden layers as a 1-tuple)."""
-    params = {}
-    for d, v in zip(domain, raw):
-        if d.name == "mod__hidden_layer_sizes":
-            params[d.name] = (int(round(v)),)
-        elif d.kind == "float":
-            params[d.name] = float(v)
-        elif d.kind == "integer":
-            params[d.name] = int(round(v))
-        elif d.kind == "exponential":
-            params[d.name] = float(math.exp(v))
-        else:
-            params[d.name] = d.bounds[int(round(v))]
-    return params
+        h = F.xxhash64(F.lit(seed), F.col("trial"), F.lit(d.name))
+        raws[d.name] = raw_value(d, F.shiftrightunsigned(h, 11) / float(1 << 53))
+    values = [parameter(d, raws[d.name]).alias(d.name) for d in domain]
+    points = [raws[d.name].cast("double").alias(d.name) for d in domain]
+    empty = F.lit("{}")
+    return trials.select("trial", (F.to_json(F.struct(*points)) if domain else empty).alias("point"),
+                         (F.to_json(F.struct(*values)) if domain else empty).alias("params"), *values)
+
+
+def decoded(params: str) -> dict:
+    """Parameters of a planned trial for the model builders."""
+    return {k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(params).items()}
 
 
 def space_size(domain: Sequence[Dim]) -> int | None:
@@ -82,138 +84,10 @@ def space_size(domain: Sequence[Dim]) -> int | None:
     for d in domain:
         if d.kind in ("float", "exponential"):
             return None
-        size *= (d.bounds[1] - d.bounds[0] + 1) if d.kind == "integer" else len(d.bounds)
+        size *= len(d.bounds) if d.kind == "categoric" else d.bounds[1] - d.bounds[0] + 1
     return size
 
 
-def sample_trials_df(spark: SparkSession, domain: Sequence[Dim], n: int, seed: int = 42) -> DataFrame:
-    """H1/H2 as a DataFrame: ``n`` seeded uniform trials, raw and decoded columns."""
-    base = spark.range(n).withColumnRenamed("id", "trial")
-    cols = [F.col("trial")]
-    for i, d in enumerate(domain):
-        u = F.rand(seed + i)
-        lo, hi = (0, len(d.bounds) - 1) if d.kind == "categoric" else d.bounds
-        if d.kind in ("integer", "categoric"):
-            raw = F.floor(u * (hi - lo + 1)) + lo
-        else:
-            raw = u * (hi - lo) + lo
-        cols.append(raw.cast("double").alias(f"raw_{i}"))
-        if d.kind == "exponential":
-            val = F.exp(raw)
-        elif d.kind == "integer":
-            val = raw.cast("int")
-        elif d.kind == "categoric":
-            val = F.element_at(F.array(*[F.lit(str(b)) for b in d.bounds]), raw.cast("int") + 1)
-        else:
-            val = raw
-        cols.append(val.alias(d.name))
-    return base.select(*cols)
-
-
-# --- H7: proposals by expected improvement per second ------------------------------------
-
-def _norm_cdf(z):
-    return 0.5 * (1.0 + np.vectorize(math.erf)(z / math.sqrt(2.0)))
-
-
-def _norm_pdf(z):
-    return np.exp(-0.5 * z * z) / math.sqrt(2.0 * math.pi)
-
-
-def _encode(X: np.ndarray, bounds: np.ndarray, kinds: Sequence[str], ncat: Sequence[int]) -> np.ndarray:
-    """Scale to [0, 1], round integers, one-hot categoric indices (mixed-type kernel input)."""
-    cols = []
-    for j, k in enumerate(kinds):
-        lo, hi = bounds[j]
-        if k == "categoric":
-            idx = np.clip(np.round(X[:, j]), 0, ncat[j] - 1).astype(int)
-            cols.append(np.eye(ncat[j])[idx])
-        else:
-            v = np.round(X[:, j]) if k == "integer" else X[:, j]
-            cols.append(((v - lo) / (hi - lo if hi > lo else 1.0))[:, None])
-    return np.hstack(cols) if cols else np.zeros((len(X), 0))
-
-
-def _matern52(A: np.ndarray, B: np.ndarray, ell: float) -> np.ndarray:
-    d = np.sqrt(np.maximum(((A[:, None, :] - B[None, :, :]) ** 2).sum(-1), 0.0)) / ell
-    s5 = math.sqrt(5.0) * d
-    return (1.0 + s5 + 5.0 / 3.0 * d * d) * np.exp(-s5)
-
-
-def _gp(Xe: np.ndarray, y: np.ndarray, noise: np.ndarray):
-    """Fit a normalised GP; the length scale is chosen on a grid by marginal likelihood."""
-    mu, sd = y.mean(), y.std() or 1.0
-    yn = (y - mu) / sd
-    best = None
-    for ell in (0.05, 0.1, 0.2, 0.35, 0.5, 1.0, 2.0):
-        K = _matern52(Xe, Xe, ell) + np.diag(noise / sd ** 2 + 1e-6)
-        try:
-            L = np.linalg.cholesky(K)
-        except np.linalg.LinAlgError:
-            continue
-        a = np.linalg.solve(L.T, np.linalg.solve(L, yn))
-        ll = -0.5 * yn @ a - np.log(np.diag(L)).sum()
-        if best is None or ll > best[0]:
-            best = (ll, ell, L, a)
-    _, ell, L, a = best
-
-    def predict(Z):
-        Ks = _matern52(Z, Xe, ell)
-        m = Ks @ a
-        v = np.linalg.solve(L, Ks.T)
-        var = np.maximum(1.0 + 1e-6 - (v * v).sum(0), 1e-12)
-        return m * sd + mu, np.sqrt(var) * sd
-    return predict
-
-
-def propose_point(raw: np.ndarray, score: np.ndarray, cost: np.ndarray, std: np.ndarray,
-                  domain: Sequence[Dim], seed: int) -> tuple[list[float], float]:
-    """H7: the candidate with the largest expected improvement per predicted second."""
-    bounds = raw_bounds(domain)
-    kinds = [d.kind for d in domain]
-    ncat = [len(d.bounds) if d.kind == "categoric" else 0 for d in domain]
-    score = np.where(np.isfinite(score), score, np.nanmin(score[np.isfinite(score)]) if np.isfinite(score).any() else 0)
-    Xe = _encode(raw, bounds, kinds, ncat)
-    f_score = _gp(Xe, score, np.asarray(std) ** 2)
-    f_cost = _gp(Xe, np.log(cost), np.zeros(len(cost)))
-    rng = np.random.RandomState(seed)
-    cand = rng.uniform(bounds[:, 0], bounds[:, 1], size=(N_CANDIDATES, len(domain)))
-    best = raw[int(np.argmax(score))]
-    width = (bounds[:, 1] - bounds[:, 0]) * 0.05
-    local = np.clip(best + rng.normal(0.0, 1.0, size=(N_LOCAL, len(domain))) * width, bounds[:, 0], bounds[:, 1])
-    cand = np.vstack([cand, local])
-    for j, k in enumerate(kinds):
-        if k in ("integer", "categoric"):
-            cand[:, j] = np.round(cand[:, j])
-    Ce = _encode(cand, bounds, kinds, ncat)
-    m, s = f_score(Ce)
-    top = score.max()
-    z = (m - top) / s
-    ei = np.where(s > 0, (m - top) * _norm_cdf(z) + s * _norm_pdf(z), 0.0)
-    per_second = ei / np.exp(f_cost(Ce)[0])
-    i = int(np.argmax(per_second))
-    pi = float(_norm_cdf(np.array([(m[i] - top) / s[i]]))[0]) if s[i] > 0 else float(m[i] > top)
-    return cand[i].tolist(), pi
-
-
-def proposals(trials: DataFrame, domains: dict[str, Sequence[Dim]], seed: int = 42) -> DataFrame:
-    """H7 for every (experiment, model) group of a trial log at once (``applyInPandas``)."""
-    doms = {k: [(d.name, d.kind, list(d.bounds)) for d in v] for k, v in domains.items()}
-
-    def fn(pdf):
-        import pandas as pd
-        model = pdf["model"].iloc[0]
-        dom = [Dim(n, k, tuple(b)) for n, k, b in doms[model]]
-        raw = np.array([list(r) for r in pdf["raw"]], dtype=float).reshape(len(pdf), len(dom))
-        point, pi = propose_point(raw, pdf["score"].to_numpy(float), pdf["seconds"].to_numpy(float) + COST_OFFSET,
-                                  pdf["score_std"].fillna(0.0).to_numpy(float), dom, seed + len(pdf))
-        return pd.DataFrame({"experiment": [pdf["experiment"].iloc[0]], "model": [model],
-                             "raw": [point], "prob_improvement": [pi]})
-
-    return trials.groupBy("experiment", "model").applyInPandas(
-        fn, "experiment string, model string, raw array<double>, prob_improvement double")
-
-
 # --- H8-H10, W2: summaries of the trial log ------------------------------------------------
 
 def training_curve(trials: DataFrame, scorer: str | None = None) -> DataFrame:
@@ -242,8 +116,9 @@ def leaderboard(trials: DataFrame, holdout: DataFrame | None = None) -> DataFram
 
 
 def best_parameters(trials: DataFrame) -> DataFrame:
-    """Parameters of the best trial, one row per (stage, parameter)."""
-    best = trials.groupBy("experiment", "model").agg(F.max_by("params", "score").alias("params"))
+    """Parameters of the best trial (the first of equals), one row per (stage, parameter)."""
+    best = trials.groupBy("experiment", "model").agg(
+        F.max_by("params", F.struct("score", -F.col("trial"))).alias("params"))
     kv = best.select("experiment", "model",
                      F.explode(F.from_json("params", "map<string,string>")).alias("name", "value"))
     parts = F.split("name", "__")
@@ -251,48 +126,36 @@ def best_parameters(trials: DataFrame) -> DataFrame:
                      F.concat_ws("__", F.slice(parts, 2, 10)).alias("parameter"), "value")
 
 
-# --- the search loop (H4-H6) ---------------------------------------------------------------
+# --- the search (H4-H6) ----------------------------------------------------------------------
 
-def params_json(params: dict) -> str:
-    return json.dumps({k: (list(v) if isinstance(v, tuple) else v) for k, v in params.items()}, default=str)
+def planned(spark: SparkSession, domain: Sequence[Dim], first: int, tried: set[str], seed: int) -> Iterator[tuple[str, str]]:
+    """(point, params) of untried trials, a batch planned at a time; ends when a finite space is used up."""
+    size = space_size(domain)
+    while size is None or len(tried) < size:
+        for row in plan_trials(spark, domain, first, BATCH, seed).orderBy("trial").collect():
+            if row["point"] not in tried:
+                tried.add(row["point"])
+                yield row["point"], row["params"]
+        first += BATCH
 
 
 def run_search(spark: SparkSession, experiment: str, model: str, domain: Sequence[Dim], evaluate,
-               max_train_time: float = 600.0, max_trials: int | None = None, n_random: int = N_RANDOM,
-               seed: int = 42, previous: list[dict] | None = None, method: str = "cv") -> list[dict]:
-    """H4/H5: random trials, then proposals, until the time budget (or trial cap) is spent.
+               max_train_time: float = 600.0, max_trials: int | None = None, seed: int = 42,
+               previous: Sequence[dict] = (), method: str = "cv") -> list[dict]:
+    """H4/H5: evaluate planned trials until the time or the number of trials is spent.
 
     ``evaluate(params, best_mean, best_std) -> (mean, std, seconds)`` runs one
-    trial on Spark.  Earlier trials (warm start) are kept and extended.
+    trial on Spark.  ``previous`` trials are kept, and never repeated.
     """
-    trials = list(previous or [])
-    rng = np.random.RandomState(seed + len(trials))
-    start = time.time()
-    offset = trials[-1]["total_seconds"] if trials else 0.0
-    limit = space_size(domain)
-    seen = {tuple(t["raw"]) for t in trials}
-    while time.time() - start < max_train_time and (max_trials is None or len(trials) < max_trials):
-        pi = None
-        if len(trials) < n_random or not domain:
-            raw = sample_raw(domain, rng)
-        else:
-            log = spark.createDataFrame([dict(t, experiment=experiment, model=model) for t in trials], TRIAL_SCHEMA)
-            prop = proposals(log, {model: domain}, seed=seed).first()
-            raw, pi = list(prop["raw"]), prop["prob_improvement"]
-        if tuple(raw) in seen:
-            if limit is not None and len(seen) >= limit:
-                break
-            while tuple(raw) in seen:
-                raw = sample_raw(domain, rng)
-        params = decode(domain, raw)
-        best_mean = max((t["score"] for t in trials), default=None)
-        best_std = next((t["score_std"] for t in trials if t["score"] == best_mean), None)
-        mean, std, seconds = evaluate(params, best_mean, best_std)
-        seen.add(tuple(raw))
-        trials.append({"experiment": experiment, "model": model, "trial": len(trials), "params": params_json(params),
-                       "raw": [float(v) for v in raw], "score": float(mean), "score_std": float(std),
-                       "seconds": float(seconds), "total_seconds": offset + time.time() - start,
-                       "method": method, "prob_improvement": pi})
-        if not domain:
+    log = list(previous)
+    spent = log[-1]["total_seconds"] if log else 0.0
+    began = time.time()
+    for point, params in planned(spark, domain, len(log), {t["point"] for t in log}, seed):
+        if time.time() - began >= max_train_time or (max_trials is not None and len(log) >= max_trials):
             break
-    return trials
+        leader = max(log, key=lambda t: t["score"], default=None)
+        mean, std, seconds = evaluate(decoded(params), leader and leader["score"], leader and leader["score_std"])
+        log.append(dict(experiment=experiment, model=model, trial=len(log), params=params, point=point,
+                        score=float(mean), score_std=float(std), seconds=float(seconds),
+                        total_seconds=spent + time.time() - began, method=method))
+    return log

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ENGLISH_STOP_WORDS, tokens
-from ..session import cut_lineage, spread
+from ..session import cut_lineage
 from .aggregates import full_grid
 
 
@@ -40,7 +40,7 @@ def text_stats(df: DataFrame, x: str, y: str | None = None, color: str | None =
     """
     keep = ([F.col(color).alias("color")] if color else []) + ([F.col(y).cast("double").alias("y")] if y else [])
     # explode_outer keeps rows without any word, so their colour still counts
-    src = spread(df.select(F.col(x).alias("__text"), *keep))
+    src = df.select(F.col(x).alias("__text"), *keep)
     kept = [c for c in ("color", "y") if c in src.columns]
     occ = src.select(*kept, F.explode_outer(tokens("__text", stop_words)).alias("x"))
     by = ["x"] + (["color"] if color else [])
@@ -67,8 +67,8 @@ def grouped_average_text(df: DataFrame, feature: str, columns: Sequence[str] | N
     """Top-100 words of ``feature``; total count and tf-weighted mean of each column."""
     data = df.where(F.col(feature).isNotNull())
     others = [c for c in (columns or data.columns) if c != feature]
-    occ = spread(data).select(*[F.col(c).cast("double").alias(c) for c in others],
-                              F.explode(tokens(feature, stop_words)).alias("x"))
+    occ = data.select(*[F.col(c).cast("double").alias(c) for c in others],
+                      F.explode(tokens(feature, stop_words)).alias("x"))
     pre = occ.groupBy("x").agg(F.count(F.lit(1)).alias("count"), *[F.sum(c).alias(c) for c in others])
     vocab = pre.orderBy(F.desc("count"), F.asc("x")).limit(max_features)
     return vocab.select("x", "count", *[(F.col(c) / F.col("count")).alias(c) for c in others])
@@ -83,7 +83,7 @@ def term_counts(df: DataFrame, key: str, text: str, stop_words=ENGLISH_STOP_WORD
     (L2 norms) need no further shuffle.  Keys are unique rows: no hot key.
     """
     src = df.select(key, text)
-    src = src.repartition(key) if colocate else spread(src)
+    src = src.repartition(key) if colocate else src
     return (words(src, text, keep=[key], stop_words=stop_words)
             .groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf")))
 

@@ -3,7 +3,8 @@
 Row membership is a pure function of a row key (first 32 bits of its md5),
 so a split is the same on every run, on every cluster size and after any
 executor loss -- no ``rand()``, no row order, no driver-side shuffling.  The
-shares are exact in expectation; the stratified variant is exactly balanced.
+shares are exact in expectation, to one part in 2^32; the stratified variant is
+exactly balanced.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import key_hash
+from ..sources.paging import numbered
 
-PER_MILLE = 1000
+HASHES = 1 << 32
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -24,7 +26,7 @@ def _keys(key: str | Sequence[str]) -> list[str]:
 
 def holdout_flag(key: str | Sequence[str], share: float = 0.1, salt: str | None = None):
     """Column: True for the ``share`` of rows held out (V1)."""
-    return (key_hash(*_keys(key), salt=salt) % PER_MILLE) < int(round(share * PER_MILLE))
+    return key_hash(*_keys(key), salt=salt) < F.lit(float(share) * HASHES)
 
 
 def holdout_split(df: DataFrame, key: str | Sequence[str], share: float = 0.1) -> tuple[DataFrame, DataFrame]:
@@ -48,31 +50,38 @@ def kfold(df: DataFrame, key: str | Sequence[str], k: int = 5, out: str = "fold"
 
 
 def stratified_kfold(df: DataFrame, key: str | Sequence[str], label: str, k: int = 5,
-                     sub_buckets: int = 256, out: str = "fold") -> DataFrame:
+                     sub_buckets: int | None = None, out: str = "fold") -> DataFrame:
     """V4: per-class folds whose sizes differ by at most one.
 
     Rows of a class are ordered by key hash and dealt round-robin to the folds.
     The position of a row inside its class is computed without one task per
-    class: the class is cut into ``sub_buckets`` hash buckets, bucket sizes are
-    prefix-summed on a small (classes x buckets) table, and rows are numbered
-    inside their bucket only.
+    class: the class is cut into ranges of the hash (``sub_buckets``, by
+    default four for each shuffle partition), range sizes are prefix-summed on
+    a small (classes x ranges) table, and rows are numbered inside their range
+    only.  The folds don't depend on the number of ranges.
     """
     keys = _keys(key)
-    h = key_hash(*keys, salt="fold")
-    tagged = df.withColumn("__h", h).withColumn("__s", (F.col("__h") % sub_buckets).cast("int"))
+    ranges = sub_buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = (df.withColumn("__h", key_hash(*keys, salt="fold"))
+                .withColumn("__s", F.floor(F.col("__h") * F.lit(ranges / HASHES)).cast("int")))
     sizes = tagged.groupBy(label, "__s").agg(F.count(F.lit(1)).alias("__c"))
-    offsets = sizes.select(label, "__s", (F.sum("__c").over(
+    offsets = sizes.select(F.col(label).alias("__l"), F.col("__s").alias("__s2"), (F.sum("__c").over(
         Window.partitionBy(label).orderBy("__s")) - F.col("__c")).alias("__o"))
     within = Window.partitionBy(label, "__s").orderBy("__h", *keys)
-    numbered = (tagged.join(offsets, [label, "__s"], "left")
-                      .withColumn("__pos", F.col("__o") + F.row_number().over(within) - 1))
-    return numbered.withColumn(out, (F.col("__pos") % k).cast("int")).drop("__h", "__s", "__o", "__pos")
+    numbered = (tagged.withColumn("__r", F.row_number().over(within))
+                      .join(offsets, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__s") == F.col("__s2")))
+                      .withColumn("__pos", F.col("__o") + F.col("__r") - 1))
+    return numbered.withColumn(out, (F.col("__pos") % k).cast("int")).drop("__h", "__s", "__r", "__l", "__s2", "__o", "__pos")
 
 
 def group_folds(df: DataFrame, group: str, out: str = "fold") -> DataFrame:
-    """V5: leave-one-group-out -- the fold is the dense index of the group value."""
+    """V5: leave-one-group-out -- the fold is the dense index of the group value.
+
+    The distinct groups (which may be as many as users) are numbered range by
+    range, not in one task.
+    """
     groups = df.select(group).where(F.col(group).isNotNull()).distinct()
-    idx = groups.select(group, (F.dense_rank().over(Window.orderBy(group)) - 1).cast("int").alias(out))
+    idx = numbered(groups, group).select(group, (F.col("#") - 1).cast("int").alias(out))
     return df.join(idx, group, "left")
 
 

@@ -11,8 +11,6 @@ values in sorted order; a classifier's ``prediction`` is an index into them.
 
 from __future__ import annotations
 
-import json
-import os
 import time
 from collections.abc import Sequence
 
@@ -30,10 +28,8 @@ from ..operators import validation as V
 from ..operators.features import feature_names, preprocessor
 from ..operators.models.catalogue import (Context, classification_benchmark, classification_models,
                                           regression_benchmark, regression_models)
-from ..operators.models.closed_form import MAX_CLASSES
-from ..operators.search import TRIAL_SCHEMA, best_parameters, leaderboard, run_search, training_curve
+from ..operators.search import TRIAL_SCHEMA, best_parameters, decoded, leaderboard, run_search, training_curve
 from ..operators.text import grouped_average_text
-from ..session import spread
 from ..sources import files
 
 # Validation option names accepted by the reference (plus ours).
@@ -68,6 +64,22 @@ class Project:
     def frequencies(self, feature: str) -> DataFrame:
         return B.frequencies(self.data, feature)
 
+    def save(self, path: str) -> None:
+        """The list of experiments, and each of them in a folder of its own."""
+        spark = self.data.sparkSession
+        rows = [(i, self.name, e.name) for i, e in enumerate(self.experiments)]
+        spark.createDataFrame(rows, "position int, project string, experiment string").coalesce(1).write.mode(
+            "overwrite").parquet(f"{path}/experiments")
+        for i, e in enumerate(self.experiments):
+            e.save(f"{path}/experiment-{i}")
+
+    @classmethod
+    def load(cls, data: DataFrame, path: str) -> "Project":
+        rows = data.sparkSession.read.parquet(f"{path}/experiments").orderBy("position").collect()
+        project = cls(data, rows[0]["project"] if rows else None)
+        project.experiments = [Experiment.load(data, f"{path}/experiment-{r['position']}") for r in rows]
+        return project
+
     def new_experiment(self, **options) -> "Experiment":
         exp = Experiment(self.data, **options)
         self.experiments.append(exp)
@@ -102,10 +114,8 @@ class Experiment:
         self.nums, self.cats, self.text = list(nums or []), list(cats or []), list(text or [])
         self.classes: list = []
         if classification:
-            rows = data.where(F.col(target).isNotNull()).select(target).distinct().limit(MAX_CLASSES + 1).collect()
-            if len(rows) > MAX_CLASSES:
-                raise ValueError("too many classes")
-            self.classes = sorted(r[0] for r in rows)
+            # every class is a column of the result, so that their list is part of any model
+            self.classes = sorted(r[0] for r in data.where(F.col(target).isNotNull()).select(target).distinct().collect())
             self.models = classification_models(self.nums, self.cats, self.text, len(self.classes))
             self.models[classification_benchmark().name] = classification_benchmark()
         else:
@@ -126,7 +136,7 @@ class Experiment:
     def prepared(self) -> DataFrame:
         """All rows with ``label``, ``__w``, ``__cw``, ``__hold`` and the validation column.
 
-        Only the used columns are kept; the frame is spread over all cores and
+        Only the used columns are kept; the frame is
         persisted (memory, then disk) once for the whole search -- every fold
         fit and score reads it instead of re-reading and re-hashing the source.
         Membership columns are key hashes, so a lost partition recomputes the
@@ -136,7 +146,7 @@ class Experiment:
             return self._prepared
         used = list(dict.fromkeys(self.key + [self.target] + self.nums + self.cats + self.text +
                                   ([self.weights] if self.weights else []) + ([self.groups] if self.groups else [])))
-        df = spread(self.data.where(F.col(self.target).isNotNull()).select(*[F.col(f"`{c}`") for c in used]))
+        df = self.data.where(F.col(self.target).isNotNull()).select(*[F.col(f"`{c}`") for c in used])
         df = df.withColumn("label", self._label())
         df = df.withColumn("__w", F.col(self.weights).cast("double") if self.weights else F.lit(1.0))
         df = df.withColumn("__hold", V.holdout_flag(self.key, self.holdout_size))
@@ -145,7 +155,7 @@ class Experiment:
             whole = Window.partitionBy()
             cw = counts.select("label", (F.sum("__nc").over(whole) /
                                          (F.count(F.lit(1)).over(whole) * F.col("__nc"))).alias("__bal"))
-            df = df.join(F.broadcast(cw), "label", "left") \
+            df = df.join(cw, "label", "left") \
                    .withColumn("__cw", F.col("__w") * F.coalesce(F.col("__bal"), F.lit(1.0))).drop("__bal")
         else:
             df = df.withColumn("__cw", F.col("__w"))
@@ -193,6 +203,8 @@ class Experiment:
         out = self._scored(fitted, df)
         if self.scorer == "roc_auc":
             return M.roc_auc(out, F.col("label") == 1.0, "__p1", "__w").first()[0]
+        if self.scorer == "neg_median_absolute_error":
+            return -M.median_absolute_error(out, "label", "prediction", "__w" if self.weights else None).first()["medae"]
         col = M.scorer_column(self.scorer, "label", "prediction", "__p_true", "__w", positive=1.0)
         return out.agg(col.alias("s")).first()["s"]
 
@@ -220,21 +232,17 @@ class Experiment:
             return float(np.mean(scores)), float(np.std(scores)), float(np.mean(times))
         return evaluate
 
-    def fit_model(self, model: str, max_train_time: float = 600.0, max_trials: int | None = None,
-                  n_random: int = 5) -> None:
+    def fit_model(self, model: str, max_train_time: float = 600.0, max_trials: int | None = None) -> None:
         """H4-H6: search, refit the best on all training rows, score the holdout (V8)."""
         train = self.split(train=True)
         n = train.agg(F.sum("__w")).first()[0]
         spec = self.models[model]
         self.trials[model] = run_search(train.sparkSession, self.name, model, spec.domain,
                                         self._evaluator(model, train, n), max_train_time=max_train_time,
-                                        max_trials=max_trials, n_random=n_random, seed=self.seed,
-                                        previous=self.trials.get(model), method=self.validation_method)
+                                        max_trials=max_trials, seed=self.seed,
+                                        previous=self.trials.get(model, ()), method=self.validation_method)
         best = max(self.trials[model], key=lambda t: t["score"])
-        params = json.loads(best["params"])
-        if "mod__hidden_layer_sizes" in params:
-            params["mod__hidden_layer_sizes"] = tuple(params["mod__hidden_layer_sizes"])
-        self.fitted[model] = self.pipeline(model, params, n).fit(train)
+        self.fitted[model] = self.pipeline(model, decoded(best["params"]), n).fit(train)
         self.holdout_scores[model] = self.score(self.fitted[model], self.split(train=False))
 
     def fit_fixed(self, model: str, params: dict | None = None) -> PipelineModel:
@@ -300,9 +308,9 @@ class Experiment:
         else:
             orig = first.select(*base.columns, F.col("prediction").alias("__v0"))
         variants = orig.select("*", F.posexplode(F.array(*[F.lit(f) for f in feats])).alias("__i", "Feature"))
-        for f in feats:
-            blank = F.lit("") if f in self.text else F.lit(None).cast(base.schema[f].dataType)
-            variants = variants.withColumn(f, F.when(F.col("Feature") == f, blank).otherwise(F.col(f"`{f}`")))
+        variants = variants.withColumns({
+            f: F.when(F.col("Feature") == f, F.lit("") if f in self.text else F.lit(None).cast(base.schema[f].dataType))
+                .otherwise(F.col(f"`{f}`")) for f in feats})
         second = fitted.transform(variants)
         if self.classification:
             v = F.element_at(vector_to_array("probability"), F.col("__pred0").cast("int") + 1)
@@ -365,7 +373,7 @@ class Experiment:
         top = imp.max() if len(imp) and imp.max() > 0 else 1.0
         names = feature_names(fitted, self.nums, self.cats, self.text)
         spark = self.data.sparkSession
-        return spark.createDataFrame([(n, float(v / top)) for n, v in zip(names, imp)],
+        return spark.createDataFrame([(n, float(v / top)) for (n, _), v in zip(names, imp)],
                                      "Feature string, Importance double")
 
     def importance_by_variable(self, model: str) -> DataFrame | None:
@@ -373,10 +381,12 @@ class Experiment:
         fi = self.feature_importance(model)
         if fi is None:
             return None
-        sources = self.nums + self.cats + self.text
-        src = F.coalesce(*[F.when((F.col("Feature") == s) | F.col("Feature").startswith(s + "_"), F.lit(s))
-                           for s in sorted(sources, key=len, reverse=True)])
-        return fi.groupBy(src.alias("Variable")).agg(F.sum("Importance").alias("Importance"))
+        names = feature_names(self.fitted[model], self.nums, self.cats, self.text)
+        # in the order of the features: a value's text never decides whose feature it is
+        imp = [r["Importance"] for r in fi.collect()]
+        return (self.data.sparkSession.createDataFrame([(src, v) for (_, src), v in zip(names, imp)],
+                                                       "Variable string, Importance double")
+                .groupBy("Variable").agg(F.sum("Importance").alias("Importance")))
 
     def what_if(self, model: str, edits: DataFrame) -> DataFrame:
         """Default row (B10) overlaid by the edited values, then class probabilities."""
@@ -409,11 +419,28 @@ class Experiment:
 
     # --- persistence (A8) -----------------------------------------------------------------------
 
+    OPTIONS = ("name", "target", "classification", "key", "weights", "validation_method", "validation_size",
+               "holdout_size", "scorer", "nums", "cats", "text", "groups", "seed")
+
     def save(self, path: str) -> None:
-        spec = {"name": self.name, "target": self.target, "classification": self.classification,
-                "key": self.key, "weights": self.weights, "validation_method": self.validation_method,
-                "validation_size": self.validation_size, "holdout_size": self.holdout_size,
-                "scorer": self.scorer, "nums": self.nums, "cats": self.cats, "text": self.text,
-                "groups": self.groups, "classes": self.classes, "holdout_scores": self.holdout_scores}
+        """Options as JSON, the trial log as parquet, every fitted pipeline with Spark's writer."""
+        spec = {k: getattr(self, k) for k in self.OPTIONS}
+        spec |= {"classes": self.classes, "holdout_scores": self.holdout_scores}
         files.save_project_part(self.data.sparkSession, path, spec, self.trials_table() if self.trials else None,
                                 self.fitted)
+
+    @classmethod
+    def load(cls, data: DataFrame, path: str) -> "Experiment":
+        """An experiment saved by :meth:`save`, over ``data``: it predicts, explains, and resumes its search."""
+        spec, trials, models = files.load_project_part(data.sparkSession, path)
+        options = {k: spec[k] for k in cls.OPTIONS}
+        if options["validation_method"] == "random cv":
+            options["validation_method"] = "cv"
+        exp = cls(data, **options)
+        exp.fitted, exp.holdout_scores = models, spec["holdout_scores"]
+        # the models number the classes they were trained on
+        if exp.classification:
+            exp.classes = spec["classes"]
+        for row in trials.orderBy("model", "trial").collect() if trials is not None else ():
+            exp.trials.setdefault(row["model"], []).append(row.asDict())
+        return exp

@@ -50,7 +50,7 @@ def _order(df: DataFrame, column: str, given, n: int):
 
 def plot_frame(df: DataFrame, x: str, y: str | None = None, x_type: str | None = None,
                x_bins: int | None = None, x_order=None, color: str | None = None,
-               color_order=None) -> PlotFrame:
+               color_order=None, keep: Sequence[str] = ()) -> PlotFrame:
     """The rows that get plotted.
 
     Top categories are chosen on the full column (before null dropping), then
@@ -65,7 +65,7 @@ def plot_frame(df: DataFrame, x: str, y: str | None = None, x_type: str | None =
         cols.append(F.col(y).alias("y"))
     if color:
         cols.append(F.col(color).alias("color"))
-    data = df.select(*cols).dropna()
+    data = df.select(*cols, *keep).dropna(subset=["x"] + ["y"] * bool(y) + ["color"] * bool(color))
     width = None
     if x_type == "numeric" and x_bins:
         lo = data.agg(F.min("x").cast("double")).scalar()
@@ -175,15 +175,19 @@ def box_plot(df: DataFrame, x: str, y: str, color: str | None = None, x_order=No
 
 def scatter_plot(df: DataFrame, x: str, y: str, color: str | None = None,
                  x_type: str | None = None, x_order=None, color_order=None,
-                 jitter: float | None = None, seed: int = 42) -> DataFrame:
+                 jitter: float | None = None, seed: int = 42, key: str | None = None) -> DataFrame:
     """Point positions.  Categoric x maps to its slot in the sorted top-25
     list plus the colour dodge; ``jitter`` (default 0.5 for categoric x, else 0)
-    adds seeded uniform noise.  The reference's ``alpha`` is ignored there too.
+    adds seeded uniform noise, a hash of ``key`` (default: of the point itself), so
+    that it doesn't move with the partitioning.  The reference's ``alpha`` is ignored there too.
     """
     x_type = x_type or infer_type(df, x)
     if jitter is None:
         jitter = 0.5 if x_type == "categoric" else 0.0
-    pf = plot_frame(df, x, y, x_type=x_type, x_order=x_order, color=color, color_order=color_order)
+    noise = F.col(key).cast("string") if key else F.concat_ws("|", *[F.col(c).cast("string") for c in (x, y, color) if c])
+    name = "__noise"
+    pf = plot_frame(df.withColumn(name, noise), x, y, x_type=x_type, x_order=x_order, color=color, color_order=color_order,
+                    keep=[name])
     out = pf.data
     n_colors = 1
     if x_type == "categoric":
@@ -197,7 +201,7 @@ def scatter_plot(df: DataFrame, x: str, y: str, color: str | None = None,
         out = out.join(F.broadcast(cpos), "color")
         if x_type == "categoric":
             pos = pos + dodge_offset(F.col("c_pos").cast("double"), n_colors)
-    pos = pos + jitter_expr(jitter, n_colors, seed=seed)
+    pos = pos + jitter_expr(jitter, n_colors, seed=seed, key=F.col(name))
     cols = [pos.alias("x"), F.col("y")] + ([F.col("color")] if color else [])
     return out.select(*cols)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.expressions import key_hash_sql
 from ..operators import aggregates as A
 from ..operators import profile as B
 from ..operators import rows as C
@@ -440,10 +441,21 @@ def select_columns(t):
                             text=["o_comment"])
 
 
-@query("scatter_jitter")
+@query("scatter_jitter", f"""
+WITH pre AS (SELECT o_orderpriority AS x, o_totalprice AS y, o_orderstatus AS color,
+                    {key_hash_sql('o_orderkey', salt='42')} / 4294967296.0 AS u FROM orders),
+xo AS (SELECT x AS v, dense_rank() OVER (ORDER BY x) - 1 AS pos FROM
+       (SELECT x FROM pre WHERE x IS NOT NULL GROUP BY x ORDER BY count(*) DESC, x LIMIT 25)),
+co AS (SELECT color AS v, dense_rank() OVER (ORDER BY color) - 1 AS pos FROM
+       (SELECT color FROM pre WHERE color IS NOT NULL GROUP BY color ORDER BY count(*) DESC, color LIMIT 10)),
+k AS (SELECT count(*) AS k FROM co)
+SELECT round(xo.pos + (0.8 / k.k) * (co.pos - (k.k / 2.0 - 0.5)) + (u * 2.0 - 1.0) * 0.5 / 2.0 / k.k, 6) AS x,
+       round(y, 6) AS y, color
+FROM pre JOIN xo ON pre.x = xo.v JOIN co ON pre.color = co.v, k WHERE y IS NOT NULL
+""")
 def scatter_jitter(t):
-    """Scatter positions with the default jitter (0.5 for a categoric x), seeded."""
-    return P.scatter_plot(t("orders"), "o_orderpriority", "o_totalprice", color="o_orderstatus")
+    """Scatter positions with the default jitter (0.5 for a categoric x), a hash of the order key."""
+    return P.scatter_plot(t("orders"), "o_orderpriority", "o_totalprice", color="o_orderstatus", key="o_orderkey")
 
 
 _PHI = ("CASE WHEN z >= 0 THEN 0.5 * (1 + e) ELSE 0.5 * (1 - e) END")

@@ -18,7 +18,7 @@ LI_HASH = key_hash_sql(*LI_KEY)
 
 
 @query("holdout_split", f"""
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, ({LI_HASH} % 1000) < 100 AS holdout FROM lineitem
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, ({LI_HASH} < 0.1 * 4294967296) AS holdout FROM lineitem
 """)
 def holdout_split(t):
     """V1: 10 % holdout by key hash (stable under re-runs and re-partitioning)."""
@@ -27,8 +27,8 @@ def holdout_split(t):
 
 
 @query("train_test_split", f"""
-SELECT o_orderkey, CASE WHEN ({key_hash_sql('o_orderkey')} % 1000) < 100 THEN 'holdout'
-  WHEN ({key_hash_sql('o_orderkey', salt='test')} % 1000) < 200 THEN 'test' ELSE 'train' END AS split
+SELECT o_orderkey, CASE WHEN ({key_hash_sql('o_orderkey')} < 0.1 * 4294967296) THEN 'holdout'
+  WHEN ({key_hash_sql('o_orderkey', salt='test')} < 0.2 * 4294967296) THEN 'test' ELSE 'train' END AS split
 FROM orders
 """)
 def train_test_split(t):
@@ -51,7 +51,7 @@ def kfold(t):
 @query("stratified_kfold", f"""
 WITH h AS (SELECT o_orderkey, o_orderstatus, {key_hash_sql('o_orderkey', salt='fold')} AS h FROM orders)
 SELECT o_orderkey, o_orderstatus, CAST((row_number() OVER (PARTITION BY o_orderstatus
-       ORDER BY h % 256, h, o_orderkey) - 1) % 5 AS INTEGER) AS fold FROM h
+       ORDER BY h, o_orderkey) - 1) % 5 AS INTEGER) AS fold FROM h
 """)
 def stratified_kfold(t):
     """V4: per-class round-robin over hash order -- fold sizes within a class differ by <= 1."""
@@ -119,7 +119,7 @@ def early_rejection(t):
 
 _REG_SQL = f"""
 WITH d AS (SELECT CAST(l_quantity AS DOUBLE) AS x, l_extendedprice AS y, l_tax AS w,
-                  ({LI_HASH} % 1000) < 100 AS hold FROM lineitem),
+                  ({LI_HASH} < 0.1 * 4294967296) AS hold FROM lineitem),
 m AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM d WHERE NOT hold),
 p AS (SELECT y, w, intercept + slope * x AS p FROM d, m WHERE hold)
 """
@@ -160,7 +160,7 @@ def weighted_regression_metrics(t):
 
 _GNB_SQL = f"""
 WITH d AS (SELECT d.doc_id AS id, CAST(d.n_chars AS DOUBLE) AS x, CAST(l.quality AS DOUBLE) AS y,
-                  ({key_hash_sql('d.doc_id')} % 1000) < 300 AS hold
+                  ({key_hash_sql('d.doc_id')} < 0.3 * 4294967296) AS hold
            FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
 tot AS (SELECT count(*) AS n, sum(x) / count(*) AS mu, sum(x * x) / count(*) - (sum(x) / count(*)) ^ 2 AS v FROM d WHERE NOT hold),
 cls AS (SELECT y AS c, count(*) AS n, sum(x) / count(*) AS mu, sum(x * x) / count(*) - (sum(x) / count(*)) ^ 2 AS v
@@ -244,14 +244,14 @@ SELECT round(t, 6) AS threshold, round(ctp, 6) AS tp, round(cfp, 6) AS fp, round
 def roc_curve(t):
     """Exact ROC points of quality scored by document length."""
     d = t("documents").join(t("labels"), "doc_id").select(F.col("n_chars").cast("double").alias("s"), "quality")
-    return M.roc_curve(d, F.col("quality") == 1, "s", buckets=16)
+    return M.roc_curve(d, F.col("quality") == 1, "s")
 
 
 @query("roc_auc", _ROC_SQL + "SELECT round(sum(fp / N * (2 * ctp - tp) / (2 * P)), 6) AS roc_auc FROM c")
 def roc_auc(t):
     """M9: trapezoid area under the exact ROC curve."""
     d = t("documents").join(t("labels"), "doc_id").select(F.col("n_chars").cast("double").alias("s"), "quality")
-    return M.roc_auc(d, F.col("quality") == 1, "s", buckets=16)
+    return M.roc_auc(d, F.col("quality") == 1, "s")
 
 
 # --- preprocessing F3-F9, T7 ----------------------------------------------------------------
@@ -269,7 +269,7 @@ def _numeric_block(t, imputer, scaler):
 
 def _numeric_sql(fill: str, center: str, scale: str, scale_guard: bool = True) -> str:
     from .q_explore import ORDERS_NULLS
-    hold = f"({key_hash_sql('o_orderkey')} % 1000) < 100"
+    hold = f"({key_hash_sql('o_orderkey')} < 0.1 * 4294967296)"
     parts = []
     for c, name in (("o_totalprice", "price"), ("o_custkey", "cust")):
         fill_c = fill.format(c=f"CAST({c} AS DOUBLE)")
@@ -348,10 +348,9 @@ SELECT doc_id, 'text_' || word AS feature, round(w / sqrt(sum(w * w) OVER (PARTI
 def tfidf_pipeline(t):
     """The ML text block (tokenise, stop words, minDF vocabulary, smoothed tf-idf, L2)."""
     from ..operators.features import feature_names, preprocessor, sparse_entries
-    from ..session import spread
-    d = spread(t("documents").select("doc_id", "text"))
+    d = t("documents").select("doc_id", "text")
     model = preprocessor(text=["text"]).fit(d)
-    names = F.array(*[F.lit(n) for n in feature_names(model, text=["text"])])
+    names = F.array(*[F.lit(n) for n, _ in feature_names(model, text=["text"])])
     out = model.transform(d).select("doc_id", sparse_entries("features").alias("e"))
     return out.select("doc_id", F.element_at(names, F.col("e.i") + 1).alias("feature"),
                       F.col("e.value").alias("weight")).where(F.col("weight") != 0)

@@ -44,11 +44,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is configured by the operator and is read from the
-    session.  Only when it is unset (local tests) do we create one under /tmp.
+    On a cluster the folder must be set: intermediates in one machine's own
+    folder would be missing on the others.  Only a local session, whose tasks
+    all run on this machine, gets a folder of its own where it is unset.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
@@ -80,16 +83,3 @@ def ship_package(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin rows over all cores when a scan yields fewer partitions.
-
-    CPU-heavy per-row work (tokenising whole texts) is bound by the number of
-    input splits; a table stored in a few large row groups would leave most
-    cores idle.  On a cluster reading many files this is a no-op.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df

@@ -23,13 +23,23 @@ def open_table(spark: SparkSession, path: str, nrows: int | None = None) -> Data
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext not in EXTENSIONS:
         raise ValueError(f"unsupported file type {ext!r}: expected one of {EXTENSIONS}")
-    if "://" not in path and not os.path.exists(path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
-    if ext == ".csv":
-        df = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    else:
+    if ext == ".parquet":
         df = spark.read.parquet(path)
-    return df.limit(nrows) if nrows is not None else df
+        return df.limit(nrows) if nrows is not None else df
+    reader = spark.read.option("header", True)
+    if nrows is None:
+        return reader.option("inferSchema", True).csv(path)
+    # the first rows alone decide the types of a preview; the rest of the file is not read for it
+    head = [r["value"] for r in spark.read.text(path).limit(nrows + 1).collect()]
+    return reader.option("inferSchema", True).csv(spark.sparkContext.parallelize(head, 1))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its own file system, local or not."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def score_source(training: DataFrame, data: DataFrame | str | None) -> DataFrame:
@@ -55,12 +65,8 @@ def save_project_part(spark: SparkSession, path: str, spec: dict, trials: DataFr
     """Spec JSON, trial log parquet, fitted pipelines with the ML writer."""
     saved = {}
     for name, model in fitted.items():
-        target = os.path.join(path, "models", name.replace(" ", "_"))
-        try:
-            model.write().overwrite().save(target)
-            saved[name] = target
-        except Exception as e:  # noqa: BLE001 - stages without a writer are reported, not pickled
-            saved[name] = f"not saved: {type(e).__name__}"
+        saved[name] = os.path.join(path, "models", name.replace(" ", "_"))
+        model.write().overwrite().save(saved[name])
     spark.createDataFrame([(json.dumps(dict(spec, models=saved), default=str),)], "spec string") \
         .coalesce(1).write.mode("overwrite").text(os.path.join(path, "spec"))
     if trials is not None:
@@ -70,9 +76,5 @@ def save_project_part(spark: SparkSession, path: str, spec: dict, trials: DataFr
 def load_project_part(spark: SparkSession, path: str) -> tuple[dict, DataFrame | None, dict[str, PipelineModel]]:
     spec = json.loads(spark.read.text(os.path.join(path, "spec")).first()[0])
     tpath = os.path.join(path, "trials")
-    trials = spark.read.parquet(tpath) if os.path.exists(tpath) or "://" in path else None
-    models = {}
-    for name, target in spec.get("models", {}).items():
-        if not str(target).startswith("not saved"):
-            models[name] = PipelineModel.load(target)
-    return spec, trials, models
+    trials = spark.read.parquet(tpath) if exists(spark, tpath) else None
+    return spec, trials, {name: PipelineModel.load(target) for name, target in spec.get("models", {}).items()}

@@ -15,7 +15,7 @@ from quarry.operators.models.catalogue import Dim
 from quarry.operators.models.closed_form import (DummyClassifier, GaussianNB, LinearDiscriminant,
                                                  QuadraticDiscriminant)
 from quarry.operators.models.linear import PenalisedLinearRegression, ridge_line
-from quarry.operators.search import decode, sample_raw, sample_trials_df, space_size
+from quarry.operators.search import decoded, plan_trials, space_size
 from quarry.sources.paging import numbered
 
 SF = "/root/testdata/sf0.01"
@@ -74,12 +74,12 @@ def test_roc_monotone_and_auc_matches_pairs(spark):
     s = np.round(rng.rand(400), 2)
     y = (rng.rand(400) < s).astype(int)
     df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y)], "s double, y int")
-    curve = M.roc_curve(df, F.col("y") == 1, "s", buckets=7).orderBy(F.desc("threshold")).collect()
+    curve = M.roc_curve(df, F.col("y") == 1, "s").orderBy(F.desc("threshold")).collect()
     tpr = [r["tpr"] for r in curve]
     fpr = [r["fpr"] for r in curve]
     assert tpr == sorted(tpr) and fpr == sorted(fpr)
     assert abs(tpr[-1] - 1) < 1e-12 and abs(fpr[-1] - 1) < 1e-12
-    auc = M.roc_auc(df, F.col("y") == 1, "s", buckets=7).first()[0]
+    auc = M.roc_auc(df, F.col("y") == 1, "s").first()[0]
     pos, neg = s[y == 1], s[y == 0]
     brute = np.mean([(p > n) + 0.5 * (p == n) for p, n in itertools.product(pos, neg)])
     assert abs(auc - brute) < 1e-9
@@ -96,28 +96,23 @@ def test_ridge_matches_closed_form(spark):
     assert math.isclose(m.intercept, want["intercept"], rel_tol=1e-6)
 
 
-def test_search_space_decode():
+def test_planned_trials_lie_in_the_domain(spark):
     dom = [Dim("mod__alpha", "exponential", (-5, 5)), Dim("mod__max_depth", "integer", (1, 15)),
            Dim("pre__nums__scaler", "categoric", ("MinMax", "MaxAbs")),
-           Dim("mod__hidden_layer_sizes", "integer", (5, 50))]
-    rng = np.random.RandomState(1)
-    for _ in range(50):
-        p = decode(dom, sample_raw(dom, rng))
+           Dim("mod__class_weight", "categoric", (None, "balanced")),
+           Dim("mod__hidden_layer_sizes", "integer", (5, 50)), Dim("mod__l1_ratio", "float", (0.25, 0.5))]
+    rows = plan_trials(spark, dom, 0, 200, seed=3).orderBy("trial").collect()
+    assert [r["trial"] for r in rows] == list(range(200))
+    params = [decoded(r["params"]) for r in rows]
+    for p in params:
         assert math.exp(-5) <= p["mod__alpha"] <= math.exp(5)
-        assert 1 <= p["mod__max_depth"] <= 15
-        assert p["pre__nums__scaler"] in ("MinMax", "MaxAbs")
-        assert isinstance(p["mod__hidden_layer_sizes"], tuple)
-    assert space_size(dom) is None
-    assert space_size(dom[1:3]) == 30
-
-
-def test_sample_trials_df_bounds(spark):
-    dom = [Dim("mod__C", "exponential", (-10, 10)), Dim("mod__max_depth", "integer", (1, 5)),
-           Dim("mod__class_weight", "categoric", (None, "balanced"))]
-    rows = sample_trials_df(spark, dom, 200, seed=3).collect()
-    assert len(rows) == 200
-    assert all(1 <= r["mod__max_depth"] <= 5 for r in rows)
-    assert all(math.exp(-10) <= r["mod__C"] <= math.exp(10) for r in rows)
+        assert 1 <= p["mod__max_depth"] <= 15 and 0.25 <= p["mod__l1_ratio"] <= 0.5
+        assert p["pre__nums__scaler"] in ("MinMax", "MaxAbs") and p.get("mod__class_weight") in (None, "balanced")
+        assert len(p["mod__hidden_layer_sizes"]) == 1 and 5 <= p["mod__hidden_layer_sizes"][0] <= 50
+    assert {p["mod__max_depth"] for p in params} == set(range(1, 16))
+    assert [r["params"] for r in plan_trials(spark, dom, 150, 50, seed=3).orderBy("trial").collect()] == [
+        r["params"] for r in rows[150:]]
+    assert space_size(dom) is None and space_size(dom[1:4]) == 60
 
 
 def test_feature_importance_scaled(spark):
@@ -130,26 +125,165 @@ def test_feature_importance_scaled(spark):
     assert all(0 <= v <= 1 for v in imp) and max(imp) == pytest.approx(1.0)
 
 
-def test_search_trials_unique(spark):
+def _prices(spark, **options):
     from quarry.plans.experiment import Experiment
     li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
-    exp = Experiment(li, "l_extendedprice", False, key=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
-                     nums=["l_quantity"], validation_method="test")
-    exp.fit_model("Decision Tree", max_train_time=60, max_trials=4, n_random=3)
-    raws = [tuple(t["raw"]) for t in exp.trials["Decision Tree"]]
-    assert len(raws) == len(set(raws)) == 4
-    assert exp.holdout_scores["Decision Tree"] is not None
+    return Experiment(li, "l_extendedprice", False, key=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+                      nums=["l_quantity"], **options)
+
 
+def test_search_walks_a_finite_space_once(spark):
+    exp = _prices(spark, validation_method="test")
+    exp.fit_model("Linear Regression", max_trials=50)       # two imputers
+    assert len(exp.trials["Linear Regression"]) == 2
+    exp.fit_model("Linear Regression", max_trials=50)
+    points = [t["point"] for t in exp.trials["Linear Regression"]]
+    assert len(points) == len(set(points)) == 2
+    assert exp.holdout_scores["Linear Regression"] is not None
+
+
+@pytest.mark.parametrize("method,groups", [("cv", None), ("group", "l_returnflag")])
+def test_fold_loop(spark, method, groups):
+    exp = _prices(spark, validation_method=method, validation_size=3, groups=groups)
+    exp.fit_model("Linear Regression", max_trials=1)
+    t = exp.trials["Linear Regression"][0]
+    d = exp.split(True).select("__fold", F.col("l_quantity").cast("double").alias("x"), F.col("label").alias("y")).toPandas()
+    want = []
+    for f in sorted(d["__fold"].unique()):
+        tr, te = d[d["__fold"] != f], d[d["__fold"] == f]
+        b, a = np.polyfit(tr.x, tr.y, 1)
+        want.append(1 - ((te.y - a - b * te.x) ** 2).sum() / ((te.y - te.y.mean()) ** 2).sum())
+    assert t["score"] == pytest.approx(np.mean(want)) and t["score_std"] == pytest.approx(np.std(want))
+    exp.release()
+
+
+def test_r2_of_a_large_mean(spark):
+    rng = np.random.RandomState(0)
+    y = 1.7e9 + 0.3 * rng.randn(500)
+    p, w = y + 0.1 * rng.randn(500), rng.rand(500) + 0.5
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(y, p, w)], "y double, p double, w double")
+    got = df.agg(M.r2("y", "p").alias("a"), M.r2("y", "p", "w").alias("b")).first()
+    assert got["a"] == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs=1e-4)
+    m = (w * y).sum() / w.sum()
+    assert got["b"] == pytest.approx(1 - (w * (y - p) ** 2).sum() / (w * (y - m) ** 2).sum(), abs=1e-4)
 
-def test_linear_svr_large_c_is_least_squares(spark):
-    from quarry.operators.models.iterative import LinearSVR, PassiveAggressiveRegressor
+
+def test_msle_is_null_below_minus_one(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (3.0, -3.0)], "y double, p double")
+    assert df.agg(M.msle("y", "p").alias("m")).first()["m"] is None
+    assert df.where("p > 0").agg(M.msle("y", "p").alias("m")).first()["m"] == 0
+
+
+def test_median_error_and_quantiles(spark):
+    from quarry.operators.quantiles import exact_quantiles
+    rng = np.random.RandomState(1)
+    g, v, w = rng.randint(0, 3, 900), np.round(rng.randn(900), 1), rng.randint(1, 5, 900)
+    df = spark.createDataFrame([(None if a == 2 else int(a), float(b), float(c)) for a, b, c in zip(g, v, w)],
+                               "g int, v double, w double")
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    for r in exact_quantiles(df, ["g"], "v", probs).collect():
+        assert r["q"] == pytest.approx(np.quantile(v[g == (2 if r["g"] is None else r["g"])], probs))
+    for r in exact_quantiles(df, ["g"], "v", [0.5], F.col("w")).collect():
+        m = g == (2 if r["g"] is None else r["g"])
+        o = np.argsort(v[m], kind="stable")
+        want = v[m][o][np.searchsorted(np.cumsum(w[m][o]), 0.5 * w[m].sum())]
+        assert r["q"][0] == want
+    rows = spark.createDataFrame([(0.0, 1.0, 1.0), (0.0, 5.0, 9.0), (0.0, 2.0, 1.0)], "y double, p double, w double")
+    assert M.median_absolute_error(rows, "y", "p").first()["medae"] == 2.0
+    assert M.median_absolute_error(rows, "y", "p", "w").first()["medae"] == 5.0
+
+
+def test_small_holdout_share(spark):
+    o = spark.range(200000).withColumnRenamed("id", "k")
+    assert 30 < o.where(V.holdout_flag("k", 0.0004)).count() < 140
+
+
+def test_stratified_folds_do_not_depend_on_ranges(spark):
+    o = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    a, b = (sorted(map(tuple, V.stratified_kfold(o, "o_orderkey", "o_orderstatus", 4, sub_buckets=n).collect()))
+            for n in (1, 37))
+    assert a == b
+
+
+def test_svr_is_ridge_and_weights_count(spark):
+    from quarry.operators.models.catalogue import Context, regression_models
+    from quarry.operators.models.iterative import PassiveAggressiveRegressor
     li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select(
-        F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").alias("y"))
-    want = ridge_line(li, "x", "y", 0.0).first()
+        F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").alias("y"), F.lit(1.0).alias("w"))
+    n = li.count()
     v = VectorAssembler(inputCols=["x"], outputCol="features").transform(li)
-    m = LinearSVR(labelCol="y", C=1e8).fit(v)
-    coef, intercept = m.getModelData()
-    assert math.isclose(coef[0], want["slope"], rel_tol=1e-3, abs_tol=1e-3)
-    assert math.isclose(intercept, want["intercept"], rel_tol=1e-4)
-    pa = PassiveAggressiveRegressor(labelCol="y", C=1.0, epochs=2).fit(v)
+    svr = regression_models(["x"])["Linear SVM"].build({"mod__C": 0.01}, Context(n=n, label="y", weight="w"))[0].fit(v)
+    want = ridge_line(li, "x", "y", 1.0 / (2.0 * 0.01)).first()
+    assert math.isclose(svr.coefficients[0], want["slope"], rel_tol=1e-5)
+    pa = PassiveAggressiveRegressor(labelCol="y", weightCol="w", C=1.0, epochs=2).fit(v)
     assert len(pa.getModelData()[0]) == 1
+
+
+def _kinds(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").select(
+        "vec_id", (F.col("label") % 3).cast("double").alias("label"),
+        *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
+    return VectorAssembler(inputCols=[f"e{i}" for i in range(4)], outputCol="features").transform(e)
+
+
+def test_extra_trees_differ(spark):
+    from quarry.operators.models.catalogue import Context, regression_models
+    d = _kinds(spark).withColumn("__w", F.lit(1.0))
+    params = {"mod__max_depth": 4, "mod__min_samples_leaf": 1}
+    forest = regression_models(["e0"])["Extra Trees"].build(params, Context(n=500.0))[0].fit(d)
+    assert len({t.toDebugString.split("\n", 1)[1] for t in forest.trees}) > 1
+
+
+@pytest.mark.parametrize("name", ["ada_reg", "ada_cls", "ovr"])
+def test_ensembles_are_saved_whole(spark, tmp_path, name):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.classification import GBTClassifier
+    from quarry.operators.models import iterative as it
+    d = _kinds(spark)
+    est = {"ada_reg": it.AdaBoostRegressor(nEstimators=3), "ada_cls": it.AdaBoostClassifier(nEstimators=3, numClasses=3),
+           "ovr": it.OneVsRestProbabilistic(classifier=GBTClassifier(maxIter=2, maxDepth=2), numClasses=3)}[name]
+    model = Pipeline(stages=[est]).fit(d)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    back = PipelineModel.load(str(tmp_path / "m"))
+    a, b = (sorted(map(tuple, m.transform(d).select("vec_id", "prediction").collect())) for m in (model, back))
+    assert a == b
+    imp = back.stages[0].featureImportances.toArray()
+    assert len(imp) == 4 and abs(imp.sum() - 1) < 1e-6
+
+
+def test_project_is_loaded_with_its_search(spark, tmp_path):
+    from quarry.plans.experiment import Project
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    project = Project(li, "p")
+    exp = project.new_experiment(target="l_extendedprice", classification=False, nums=["l_quantity"], cats=["l_returnflag"],
+                                 key=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], validation_method="test", seed=7)
+    exp.fit_model("Decision Tree", max_trials=1)
+    project.save(str(tmp_path / "p"))
+    back = Project.load(li, str(tmp_path / "p"))
+    again = back.experiments[0]
+    assert (back.name, again.seed) == ("p", 7)
+    assert again.trials["Decision Tree"] == exp.trials["Decision Tree"]
+    again.fit_model("Decision Tree", max_trials=2)
+    assert len({t["point"] for t in again.trials["Decision Tree"]}) == 2
+    assert again.importance_by_variable("Decision Tree").count() <= 2
+
+
+def test_absent_numeric_column_is_imputed(spark):
+    from quarry.operators.features import NumericBlock
+    d = spark.createDataFrame([(1.0, 4.0), (3.0, 8.0)], "a double, b double")
+    model = NumericBlock(inputCols=["a", "b"], outputCol="v").fit(d)
+    out = model.transform(d.drop("b"))
+    assert out.columns == ["a", "v"]
+    assert [list(r["v"].toArray()) for r in out.orderBy("a").collect()] == [[1.0, 6.0], [3.0, 6.0]]
+
+
+def test_csv_preview_and_missing_file(spark, tmp_path):
+    from quarry.sources.files import open_table
+    path = tmp_path / "t.csv"
+    path.write_text("a,b\n" + "\n".join(f"{i},x{i}" for i in range(100)) + "\nlast,y\n")
+    assert [tuple(r) for r in open_table(spark, str(path), nrows=2).collect()] == [(0, "x0"), (1, "x1")]
+    assert open_table(spark, str(path)).count() == 101
+    with pytest.raises(FileNotFoundError):
+        open_table(spark, str(tmp_path / "none.csv"))
+    with pytest.raises(ValueError):
+        open_table(spark, str(tmp_path / "t.txt"))
