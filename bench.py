@@ -24,7 +24,7 @@ HEADLINE = [
     "count_plot_text", "grouped_average_text", "tfidf",
     "stratified_kfold", "cv_scores", "regression_metrics", "classification_metrics",
     "roc_curve", "confusion_matrix", "scale_robust", "one_hot", "tfidf_pipeline",
-    "linear_predictions", "gnb_predictions", "prediction_reasons", "dependence_table",
+    "linear_predictions", "gnb_predictions", "prediction_reasons", "dependence_table", "cv_trial",
 ]
 
 

@@ -62,6 +62,11 @@ class BaseModel(Model, HasFeaturesCol, HasPredictionCol, HasModelData,
         return vector_to_array(F.col(self.getFeaturesCol()))
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often (or in whichever lambda) the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 class BaseClassifierModel(BaseModel, HasProbabilityCol, HasRawPredictionCol):
     def _emit(self, df: DataFrame, scores: Sequence[Column] | Column, classes: Sequence[float],
               log_space: bool = True) -> DataFrame:
@@ -71,20 +76,22 @@ class BaseClassifierModel(BaseModel, HasProbabilityCol, HasRawPredictionCol):
         softmax); otherwise they are already probabilities.
         """
         raw = scores if isinstance(scores, Column) else F.array(*scores)
-        if log_space:
-            top = F.array_max(raw)
-            ex = F.transform(raw, lambda s: F.exp(s - top))
-            total = F.aggregate(ex, F.lit(0.0), lambda a, v: a + v)
-            prob = F.transform(ex, lambda v: v / total)
-        else:
-            prob = raw
-        out = df.withColumn(self.getRawPredictionCol(), array_to_vector(raw)) \
-                .withColumn(self.getProbabilityCol(), array_to_vector(prob))
+
+        def shares(r: Column) -> Column:
+            if not log_space:
+                return r
+            return bind(F.array_max(r), lambda top: bind(F.transform(r, lambda s: F.exp(s - top)), lambda ex: bind(
+                F.aggregate(ex, F.lit(0.0), lambda a, v: a + v), lambda total: F.transform(ex, lambda v: v / total))))
+
+        both = bind(raw, lambda r: F.struct(r.alias("raw"), shares(r).alias("prob")))
+        out = df.withColumn("__scores", both)
+        out = (out.withColumn(self.getRawPredictionCol(), array_to_vector(F.col("__scores.raw")))
+                  .withColumn(self.getProbabilityCol(), array_to_vector(F.col("__scores.prob"))).drop("__scores"))
         # prediction: the class at the arg-max of the stored probability
-        arr = vector_to_array(F.col(self.getProbabilityCol()))
-        pos = F.array_position(arr, F.array_max(arr)).cast("int")
         labels = F.array(*[F.lit(float(c)) for c in classes])
-        return out.withColumn(self.getPredictionCol(), F.element_at(labels, pos))
+        best = bind(vector_to_array(F.col(self.getProbabilityCol())), lambda p: F.element_at(
+            labels, F.array_position(p, F.array_max(p)).cast("int")))
+        return out.withColumn(self.getPredictionCol(), best)
 
 
 # --- models made of other models -----------------------------------------------------------
