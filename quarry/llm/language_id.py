@@ -35,7 +35,7 @@ SEGMENT_WORDS = 24
 DIMENSIONS = 1 << 17
 UNDETERMINED = "und"
 #: text labelled at once
-LABEL_BYTES = 12 << 20
+LABEL_BYTES = 8 << 20
 _GRAMS = (2, 3, 4, 5)
 
 
@@ -157,10 +157,12 @@ class WordField:
     transition: np.ndarray
 
     def emissions(self, words: pa.Array) -> np.ndarray:
-        ids, first = features(words)
-        if not len(words):
-            return np.zeros((0, len(self.labels)), dtype=np.float32)
-        return np.add.reduceat(self.weights[ids], first, axis=0)
+        """Score of every label for each word, a few thousand words at a time."""
+        out = np.zeros((len(words), len(self.labels)), dtype=np.float32)
+        for a in range(0, len(words), 1 << 14):
+            ids, first = features(words.slice(a, 1 << 14))
+            out[a:a + (1 << 14)] = np.add.reduceat(self.weights[ids], first, axis=0)
+        return out
 
     def shares(self, texts: pa.Array) -> np.ndarray:
         """Expected share of each label among the words of each text; zeros for a text without words."""
@@ -294,7 +296,10 @@ def with_language(docs: DataFrame, field: WordField, text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             letters = np.asarray(batch.column("letters"))
-            share = field.shares(text_column(batch)) if len(labels) > 1 else np.zeros((batch.num_rows, 1))
+            # the text travels once: inside the row where that holds it
+            texts = (pc.fill_null(pc.struct_field(batch.column("row"), text_col), "") if text_col in carry
+                     else text_column(batch))
+            share = field.shares(texts) if len(labels) > 1 else np.zeros((batch.num_rows, 1))
             best, score = share.argmax(axis=1), share.max(axis=1)
             none = ~letters | (score <= 0)
             best[none], score[none] = len(labels) - 1, 0
@@ -308,7 +313,7 @@ def with_language(docs: DataFrame, field: WordField, text_col: str = "text",
                       StructField("score", DoubleType())])
     return docs.select(F.struct(*[docs[c] for c in carry]).alias("row"),
                        F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"),
-                       text.alias("text")).mapInArrow(run, out)
+                       *([] if text_col in carry else [text.alias("text")])).mapInArrow(run, out)
 
 
 def predict(docs: DataFrame, field: WordField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
