@@ -28,7 +28,7 @@ SEQUENCE = 2048
 #: documents in a random group: enough for a fit within a fraction of a percent
 GROUP_DOCS = 4096
 #: text whose distinct words are tokenised together
-VOCABULARY_BYTES = 24 << 20
+VOCABULARY_BYTES = 8 << 20
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
@@ -72,7 +72,7 @@ class WordTokens:
     ``KNOWN_WORDS`` words stay known from one slice of text to the next.
     """
 
-    KNOWN_WORDS = 1 << 20
+    KNOWN_WORDS = 1 << 19
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
