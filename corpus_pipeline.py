@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import language_id
 from quarry.llm.mixing import mixed_documents
 from quarry.llm.packing import pack
-from quarry.llm.simhash import near_duplicates
+from quarry.llm.simhash import one_of_each
 from quarry.llm.suffix_array import without_repeats
 from quarry.session import ensure_checkpoint_dir, ship_package, table
 
@@ -37,25 +37,21 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the smallest id.
+    """One row of each SimHash component stays: the least by id, null ids last.
 
-    Of rows that share an id (null ids among them) the first by text stays, so
-    that ids are unique from here on.
+    Rows under one id, or under null, are documents of their own.
     """
     ship_package(spark)
-    found = near_duplicates(docs)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(heads, docs.doc_id.eqNullSafe(heads.doc_id), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    row = F.struct(*[kept[c] for c in docs.columns])
-    ranked = kept.select(row.alias("_row"), "doc_id", "text").withColumn("_n", F.row_number().over(first))
-    return ranked.where("_n = 1").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    return one_of_each(docs)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every byte of a 100-byte string that also starts earlier goes; documents of which nothing is left go whole."""
     ship_package(spark)
-    cut = without_repeats(docs)
+    # rows without an id are told apart by their text; below zero, they come before the others as null does
+    own = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(-(1 << 63))
+    named = docs.select(F.coalesce(docs.doc_id.cast("bigint"), own).alias("_own_id"), *docs.columns)
+    cut = without_repeats(named, id_col="_own_id").drop("_own_id")
     return cut.where(F.col("text") != "").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .identity import distinct_rows, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -160,8 +161,8 @@ def _permuted(block: str, n: str, key: str) -> str:
 
 def mixture(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS, block_words: int = BLOCK_WORDS,
             shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text",
-            source_col: str = "source") -> DataFrame:
-    """One row per document: id, source, size, source_size, target, pieces.
+            source_col: str = "source", key_cols: tuple = ()) -> DataFrame:
+    """One row per document: id, source, size, source_size, target, pieces, and ``key_cols``, which tell rows apart.
 
     ``pieces`` lists what the mix takes of the document: (shard, slot, epoch,
     start, words), ``start`` counting the document's words before it.  An epoch
@@ -174,7 +175,7 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_RE
     """
     kind = docs.schema[id_col].dataType.simpleString()
     sizes = cut_lineage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                                    word_count(F.col(text_col)).alias("size")))
+                                    word_count(F.col(text_col)).alias("size"), *key_cols))
     rows = sizes.count()
     # as many buckets as rows in a bucket: neither the bucket list of a source nor a bucket grows faster than a root
     buckets = max(1, math.isqrt(rows))
@@ -194,17 +195,20 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_RE
     starts = split_quotas(quota.select("rank", "slots"), shards, seed)
     plan = shared.join(quota.drop("source", "source_size", "target"), "rank", "left").join(starts, "rank", "left")
 
-    placed = sizes.withColumn("h", F.xxhash64("id", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    h = F.xxhash64("id", F.lit(seed))
+    # null ids would all be one bucket
+    h = F.when(F.col("id").isNull(), F.xxhash64(*key_cols, F.lit(seed))).otherwise(h) if key_cols else h
+    placed = sizes.withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
     before = sums.select("source", "bucket", (F.sum("s").over(Window.partitionBy("source").orderBy("bucket")) - F.col("s"))
                          .alias("before"))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bucket").orderBy("h", "id", "size", *key_cols).rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("at", F.sum("size").over(inside) - F.col("size"))
     same = placed.source.eqNullSafe(before.source) & (placed.bucket == before.bucket)
     placed = placed.join(before, same).select(placed["*"], (F.col("at") + F.col("before")).alias("first"))
     rows_ = placed.join(plan, placed.source.eqNullSafe(plan.source)).select(
         placed.id, placed.source, "size", "source_size", "target", "first", "rank", "blocks", "passes", "rest", "short",
-        "short_at", "starts")
+        "short_at", "starts", *key_cols)
     taken = _let(_permuted("k", "blocks", f"rank, {seed}"), "m", f"""
         transform(sequence(0L, passes), e -> named_struct(
             'shard', int(size(filter(starts, z -> z <= e * blocks + m)) - 1), 'slot', e * blocks + m, 'epoch', int(e),
@@ -215,7 +219,7 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_RE
         sequence(first div {b}, (first + size - 1) div {b}), k -> {taken})), p -> p.words > 0) END"""
     empty = "cast(array() as array<struct<shard:int,slot:bigint,epoch:int,start:bigint,words:bigint>>)"
     return rows_.select(F.col("id").cast(kind).alias(id_col), F.col("source").alias(source_col), "size", "source_size",
-                        "target", F.coalesce(F.expr(pieces), F.expr(empty)).alias("pieces"))
+                        "target", F.coalesce(F.expr(pieces), F.expr(empty)).alias("pieces"), *key_cols)
 
 
 def digest(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -240,17 +244,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The documents as the mix takes them: a row for each document and epoch, with the words taken.
 
     A document taken whole keeps its text as it is; of one cut by a block's
-    edge the taken words are joined by one space.  ``id_col`` must be unique.
-    Extra columns are kept.
+    edge the taken words are joined by one space.  Rows are joined by what they
+    hold, so that null and repeated ids multiply nothing.  Extra columns are kept.
     """
-    mixed = mixture(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    epochs = mixed.select(F.col(id_col).alias("id"), F.col("size"), F.explode(F.expr(
+    keyed = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[source_col].alias("source"), *row_key(docs))
+    mixed = mixture(keyed, id_col="id", text_col="text", source_col="source", key_cols=("_a", "_b"), **options)
+    epochs = mixed.select("_a", "_b", "size", F.explode(F.expr(
         "transform(array_sort(array_distinct(transform(pieces, p -> p.epoch))), "
         "e -> array_sort(transform(filter(pieces, p -> p.epoch = e), p -> named_struct('start', p.start, 'words', p.words))))"))
         .alias("parts"))
-    # the document as one struct, so that no name of its columns can clash
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
-    joined = rows.join(epochs, rows["row"][id_col].eqNullSafe(epochs["id"]))
+    joined = (distinct_rows(docs).join(epochs, ["_a", "_b"])
+              .select("row", "size", "parts", F.col("row")[text_col].alias("text")))
     whole = F.expr("aggregate(parts, 0L, (s, p) -> s + p.words) = size")
     cut = F.expr(f"array_join(flatten(transform(parts, p -> slice(regexp_extract_all(text, r'{WORD}', 0), "
                  "int(p.start) + 1, int(p.words)))), ' ')")

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import components
+from .identity import distinct_rows, row_key
 from .textarrays import text_column
 
 BITS = 64
@@ -234,3 +235,21 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: st
     by_fp = named.join(least, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text",
+                bucket_rows: int = 4096) -> DataFrame:
+    """One row of each component: the least by (id, fingerprint, hash of the row), null ids last.
+
+    Rows are chosen, not ids: different documents under one id, or under null,
+    stay where they are no near copies; equal rows count once.  Only keys are
+    compared; the rows themselves are dealt by their hash.
+    """
+    keyed = docs.select(F.struct(docs[id_col].alias("id"), *row_key(docs)).alias("_id"), docs[text_col].alias("_text"))
+    fps = cut_lineage(fingerprints(keyed, words, "_id", "_text"))
+    least = F.min(F.struct(F.col("id.id").isNull().alias("no_id"), "id.id", "fp", "id._a", "id._b"))
+    reps = fps.groupBy("fp").agg(least.alias("first"))
+    roots = components(links(reps, radius, bucket_rows))
+    named = reps.join(roots, reps.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    stay = named.groupBy("root").agg(F.min("first").alias("first")).select("first._a", "first._b")
+    return distinct_rows(docs).join(stay, ["_a", "_b"], "left_semi").select(*[F.col("row")[c].alias(c) for c in docs.columns])

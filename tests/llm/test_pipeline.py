@@ -89,3 +89,32 @@ def test_registered_queries():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
     assert "pipeline" in entry.queries()
+
+
+def clean_rows(messy):
+    """Different long texts of which no two are near copies, by the brute force."""
+    texts = [t for _, t in messy if t and len(t) > 500]
+    root = brute.components([(i, brute.simhash(t)) for i, t in enumerate(texts)])
+    return [t for i, t in enumerate(texts) if root[i] == i][:5]
+
+
+def test_near_duplicates_choose_rows(spark, sf_small, messy):
+    a, b, c, d, e = clean_rows(messy)
+    rows = [(3, a), (7, a), (7, b), (7, b), (8, c), (8, d), (None, e), (None, d), (None, a), (None, b + " "), (None, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = [(r.doc_id, r.text) for r in pipeline.near_duplicate_stage(spark, docs, sf_small).collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (7, b), (8, c), (8, d), (None, e)], key=str)
+
+
+def test_null_and_repeated_ids_through_the_texts(spark, sf_small, messy):
+    texts = clean_rows(messy)
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    cut = pipeline.repeat_stage(spark, docs, sf_small)
+    assert cut.columns == docs.columns and [r.doc_id for r in cut.collect()].count(None) == 2
+    assert sum(len(r.text) for r in cut.collect()) > 0.5 * sum(map(len, texts))
+    # one source is taken whole and once: the rows as they are, an equal row included
+    mixed = pipeline.mixing_stage(spark, docs.unionAll(docs.limit(1)), sf_small)
+    assert sorted(((r.doc_id, r.text) for r in mixed.collect()), key=str) == sorted(rows + rows[:1], key=str)
