@@ -287,3 +287,14 @@ def test_csv_preview_and_missing_file(spark, tmp_path):
         open_table(spark, str(tmp_path / "none.csv"))
     with pytest.raises(ValueError):
         open_table(spark, str(tmp_path / "t.txt"))
+
+
+def test_text_query_takes_every_text_classifier(spark, sf_small, monkeypatch):
+    import __spark_entry__ as entry
+    from quarry.operators.models import catalogue
+    from quarry.plans import q_models
+    taken = []
+    monkeypatch.setattr(q_models, "_zoo", lambda exp: taken.extend(exp.models) or exp.data)
+    entry.queries()["text_classification_models"](spark, sf_small)
+    assert set(catalogue.classification_models(cats=["lang"], text=["text"])) <= set(taken)
+    assert {"Linear SVM", "Kernel SVM", "Gradient Boosted Trees", "Neural Network"} <= set(taken)
