@@ -415,13 +415,13 @@ def _zoo(exp: Experiment):
 
 @query("regression_models")
 def regression_models(t):
-    """Every regression model fitted on lineitem, R^2 on the holdout."""
+    """Every regression model built, fitted on lineitem, R^2 on the holdout."""
     return _zoo(_li_experiment(t, nums=LI_NUMS, cats=("l_returnflag",), name="zoo"))
 
 
 @query("classification_models")
 def classification_models(t):
-    """Every classification model on order status (three classes), holdout accuracy."""
+    """Every classification model built, on order status (three classes), holdout accuracy."""
     return _zoo(Experiment(t("orders"), "o_orderstatus", True, key="o_orderkey", nums=["o_totalprice"],
                            cats=["o_orderpriority"], scorer="accuracy", validation_method="test", name="zoo"))
 
