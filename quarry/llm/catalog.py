@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import ann_forest, exact_topk, language_id, license_scan, suffix_array, suffix_tree, url_filter
+from . import (ann_forest, embedding_dedup, exact_topk, fill_in_middle, hard_negatives, language_id, license_scan,
+               suffix_array, suffix_tree, url_filter)
 from .mixing import digest, mixture
 from .packing import pack
 from .simhash import near_duplicates
@@ -77,6 +78,21 @@ def op10(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@_query("op11_hard_negatives", hard_negatives.oracle_sql())
+def op11(spark, sf_dir):
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+@_query("op12_embedding_dedup", embedding_dedup.oracle_sql())
+def op12(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op13_fill_in_middle", fill_in_middle.oracle_sql())
+def op13(spark, sf_dir):
+    return fill_in_middle.digest(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, QueryFn]:
     import corpus_pipeline
     return {k: v[0] for k, v in REGISTRY.items()} | {"pipeline": corpus_pipeline.run}

@@ -1,7 +1,8 @@
-"""Connected components of a link table by alternating large-star and small-star rounds."""
+"""Connected components of a link table by alternating large-star and small-star rounds, and of links inside one task."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +47,18 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(roots)
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least index reachable from each of ``n`` nodes over links a-b."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        was = root.copy()
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while not np.array_equal(root, up := root[root]):
+            root = up
+        if np.array_equal(root, was):
+            break
+    return root

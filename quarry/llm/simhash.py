@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .components import components
+from .components import components, local_roots
 from .identity import distinct_rows, row_key
 from .textarrays import text_column
 
@@ -95,21 +95,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least index reachable from each of ``n`` nodes over links a-b."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        was = root.copy()
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        while not np.array_equal(root, up := root[root]):
-            root = up
-        if np.array_equal(root, was):
-            break
-    return root
-
-
 def link_runs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what is within ``radius`` inside runs of equal keys (rows sorted by key).
 
@@ -130,7 +115,7 @@ def link_runs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarra
             right.append(near + d)
     if not left:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    root = _local_roots(n, np.concatenate(left), np.concatenate(right))
+    root = local_roots(n, np.concatenate(left), np.concatenate(right))
     moved = np.flatnonzero(root != np.arange(n))
     return moved, root[moved]
 

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -23,12 +23,17 @@ from ..session import cut_lineage
 Index = Callable[[np.ndarray, int], Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
+def usable(vec_col: str, nonzero: bool) -> Column:
+    """Whether a vector has one finite number or more and nothing else, not all zero if ``nonzero``; never null."""
+    ok = f"size(`{vec_col}`) > 0 AND forall(`{vec_col}`, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
+    ok += f" AND exists(`{vec_col}`, x -> x <> 0)" if nonzero else ""
+    return F.coalesce(F.expr(ok), F.lit(False))
+
+
 def valid(rows: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> DataFrame:
     """(id, v) with a non-null id and a vector of one finite double or more, not all zero if ``nonzero``."""
     df = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    ok = "size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
-    df = df.where("id IS NOT NULL AND v IS NOT NULL").where(ok)
-    return df.where("exists(v, x -> x <> 0)") if nonzero else df
+    return df.where("id IS NOT NULL").where(usable("v", nonzero))
 
 
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
