@@ -11,8 +11,7 @@ gini/entropy and have no ``min_samples_split``, so those dimensions are not
 searched; "Extra Trees" is a forest without bootstrap whose trees differ by the
 feature subset of each split (thresholds are not random); XGBoost has no
 package here, so "Gradient Boosted Trees" stands for both boosters and is
-offered with text too; the Spark MLP has no L2 penalty.  k-nearest neighbours
-is not offered (see README).
+offered with text too; the Spark MLP has no L2 penalty.
 """
 
 from __future__ import annotations
@@ -30,6 +29,7 @@ from ..features import IMPUTERS, SCALERS, RBFFeatures
 from .closed_form import (DummyClassifier, DummyRegressor, GaussianNB, LinearDiscriminant,
                           QuadraticDiscriminant)
 from . import iterative as it
+from .neighbours import WEIGHTINGS, KNeighborsClassifier, KNeighborsRegressor
 from .linear import PenalisedLinearRegression
 
 
@@ -50,6 +50,7 @@ class Context:
     features: str = "features"
     weight: str = "__w"           # sample weight
     class_weight: str = "__cw"    # sample weight x balanced class weight
+    key: tuple = ()               # columns that tell rows apart, for ties
 
 
 @dataclass
@@ -84,6 +85,7 @@ def regression_models(nums: Sequence[str] = (), cats: Sequence[str] = (),
     """R1-R15 (R16 is :func:`regression_benchmark`).  AdaBoost is skipped with text."""
     imp = _numeric_dims(nums, False)
     impsc = _numeric_dims(nums, True)
+    knn_dims = [Dim("mod__n_neighbors", "integer", (1, 20)), Dim("mod__weights", "categoric", WEIGHTINGS)]
 
     def svr(p, c, features):
         # the squared loss with epsilon 0: |w|^2 / 2 + C sum r^2 is ridge with l2 = 1 / (2 C n)
@@ -159,6 +161,10 @@ def regression_models(nums: Sequence[str] = (), cats: Sequence[str] = (),
                                                          nEstimators=p["mod__n_estimators"])]),
         ]
     models += [
+        ModelSpec("K Nearest Neighbors", "regression", knn_dims + impsc,
+                  lambda p, c: [KNeighborsRegressor(featuresCol=c.features, labelCol=c.label, keyCols=c.key,
+                                                    nNeighbors=p["mod__n_neighbors"], weighting=p["mod__weights"])],
+                  scaled=True),
         ModelSpec("Neural Network", "regression",
                   [Dim("mod__alpha", "exponential", (-10, 10)),
                    Dim("mod__hidden_layer_sizes", "integer", (5, 50))] + impsc,
@@ -182,6 +188,7 @@ def classification_models(nums: Sequence[str] = (), cats: Sequence[str] = (), te
     """K1-K18 (K19 is :func:`classification_benchmark`)."""
     imp = _numeric_dims(nums, False)
     impsc = _numeric_dims(nums, True)
+    knn_dims = [Dim("mod__n_neighbors", "integer", (1, 20)), Dim("mod__weights", "categoric", WEIGHTINGS)]
     cw = Dim("mod__class_weight", "categoric", (None, "balanced"))
 
     def logistic(p, c, l1):
@@ -255,6 +262,10 @@ def classification_models(nums: Sequence[str] = (), cats: Sequence[str] = (), te
                                                           numClasses=c.n_classes)]),
         ]
     models += [
+        ModelSpec("K Nearest Neighbors", "classification", knn_dims + impsc,
+                  lambda p, c: [KNeighborsClassifier(featuresCol=c.features, labelCol=c.label, keyCols=c.key,
+                                                     nNeighbors=p["mod__n_neighbors"], weighting=p["mod__weights"],
+                                                     numClasses=c.n_classes)], scaled=True),
         ModelSpec("Neural Network", "classification",
                   [Dim("mod__hidden_layer_sizes", "integer", (5, 50))] + impsc,
                   lambda p, c: [it.SizedMLPClassifier(featuresCol=c.features, labelCol=c.label,

@@ -187,7 +187,7 @@ class Experiment:
         spec = self.models[model]
         pre = preprocessor(self.nums, self.cats, self.text, imputer=params.get("pre__nums__imputer", "mean"),
                            scaler=params.get("pre__nums__scaler") if spec.scaled else None)
-        ctx = Context(n=n, n_classes=len(self.classes))
+        ctx = Context(n=n, n_classes=len(self.classes), key=tuple(self.key))
         return Pipeline(stages=pre.getStages() + spec.build(params, ctx))
 
     def _scored(self, fitted: PipelineModel, df: DataFrame) -> DataFrame:

@@ -387,6 +387,68 @@ def prediction_file(t):
                        F.round("Prediction", 4).alias("Prediction"))
 
 
+# --- nearest neighbours (R14, K12) -----------------------------------------------------------------
+
+KNN_SIZES = (1, 5, 20)
+
+_KNN_VOTES = """
+g AS (SELECT id, kk.k, kk.weights, y, CASE WHEN kk.weights = 'uniform' THEN 1.0
+             WHEN min(d) OVER (PARTITION BY id, kk.k, kk.weights) = 0 THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END ELSE 1 / d END AS w
+      FROM near JOIN (SELECT unnest([1, 5, 20]) AS k, w AS weights FROM (VALUES ('uniform'), ('distance')) v(w)) kk ON r <= kk.k)"""
+
+
+@query("knn_regression", f"""
+WITH d AS (SELECT c_custkey AS id, c_acctbal AS y, c_nationkey AS n, c_mktsegment AS s,
+                  {_hold('c_custkey')} AS hold FROM customer),
+p AS (SELECT a.id, b.id AS other, b.y, sqrt((a.n - b.n) ^ 2 + CASE WHEN a.s <> b.s THEN 2 ELSE 0 END) AS d
+      FROM d a JOIN d b ON a.hold AND NOT b.hold),
+near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS r FROM p QUALIFY r <= 20),{_KNN_VOTES}
+SELECT id AS c_custkey, CAST(k AS INTEGER) AS k, weights, round(sum(w * y) / sum(w), 6) AS "Prediction" FROM g GROUP BY ALL""")
+def knn_regression(t):
+    """Account balance by the nearest customers (nation number, market segment), k = 1, 5, 20, both weightings."""
+    exp = Experiment(t("customer"), "c_acctbal", False, key="c_custkey", nums=["c_nationkey"], cats=["c_mktsegment"],
+                     scorer="r2", validation_method="test", name="neighbours")
+    return _knn_answers(exp, "c_custkey", lambda out: [F.col("prediction").alias("Prediction")])
+
+
+_EMB_KNN = f"""
+WITH d AS ({_EMB}),
+p AS (SELECT a.id, b.id AS other, b.y, list_distance(a.arr, b.arr) AS d FROM d a JOIN d b ON a.hold AND NOT b.hold),
+near AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS r FROM p QUALIFY r <= 20),{_KNN_VOTES},
+c AS (SELECT id, k, weights, y, sum(w) AS w FROM g GROUP BY ALL),
+f AS (SELECT id, k, weights, w / sum(w) OVER (PARTITION BY id, k, weights) AS p FROM c)
+SELECT id AS vec_id, CAST(k AS INTEGER) AS k, weights, round(max(p), 6) AS top_probability FROM f GROUP BY ALL"""
+
+
+@query("knn_classification", _EMB_KNN)
+def knn_classification(t):
+    """Label of the nearest vectors (64 features), k = 1, 5, 20, both weightings: share of the winning class."""
+    from pyspark.ml.functions import vector_to_array
+    e = t("embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}")
+                                                    for i in range(EMB_DIMS)])
+    exp = Experiment(e, "label", True, key="vec_id", nums=EMB_NUMS, scorer="accuracy", validation_method="test",
+                     name="neighbours")
+    return _knn_answers(exp, "vec_id", lambda out: [F.array_max(vector_to_array("probability")).alias("top_probability")])
+
+
+def _knn_answers(exp: Experiment, key: str, columns):
+    """One fit, an index for 20 neighbours, and its answers on the holdout for every size and weighting."""
+    from ..operators.models.neighbours import WEIGHTINGS
+    train = exp.split(True)
+    pipe = exp.pipeline("K Nearest Neighbors", {"mod__n_neighbors": max(KNN_SIZES), "mod__weights": "uniform"}, 1.0)
+    fitted = pipe.fit(train)
+    ready = fitted.stages[0].transform(exp.split(False))
+    for stage in fitted.stages[1:-1]:
+        ready = stage.transform(ready)
+    out = None
+    for k in KNN_SIZES:
+        for weighting in WEIGHTINGS:
+            scored = fitted.stages[-1].voting(k, weighting).transform(ready)
+            part = scored.select(key, F.lit(k).alias("k"), F.lit(weighting).alias("weights"), *columns(scored))
+            out = part if out is None else out.unionAll(part)
+    return out
+
+
 # --- every catalogue model, fitted once with middle-of-domain parameters --------------------------
 
 def _middle(domain) -> dict:
@@ -415,13 +477,13 @@ def _zoo(exp: Experiment):
 
 @query("regression_models")
 def regression_models(t):
-    """Every regression model built, fitted on lineitem, R^2 on the holdout."""
+    """Every regression model, fitted on lineitem, R^2 on the holdout."""
     return _zoo(_li_experiment(t, nums=LI_NUMS, cats=("l_returnflag",), name="zoo"))
 
 
 @query("classification_models")
 def classification_models(t):
-    """Every classification model built, on order status (three classes), holdout accuracy."""
+    """Every classification model, on order status (three classes), holdout accuracy."""
     return _zoo(Experiment(t("orders"), "o_orderstatus", True, key="o_orderkey", nums=["o_totalprice"],
                            cats=["o_orderpriority"], scorer="accuracy", validation_method="test", name="zoo"))
 

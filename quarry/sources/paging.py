@@ -43,15 +43,16 @@ def page(df: DataFrame, number: int, key: str | list[str], size: int = PAGE_SIZE
     return df.orderBy(*_order(key, sort_by, ascending)).offset(number * size).limit(size)
 
 
-def numbered(df: DataFrame, key: str, size: int = PAGE_SIZE) -> DataFrame:
+def numbered(df: DataFrame, key: str | list[str], size: int = PAGE_SIZE) -> DataFrame:
     """1-based row number and page of every row, in key order.
 
     Range-partitioned by ``key`` and numbered per partition, then shifted by
     the row counts of earlier partitions (a table with one row per partition),
     so no single task sees all rows.
     """
-    parted = df.repartitionByRange(key).withColumn("__p", F.spark_partition_id())
-    local = parted.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
+    keys = [key] if isinstance(key, str) else list(key)
+    parted = df.repartitionByRange(*keys).withColumn("__p", F.spark_partition_id())
+    local = parted.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*keys)))
     sizes = local.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     offsets = sizes.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__o"))
     out = local.join(F.broadcast(offsets), "__p").withColumn("#", (F.col("__r") + F.col("__o")).cast("long"))
