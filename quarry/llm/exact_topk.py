@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import whole, whole_products
 from .vectors import best_rows, search
 
 SCALE = 1024
@@ -22,8 +23,6 @@ NEIGHBOURS = 10
 QUERY_STEP = 100
 #: segments a vector is cut into, from coarse to fine
 RESOLUTIONS = (1, 4, 16)
-#: largest |component| after scaling; larger ones count as this
-LIMIT = float(1 << 28)
 
 
 def segment_statistics(rows: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -31,40 +30,39 @@ def segment_statistics(rows: np.ndarray, segments: int) -> tuple[np.ndarray, np.
     dim = rows.shape[1]
     edges = np.unique(np.linspace(0, dim, min(segments, dim) + 1).astype(np.int64))
     width = np.diff(edges)
-    mean = np.add.reduceat(rows, edges[:-1], axis=1) / width
-    square = np.add.reduceat(rows * rows, edges[:-1], axis=1) / width
-    return width, mean, np.sqrt(np.maximum(square - mean * mean, 0))
+    with np.errstate(over="ignore", invalid="ignore"):
+        mean = np.add.reduceat(rows, edges[:-1], axis=1) / width
+        rest = rows - np.repeat(mean, width, axis=1)
+        return width, mean, np.sqrt(np.add.reduceat(rest * rest, edges[:-1], axis=1) / width)
 
 
 class SegmentIndex:
     """Statistics of the integer vectors of one block at every resolution."""
 
     def __init__(self, rows: np.ndarray, k: int, resolutions: tuple = RESOLUTIONS):
-        self.rows, self.k, self.resolutions = self._scaled(rows), k, resolutions
+        self.rows, self.k, self.resolutions = whole(rows, SCALE), k, resolutions
         self.levels = [segment_statistics(self.rows, s) for s in resolutions]
-        self.size = float(np.abs(self.rows).max()) if len(rows) else 0.0
-        self.norm = np.sqrt(np.einsum("ij,ij->i", self.rows, self.rows))
-
-    @staticmethod
-    def _scaled(rows: np.ndarray) -> np.ndarray:
-        return np.clip(np.floor(SCALE * rows), -LIMIT, LIMIT)
+        with np.errstate(over="ignore"):
+            self.norm = np.sqrt(np.einsum("ij,ij->i", self.rows, self.rows))
 
     def _exact(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-        if self.size * float(np.abs(query).max()) * len(query) < 2.0 ** 53:
-            return (self.rows[rows] @ query).astype(np.int64)       # every partial sum is a whole double
-        return self.rows[rows].astype(np.int64) @ query.astype(np.int64)
+        return whole_products(self.rows[rows], query)
 
     def __call__(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        queries = self._scaled(queries)
+        queries = whole(queries, SCALE)
         stats = [segment_statistics(queries, s) for s in self.resolutions]
-        norm = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        with np.errstate(over="ignore"):
+            norm = np.sqrt(np.einsum("ij,ij->i", queries, queries))
         out = []
         for q in range(len(queries)):
-            slack = 1e-9 * (norm[q] * self.norm + 1)       # above the rounding of the bounds
+            with np.errstate(over="ignore", invalid="ignore"):
+                slack = 1e-9 * (norm[q] * self.norm + 1)       # above the rounding of the bounds
             live = np.arange(len(self.rows))
             least = None
             for (width, mean, dev), (_, qm, qs) in zip(self.levels, stats):
-                bound = mean[live] @ (width * qm[q]) + dev[live] @ (width * qs[q]) + slack[live]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    bound = mean[live] @ (width * qm[q]) + dev[live] @ (width * qs[q]) + slack[live]
+                bound = np.where(np.isfinite(bound), bound, np.inf)     # a bound beyond the doubles says nothing
                 if least is None and len(live) > self.k:
                     # the most promising rows give the first k-th best score
                     some = live[np.argpartition(-bound, self.k)[:4 * self.k]]
@@ -82,9 +80,9 @@ def top_k(rows: DataFrame, k: int = NEIGHBOURS, query_step: int = QUERY_STEP, bl
           id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the highest integer inner products, for every row whose id ``query_step`` divides.
 
-    A component x counts as floor(1024 x), limited to +-2^28 so that scores of
-    vectors of up to 2^7 components stay in 64 bits.  Ties go to the smaller id; fewer rows than ``k`` give all.  Null
-    ids, and vectors null, empty or with null or non-finite components, take no
+    A component x counts as floor(1024 x); a score that leaves 64 bits counts as
+    the largest (or least) long.  Ties go to the smaller id; fewer rows than
+    ``k`` give all.  Null ids, and vectors null, empty or with null or non-finite components, take no
     part; repeated rows count once; an empty table gives no rows.
     """
     return search(rows, lambda m, blocks: SegmentIndex(m, k), k, query_step, block_rows, "bigint", id_col, vec_col)

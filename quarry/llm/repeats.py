@@ -22,9 +22,11 @@ document.  No step shuffles a window for each symbol:
 4. *Spans.* The windows found go back to their documents.
 
 Hashes only decide what meets; what is equal is decided on the symbols
-themselves.  A document's identity is its id and its text's CRC-32: rows with
-equal id and text are one document (each row gets the same result), rows with
-equal id and other texts are ordered by that checksum.  Null ids come first.
+themselves.  A document's identity is its id and 47 bits of hash of its text, and
+for a null id another 64 bits of the text's hash: rows with equal id and text are
+one document (each row gets the same result).  Null ids come before all others.
+Documents under one id, or under null, have no order among each other: neither
+has an earlier window than the other.
 """
 
 from __future__ import annotations
@@ -44,7 +46,13 @@ CHUNK_BYTES = 2 << 20
 HOT_ROWS = 50_000
 #: equal anchors that one batch sends to one partition
 SPREAD_ROWS = 64
-NULL_ID = -(1 << 63)
+#: marks the identity of a row without an id
+NULL_TIE = 1 << 47
+
+
+def doc_order(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """What says which of two documents comes first: the id, or the least number for a null one."""
+    return np.where(ties >= NULL_TIE, np.int64(-(1 << 63)), ids)
 
 
 def window_anchors(grams: np.ndarray, offs: np.ndarray, window: int,
@@ -101,7 +109,7 @@ def _row_anchors(data, offs, window, gram, words):
 
 #: packed columns of a sampled run: name, type, bytes kept.  48 bits of a hash
 #: decide what may be equal; the symbols decide what is.
-_FIELDS = (("hash", "<u8", 6), ("id", "<i8", 8), ("tie", "<u4", 4), ("lo", "<i8", 8), ("n", "<i4", 4), ("seen", "<i4", 4))
+_FIELDS = (("hash", "<u8", 6), ("id", "<i8", 8), ("tie", "<u8", 6), ("lo", "<i8", 8), ("n", "<i4", 4), ("seen", "<i4", 4))
 
 
 def _pack(x: np.ndarray, kind: str, width: int) -> bytes:
@@ -220,35 +228,54 @@ def _contexts(window: int, words: bool, other_documents: bool):
                     continue
                 key, lo, n = (c.to_numpy(zero_copy_only=False) for c in anchors[d].values.flatten())
                 if words:
+                    fits = lo + n + window - 2 < first[d - a + 1] - first[d - a]
+                    key, lo, n = key[fits], lo[fits], n[fits]
                     begin, end = starts[first[d - a] + lo], ends[first[d - a] + lo + n + window - 2]
                 else:
                     begin = offs[d - a] + lo
                     end = begin + n + window - 1
+                # an identity that two texts share brings each the other's anchors too: what fits is looked at, the rest is not there
+                last = ends[first[d - a + 1] - 1] if words and first[d - a + 1] > first[d - a] else offs[d - a + 1]
                 for k, i, many, x, y in zip(key.view(np.uint64).tolist(), lo.tolist(), n.tolist(), begin.tolist(), end.tolist()):
+                    if y > last:
+                        continue
                     text = data[x:y].tobytes()
                     # blanks don't tell words apart
                     yield k, (ids[d], ties[d], i), many, b" ".join(text.split()) if words else text
 
+    def order(place: tuple) -> int:
+        return -(1 << 63) if place[1] >= NULL_TIE else place[0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best: dict[bytes, tuple] = {}
-            copies: dict[bytes, list[int]] = {}
+            # places by document, where the best order has several
+            peers: dict[bytes, dict[tuple, set]] = {}
             later: list[tuple] = []
             for key, place, n, text in cut(batch):
                 old = best.get(text)
                 if old is None:
                     best[text] = (place, n, key)
-                elif place == old[0]:       # equal rows: the same window
-                    pass
-                elif other_documents and place[:2] == old[0][:2]:
-                    copies.setdefault(text, []).append(place[2])
-                elif place < old[0]:
-                    later.append((old[0], n))
-                    later.extend(((*old[0][:2], lo), n) for lo in copies.pop(text, ()))
-                    best[text] = (place, n, key)
-                else:
+                    continue
+                rank, least = order(place), order(old[0])
+                if rank > least:
                     later.append((place, n))
-            yield from _context_rows([(key, place, n, text, copies.get(text)) for text, (place, n, key) in best.items()])
+                elif rank < least:
+                    gone = peers.pop(text, None)
+                    later.extend(((*d, x), n) for d, at in gone.items() for x in at) if gone else later.append((old[0], n))
+                    best[text] = (place, n, key)
+                elif place != old[0]:       # a place that is there already is that of an equal row
+                    at = peers.setdefault(text, {old[0][:2]: {old[0][2]}}).setdefault(place[:2], set())
+                    at.add(place[2])
+                    if not other_documents and len(at) > 1:
+                        later.append(((*place[:2], max(at)), n))
+                        at.discard(max(at))
+            rows = []
+            for text, (place, n, key) in best.items():
+                for doc, at in peers.get(text, {place[:2]: (place[2],)}).items():
+                    at = sorted(at)
+                    rows.append((key, (*doc, at[0]), n, text, at[1:] or None))
+            yield from _context_rows(rows)
             if later:
                 key = _anywhere(np.array([p for p, _ in later], dtype=np.int64)).tolist()
                 yield from _context_rows([(k, place, n, None, None) for k, (place, n) in zip(key, later)])
@@ -265,23 +292,29 @@ def earlier_windows(contexts: list[bytes], places: np.ndarray, counts: np.ndarra
     ``places`` are (id, tie, lo) of each context.  ``index`` takes distinct
     contexts and their window counts and returns (context, window, class) of
     every window that shares its content with another; classes are equal
-    content.  With ``other_documents`` an earlier equal in the same document
-    doesn't count.
+    content.  An earlier equal is one in a document of lower order (see
+    :func:`doc_order`) or, without ``other_documents``, one before it in the same document.
     """
-    order = np.lexsort((places[:, 2], places[:, 1], places[:, 0]))
+    rank = doc_order(places[:, 0], places[:, 1])
+    order = np.lexsort((places[:, 2], places[:, 1], places[:, 0], rank))
     doc = places[order, :2]
     doc_rank = np.empty(len(order), dtype=np.int64)
     doc_rank[order] = np.cumsum(np.append(True, np.any(doc[1:] != doc[:-1], axis=1)))
     first: dict[bytes, int] = {}
+    own: dict[tuple, int] = {}
     whole, kept = [], []
     for i in order.tolist():
         j = first.setdefault(contexts[i], i)
         if j == i:
             kept.append(i)
-        elif doc_rank[i] != doc_rank[j] or (not other_documents and places[i, 2] != places[j, 2]):
+        elif rank[i] != rank[j]:
             whole.append(i)
-        elif other_documents and places[i, 2] != places[j, 2]:
-            kept.append(i)
+        else:       # documents of one order don't come before each other
+            j = j if doc_rank[i] == doc_rank[j] else own.setdefault((j, doc_rank[i]), i)
+            if j == i or (other_documents and places[i, 2] != places[j, 2]):
+                kept.append(i)
+            elif places[i, 2] != places[j, 2]:
+                whole.append(i)
     whole, kept = np.array(whole, dtype=np.int64), np.array(kept, dtype=np.int64)
     out = [np.stack([whole, np.zeros(len(whole), dtype=np.int64), counts[whole]], axis=1)]
     c, w, cls = index([contexts[i] for i in kept.tolist()], counts[kept])
@@ -290,11 +323,11 @@ def earlier_windows(contexts: list[bytes], places: np.ndarray, counts: np.ndarra
         by = np.lexsort((places[c, 2] + w, doc_rank[c], cls))
         c, w, cls = c[by], w[by], cls[by]
         head = np.append(True, cls[1:] != cls[:-1])
-        lead = c[head][np.cumsum(head) - 1], w[head][np.cumsum(head) - 1]
-        # equal places stand or fall together
-        later = doc_rank[c] != doc_rank[lead[0]]
-        if not other_documents:
-            later |= places[c, 2] + w != places[lead[0], 2] + lead[1]
+        later = rank[c] != rank[c[head][np.cumsum(head) - 1]]
+        if not other_documents:     # the first place of its own document; equal places stand or fall together
+            head |= np.append(True, doc_rank[c][1:] != doc_rank[c][:-1])
+            lead = np.flatnonzero(head)[np.cumsum(head) - 1]
+            later |= places[c, 2] + w != places[c[lead], 2] + w[lead]
         c, w = c[later], w[later]
         by = np.lexsort((w, c))
         c, w = c[by], w[by]
@@ -427,8 +460,10 @@ def _grouped(index: Index, chunk_bytes: int, other_documents: bool, window: int,
 
 def _identity(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("_id"),
-                       F.crc32(text).alias("_tie"), F.col(id_col).isNull().alias("null_id"), text.alias("text"),
+    id_ = F.col(id_col).cast("bigint")
+    tie = F.shiftrightunsigned(F.xxhash64(text), 17) + F.when(id_.isNull(), NULL_TIE).otherwise(0)
+    return docs.select(F.coalesce(id_, F.xxhash64(F.lit(1), text)).alias("_id"), tie.alias("_tie"),
+                       id_.isNull().alias("null_id"), text.alias("text"),
                        F.struct(F.lit(0).alias("_"), *[docs[c] for c in docs.columns if c not in (id_col, text_col)])
                        .alias("carried"))
 
@@ -472,6 +507,6 @@ def covered(runs: pa.Scalar, window: int, length: int) -> np.ndarray:
     f = runs.values.flatten()
     lo, n = f[0].to_numpy(zero_copy_only=False), f[1].to_numpy(zero_copy_only=False)
     edge = np.zeros(length + 1, dtype=np.int64)
-    np.add.at(edge, lo, 1)
-    np.subtract.at(edge, lo + n - 1 + window, 1)
+    np.add.at(edge, np.minimum(lo, length), 1)
+    np.subtract.at(edge, np.minimum(lo + n - 1 + window, length), 1)
     return np.cumsum(edge[:-1]) > 0

@@ -99,23 +99,22 @@ def link_runs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarra
     """Links that join what is within ``radius`` inside runs of equal keys (rows sorted by key).
 
     Compares all pairs of a run but returns a spanning set: each linked
-    fingerprint with the first one it is joined to.
+    fingerprint with the first one it is joined to.  Links are merged as they
+    are found, those between joined fingerprints are not looked at, and no list
+    is longer than the rows.
     """
     n = len(fps)
     change = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1 if n else np.zeros(0, dtype=np.int64)
     ends = np.repeat(np.append(change, n), np.diff(np.concatenate(([0], change, [n])))) if n else change
     live, d = np.arange(n), 0
-    left, right = [], []
+    root = np.arange(n)
     while len(live):
         d += 1
         live = live[live + d < ends[live]]
-        if len(live):
-            near = live[np.bitwise_count(fps[live] ^ fps[live + d]) <= radius]
-            left.append(near)
-            right.append(near + d)
-    if not left:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    root = local_roots(n, np.concatenate(left), np.concatenate(right))
+        apart = live[root[live] != root[live + d]]
+        near = apart[np.bitwise_count(fps[apart] ^ fps[apart + d]) <= radius]
+        if len(near):
+            root = local_roots(n, root[near], root[near + d])[root]
     moved = np.flatnonzero(root != np.arange(n))
     return moved, root[moved]
 

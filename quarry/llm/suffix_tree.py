@@ -87,7 +87,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM
     document of smaller id is removed; sequences are judged on the input.  Words
     are runs of bytes other than the six ASCII blanks.  Null texts have no
     words; shorter texts lose nothing; rows with equal id and text are one
-    document, each row with its result; null ids come first in order; an empty
+    document, each row with its result; null ids come first in order; texts
+    under one id, or under null, lose nothing to each other; an empty
     table gives no rows.
     """
     found = repeated_words(docs, window, gram, id_col, text_col, **options)

@@ -12,36 +12,60 @@ def words(text):
     return WORD.findall((text or "").encode())
 
 
+def _before(a, b):
+    """Whether an id comes before another: null first, and none before an equal one."""
+    return a != b and (a is None or (b is not None and a < b))
+
+
+def _least(ids):
+    return None if None in ids else min(ids)
+
+
 def repeated_words(docs, size):
     """doc_id -> (n_words, n_removed, sha256); docs are (doc_id, text) with different ids."""
-    least, parsed = {}, {d: words(t) for d, t in docs}
-    for d in sorted(parsed):
-        for i in range(len(parsed[d]) - size + 1):
-            least.setdefault(tuple(parsed[d][i:i + size]), d)
-    out = {}
-    for d, w in parsed.items():
+    return {d: tuple(x) for (d, _), x in zip(docs, repeated_words_rows(docs, size))}
+
+
+def repeated_words_rows(docs, size):
+    """(n_words, n_removed, sha256) of each (doc_id, text), whatever their ids."""
+    where, parsed = {}, [words(t) for _, t in docs]
+    for (d, _), w in zip(docs, parsed):
+        for i in range(len(w) - size + 1):
+            where.setdefault(tuple(w[i:i + size]), set()).add(d)
+    out = []
+    for (d, _), w in zip(docs, parsed):
         gone = set()
         for i in range(len(w) - size + 1):
-            if least[tuple(w[i:i + size])] < d:
+            if _before(_least(where[tuple(w[i:i + size])]), d):
                 gone.update(range(i, i + size))
         kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
-        out[d] = (len(w), len(gone), hashlib.sha256(kept).hexdigest())
+        out.append((len(w), len(gone), hashlib.sha256(kept).hexdigest()))
     return out
 
 
 def repeated_bytes(docs, size):
-    """doc_id -> (n_bytes, n_removed, n_spans, sha256)."""
-    seen, out = set(), {}
-    for d, t in sorted(docs, key=lambda x: x[0]):
-        b, gone = (t or "").encode(), set()
+    """doc_id -> (n_bytes, n_removed, n_spans, sha256); docs have different ids."""
+    return {d: tuple(x) for (d, _), x in zip(docs, repeated_bytes_rows(docs, size))}
+
+
+def repeated_bytes_rows(docs, size):
+    """(n_bytes, n_removed, n_spans, sha256) of each (doc_id, text), whatever their ids."""
+    where = {}
+    for d, t in docs:
+        b = (t or "").encode()
+        for i in range(len(b) - size + 1):
+            where.setdefault(b[i:i + size], set()).add(d)
+    out = []
+    for d, t in docs:
+        b, gone, seen = (t or "").encode(), set(), set()
         for i in range(len(b) - size + 1):
             w = b[i:i + size]
-            if w in seen:
+            if w in seen or _before(_least(where[w]), d):
                 gone.update(range(i, i + size))
             seen.add(w)
         spans = sum(1 for i in gone if i - 1 not in gone)
         kept = bytes(c for i, c in enumerate(b) if i not in gone)
-        out[d] = (len(b), len(gone), spans, hashlib.sha256(kept).hexdigest())
+        out.append((len(b), len(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
 
 

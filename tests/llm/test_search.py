@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -54,6 +56,19 @@ def test_top_k_is_exact(spark, vectors, block_rows):
     assert sorted(map(tuple, found)) == sorted(want)
 
 
+def test_large_components_keep_their_scores(spark):
+    rows = [(0, [1e6, 0.5]), (1, [2e6, 0.25]), (2, [3e6, 0.0]), (3, [-4e6, 1.0]), (4, [1e300, 0.0]), (5, [1e307, -1e307])]
+    z = {i: [math.floor(1024 * x) if abs(x) < 1e305 else None for x in map(float, v)] for i, v in rows}
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in exact_topk.top_k(docs, query_step=1).collect()}
+    top = (1 << 63) - 1
+    for i, j in ((0, 1), (0, 2), (1, 2), (2, 3), (0, 3)):
+        want = sum(a * b for a, b in zip(z[i], z[j]))
+        assert got[i, j] == got[j, i] == max(-top - 1, min(top, want))
+    assert got[0, 4] == top and got[3, 4] == -top - 1 and got[4, 5] == top
+    assert [r.vec_id for r in exact_topk.top_k(docs, query_step=7).where("rank <= 4").orderBy("rank").collect()] == [4, 5, 2, 1]
+
+
 def test_bounds_hold(vectors):
     z = np.floor(1024 * vectors)
     for segments in (1, 4, 16):
