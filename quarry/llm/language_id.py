@@ -216,8 +216,7 @@ def training_segments(docs: DataFrame, id_col: str, text_col: str, lang_col: str
                     at = (h + k * 0x9E3779B9) % max(1, n - segment_words + 1)
                     s, e = starts[at:at + segment_words], ends[at:at + segment_words]
                     langs.append(lang)
-                    # a word of over 64 bytes is noise; its head is enough to learn that
-                    runs.append([data[i:min(j, i + 64)].tobytes() for i, j in zip(s, e)])
+                    runs.append([data[i:j].tobytes() for i, j in zip(s, e)])
             yield pa.RecordBatch.from_arrays([pa.array(langs, type=pa.string()), pa.array(runs, type=pa.list_(pa.binary()))],
                                              names=["lang", "words"])
 

@@ -32,6 +32,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BLOCK_WORDS = 1024
 SHARDS = 16
+#: tasks that the rows of one shard are dealt over
+SHARD_TASKS = 64
 SEED = 17
 
 
@@ -174,8 +176,13 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_RE
     Equal input gives equal output, whatever its order and partitioning.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    sizes = cut_lineage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                                    word_count(F.col(text_col)).alias("size"), *key_cols))
+    # rows are dealt by what they hold, so that neither a null nor a repeated id is one bucket; rows
+    # without words take no place in the mix and go anywhere
+    size = word_count(F.col(text_col))
+    deal = F.when(size > 0, F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed))).otherwise(
+        F.xxhash64(F.monotonically_increasing_id()))
+    sizes = cut_lineage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"),
+                                    deal.alias("h"), *key_cols))
     rows = sizes.count()
     # as many buckets as rows in a bucket: neither the bucket list of a source nor a bucket grows faster than a root
     buckets = max(1, math.isqrt(rows))
@@ -195,10 +202,7 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_RE
     starts = split_quotas(quota.select("rank", "slots"), shards, seed)
     plan = shared.join(quota.drop("source", "source_size", "target"), "rank", "left").join(starts, "rank", "left")
 
-    h = F.xxhash64("id", F.lit(seed))
-    # null ids would all be one bucket
-    h = F.when(F.col("id").isNull(), F.xxhash64(*key_cols, F.lit(seed))).otherwise(h) if key_cols else h
-    placed = sizes.withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    placed = sizes.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
     before = sums.select("source", "bucket", (F.sum("s").over(Window.partitionBy("source").orderBy("bucket")) - F.col("s"))
                          .alias("before"))
@@ -223,9 +227,12 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_RE
 
 
 def digest(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, size, source_size, target and the words taken, repeats counted."""
+    """id, size, source_size, target, the words taken, repeats counted, and how many of them each shard takes."""
+    shards = """transform(array_sort(array_distinct(transform(pieces, p -> p.shard))), z -> named_struct(
+        'shard', z, 'words', aggregate(filter(pieces, p -> p.shard = z), 0L, (s, p) -> s + p.words)))"""
     return mixed.select(id_col, "size", "source_size", "target",
-                        F.expr("aggregate(pieces, 0L, (s, p) -> s + p.words)").alias("taken"))
+                        F.expr("aggregate(pieces, 0L, (s, p) -> s + p.words)").alias("taken"),
+                        F.expr(shards).alias("shard_words"))
 
 
 def shard_pieces(mixed: DataFrame, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -240,23 +247,30 @@ def shard_pieces(mixed: DataFrame, seed: int = SEED, id_col: str = "doc_id", sou
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                    **options) -> DataFrame:
+                    seed: int = SEED, **options) -> DataFrame:
     """The documents as the mix takes them: a row for each document and epoch, with the words taken.
 
-    A document taken whole keeps its text as it is; of one cut by a block's
+    A row stands in the shard that the splitting tree gave its first words, in
+    random order there; a shard is dealt over ``SHARD_TASKS`` tasks.  A document taken whole keeps its text as it is; of one cut by a block's
     edge the taken words are joined by one space.  Rows are joined by what they
     hold, so that null and repeated ids multiply nothing.  Extra columns are kept.
     """
     keyed = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[source_col].alias("source"), *row_key(docs))
-    mixed = mixture(keyed, id_col="id", text_col="text", source_col="source", key_cols=("_a", "_b"), **options)
+    mixed = mixture(keyed, id_col="id", text_col="text", source_col="source", key_cols=("_a", "_b"),
+                    seed=seed, **options)
     epochs = mixed.select("_a", "_b", "size", F.explode(F.expr(
         "transform(array_sort(array_distinct(transform(pieces, p -> p.epoch))), "
-        "e -> array_sort(transform(filter(pieces, p -> p.epoch = e), p -> named_struct('start', p.start, 'words', p.words))))"))
-        .alias("parts"))
+        "e -> array_sort(transform(filter(pieces, p -> p.epoch = e), p -> named_struct('start', p.start, 'words', p.words, "
+        "'shard', p.shard, 'slot', p.slot))))")).alias("parts"))
     joined = (distinct_rows(docs).join(epochs, ["_a", "_b"])
-              .select("row", "size", "parts", F.col("row")[text_col].alias("text")))
+              .select("row", "size", "parts", F.col("row")[text_col].alias("text"), F.col("parts")[0]["shard"].alias("shard"),
+                      F.xxhash64(F.col("parts")[0]["slot"], "_a", "_b", F.lit(seed)).alias("order_key")))
     whole = F.expr("aggregate(parts, 0L, (s, p) -> s + p.words) = size")
     cut = F.expr(f"array_join(flatten(transform(parts, p -> slice(regexp_extract_all(text, r'{WORD}', 0), "
                  "int(p.start) + 1, int(p.words)))), ' ')")
     text = F.when(whole, F.col("text")).otherwise(cut)
-    return joined.select(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
+    out = joined.select("shard", "order_key", F.struct(*[(text if c == text_col else F.col("row")[c]).alias(c)
+                                                         for c in docs.columns]).alias("row"))
+    dealt = (out.repartition("shard", F.pmod("order_key", F.lit(SHARD_TASKS)))
+             .sortWithinPartitions("shard", "order_key"))
+    return dealt.select(*[F.col("row")[c].alias(c) for c in docs.columns])

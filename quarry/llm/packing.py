@@ -201,8 +201,8 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, end_id: i
 
     Every id of every document lies in exactly one piece; sequences are filled
     gaplessly from offset 0.  Null and empty texts are the end id alone.
-    Repeated rows are packed once each; null ids are packed like any other; an
-    empty table gives no rows.
+    Repeated rows are packed once each; null ids are packed like any other, in
+    groups that follow their place in the input; an empty table gives no rows.
     """
     pieces = token_pieces(docs, tokenizer_path, end_id, length, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -236,5 +236,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = SEQUENCE, end_id: i
              crcs.flatten(), pa.array(total[doc]), pa.array(seq), pa.array(np.where(is_tail, tail_off[doc], 0))],
             names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return (pieces.withColumn("g", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(groups)))
+    # null and repeated ids are dealt by what they hold, rows without an id also by their place in the input
+    place = F.when(F.col("id").isNull(), F.monotonically_increasing_id())
+    return (pieces.withColumn("g", F.pmod(F.xxhash64("id", "doc_tokens", "crcs", place, F.lit(seed)), F.lit(groups)))
             .groupBy("g").applyInArrow(run, schema))

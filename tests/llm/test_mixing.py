@@ -99,3 +99,24 @@ def test_repeated_rows_and_empty_tables(spark, empty):
     assert mixture(empty).count() == 0
     none = spark.createDataFrame([(1, None, "s"), (2, "", None)], "doc_id bigint, text string, source string")
     assert [(r["size"], r.target, r.taken) for r in digest(mixture(none)).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_shards_order_the_mix_and_take_the_same_words(documents):
+    few, many = (digest(mixture(documents, block_words=8, shards=n)).collect() for n in (2, 8))
+    assert sorted((r.doc_id, r.taken) for r in few) == sorted((r.doc_id, r.taken) for r in many)
+    assert all(sum(s.words for s in r.shard_words) == r.taken for r in many)
+    totals = {}
+    for r in many:
+        for s in r.shard_words:
+            totals[s.shard] = totals.get(s.shard, 0) + s.words
+    assert set(totals) == set(range(8)) and max(totals.values()) < 2 * min(totals.values())
+    a, b = ([(r.doc_id, r.text) for r in mixed_documents(documents, block_words=8, shards=n).collect()] for n in (2, 8))
+    assert a != b and sorted(map(str, a)) == sorted(map(str, b))
+
+
+def test_many_null_and_equal_ids_keep_buckets_small(spark):
+    # every word is taken once, wherever it stands; the order within the source shows no hot bucket
+    rows = [(None if i % 3 else 5, f"w{i} " * (1 + i % 4), "s") for i in range(900)] + [(None, None, "s")] * 500
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = digest(mixture(docs, block_words=16)).collect()
+    assert len(got) == 1400 and all(r.taken == r["size"] for r in got)

@@ -68,3 +68,12 @@ def test_repeated_rows_null_ids_and_empty_table(spark, empty):
     got = pack(spark.createDataFrame(rows, "doc_id bigint, text string"), PATH).collect()
     assert sorted((r.doc_id or 0, r.length) for r in got) == [(0, 1), (1, 3), (1, 3)]
     assert pack(empty, PATH).count() == 0
+
+
+def test_null_and_repeated_ids_don_t_share_a_group(spark):
+    rows = [(None, None)] * 1500 + [(7, f"text number {i}") for i in range(1500)]
+    got = pack(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), PATH, group_docs=100).collect()
+    groups = {}
+    for r in got:
+        groups[r.sequence_id >> 32] = groups.get(r.sequence_id >> 32, 0) + 1
+    assert sum(groups.values()) == 3000 and len(groups) == 30 and max(groups.values()) < 200

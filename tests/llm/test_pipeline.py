@@ -87,7 +87,7 @@ def test_empty_table(spark, sf_small):
 
 def test_registered_queries():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert "pipeline" in entry.queries()
 
 
@@ -118,3 +118,15 @@ def test_null_and_repeated_ids_through_the_texts(spark, sf_small, messy):
     # one source is taken whole and once: the rows as they are, an equal row included
     mixed = pipeline.mixing_stage(spark, docs.unionAll(docs.limit(1)), sf_small)
     assert sorted(((r.doc_id, r.text) for r in mixed.collect()), key=str) == sorted(rows + rows[:1], key=str)
+
+
+def test_extra_columns_of_any_name(spark, sf_small, messy):
+    names = ("_own_id", "_id", "id", "row", "rest", "shard", "order_key", "size", "_text")
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", len(t), *[f"{n}{i}" for n in names]) for i, t in enumerate(clean_rows(messy))],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in pipeline.STAGES[1:4]:
+        out = stage(spark, docs, sf_small)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
