@@ -50,9 +50,12 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     ship_package(spark)
     # rows without an id are told apart by their text; below zero, they come before the others as null does
     own = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(-(1 << 63))
-    named = docs.select(F.coalesce(docs.doc_id.cast("bigint"), own).alias("_own_id"), *docs.columns)
-    cut = without_repeats(named, id_col="_own_id").drop("_own_id")
-    return cut.where(F.col("text") != "").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    # the other columns travel as one, so that no name of theirs can clash
+    rest = F.struct(F.lit(0), *[docs[c] for c in docs.columns if c not in ("text", "n_chars")])
+    named = docs.select(F.coalesce(docs.doc_id.cast("bigint"), own).alias("id"), docs.text.alias("text"), rest.alias("rest"))
+    cut = without_repeats(named, id_col="id").where(F.col("text") != "")
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return cut.select(*[made.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
