@@ -6,12 +6,12 @@ the reference's ``stage__param`` form.  ``build`` turns decoded parameters
 into Spark ML stages; penalties are rescaled to Spark's per-row objective
 (ridge alpha and 1/C are sums in the reference library: divide by n).
 
-Deviations, stated once: Spark trees split on variance (regression) or
-gini/entropy and have no ``min_samples_split``, so those dimensions are not
-searched; "Extra Trees" is a forest without bootstrap whose trees differ by the
-feature subset of each split (thresholds are not random); XGBoost has no
-package here, so "Gradient Boosted Trees" stands for both boosters and is
-offered with text too; the Spark MLP has no L2 penalty.
+Deviations, stated once: trees, forests, extremely random trees and second-order
+boosting ("XGBoost") are grown here (:mod:`.trees`) with all criteria, minimum
+splits, random thresholds and penalties; with a text column, whose features are
+thousands, they are Spark's own trees (variance or gini / entropy, no minimum
+split, no random thresholds), and second-order boosting is not offered.
+"Gradient Boosted Trees" is Spark's; the Spark MLP has no L2 penalty.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from ..features import IMPUTERS, SCALERS, RBFFeatures
 from .closed_form import (DummyClassifier, DummyRegressor, GaussianNB, LinearDiscriminant,
                           QuadraticDiscriminant)
 from . import iterative as it
+from .trees import REGRESSION_CRITERIA, SecondOrderBoosting, TreeEnsemble
 from .neighbours import WEIGHTINGS, KNeighborsClassifier, KNeighborsRegressor
 from .linear import PenalisedLinearRegression
 
@@ -122,23 +123,45 @@ def regression_models(nums: Sequence[str] = (), cats: Sequence[str] = (),
                                 svr(p, c, "__rbf")], scaled=True),
     ]
     tree_dims = [Dim("mod__max_depth", "integer", (1, 15)), Dim("mod__min_samples_leaf", "integer", (1, 20))] + imp
-    models += [
-        ModelSpec("Decision Tree", "regression", tree_dims,
-                  lambda p, c: [DecisionTreeRegressor(featuresCol=c.features, labelCol=c.label, weightCol=c.weight,
-                                                      maxDepth=p["mod__max_depth"],
-                                                      minInstancesPerNode=p["mod__min_samples_leaf"], seed=42)],
-                  tree=True),
-        ModelSpec("Random Forest", "regression", tree_dims,
-                  lambda p, c: [RandomForestRegressor(featuresCol=c.features, labelCol=c.label, weightCol=c.weight,
-                                                      maxDepth=p["mod__max_depth"], numTrees=10,
-                                                      minInstancesPerNode=p["mod__min_samples_leaf"],
-                                                      featureSubsetStrategy="all", seed=42)], tree=True),
-        ModelSpec("Extra Trees", "regression", tree_dims,
-                  lambda p, c: [RandomForestRegressor(featuresCol=c.features, labelCol=c.label, weightCol=c.weight,
-                                                      maxDepth=p["mod__max_depth"], numTrees=10, bootstrap=False,
-                                                      minInstancesPerNode=p["mod__min_samples_leaf"],
-                                                      featureSubsetStrategy="onethird", seed=42)], tree=True),
-    ]
+    if text:
+        models += [
+            ModelSpec("Decision Tree", "regression", tree_dims,
+                      lambda p, c: [DecisionTreeRegressor(featuresCol=c.features, labelCol=c.label, weightCol=c.weight,
+                                                          maxDepth=p["mod__max_depth"],
+                                                          minInstancesPerNode=p["mod__min_samples_leaf"], seed=42)],
+                      tree=True),
+            ModelSpec("Random Forest", "regression", tree_dims,
+                      lambda p, c: [RandomForestRegressor(featuresCol=c.features, labelCol=c.label, weightCol=c.weight,
+                                                          maxDepth=p["mod__max_depth"], numTrees=10,
+                                                          minInstancesPerNode=p["mod__min_samples_leaf"],
+                                                          featureSubsetStrategy="all", seed=42)], tree=True),
+            ModelSpec("Extra Trees", "regression", tree_dims,
+                      lambda p, c: [RandomForestRegressor(featuresCol=c.features, labelCol=c.label, weightCol=c.weight,
+                                                          maxDepth=p["mod__max_depth"], numTrees=10, bootstrap=False,
+                                                          minInstancesPerNode=p["mod__min_samples_leaf"],
+                                                          featureSubsetStrategy="onethird", seed=42)], tree=True),
+        ]
+    else:
+        grown_dims = [Dim("mod__criterion", "categoric", REGRESSION_CRITERIA), *tree_dims[:1],
+                      Dim("mod__min_samples_split", "integer", (2, 20)), *tree_dims[1:]]
+
+        def grown(**options):
+            return lambda p, c: [TreeEnsemble(
+                featuresCol=c.features, labelCol=c.label, weightCol=c.weight, criterion=p.get("mod__criterion", "mse"),
+                maxDepth=p["mod__max_depth"], minSplit=p.get("mod__min_samples_split", 2),
+                minLeaf=p["mod__min_samples_leaf"], keyCols=c.key, **options)]
+
+        models += [
+            ModelSpec("Decision Tree", "regression", grown_dims, grown(), tree=True),
+            ModelSpec("Random Forest", "regression", grown_dims, grown(numTrees=10, bootstrap=True), tree=True),
+            ModelSpec("Extra Trees", "regression", grown_dims, grown(numTrees=10, randomThresholds=True), tree=True),
+            ModelSpec("XGBoost", "regression",
+                      [Dim("mod__max_depth", "integer", (1, 5)), Dim("mod__learning_rate", "exponential", (-5, 0)),
+                       Dim("mod__n_estimators", "integer", (10, 50))] + imp,
+                      lambda p, c: [SecondOrderBoosting(featuresCol=c.features, labelCol=c.label, weightCol=c.weight,
+                                                        maxDepth=p["mod__max_depth"], learningRate=p["mod__learning_rate"],
+                                                        nEstimators=p["mod__n_estimators"], keyCols=c.key)], tree=True),
+        ]
     models.append(
         ModelSpec("Gradient Boosted Trees", "regression",
                   [Dim("mod__max_depth", "integer", (1, 5)), Dim("mod__min_samples_leaf", "integer", (1, 20)),
@@ -226,15 +249,41 @@ def classification_models(nums: Sequence[str] = (), cats: Sequence[str] = (), te
                                        minInstancesPerNode=p["mod__min_samples_leaf"], bootstrap=bootstrap,
                                        featureSubsetStrategy="sqrt", seed=42)]
 
-    models += [
-        ModelSpec("Decision Tree", "classification", tree_dims,
-                  lambda p, c: [DecisionTreeClassifier(featuresCol=c.features, labelCol=c.label, weightCol=_w(p, c),
-                                                       impurity=p["mod__criterion"], maxDepth=p["mod__max_depth"],
-                                                       minInstancesPerNode=p["mod__min_samples_leaf"], seed=42)],
-                  tree=True),
-        ModelSpec("Random Forest", "classification", tree_dims, lambda p, c: forest(p, c, True), tree=True),
-        ModelSpec("Extra Trees Classifier", "classification", tree_dims, lambda p, c: forest(p, c, False), tree=True),
-    ]
+    if text:
+        models += [
+            ModelSpec("Decision Tree", "classification", tree_dims,
+                      lambda p, c: [DecisionTreeClassifier(featuresCol=c.features, labelCol=c.label, weightCol=_w(p, c),
+                                                           impurity=p["mod__criterion"], maxDepth=p["mod__max_depth"],
+                                                           minInstancesPerNode=p["mod__min_samples_leaf"], seed=42)],
+                      tree=True),
+            ModelSpec("Random Forest", "classification", tree_dims, lambda p, c: forest(p, c, True), tree=True),
+            ModelSpec("Extra Trees Classifier", "classification", tree_dims, lambda p, c: forest(p, c, False), tree=True),
+        ]
+    else:
+        grown_dims = [*tree_dims[:2], Dim("mod__min_samples_split", "integer", (2, 20)), *tree_dims[2:]]
+
+        def grown(**options):
+            return lambda p, c: [TreeEnsemble(
+                featuresCol=c.features, labelCol=c.label, weightCol=_w(p, c), criterion=p["mod__criterion"],
+                maxDepth=p["mod__max_depth"], minSplit=p.get("mod__min_samples_split", 2), minLeaf=p["mod__min_samples_leaf"],
+                numClasses=c.n_classes, keyCols=c.key, **options)]
+
+        models += [
+            ModelSpec("Decision Tree", "classification", grown_dims, grown(), tree=True),
+            ModelSpec("Random Forest", "classification", grown_dims,
+                      grown(numTrees=10, bootstrap=True, featureSubset="sqrt"), tree=True),
+            ModelSpec("Extra Trees Classifier", "classification", grown_dims,
+                      grown(numTrees=10, randomThresholds=True, featureSubset="sqrt"), tree=True),
+            ModelSpec("XGBoost", "classification",
+                      [Dim("mod__n_estimators", "integer", (10, 50)), Dim("mod__max_depth", "integer", (1, 5)),
+                       Dim("mod__learning_rate", "exponential", (-5, 0)), Dim("mod__reg_alpha", "exponential", (-10, 10)),
+                       Dim("mod__reg_lambda", "exponential", (-10, 10))] + imp,
+                      lambda p, c: [SecondOrderBoosting(featuresCol=c.features, labelCol=c.label, weightCol=c.weight,
+                                                        maxDepth=p["mod__max_depth"], learningRate=p["mod__learning_rate"],
+                                                        nEstimators=p["mod__n_estimators"], regAlpha=p["mod__reg_alpha"],
+                                                        regLambda=p["mod__reg_lambda"], numClasses=max(2, c.n_classes),
+                                                        keyCols=c.key)], tree=True),
+        ]
 
     def gbt(p, c):
         base = GBTClassifier(featuresCol=c.features, labelCol=c.label, weightCol=c.weight,

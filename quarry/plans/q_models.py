@@ -449,6 +449,95 @@ def _knn_answers(exp: Experiment, key: str, columns):
     return out
 
 
+# --- trees grown here (R8, K6, R13) ------------------------------------------------------------------
+
+def _split_sql(table: str, label: str, hold: str, features: dict[str, str], gain: str, sides: str) -> str:
+    """Best first split of the training rows by trying every midpoint of every feature; ``sides`` are a side's sums."""
+    long = " UNION ALL ".join(f"SELECT {i} AS j, '{n}' AS f, CAST({e} AS DOUBLE) AS x, {label} AS y FROM d"
+                              for i, (n, e) in enumerate(features.items()))
+    return f"""
+WITH d AS (SELECT * FROM {table} WHERE NOT {hold}),
+x AS ({long}),
+k AS (SELECT DISTINCT j, f, x FROM x),
+t AS (SELECT j, f, (x + lead(x) OVER (PARTITION BY j ORDER BY x)) / 2 AS t FROM k QUALIFY t IS NOT NULL),
+s AS (SELECT t.j, t.f, t.t, x.x <= t.t AS l, {sides} FROM t JOIN x USING (j) GROUP BY ALL),
+g AS (SELECT j, f, t, {gain} AS gain FROM s GROUP BY j, f, t)
+SELECT f AS feature, round(t, 6) AS threshold, round(gain, 4) AS gain FROM g ORDER BY gain DESC, j, t LIMIT 1"""
+
+
+def _first_split(t, exp: Experiment, params: dict, scale: float = 1.0):
+    """(feature, threshold, gain) of the root of a fitted tree of depth 1."""
+    fitted = exp.fit_fixed("Decision Tree", {"mod__max_depth": 1, "mod__min_samples_leaf": 1, **params})
+    last = fitted.stages[-1]
+    tree = last.trees()[0]
+    gain = max(last.getModelData()[1]) * scale
+    exp.release()
+    return exp.data.sparkSession.createDataFrame([(exp.nums[tree.feature[0]], tree.threshold[0], gain)],
+                                                 "feature string, threshold double, gain double").withColumn("gain", F.round("gain", 4))
+
+
+_MOMENTS = "count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS v"
+
+
+@query("tree_split_mse", _split_sql(
+    "lineitem", "l_extendedprice", _hold(*LI_KEY), {"l_quantity": "l_quantity", "l_discount": "l_discount", "l_tax": "l_tax"},
+    "any_value(n) FILTER (l) * any_value(n) FILTER (NOT l) / sum(n) "
+    "* (any_value(m) FILTER (l) - any_value(m) FILTER (NOT l)) ^ 2 / 1e9", _MOMENTS))
+def tree_split_mse(t):
+    """First split by squared error of the training rows, against every midpoint (gain in 1e9)."""
+    return _first_split(t, _li_experiment(t, nums=LI_NUMS, name="split"), {"mod__criterion": "mse"}, 1e-9)
+
+
+@query("tree_split_mae", _split_sql(
+    "part", "p_size", _hold("p_partkey"),
+    {"brand": "CAST(substr(p_brand, 7) AS INTEGER)", "line": "p_partkey % 16"},
+    "(SELECT sum(abs(y - (SELECT median(y) FROM x WHERE j = 0))) FROM x WHERE j = 0) - sum(e)",
+    "list_sum(list_transform(list(y), lambda v: abs(v - list_median(list(y))))) AS e"))
+def tree_split_mae(t):
+    """First split by absolute error around the median (part size by brand number and key remainder)."""
+    p = t("part").select("p_partkey", "p_size", F.substring("p_brand", 7, 9).cast("int").alias("brand"),
+                         (F.col("p_partkey") % 16).alias("line"))
+    exp = Experiment(p, "p_size", False, key="p_partkey", nums=["brand", "line"], scorer="r2", validation_method="test", name="split")
+    return _first_split(t, exp, {"mod__criterion": "mae"})
+
+
+@query("tree_split_gini", f"""
+WITH d AS (SELECT o_orderpriority AS y, o_orderkey % 16 AS a, o_custkey % 11 AS b FROM orders WHERE NOT {_hold('o_orderkey')}),
+x AS (SELECT 0 AS j, 'a' AS f, a AS x, y FROM d UNION ALL SELECT 1, 'b', b, y FROM d),
+k AS (SELECT DISTINCT j, f, x FROM x),
+t AS (SELECT j, f, (x + lead(x) OVER (PARTITION BY j ORDER BY x)) / 2 AS t FROM k QUALIFY t IS NOT NULL),
+c AS (SELECT t.j, t.f, t.t, x.x <= t.t AS l, y, count(*) AS n FROM t JOIN x USING (j) GROUP BY ALL),
+s AS (SELECT j, f, t, l, sum(n) - sum(n * n) / sum(n) AS imp FROM c GROUP BY j, f, t, l),
+w AS (SELECT sum(n) - sum(n * n) / sum(n) AS imp FROM (SELECT y, count(*) AS n FROM d GROUP BY y) q),
+g AS (SELECT j, f, t, (SELECT imp FROM w) - sum(imp) AS gain FROM s GROUP BY j, f, t)
+SELECT f AS feature, round(t, 6) AS threshold, round(gain, 4) AS gain FROM g ORDER BY gain DESC, j, t LIMIT 1""")
+def tree_split_gini(t):
+    """K6: first split by gini (order priority by two key remainders), against every midpoint."""
+    o = t("orders").select("o_orderkey", "o_orderpriority", (F.col("o_orderkey") % 16).alias("a"), (F.col("o_custkey") % 11).alias("b"))
+    exp = Experiment(o, "o_orderpriority", True, key="o_orderkey", nums=["a", "b"], scorer="accuracy", validation_method="test", name="split")
+    return _first_split(t, exp, {"mod__criterion": "gini"})
+
+
+@query("second_order_round", f"""
+WITH h AS (SELECT *, {_hold(*LI_KEY)} AS hold FROM lineitem),
+d AS (SELECT * FROM h WHERE NOT hold),
+m AS (SELECT avg(l_extendedprice) AS m FROM d),
+x AS (SELECT l_quantity AS x, l_extendedprice - (SELECT m FROM m) AS r FROM d),
+k AS (SELECT DISTINCT x FROM x),
+t AS (SELECT (x + lead(x) OVER (ORDER BY x)) / 2 AS t FROM k QUALIFY t IS NOT NULL),
+s AS (SELECT t.t, x.x <= t.t AS l, sum(r) AS g, count(*) AS n FROM t JOIN x ON true GROUP BY ALL),
+b AS (SELECT t FROM s GROUP BY t ORDER BY sum(g * g / (n + 1)) DESC, t LIMIT 1)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
+       round((SELECT m FROM m) + 0.5 * (SELECT g / (n + 1) FROM s WHERE s.t = b.t AND s.l = (h.l_quantity <= b.t)), 4) AS "Prediction"
+FROM h, b WHERE hold""")
+def second_order_round(t):
+    """One round of second-order boosting with depth 1, rate 0.5 and an L2 penalty of 1, on the holdout."""
+    exp = _li_experiment(t)
+    exp.fit_fixed("XGBoost", {"mod__max_depth": 1, "mod__learning_rate": 0.5, "mod__n_estimators": 1})
+    p = exp.predictions("XGBoost", exp.split(False).select(*LI_KEY, "l_quantity"), append=True)
+    return p.select(*LI_KEY, F.round("Prediction", 4).alias("Prediction"))
+
+
 # --- every catalogue model, fitted once with middle-of-domain parameters --------------------------
 
 def _middle(domain) -> dict:
