@@ -11,7 +11,7 @@ boosting ("XGBoost") are grown here (:mod:`.trees`) with all criteria, minimum
 splits, random thresholds and penalties; with a text column, whose features are
 thousands, they are Spark's own trees (variance or gini / entropy, no minimum
 split, no random thresholds), and second-order boosting is not offered.
-"Gradient Boosted Trees" is Spark's; the Spark MLP has no L2 penalty.
+"Gradient Boosted Trees" is Spark's.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from . import iterative as it
 from .trees import REGRESSION_CRITERIA, SecondOrderBoosting, TreeEnsemble
 from .neighbours import WEIGHTINGS, KNeighborsClassifier, KNeighborsRegressor
 from .linear import PenalisedLinearRegression
+from .network import SoftmaxNetwork
+from .online import PassiveAggressiveRegressor
 
 
 @dataclass(frozen=True)
@@ -111,8 +113,8 @@ def regression_models(nums: Sequence[str] = (), cats: Sequence[str] = (),
                       l1=p["mod__alpha"] * p["mod__l1_ratio"], l2=p["mod__alpha"] * (1 - p["mod__l1_ratio"]))],
                   scaled=True),
         ModelSpec("Passive Aggressive Regression", "regression", [Dim("mod__C", "exponential", (-5, 5))] + impsc,
-                  lambda p, c: [it.PassiveAggressiveRegressor(featuresCol=c.features, labelCol=c.label,
-                                                              weightCol=c.weight, C=p["mod__C"])], scaled=True),
+                  lambda p, c: [PassiveAggressiveRegressor(featuresCol=c.features, labelCol=c.label,
+                                                           weightCol=c.weight, C=p["mod__C"])], scaled=True),
         ModelSpec("Linear SVM", "regression", [Dim("mod__C", "exponential", (-5, 5))] + impsc,
                   lambda p, c: [svr(p, c, c.features)], scaled=True),
         ModelSpec("Kernel SVM", "regression",
@@ -181,7 +183,7 @@ def regression_models(nums: Sequence[str] = (), cats: Sequence[str] = (),
                       lambda p, c: [it.AdaBoostRegressor(featuresCol=c.features, labelCol=c.label,
                                                          weightCol=c.weight, loss=p["mod__loss"],
                                                          learningRate=p["mod__learning_rate"],
-                                                         nEstimators=p["mod__n_estimators"])]),
+                                                         nEstimators=p["mod__n_estimators"], keyCols=c.key)]),
         ]
     models += [
         ModelSpec("K Nearest Neighbors", "regression", knn_dims + impsc,
@@ -316,10 +318,11 @@ def classification_models(nums: Sequence[str] = (), cats: Sequence[str] = (), te
                                                      nNeighbors=p["mod__n_neighbors"], weighting=p["mod__weights"],
                                                      numClasses=c.n_classes)], scaled=True),
         ModelSpec("Neural Network", "classification",
-                  [Dim("mod__hidden_layer_sizes", "integer", (5, 50))] + impsc,
-                  lambda p, c: [it.SizedMLPClassifier(featuresCol=c.features, labelCol=c.label,
-                                                      hidden=p["mod__hidden_layer_sizes"][0],
-                                                      numClasses=c.n_classes)], scaled=True),
+                  [Dim("mod__alpha", "exponential", (-10, 10)),
+                   Dim("mod__hidden_layer_sizes", "integer", (5, 50))] + impsc,
+                  lambda p, c: [SoftmaxNetwork(featuresCol=c.features, labelCol=c.label, weightCol=c.weight,
+                                               alpha=p["mod__alpha"], hidden=p["mod__hidden_layer_sizes"][0],
+                                               numClasses=c.n_classes)], scaled=True),
         ModelSpec("Bernoulli Naive Bayes", "classification", impsc,
                   lambda p, c: [Binarizer(inputCol=c.features, outputCol="__bin", threshold=0.0),
                                 NaiveBayes(featuresCol="__bin", labelCol=c.label, weightCol=c.weight,

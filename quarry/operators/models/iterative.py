@@ -4,10 +4,8 @@
   executors (one ``mapInPandas`` partial sum per partition, NumPy inside the
   task), L-BFGS steps on the driver over a parameter vector bounded by the
   model size.
-* ``PassiveAggressiveRegressor`` (R5): iterative parameter mixing -- every
-  partition runs passive-aggressive updates from the current weights, the
-  driver averages the partition weights, five epochs.
-* ``AdaBoostRegressor`` (R12, loss linear/square/exponential, weighted median)
+* ``AdaBoostRegressor`` (R12, loss linear/square/exponential, weighted median),
+  each tree on a weighted bootstrap whose draws hash row key and round,
   and ``AdaBoostClassifier`` (K10, SAMME): a loop of weighted Spark trees; the
   boosting weights are a column updated by expressions each round, with the
   lineage cut in the shared checkpoint folder every few rounds.
@@ -222,60 +220,6 @@ class MLPRegressionModel(BaseModel):
         return df.withColumn(self.getPredictionCol(), out * float(sy) + float(my))
 
 
-class PassiveAggressiveRegressor(BaseEstimator):
-    """PA-I updates (epsilon 0.1) per partition, coefficients averaged per epoch; a row's weight scales its C."""
-    C = Param(Params._dummy(), "C", "aggressiveness", TypeConverters.toFloat)
-    epochs = Param(Params._dummy(), "epochs", "passes", TypeConverters.toInt)
-
-    def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", weightCol=None, C=1.0,
-                 epochs=5):
-        super().__init__()
-        self._set(featuresCol=featuresCol, labelCol=labelCol, predictionCol=predictionCol, C=C, epochs=epochs)
-        if weightCol:
-            self._set(weightCol=weightCol)
-
-    def _fit(self, df: DataFrame):
-        data = _training_arrays(df, self.getFeaturesCol(), self.getLabelCol(), self._weight())
-        d = data.agg(F.max(F.size("x"))).first()[0]
-        C = self.getOrDefault(self.C)
-        eps = 0.1
-        theta = np.zeros(d + 1)
-        sc = data.sparkSession.sparkContext
-        for _ in range(self.getOrDefault(self.epochs)):
-            bt = sc.broadcast(theta)
-
-            def part(batches):
-                import pandas as pd
-                th = bt.value.copy()
-                n = 0
-                for b in batches:
-                    if len(b) == 0:
-                        continue
-                    X = np.stack(b["x"].to_numpy())
-                    y = b["y"].to_numpy(dtype=float)
-                    w = b["w"].to_numpy(dtype=float)
-                    for i in range(len(y)):
-                        r = y[i] - (X[i] @ th[:-1] + th[-1])
-                        loss = abs(r) - eps
-                        if loss > 0:
-                            tau = min(C * w[i], loss / (X[i] @ X[i] + 1.0))
-                            s = tau * math.copysign(1.0, r)
-                            th[:-1] += s * X[i]
-                            th[-1] += s
-                    n += w.sum()
-                if n:
-                    yield pd.DataFrame({"t": [th.tolist()], "n": [float(n)]})
-
-            mixed = data.mapInPandas(part, "t array<double>, n double") \
-                        .select(F.transform("t", lambda v: v * F.col("n")).alias("t"), "n")
-            tot, summed = _reduce_vectors(mixed, "t", d + 1, extra=("n",))
-            bt.unpersist()
-            theta = summed / tot
-        data.unpersist()
-        return LinearModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(),
-                           modelData=[theta[:-1].tolist(), float(theta[-1])])
-
-
 # ---------------------------------------------------------------------------------------
 # boosting loops over Spark trees
 # ---------------------------------------------------------------------------------------
@@ -325,33 +269,69 @@ def _mean_importances(models, weights) -> DenseVector:
     return DenseVector(np.average(parts, axis=0, weights=weights))
 
 
+def uniform(seed: int, *cols) -> Column:
+    """A number in (0, 1) from a hash of ``seed`` and the columns."""
+    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) + 0.5) / F.lit(float(1 << 53))
+
+
+def poisson_draw(rate: Column, seed: int, *cols) -> Column:
+    """A Poisson number of mean ``rate``, the same for the same seed and columns wherever the row lies.
+
+    Up to a rate of 16 by inversion, term by term up to 80 (beyond lies less than
+    2e-26 of the mass); above, a normal number with the skewness corrected, rounded.
+    """
+    small = F.least(rate, F.lit(16.0))
+    first = F.exp(-small)
+    start = F.struct(F.lit(0).alias("k"), first.alias("p"), first.alias("upto"))
+
+    def next_term(s, i):
+        p = s["p"] * small / i
+        return F.struct((s["k"] + F.when(s["upto"] < uniform(seed, *cols), 1).otherwise(0)).alias("k"),
+                        p.alias("p"), (s["upto"] + p).alias("upto"))
+
+    counted = F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, next_term)["k"]
+    z = F.sqrt(-2.0 * F.log(uniform(seed, *cols))) * F.cos(2.0 * math.pi * uniform(seed + (1 << 32), *cols))
+    rounded = F.floor(rate + F.sqrt(rate) * z + (z * z - 1.0) / 6.0 + 0.5)
+    return F.when(rate <= 16, counted).otherwise(rounded).cast("double")
+
+
 class AdaBoostRegressor(BaseEstimator):
-    """AdaBoost.R2 over depth-3 trees fitted with boosting weights."""
+    """AdaBoost.R2 over depth-3 trees, each fitted to a weighted bootstrap of the rows.
+
+    A row's copies in a round are a Poisson number of mean n x its boosting
+    weight, drawn from a hash of row key and round (``keyCols``; without them,
+    of what the row holds), so a repartitioned table gives the same bootstrap.
+    """
+    keyCols = Param(Params._dummy(), "keyCols", "columns that tell rows apart", TypeConverters.toListString)
     loss = Param(Params._dummy(), "loss", "linear | square | exponential", TypeConverters.toString)
     learningRate = Param(Params._dummy(), "learningRate", "shrinkage", TypeConverters.toFloat)
     nEstimators = Param(Params._dummy(), "nEstimators", "rounds", TypeConverters.toInt)
 
     def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", weightCol=None,
-                 loss="linear", learningRate=1.0, nEstimators=50):
+                 loss="linear", learningRate=1.0, nEstimators=50, keyCols=()):
         super().__init__()
         self._set(featuresCol=featuresCol, labelCol=labelCol, predictionCol=predictionCol, loss=loss,
-                  learningRate=learningRate, nEstimators=nEstimators)
+                  learningRate=learningRate, nEstimators=nEstimators, keyCols=list(keyCols))
         if weightCol:
             self._set(weightCol=weightCol)
 
     def _fit(self, df: DataFrame):
         lr, loss = self.getOrDefault(self.learningRate), self.getOrDefault(self.loss)
         label = self.getLabelCol()
-        cur = df.select(self.getFeaturesCol(), label, self._weight().alias("__aw"))
-        tot = cur.agg(F.sum("__aw")).first()[0]
+        key = self.getOrDefault(self.keyCols)
+        held = [F.col(c) for c in key] or [F.col(label), vector_to_array(F.col(self.getFeaturesCol()))]
+        cur = df.select(self.getFeaturesCol(), label, self._weight().alias("__aw"), F.xxhash64(*held).alias("__key"))
+        n, tot = cur.agg(F.count(F.lit(1)), F.sum("__aw")).first()
         cur = cur.withColumn("__aw", F.col("__aw") / tot)
         models, weights, frames = [], [], _Frames()
         for m in range(self.getOrDefault(self.nEstimators)):
             cur = frames.keep(cur, cut=m % 5 == 0)
-            tree = DecisionTreeRegressor(featuresCol=self.getFeaturesCol(), labelCol=label, weightCol="__aw",
-                                         maxDepth=3, seed=42 + m).fit(cur)
+            copies = poisson_draw(F.col("__aw") * n, 42 + m, F.col("__key"))
+            drawn = cur.withColumn("__copies", copies).where(F.col("__copies") > 0)
+            tree = DecisionTreeRegressor(featuresCol=self.getFeaturesCol(), labelCol=label, weightCol="__copies",
+                                         maxDepth=3, seed=42 + m).fit(drawn)
             scored = tree.transform(cur).withColumn("__err", F.abs(F.col(label) - F.col("prediction")))
-            max_err = scored.agg(F.max("__err")).first()[0] or 0.0
+            max_err = scored.where(F.col("__aw") > 0).agg(F.max("__err")).first()[0] or 0.0
             if max_err == 0:
                 models.append(tree)
                 weights.append(1.0)
@@ -369,7 +349,7 @@ class AdaBoostRegressor(BaseEstimator):
             models.append(tree)
             weights.append(lr * math.log(1.0 / beta) if beta > 0 else 1.0)
             nw = F.col("__aw") * F.pow(F.lit(beta), (1.0 - F.col("__e")) * lr)
-            cur = scored.withColumn("__aw", nw).select(self.getFeaturesCol(), label, "__aw")
+            cur = scored.withColumn("__aw", nw).select(self.getFeaturesCol(), label, "__aw", "__key")
             s = cur.agg(F.sum("__aw")).first()[0]
             cur = cur.withColumn("__aw", F.col("__aw") / s)
         frames.release()
@@ -554,23 +534,3 @@ class OneVsRestProbModel(HasSubModels, BaseClassifierModel):
             cols.append(f"__ovr_{k}")
         total = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
         return self._emit(out, [F.col(c) / total for c in cols], list(range(K)), log_space=False).drop(*cols)
-
-
-class SizedMLPClassifier(BaseEstimator):
-    """Spark's multilayer perceptron with the input layer sized from the data."""
-    hidden = Param(Params._dummy(), "hidden", "hidden units", TypeConverters.toInt)
-    numClasses = Param(Params._dummy(), "numClasses", "classes", TypeConverters.toInt)
-
-    def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", hidden=10,
-                 numClasses=2):
-        super().__init__()
-        self._set(featuresCol=featuresCol, labelCol=labelCol, predictionCol=predictionCol, hidden=hidden,
-                  numClasses=numClasses)
-
-    def _fit(self, df: DataFrame):
-        from pyspark.ml.classification import MultilayerPerceptronClassifier
-        d = df.select(F.size(vector_to_array(F.col(self.getFeaturesCol())))).first()[0]
-        layers = [d, self.getOrDefault(self.hidden), max(self.getOrDefault(self.numClasses), 2)]
-        return MultilayerPerceptronClassifier(featuresCol=self.getFeaturesCol(), labelCol=self.getLabelCol(),
-                                              predictionCol=self.getPredictionCol(), layers=layers,
-                                              stepSize=0.01, maxIter=100, seed=42).fit(df)

@@ -4,7 +4,8 @@ Values are counted per (group, value), so that copies of a value are one row.
 The counts are cut into value ranges at quantiles of a sketch, range totals are
 prefix-summed on a small (groups x ranges) table, and rows are ranked inside
 their range only: a group with a third of all rows is as many tasks as there are
-ranges.  The sketch decides where ranges end, never a result.
+ranges.  The sketch decides where ranges end, never a result.  The counts are
+written once to the shared checkpoint folder: cuts, totals and ranks read them there.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def with_range(counts: DataFrame, value: str, out: str = "__b") -> DataFrame:
     """Append the index of each value's range: the number of cut points below it.
@@ -25,10 +28,11 @@ def with_range(counts: DataFrame, value: str, out: str = "__b") -> DataFrame:
     depth = max(1, (4 * partitions - 1).bit_length())
     levels = [i / (1 << depth) for i in range(1, 1 << depth)]
     cuts = counts.select(F.percentile_approx(value, F.array(*map(F.lit, levels)), 10_000).alias("c")).scalar()
-    df = counts.withColumn("__cuts", cuts).withColumn(out, F.lit(0))
-    for step in (1 << d for d in reversed(range(depth))):
-        df = df.withColumn(out, F.col(out) + F.when(F.col("__cuts")[F.col(out) + (step - 1)] < F.col(value), step).otherwise(0))
-    return df.drop("__cuts")
+    steps = F.array(*[F.lit(1 << d) for d in reversed(range(depth))])
+    # the cut points are named once, so that the plan holds their subquery once
+    found = F.aggregate(steps, F.lit(0), lambda b, step: b + F.when(
+        F.get("__cuts", b + step - 1) < F.col(value), step).otherwise(0))
+    return counts.withColumn("__cuts", cuts).withColumn(out, found).drop("__cuts")
 
 
 def same_group(left: Sequence[str], right: Sequence[str]) -> Column:
@@ -41,7 +45,7 @@ def same_group(left: Sequence[str], right: Sequence[str]) -> Column:
 
 def cumulated(counts: DataFrame, by: Sequence[str], value: str, weights: Sequence[str], descending: bool = False) -> DataFrame:
     """Append ``<w>_upto`` (running sum in value order, own row included) and ``<w>_all`` for each weight column."""
-    placed = with_range(counts, value)
+    placed = with_range(cut_lineage(counts), value)
     totals = placed.groupBy(*by, "__b").agg(*[F.sum(w).alias(f"__t_{w}") for w in weights])
     edge = F.desc("__b") if descending else F.asc("__b")
     before = Window.partitionBy(*by).orderBy(edge).rowsBetween(Window.unboundedPreceding, -1)

@@ -207,7 +207,7 @@ def test_stratified_folds_do_not_depend_on_ranges(spark):
 
 def test_svr_is_ridge_and_weights_count(spark):
     from quarry.operators.models.catalogue import Context, regression_models
-    from quarry.operators.models.iterative import PassiveAggressiveRegressor
+    from quarry.operators.models.online import PassiveAggressiveRegressor
     li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select(
         F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").alias("y"), F.lit(1.0).alias("w"))
     n = li.count()
