@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantiles import exact_quantiles, same_group
+from .statistics import FORMULAS, UserAggregate, modes, user_statistic
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
-def _agg_expr(name: str, y: Column, accuracy: int | None) -> Column:
+def _agg_expr(name: str, y: Column, accuracy: int | None, order: Column | None = None) -> Column:
     """D3: map a pandas-style aggregate name to a Spark aggregate (``median`` only as a sketch: see callers)."""
     name = {"sd": "std", "average": "mean", "avg": "mean"}.get(name, name)
     table = {
@@ -32,8 +33,9 @@ def _agg_expr(name: str, y: Column, accuracy: int | None) -> Column:
         "min": lambda: F.min(y),
         "max": lambda: F.max(y),
         "median": lambda: F.percentile_approx(y, F.lit(0.5), accuracy),
-        "first": lambda: F.first(y, ignorenulls=True),
-        "last": lambda: F.last(y, ignorenulls=True),
+        "first": lambda: F.first(y, ignorenulls=True) if order is None else F.min_by(y, F.when(y.isNotNull(), order)),
+        "last": lambda: F.last(y, ignorenulls=True) if order is None else F.max_by(y, F.when(y.isNotNull(), order)),
+        **{known: lambda formula=formula: formula(y) for known, formula in FORMULAS.items()},
     }
     if name not in table:
         raise ValueError(f"unknown statistic {name!r}")
@@ -61,14 +63,16 @@ def stack_offsets(stats: DataFrame, value: str = "count", x: str = "x", color: s
 
 
 def categorical_stats(df: DataFrame, x: str, y: str | None = None, color: str | None = None,
-                      stats: str | Sequence[str] | None = None,
-                      accuracy: int | None = None) -> DataFrame:
+                      stats: str | UserAggregate | Sequence[str | UserAggregate] | None = None,
+                      accuracy: int | None = None, order: Sequence[str] = ()) -> DataFrame:
     """Statistics of ``y`` by ``x`` [and ``color``].
 
     * ``stats=None`` or no ``y`` -> ``count`` of rows per group;
     * ``stats='quantiles'`` -> long form ``x, [color], quantile, y`` for
       10/25/50/75/90 % (exact; ``accuracy`` asks for the sketch instead);
-    * a name or list of names (``mean``, ``std``, ``median``...) -> one column each.
+    * a name or list of names (``mean``, ``std``, ``median``, ``mode``, ``skew``...)
+      or of :class:`UserAggregate` -> one column each; ``order`` names the columns
+      whose order ``first`` and ``last`` follow (without it, any value may be either).
 
     With a colour, every (x, colour) pair appears, count 0 / statistic null.
     """
@@ -86,8 +90,9 @@ def categorical_stats(df: DataFrame, x: str, y: str | None = None, color: str |
             F.col("q"), F.array_repeat(F.lit(None).cast("double"), len(QUANTILES)))).alias("i", "y")) \
             .select(*by, F.element_at(levels, F.col("i") + 1).alias("quantile"), "y")
     else:
-        names = [stats] if isinstance(stats, str) else list(stats)
-        out = _named_stats(df.select(*keys, F.col(y).alias("y")), by, names, accuracy)
+        names = [stats] if isinstance(stats, (str, UserAggregate)) else list(stats)
+        place = [F.struct(*order).alias("__order")] if order else []
+        out = _named_stats(df.select(*keys, F.col(y).alias("y"), *place), by, names, accuracy)
         fill = {}
     if color:
         out = full_grid(out).join(out, on=by, how="left")
@@ -111,18 +116,25 @@ def _group_quantiles(df: DataFrame, by: Sequence[str], accuracy: int | None) ->
     return _keyed(df.select(*by).distinct(), exact_quantiles(df, by, "y", QUANTILES), by)
 
 
-def _named_stats(df: DataFrame, by: Sequence[str], names: Sequence[str], accuracy: int | None) -> DataFrame:
-    """One column for each name.  Distinct counts and exact medians come from
-    counts per (group, value), beside the one aggregate of all other names."""
-    apart = [n for n in names if n == "nunique" or (n == "median" and accuracy is None)]
+def _named_stats(df: DataFrame, by: Sequence[str], names: Sequence[str | UserAggregate], accuracy: int | None) -> DataFrame:
+    """One column for each statistic.  Distinct counts, modes and exact medians come
+    from counts per (group, value), users' statistics from merged states, beside the
+    one aggregate of all other names."""
+    apart = [n for n in names if isinstance(n, UserAggregate) or n in ("nunique", "mode") or (n == "median" and accuracy is None)]
     plain = [n for n in names if n not in apart]
-    out = df.groupBy(*by).agg(*[_agg_expr(n, F.col("y"), accuracy).alias(n) for n in plain or ["size"]])
-    if "nunique" in apart:
-        values = df.select(*by, "y").distinct()
-        out = _keyed(out, values.groupBy(*by).agg(F.count("y").alias("nunique")), by)
-    if "median" in apart:
-        out = _keyed(out, exact_quantiles(df, by, "y", [0.5]).select(*by, F.col("q")[0].alias("median")), by)
-    return out.select(*by, *names)
+    order = F.col("__order") if "__order" in df.columns else None
+    out = df.groupBy(*by).agg(*[_agg_expr(n, F.col("y"), accuracy, order).alias(n) for n in plain or ["size"]])
+    for n in apart:
+        if isinstance(n, UserAggregate):
+            found = user_statistic(df, by, "y", n)
+        elif n == "nunique":
+            found = df.select(*by, "y").distinct().groupBy(*by).agg(F.count("y").alias("nunique"))
+        elif n == "mode":
+            found = modes(df, by, "y")
+        else:
+            found = exact_quantiles(df, by, "y", [0.5]).select(*by, F.col("q")[0].alias("median"))
+        out = _keyed(out, found, by)
+    return out.select(*by, *[n.name if isinstance(n, UserAggregate) else n for n in names])
 
 
 def quantiles_wide(df: DataFrame, x: str, y: str, color: str | None = None,

@@ -10,7 +10,7 @@
   boosting weights are a column updated by expressions each round, with the
   lineage cut in the shared checkpoint folder every few rounds.
 * ``ProbabilisticLinearSVC`` (K4, K5): ``LinearSVC`` per class with a Platt
-  (logistic) calibration of its margin; ``OneVsRestProbabilistic`` turns any
+  (logistic) calibration on out-of-fold margins; ``OneVsRestProbabilistic`` turns any
   binary probabilistic classifier into a multi-class one with probabilities.
 
 Training frames are persisted for the duration of a fit and released after.
@@ -19,6 +19,7 @@ Training frames are persisted for the duration of a fit and released after.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark import StorageLevel
@@ -32,8 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...session import cut_lineage
+from ..jobs import side_by_side
 from .base import BaseClassifierModel, BaseEstimator, BaseModel, HasSubModels
 
+FITS_AT_ONCE = 4                # fits of one calibration whose jobs run together
+
 # ---------------------------------------------------------------------------------------
 # distributed objective / gradient + L-BFGS on the driver
 # ---------------------------------------------------------------------------------------
@@ -443,39 +447,67 @@ class AdaBoostClassificationModel(HasSubModels, BaseClassifierModel):
 
 
 class ProbabilisticLinearSVC(BaseEstimator):
-    """K4: hinge-loss linear SVM per class, Platt-calibrated margins, normalised."""
+    """K4: hinge-loss linear SVM per class, Platt-calibrated margins, normalised.
+
+    The margins that the calibration learns from are out of fold: rows are dealt
+    to ``folds`` by a hash of what they hold (equal rows share a fold), and each
+    fold is scored by a machine fitted without it.  The machine that predicts is
+    fitted on all rows.  A fold without which one class is missing is scored by
+    that machine.
+    """
+    folds = Param(Params._dummy(), "folds", "folds of the calibration", TypeConverters.toInt)
     regParam = Param(Params._dummy(), "regParam", "L2 penalty per row", TypeConverters.toFloat)
     numClasses = Param(Params._dummy(), "numClasses", "classes", TypeConverters.toInt)
 
     def __init__(self, featuresCol="features", labelCol="label", predictionCol="prediction", weightCol=None,
-                 regParam=0.0, numClasses=2):
+                 regParam=0.0, numClasses=2, folds=3):
         super().__init__()
         self._set(featuresCol=featuresCol, labelCol=labelCol, predictionCol=predictionCol,
-                  regParam=regParam, numClasses=numClasses)
+                  regParam=regParam, numClasses=numClasses, folds=folds)
         if weightCol:
             self._set(weightCol=weightCol)
 
     def _fit(self, df: DataFrame):
         K = max(self.getOrDefault(self.numClasses), 2)
         label = self.getLabelCol()
-        data = df.select(self.getFeaturesCol(), label, self._weight().alias("__pw")).persist(
-            StorageLevel.MEMORY_AND_DISK)
+        content = F.xxhash64(vector_to_array(F.col(self.getFeaturesCol())), F.col(label))
+        data = df.select(self.getFeaturesCol(), label, self._weight().alias("__pw"),
+                         F.pmod(content, F.lit(self.getOrDefault(self.folds))).alias("__f")) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        sizes = {(r["__f"], r[label]): r["count"] for r in data.groupBy("__f", label).count().collect()}
         targets = [1.0] if K == 2 else [float(k) for k in range(K)]
         pairs = []
         for k in targets:
             d = data.withColumn("__y", (F.col(label) == k).cast("double"))
-            svc = LinearSVC(featuresCol=self.getFeaturesCol(), labelCol="__y", weightCol="__pw",
-                            regParam=self.getOrDefault(self.regParam), maxIter=50, tol=1e-4).fit(d)
-            m = svc.transform(d).select("__y", "__pw", vector_to_array("rawPrediction")[1].alias("__m"))
+            whole, *parts = side_by_side(df.sparkSession, [
+                lambda rows=rows: self._machine(rows)
+                for rows in (d, *[d.where(F.col("__f") != f) for f in self._splits(sizes, k)])], FITS_AT_ONCE)
+            by_fold = dict(zip(self._splits(sizes, k), parts))
+            m = reduce(DataFrame.unionByName, [self._margins(by_fold.get(f, whole), d.where(F.col("__f") == f))
+                                               for f in range(self.getOrDefault(self.folds))])
             m = VectorAssembler(inputCols=["__m"], outputCol="__mv").transform(m)
             platt = LogisticRegression(featuresCol="__mv", labelCol="__y", weightCol="__pw", regParam=0.0).fit(m)
-            pairs.append([svc.coefficients.toArray().tolist(), float(svc.intercept),
+            pairs.append([whole.coefficients.toArray().tolist(), float(whole.intercept),
                           float(platt.coefficients[0]), float(platt.intercept)])
         data.unpersist()
         return PlattModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(),
                           modelData=[K, pairs])
 
 
+    def _splits(self, sizes: dict, k: float) -> list[int]:
+        """Folds without which both sides of class ``k`` remain."""
+        folds = range(self.getOrDefault(self.folds))
+        return [f for f in folds if len({c == k for (g, c) in sizes if g != f}) == 2]
+
+    def _machine(self, rows: DataFrame):
+        return LinearSVC(featuresCol=self.getFeaturesCol(), labelCol="__y", weightCol="__pw",
+                         regParam=self.getOrDefault(self.regParam), maxIter=50, tol=1e-4).fit(rows)
+
+    @staticmethod
+    def _margins(machine, rows: DataFrame) -> DataFrame:
+        return machine.transform(rows).select("__y", "__pw", vector_to_array("rawPrediction")[1].alias("__m"))
+
+
 class PlattModel(BaseClassifierModel):
     def _transform(self, df: DataFrame) -> DataFrame:
         K, pairs = self.getModelData()

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .jobs import OutOfTime, within
 from .models.catalogue import Dim
 
 #: trials planned at a time
@@ -144,6 +145,9 @@ def run_search(spark: SparkSession, experiment: str, model: str, domain: Sequenc
                previous: Sequence[dict] = (), method: str = "cv") -> list[dict]:
     """H4/H5: evaluate planned trials until the time or the number of trials is spent.
 
+    A trial that runs when the time is up is cancelled on the executors and
+    leaves no row in the log.
+
     ``evaluate(params, best_mean, best_std) -> (mean, std, seconds)`` runs one
     trial on Spark.  ``previous`` trials are kept, and never repeated.
     """
@@ -154,7 +158,11 @@ def run_search(spark: SparkSession, experiment: str, model: str, domain: Sequenc
         if time.time() - began >= max_train_time or (max_trials is not None and len(log) >= max_trials):
             break
         leader = max(log, key=lambda t: t["score"], default=None)
-        mean, std, seconds = evaluate(decoded(params), leader and leader["score"], leader and leader["score_std"])
+        try:
+            mean, std, seconds = within(spark, max_train_time - (time.time() - began), lambda: evaluate(
+                decoded(params), leader and leader["score"], leader and leader["score_std"]))
+        except OutOfTime:
+            break
         log.append(dict(experiment=experiment, model=model, trial=len(log), params=params, point=point,
                         score=float(mean), score_std=float(std), seconds=float(seconds),
                         total_seconds=spent + time.time() - began, method=method))

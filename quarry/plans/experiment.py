@@ -26,6 +26,7 @@ from ..operators import metrics as M
 from ..operators import profile as B
 from ..operators import validation as V
 from ..operators.features import feature_names, preprocessor
+from ..operators.jobs import side_by_side
 from ..operators.models.catalogue import (Context, classification_benchmark, classification_models,
                                           regression_benchmark, regression_models)
 from ..operators.search import TRIAL_SCHEMA, best_parameters, decoded, leaderboard, run_search, training_curve
@@ -36,6 +37,7 @@ from ..sources import files
 CV_NAMES = (None, "cv", "Cross Validation", "random cv")
 TEST_NAMES = ("test", "Train-Test Split")
 MAX_REASONS = 5
+FOLDS_AT_ONCE = 5         # folds of a trial whose jobs run together
 
 
 class Project:
@@ -213,6 +215,11 @@ class Experiment:
         if self.validation_method == "group":
             k = train.select(F.max("__fold")).first()[0] + 1
 
+        def one_fold(params, f):
+            t0 = time.time()
+            fitted = self.pipeline(model, params, n).fit(train.where(F.col("__fold") != f))
+            return self.score(fitted, train.where(F.col("__fold") == f)), time.time() - t0
+
         def evaluate(params, best_mean, best_std):
             pipe = self.pipeline(model, params, n)
             if self.validation_method == "test":
@@ -221,13 +228,13 @@ class Experiment:
                 s = self.score(fitted, train.where(F.col("__test")))
                 return s, 0.0, time.time() - t0
             scores, times = [], []
-            for f in range(k):
-                t0 = time.time()
-                fitted = pipe.fit(train.where(F.col("__fold") != f))
-                scores.append(self.score(fitted, train.where(F.col("__fold") == f)))
-                times.append(time.time() - t0)
+            folds = side_by_side(train.sparkSession, [lambda f=f: one_fold(params, f) for f in range(k)], FOLDS_AT_ONCE)
+            for score, seconds in folds:
+                scores.append(score)
+                times.append(seconds)
                 if V.should_reject(scores, best_mean, best_std):
                     break
+            folds.close()
             import numpy as np
             return float(np.mean(scores)), float(np.std(scores)), float(np.mean(times))
         return evaluate
@@ -241,6 +248,8 @@ class Experiment:
                                         self._evaluator(model, train, n), max_train_time=max_train_time,
                                         max_trials=max_trials, seed=self.seed,
                                         previous=self.trials.get(model, ()), method=self.validation_method)
+        if not self.trials[model]:
+            raise TimeoutError(f"no trial of {model} finished within {max_train_time} s")
         best = max(self.trials[model], key=lambda t: t["score"])
         self.fitted[model] = self.pipeline(model, decoded(best["params"]), n).fit(train)
         self.holdout_scores[model] = self.score(self.fitted[model], self.split(train=False))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.expressions import key_hash_sql
 from ..operators import aggregates as A
 from ..operators import profile as B
 from ..operators import rows as C
+from ..operators.statistics import UserAggregate
 from ..sources import paging
 from . import plots as P
 from .catalog import query
 
 
+LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
 def _orders_with_nulls(t):
     """orders with nulls injected the same way in both engines."""
     o = t("orders")
@@ -236,6 +241,38 @@ def group_stats(t):
                                stats=["mean", "std", "min", "max", "median", "nunique"])
 
 
+@query("group_shape", """
+SELECT o_orderpriority AS x, round(stddev_samp(o_totalprice) / sqrt(count(o_totalprice)), 6) AS sem,
+       round(skewness(o_totalprice), 6) AS skew, round(kurtosis(o_totalprice), 6) AS kurt,
+       round(max(o_totalprice) - min(o_totalprice), 6) AS ptp,
+       round(arg_min(o_totalprice, o_orderkey), 6) AS first, round(arg_max(o_totalprice, o_orderkey), 6) AS last,
+       round(exp(avg(ln(o_totalprice))), 4) AS geometric_mean
+FROM orders GROUP BY o_orderpriority
+""")
+def group_shape(t):
+    """D3: statistics with a finishing formula, first and last in key order, and a user's own aggregate."""
+    geometric = UserAggregate("geometric_mean", lambda v: [np.log(v).sum(), len(v)], lambda s: s.sum(axis=0),
+                              lambda s: np.exp(s[0] / s[1]))
+    names = ["sem", "skew", "kurt", "ptp", "first", "last"]
+    out = A.categorical_stats(t("orders"), "o_orderpriority", "o_totalprice", stats=[*names, geometric],
+                              order=["o_orderkey"])
+    return out.select("x", *[F.round(n, 6).alias(n) for n in names], F.round("geometric_mean", 4).alias("geometric_mean"))
+
+
+@query("group_mode", """
+SELECT x, color, top AS "mode", any_ AS "any", all_ AS "all" FROM (
+  SELECT l_returnflag AS x, l_linestatus AS color, l_discount AS top,
+         row_number() OVER (PARTITION BY x, color ORDER BY count(*) DESC, l_discount) AS r,
+         max(max(l_discount)) OVER (PARTITION BY x, color) <> 0 AS any_,
+         min(min(l_discount)) OVER (PARTITION BY x, color) <> 0 AS all_
+  FROM lineitem GROUP BY l_returnflag, l_linestatus, l_discount) WHERE r = 1
+""")
+def group_mode(t):
+    """D3: most frequent discount (the least of equals), any and all, by (x, colour); pairs without rows left out."""
+    out = A.categorical_stats(t("lineitem"), "l_returnflag", "l_discount", color="l_linestatus", stats=["mode", "any", "all"])
+    return out.where(F.col("mode").isNotNull())
+
+
 # --- profiling B3-B10 ----------------------------------------------------------------------
 
 def _summary_sql(src: str, cols: list[tuple[str, str]]) -> str:
@@ -389,6 +426,16 @@ def sorted_page(t):
     return paging.page(t("customer"), 2, key="c_custkey", sort_by="c_acctbal", ascending=False)
 
 
+@query("last_sorted_page", """
+SELECT * FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey
+LIMIT 100 OFFSET 100 * (((SELECT count(*) FROM lineitem) - 1) // 100)
+""")
+def last_sorted_page(t):
+    """A4/A5: the last page of the largest table in a sorted order; only the ranges that hold it are sorted."""
+    index = paging.PageIndex(t("lineitem"), LINE_KEY, sort_by="l_shipdate", ascending=False)
+    return index.page(index.last_page)
+
+
 @query("row_numbers", """
 SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS "#",
        CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 100 AS BIGINT) AS page

@@ -1,14 +1,14 @@
 """Preview, paging and sorting of a table.
 
 Spark has no implicit row order, so every positional operation takes an
-explicit ``key`` (unique) that defines the order and breaks ties.  A page is a
-top-(offset+limit) per partition merged on the driver side of the limit
-(``TakeOrderedAndProject``); the clamp to the last page is a scalar subquery.
+explicit ``key`` (unique) that defines the order and breaks ties.  A
+:class:`PageIndex` counts the rows of some hundred ranges of the order; a page
+then reads only the rows of the ranges that hold it, however deep it lies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE_SIZE = 100
@@ -29,18 +29,78 @@ def preview(df: DataFrame, key: str | list[str], rows: int = PREVIEW_ROWS) -> Da
     return df.orderBy(*_order(key, None, True)).limit(rows)
 
 
+class PageIndex:
+    """Where each range of an order begins, for pages of ``size`` rows at any depth.
+
+    Two scans build it: one picks the range ends from a hash-drawn sample of
+    ``SAMPLE`` rows, one counts the rows of each range (all that reaches the
+    driver).  The sample decides where ranges end, never what a page holds.
+    """
+
+    RANGES, SAMPLE = 256, 4096
+
+    def __init__(self, df: DataFrame, key: str | list[str], size: int = PAGE_SIZE, sort_by: str | None = None,
+                 ascending: bool = True):
+        keys = [key] if isinstance(key, str) else list(key)
+        self.size, self.order = size, _order(key, sort_by, ascending)
+        self.by = ([(sort_by, ascending)] if sort_by is not None else []) + [(k, True) for k in keys]
+        columns = [c for c, _ in self.by]
+        drawn = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)],
+                          F.xxhash64(*columns).alias("h")).orderBy("h").limit(self.SAMPLE)
+        ends = drawn.orderBy(*[F.col(f"c{i}").asc_nulls_first() if up else F.col(f"c{i}").desc_nulls_last()
+                               for i, (_, up) in enumerate(self.by)]).drop("h").collect()
+        ends = ends[::max(1, len(ends) // self.RANGES)][1:]
+        types = [df.schema[c].dataType for c in columns]
+        self.ends = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(row, types))])
+                              for row in ends]) if ends else None
+        self.depth = len(ends).bit_length()
+        self.count = len(ends)
+        self.df = df.withColumn("__range", self._range())
+        sizes = dict(self.df.groupBy("__range").count().collect())
+        self.starts, self.total = [], 0
+        for r in range(self.count + 1):
+            self.starts.append(self.total)
+            self.total += sizes.get(r, 0)
+
+    def _before(self, end: Column) -> Column:
+        """Does a range's end come before the row in the order?"""
+        less = F.lit(False)
+        for i, (name, up) in reversed(list(enumerate(self.by))):
+            a, b = end[f"c{i}"], F.col(name)
+            first = (a.isNull() & b.isNotNull()) | F.coalesce(a < b, F.lit(False)) if up else \
+                (a.isNotNull() & b.isNull()) | F.coalesce(a > b, F.lit(False))
+            less = first | (a.eqNullSafe(b) & less)
+        return less
+
+    def _range(self) -> Column:
+        """Number of range ends before the row, by binary search."""
+        if self.ends is None:
+            return F.lit(0)
+        steps = F.array(*[F.lit(1 << d) for d in reversed(range(self.depth))])
+        return F.aggregate(steps, F.lit(0), lambda found, step: found + F.when(
+            (found + step <= self.count) & self._before(F.get(self.ends, found + step - 1)), step).otherwise(0))
+
+    @property
+    def last_page(self) -> int:
+        return max((self.total - 1) // self.size, 0)
+
+    def page(self, number: int) -> DataFrame:
+        """Page ``number``, clamped to [0, last]; an empty table has one empty page."""
+        offset = min(max(int(number), 0), self.last_page) * self.size
+        end = min(offset + self.size, self.total) - 1
+        low = max((r for r, s in enumerate(self.starts) if s <= offset), default=0)
+        high = max((r for r, s in enumerate(self.starts) if s <= end), default=0)
+        rows = self.df.where(F.col("__range").between(low, high)).drop("__range")
+        return rows.orderBy(*self.order).offset(offset - self.starts[low]).limit(self.size)
+
+
 def page(df: DataFrame, number: int, key: str | list[str], size: int = PAGE_SIZE,
          sort_by: str | None = None, ascending: bool = True) -> DataFrame:
     """A4/A5: page ``number`` (clamped to [0, last]) of ``size`` rows.
 
-    The clamp needs the row count, which is one cheap aggregate; the page
-    itself is an ordered ``offset``/``limit``.
+    For several pages of one order, keep the :class:`PageIndex`.
     """
-    number = max(int(number), 0)
-    last = df.select(F.count(F.lit(1))).first()[0]
-    last_page = max((last - 1) // size, 0)
-    number = min(number, last_page)
-    return df.orderBy(*_order(key, sort_by, ascending)).offset(number * size).limit(size)
+    return PageIndex(df, key, size, sort_by, ascending).page(number)
 
 
 def numbered(df: DataFrame, key: str | list[str], size: int = PAGE_SIZE) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from quarry.operators.models.iterative import AdaBoostRegressor, poisson_draw
+from quarry.operators.models.iterative import AdaBoostRegressor, ProbabilisticLinearSVC, poisson_draw
 from quarry.operators.models.network import Layers, SoftmaxNetwork
 from quarry.operators.models.online import EPSILON, LANES, PassiveAggressiveRegressor, lane_pass
 
@@ -135,3 +135,18 @@ def test_adaboost_is_the_same_after_repartitioning(spark, loss):
     rows = fits[0].transform(df).select("label", "prediction").collect()
     y = np.array([r["label"] for r in rows])
     assert 1 - np.mean((y - [r["prediction"] for r in rows]) ** 2) / y.var() > 0.7
+
+
+def test_svm_is_calibrated_on_margins_of_rows_it_never_saw(spark):
+    # labels are noise and features outnumber what 60 rows can pin down: fitted margins look sure, unseen ones don't
+    rng = np.random.RandomState(8)
+    rows = [(i, rng.randn(40).tolist(), float(rng.rand() < 0.5), 1.0) for i in range(60)]
+    out = ProbabilisticLinearSVC().fit(_rows(spark, rows)).transform(_rows(spark, rows)).collect()
+    p = np.array([r["probability"].toArray() for r in out])
+    assert np.allclose(p.sum(1), 1) and np.abs(p[:, 1] - 0.5).mean() < 0.25
+
+
+def test_svm_with_a_class_of_one_row(spark):
+    rows = [(i, [float(i), 1.0], float(i == 0), 1.0) for i in range(12)]
+    out = ProbabilisticLinearSVC(regParam=0.1).fit(_rows(spark, rows)).transform(_rows(spark, rows)).collect()
+    assert all(0 <= r["probability"][1] <= 1 for r in out)
