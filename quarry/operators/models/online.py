@@ -5,8 +5,8 @@ is one update of the summed aggressiveness).  Rows are dealt to blocks by a hash
 of what they hold, ordered by that hash inside a block and dealt to lanes by
 position.  Every lane is a sequence of updates from the epoch's start; a task
 advances all lanes of a block together, one row each a step.  The lanes' results
-are averaged by the weight of their rows.  The number of blocks follows from the
-number of rows alone.
+are averaged by the weight of their rows.  The numbers of blocks and lanes follow
+from the rows alone; a table of up to ``LANE_ROWS`` rows is one sequence.
 """
 
 from __future__ import annotations
@@ -21,19 +21,19 @@ from pyspark.sql import functions as F
 from .base import BaseEstimator
 from .iterative import LinearModel, _reduce_vectors
 
-LANES = 16                      # sequences in a block
-LANE_ROWS = 256                 # rows of a sequence, on average, at most
-BLOCK_VALUES = 1 << 21          # numbers of features in a block, on average, at most
+LANES = 16                      # sequences in a block, on average, at most
+LANE_ROWS = 8192                # rows of a sequence, at most
+BLOCK_VALUES = 1 << 22          # numbers of features in a block, on average, at most
 EPSILON = 0.1                   # errors up to here cause no update
 
 
-def lane_pass(theta: np.ndarray, X: np.ndarray, y: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def lane_pass(theta: np.ndarray, X: np.ndarray, y: np.ndarray, c: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     """(coefficients, weight) of each lane after one pass of PA-I updates over a block's rows in order.
 
-    Row i belongs to lane i % LANES; ``theta`` ends with the intercept; ``c``
+    Row i belongs to lane i % lanes; ``theta`` ends with the intercept; ``c``
     limits a row's step.
     """
-    n, lanes = len(y), min(LANES, len(y))
+    n = len(y)
     T = np.tile(theta, (lanes, 1))
     size = (X * X).sum(axis=1) + 1.0
     for i in range(0, n, lanes):
@@ -72,7 +72,7 @@ class PassiveAggressiveRegressor(BaseEstimator):
         if not n:
             rows.unpersist()
             raise ValueError("no labelled training rows")
-        size = max(LANES, min(LANES * LANE_ROWS, BLOCK_VALUES // (d + 1)))
+        size = max(1, min(LANES * LANE_ROWS, BLOCK_VALUES // (d + 1)))
         count = -(-n // size)
 
         def pack(pdf):
@@ -104,7 +104,8 @@ class PassiveAggressiveRegressor(BaseEstimator):
                 for b in batches:
                     for x, y, w in b[["x", "y", "w"]].itertuples(index=False):
                         w = np.frombuffer(w)
-                        T, c = lane_pass(shared.value, np.frombuffer(x).reshape(-1, d), np.frombuffer(y), C * w)
+                        T, c = lane_pass(shared.value, np.frombuffer(x).reshape(-1, d), np.frombuffer(y), C * w,
+                                         -(-len(w) // LANE_ROWS))
                         total, weight = total + c @ T, weight + c.sum()
                 if weight:
                     yield pd.DataFrame({"t": [total], "n": [weight]})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.models.iterative import AdaBoostRegressor, ProbabilisticLinearSVC, poisson_draw
 from quarry.operators.models.network import Layers, SoftmaxNetwork
-from quarry.operators.models.online import EPSILON, LANES, PassiveAggressiveRegressor, lane_pass
+from quarry.operators.models.online import EPSILON, PassiveAggressiveRegressor, lane_pass
 
 
 def _rows(spark, rows):
@@ -82,18 +82,20 @@ def _line(n=900, seed=5):
 def test_lanes_equal_updates_one_by_one():
     rng = np.random.RandomState(2)
     X, y, c = rng.randn(83, 4), rng.randn(83), rng.rand(83)
-    T, weight = lane_pass(np.zeros(5), X, y, c)
-    for lane in range(LANES):
+    lanes = 16
+    T, weight = lane_pass(np.zeros(5), X, y, c, lanes)
+    for lane in range(lanes):
         th = np.zeros(5)
-        for i in range(lane, 83, LANES):
+        for i in range(lane, 83, lanes):
             r = y[i] - X[i] @ th[:4] - th[4]
             if abs(r) > EPSILON:
                 step = math.copysign(min(c[i], (abs(r) - EPSILON) / (X[i] @ X[i] + 1)), r)
                 th += step * np.append(X[i], 1.0)
-        assert np.allclose(T[lane], th) and weight[lane] == pytest.approx(c[lane::LANES].sum())
+        assert np.allclose(T[lane], th) and weight[lane] == pytest.approx(c[lane::lanes].sum())
 
 
-def test_passive_aggressive_ignores_partitions(spark):
+def test_passive_aggressive_ignores_partitions(spark, monkeypatch):
+    monkeypatch.setattr("quarry.operators.models.online.LANE_ROWS", 20)      # several blocks
     df = _rows(spark, _line())
     fits = [PassiveAggressiveRegressor(C=0.5).fit(df.repartition(p)).getModelData() for p in (1, 7, 64)]
     for coef, b in fits:
