@@ -1,9 +1,8 @@
 """Models with no Spark ML counterpart, as distributed iterative estimators.
 
-* ``MLPRegressor`` (R15): full-batch objective and gradient computed on the
-  executors (one ``mapInPandas`` partial sum per partition, NumPy inside the
-  task), L-BFGS steps on the driver over a parameter vector bounded by the
-  model size.
+* ``MLPRegressor`` (R15): full-batch objective and gradient summed over blocks of
+  rows on the executors (NumPy inside the task), L-BFGS steps on the driver over
+  a parameter vector bounded by the model size.
 * ``AdaBoostRegressor`` (R12, loss linear/square/exponential, weighted median),
   each tree on a weighted bootstrap whose draws hash row key and round,
   and ``AdaBoostClassifier`` (K10, SAMME): a loop of weighted Spark trees; the
@@ -35,6 +34,7 @@ from pyspark.sql import functions as F
 from ...session import cut_lineage
 from ..jobs import side_by_side
 from .base import BaseClassifierModel, BaseEstimator, BaseModel, HasSubModels
+from .blocks import scored, sum_over, training_blocks
 
 FITS_AT_ONCE = 4                # fits of one calibration whose jobs run together
 
@@ -43,38 +43,6 @@ FITS_AT_ONCE = 4                # fits of one calibration whose jobs run togethe
 # ---------------------------------------------------------------------------------------
 
 
-def _training_arrays(df: DataFrame, features: str, label: str, weight: Column) -> DataFrame:
-    return df.select(vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y"),
-                     weight.alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def _partial_sums(data: DataFrame, theta: np.ndarray, batch_fn) -> tuple[float, np.ndarray, float]:
-    """Sum over partitions of (loss, gradient, weight) for parameters ``theta``."""
-    sc = data.sparkSession.sparkContext
-    bt = sc.broadcast(theta)
-
-    def part(batches):
-        import pandas as pd
-        th = bt.value
-        f, g, n = 0.0, np.zeros_like(th), 0.0
-        for b in batches:
-            if len(b) == 0:
-                continue
-            X = np.stack(b["x"].to_numpy())
-            y = b["y"].to_numpy(dtype=float)
-            w = b["w"].to_numpy(dtype=float)
-            bf, bg = batch_fn(th, X, y, w)
-            f += bf
-            g += bg
-            n += w.sum()
-        yield pd.DataFrame({"f": [f], "g": [g.tolist()], "n": [n]})
-
-    partial = data.mapInPandas(part, "f double, g array<double>, n double")
-    f, g, n = _reduce_vectors(partial, "g", len(theta), extra=("f", "n"))
-    bt.unpersist()
-    return f, g, n
-
-
 def _reduce_vectors(partial: DataFrame, vec: str, size: int, extra: tuple = ()):
     """Sum per-partition vectors on the executors (index -> value, ``groupBy``), then
     collect one vector: the driver never receives one row per partition."""
@@ -164,12 +132,18 @@ class MLPRegressor(BaseEstimator):
             self._set(weightCol=weightCol)
 
     def _fit(self, df: DataFrame):
-        data = _training_arrays(df, self.getFeaturesCol(), self.getLabelCol(), self._weight())
-        st = data.agg(F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("my"),
-                      F.max(F.size("x")).alias("d")).first()
-        n, my, d, h = st["n"], st["my"], st["d"], self.getOrDefault(self.hidden)
+        rows = df.select(self.getFeaturesCol(), F.col(self.getLabelCol()).cast("double").alias("y"),
+                         self._weight().alias("w")).where(F.col("y").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+        st = rows.agg(F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("my")).first()
+        if not st["n"]:
+            rows.unpersist()
+            raise ValueError("no labelled training rows")
+        n, my, h = st["n"], st["my"], self.getOrDefault(self.hidden)
         about = F.sum(F.col("w") * (F.col("y") - F.lit(my)) * (F.col("y") - F.lit(my)))
-        sy = max(math.sqrt(data.agg(about).first()[0] / n), 1e-12)
+        sy = max(math.sqrt(rows.agg(about).first()[0] / n), 1e-12)
+        data = training_blocks(rows, self.getFeaturesCol(), "y", F.col("w")).persist(StorageLevel.MEMORY_AND_DISK)
+        d = data.agg(F.max("d")).first()[0]
+        rows.unpersist()
         alpha = self.getOrDefault(self.alpha)
         rng = np.random.RandomState(self.getOrDefault(self.seed))
         lim1, lim2 = math.sqrt(6.0 / (d + h)), math.sqrt(6.0 / (h + 1))
@@ -189,11 +163,11 @@ class MLPRegressor(BaseEstimator):
             f = 0.5 * float((w * r * r).sum())
             wr = w * r
             dH = np.outer(wr, W2) * (Z > 0)
-            g = np.concatenate([(X.T @ dH).ravel(), dH.sum(0), H.T @ wr, [wr.sum()]])
+            g = np.concatenate([X.back(dH).ravel(), dH.sum(0), H.T @ wr, [wr.sum()]])
             return f, g
 
         def fg(th):
-            f, g, _ = _partial_sums(data, th, batch)
+            f, g, _ = sum_over(data, th, batch)
             W1, _, W2, _ = unpack(th)
             f = f / n + alpha / (2.0 * n) * (np.sum(W1 * W1) + np.sum(W2 * W2))
             g = g / n
@@ -215,12 +189,7 @@ class MLPRegressionModel(BaseModel):
         b1 = th[d * h:d * h + h]
         W2 = th[d * h + h:d * h + 2 * h]
         b2 = th[-1]
-        x = self._features()
-        out = F.lit(float(b2))
-        for j in range(h):
-            z = F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in W1[:, j]]), lambda a, b: a * b),
-                            F.lit(float(b1[j])), lambda a, b: a + b)
-            out = out + F.greatest(z, F.lit(0.0)) * float(W2[j])
+        out = scored(self.getFeaturesCol(), lambda X: np.maximum(X @ W1 + b1, 0.0) @ W2[:, None] + b2)[0]
         return df.withColumn(self.getPredictionCol(), out * float(sy) + float(my))
 
 

@@ -1,10 +1,10 @@
 """Classifier network (K13): softmax cross-entropy with an L2 penalty and row weights.
 
-The training rows are packed once into dense blocks (bytes of a NumPy matrix,
-some megabytes each) and persisted.  Every objective evaluation is one pass in
-which a task adds up loss and gradient of its blocks; the sums are reduced on
-the executors, and the driver steps L-BFGS on a parameter vector whose size is
-bounded by the model (features x hidden units + hidden units x classes).
+The training rows are packed once into blocks (sparse text rows stay sparse) and
+persisted.  Every objective evaluation is one pass in which a task adds up loss
+and gradient of its blocks; the sums are reduced on the executors, and the
+driver steps L-BFGS on a parameter vector whose size is bounded by the model
+(features x hidden units + hidden units x classes).
 """
 
 from __future__ import annotations
@@ -13,38 +13,13 @@ import math
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import BaseClassifierModel, BaseEstimator, bind
-from .iterative import _reduce_vectors, lbfgs
-
-BLOCK_VALUES = 1 << 20          # numbers in a dense block
-
-
-def dense_blocks(df: DataFrame, features: str, label: str, weight: Column) -> DataFrame:
-    """(d, x, y, w): row blocks as bytes of float64 arrays, at most ``BLOCK_VALUES`` numbers of features each.
-
-    Rows without a label take no part.
-    """
-    rows = df.select(vector_to_array(F.col(features)).alias("x"), F.col(label).cast("double").alias("y"),
-                     weight.cast("double").alias("w")).where(F.col("y").isNotNull())
-
-    def pack(batches):
-        import pandas as pd
-        for b in batches:
-            if not len(b):
-                continue
-            d = len(b["x"].iloc[0])
-            step = max(1, BLOCK_VALUES // max(d, 1))
-            for i in range(0, len(b), step):
-                part = b.iloc[i:i + step]
-                yield pd.DataFrame({"d": [d], "x": [np.stack(part["x"].to_numpy()).astype(float).tobytes()],
-                                    "y": [part["y"].to_numpy(float).tobytes()], "w": [part["w"].to_numpy(float).tobytes()]})
-
-    return rows.mapInPandas(pack, "d int, x binary, y binary, w binary")
+from .base import BaseClassifierModel, BaseEstimator
+from .blocks import Rows, scored, sum_over, training_blocks
+from .iterative import lbfgs
 
 
 class Layers:
@@ -64,7 +39,7 @@ class Layers:
         return np.concatenate([rng.uniform(-one, one, self.d * self.h), np.zeros(self.h),
                                rng.uniform(-two, two, self.h * self.k), np.zeros(self.k)])
 
-    def loss(self, theta: np.ndarray, X: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+    def loss(self, theta: np.ndarray, X: Rows, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
         """Weighted cross-entropy of the rows and its gradient (no penalty)."""
         W1, b1, W2, b2 = self.split(theta)
         Z = X @ W1 + b1
@@ -78,7 +53,7 @@ class Layers:
         R[at] -= 1.0
         R *= w[:, None]
         dH = (R @ W2.T) * (Z > 0)
-        return f, np.concatenate([(X.T @ dH).ravel(), dH.sum(0), (H.T @ R).ravel(), R.sum(0)])
+        return f, np.concatenate([X.back(dH).ravel(), dH.sum(0), (H.T @ R).ravel(), R.sum(0)])
 
     def penalty(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
         """Half the squared length of the weights (biases are free) and its gradient."""
@@ -109,32 +84,17 @@ class SoftmaxNetwork(BaseEstimator):
             self._set(weightCol=weightCol)
 
     def _fit(self, df: DataFrame):
-        blocks = dense_blocks(df, self.getFeaturesCol(), self.getLabelCol(), self._weight()) \
+        blocks = training_blocks(df, self.getFeaturesCol(), self.getLabelCol(), self._weight()) \
             .persist(StorageLevel.MEMORY_AND_DISK)
         d = blocks.agg(F.max("d")).first()[0]
         if d is None:
             blocks.unpersist()
             raise ValueError("no labelled training rows")
         layers = Layers(d, self.getOrDefault(self.hidden), max(self.getOrDefault(self.numClasses), 2))
-        alpha, sc = self.getOrDefault(self.alpha), blocks.sparkSession.sparkContext
+        alpha = self.getOrDefault(self.alpha)
 
         def fg(theta):
-            shared = sc.broadcast(theta)
-
-            def part(batches):
-                import pandas as pd
-                f, g, n = 0.0, np.zeros(len(shared.value)), 0.0
-                for b in batches:
-                    for width, x, y, w in b[["d", "x", "y", "w"]].itertuples(index=False):
-                        weights = np.frombuffer(w)
-                        bf, bg = layers.loss(shared.value, np.frombuffer(x).reshape(-1, width), np.frombuffer(y), weights)
-                        f, g, n = f + bf, g + bg, n + weights.sum()
-                if n:
-                    yield pd.DataFrame({"f": [f], "g": [g], "n": [n]})
-
-            sums = blocks.mapInPandas(part, "f double, g array<double>, n double")
-            f, g, n = _reduce_vectors(sums, "g", len(theta), extra=("f", "n"))
-            shared.unpersist()
+            f, g, n = sum_over(blocks, theta, layers.loss)
             p, gp = layers.penalty(theta)
             return (f + alpha * p) / n, (g + alpha * gp) / n
 
@@ -149,12 +109,5 @@ class SoftmaxNetworkModel(BaseClassifierModel):
         theta, d, h, k = self.getModelData()
         W1, b1, W2, b2 = Layers(d, h, k).split(np.asarray(theta))
 
-        def affine(x: Column, W: np.ndarray, b: np.ndarray) -> Column:
-            def dot(column, constant):
-                return F.aggregate(F.zip_with(x, F.lit(column.tolist()), lambda p, q: p * q), F.lit(float(constant)),
-                                   lambda p, q: p + q)
-            return F.array(*[dot(W[:, j], b[j]) for j in range(W.shape[1])])
-
-        scores = bind(self._features(), lambda x: bind(
-            F.transform(affine(x, W1, b1), lambda z: F.greatest(z, F.lit(0.0))), lambda hid: affine(hid, W2, b2)))
+        scores = scored(self.getFeaturesCol(), lambda X: np.maximum(X @ W1 + b1, 0.0) @ W2 + b2)
         return self._emit(df, scores, list(range(k)))

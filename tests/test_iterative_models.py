@@ -3,11 +3,14 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from quarry.operators.models.iterative import AdaBoostRegressor, ProbabilisticLinearSVC, poisson_draw
+from quarry.operators.models.blocks import Rows
+from quarry.operators.models.iterative import AdaBoostRegressor, MLPRegressor, ProbabilisticLinearSVC, poisson_draw
 from quarry.operators.models.network import Layers, SoftmaxNetwork
 from quarry.operators.models.online import EPSILON, PassiveAggressiveRegressor, lane_pass
 
@@ -31,7 +34,7 @@ def test_network_gradient_is_the_numeric_one():
     y, w = rng.randint(0, 3, 30).astype(float), rng.rand(30) + 0.5
 
     def total(t):
-        f, g = net.loss(t, X, y, w)
+        f, g = net.loss(t, Rows(4, None, None, X), y, w)
         p, gp = net.penalty(t)
         return f + 0.7 * p, g + 0.7 * gp
 
@@ -67,6 +70,30 @@ def test_network_learns_and_alpha_shrinks_it(spark):
     assert np.allclose(got, want)
 
 
+def test_sparse_rows_multiply_like_dense_ones():
+    rng = np.random.RandomState(8)
+    X = rng.randn(7, 5) * (rng.rand(7, 5) < 0.4)
+    X[2] = 0.0
+    X[6] = 0.0
+    at = [np.flatnonzero(x) for x in X]
+    rows = Rows.of(pd.Series([5] * 7), pd.Series(at), pd.Series([x[i] for x, i in zip(X, at)]))
+    W, R = rng.randn(5, 3), rng.randn(7, 2)
+    assert rows.n == 7 and np.allclose(rows @ W, X @ W) and np.allclose(rows.back(R), X.T @ R)
+
+
+@pytest.mark.parametrize("estimator", [SoftmaxNetwork(hidden=4, numClasses=3, maxIter=15, alpha=0.1),
+                                       MLPRegressor(hidden=4, alpha=0.1)])
+def test_networks_on_sparse_vectors_equal_dense_ones(spark, estimator):
+    rows = [(k, [v if abs(v) > 0.7 else 0.0 for v in x], y, w) for k, x, y, w in _classes()]
+    dense = _rows(spark, rows)
+    sparse = spark.createDataFrame([(k, Vectors.sparse(3, [(i, v) for i, v in enumerate(x) if v]), y) for k, x, y, _ in rows],
+                                   ["k", "features", "label"])
+    column = "probability" if isinstance(estimator, SoftmaxNetwork) else "prediction"
+    one, two = ([r[column] for r in estimator.fit(df).transform(df).orderBy("k").collect()] for df in (dense, sparse))
+    near = [np.abs(np.asarray(a) - np.asarray(b)).max() for a, b in zip(one, two)]
+    assert len(near) == len(rows) and max(near) < 1e-3
+
+
 def test_network_without_rows_is_an_error(spark):
     with pytest.raises(ValueError):
         SoftmaxNetwork().fit(_rows(spark, []))
