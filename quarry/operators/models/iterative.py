@@ -8,8 +8,8 @@
   and ``AdaBoostClassifier`` (K10, SAMME): a loop of weighted Spark trees; the
   boosting weights are a column updated by expressions each round, with the
   lineage cut in the shared checkpoint folder every few rounds.
-* ``ProbabilisticLinearSVC`` (K4, K5): ``LinearSVC`` per class with a Platt
-  (logistic) calibration on out-of-fold margins; ``OneVsRestProbabilistic`` turns any
+* ``ProbabilisticLinearSVC`` (K4, K5): linear machines of all classes and folds
+  fitted together, with a Platt (logistic) calibration on out-of-fold margins; ``OneVsRestProbabilistic`` turns any
   binary probabilistic classifier into a multi-class one with probabilities.
 
 Training frames are persisted for the duration of a fit and released after.
@@ -18,13 +18,11 @@ Training frames are persisted for the duration of a fit and released after.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import DecisionTreeRegressor
@@ -32,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...session import cut_lineage
-from ..jobs import side_by_side
 from .base import BaseClassifierModel, BaseEstimator, BaseModel, HasSubModels
 from .blocks import scored, sum_over, training_blocks
 
-FITS_AT_ONCE = 4                # fits of one calibration whose jobs run together
+ROUNDING = 0.1                  # width of the hinge's rounded corner, in margins
+TOLERANCE = 1e-7                # relative step of a machine's objective that ends its fit
 
 # ---------------------------------------------------------------------------------------
 # distributed objective / gradient + L-BFGS on the driver
@@ -423,6 +421,11 @@ class ProbabilisticLinearSVC(BaseEstimator):
     fold is scored by a machine fitted without it.  The machine that predicts is
     fitted on all rows.  A fold without which one class is missing is scored by
     that machine.
+
+    All machines (classes x (folds + 1)) are columns of one matrix, and every
+    pass over the rows moves all of them.  The hinge is rounded within
+    ``ROUNDING`` of its corner, so that L-BFGS has a gradient everywhere;
+    calibration targets are Platt's, (n + 1) / (n + 2) and 1 / (n + 2).
     """
     folds = Param(Params._dummy(), "folds", "folds of the calibration", TypeConverters.toInt)
     regParam = Param(Params._dummy(), "regParam", "L2 penalty per row", TypeConverters.toFloat)
@@ -437,61 +440,86 @@ class ProbabilisticLinearSVC(BaseEstimator):
             self._set(weightCol=weightCol)
 
     def _fit(self, df: DataFrame):
-        K = max(self.getOrDefault(self.numClasses), 2)
+        K, folds = max(self.getOrDefault(self.numClasses), 2), self.getOrDefault(self.folds)
         label = self.getLabelCol()
         content = F.xxhash64(vector_to_array(F.col(self.getFeaturesCol())), F.col(label))
-        data = df.select(self.getFeaturesCol(), label, self._weight().alias("__pw"),
-                         F.pmod(content, F.lit(self.getOrDefault(self.folds))).alias("__f")) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        sizes = {(r["__f"], r[label]): r["count"] for r in data.groupBy("__f", label).count().collect()}
-        targets = [1.0] if K == 2 else [float(k) for k in range(K)]
-        pairs = []
-        for k in targets:
-            d = data.withColumn("__y", (F.col(label) == k).cast("double"))
-            whole, *parts = side_by_side(df.sparkSession, [
-                lambda rows=rows: self._machine(rows)
-                for rows in (d, *[d.where(F.col("__f") != f) for f in self._splits(sizes, k)])], FITS_AT_ONCE)
-            by_fold = dict(zip(self._splits(sizes, k), parts))
-            m = reduce(DataFrame.unionByName, [self._margins(by_fold.get(f, whole), d.where(F.col("__f") == f))
-                                               for f in range(self.getOrDefault(self.folds))])
-            m = VectorAssembler(inputCols=["__m"], outputCol="__mv").transform(m)
-            platt = LogisticRegression(featuresCol="__mv", labelCol="__y", weightCol="__pw", regParam=0.0).fit(m)
-            pairs.append([whole.coefficients.toArray().tolist(), float(whole.intercept),
-                          float(platt.coefficients[0]), float(platt.intercept)])
-        data.unpersist()
-        return PlattModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(),
-                          modelData=[K, pairs])
-
-
-    def _splits(self, sizes: dict, k: float) -> list[int]:
-        """Folds without which both sides of class ``k`` remain."""
-        folds = range(self.getOrDefault(self.folds))
-        return [f for f in folds if len({c == k for (g, c) in sizes if g != f}) == 2]
+        # a block's y holds class and fold in one number: class + K x fold
+        data = df.select(self.getFeaturesCol(), self._weight().alias("__pw"),
+                         (F.col(label) + K * F.pmod(content, F.lit(folds))).alias("__y"))
+        blocks = training_blocks(data, self.getFeaturesCol(), "__y", F.col("__pw")).persist(StorageLevel.MEMORY_AND_DISK)
+        d = blocks.agg(F.max("d")).first()[0]
+        if d is None:
+            blocks.unpersist()
+            raise ValueError("no labelled training rows")
 
-    def _machine(self, rows: DataFrame):
-        return LinearSVC(featuresCol=self.getFeaturesCol(), labelCol="__y", weightCol="__pw",
-                         regParam=self.getOrDefault(self.regParam), maxIter=50, tol=1e-4).fit(rows)
+        def tally(_, rows, y, w):
+            return 0.0, np.bincount(y.astype(int), weights=w, minlength=K * folds)
+
+        held = sum_over(blocks, np.zeros(K * folds), tally)[1].reshape(folds, K)
+        targets = [1] if K == 2 else list(range(K))
+        machines = [(k, -1) for k in targets] + [(k, f) for k in targets for f in self._splits(held, k)]
+        classes, left_out = np.array(machines).T
+        weight = np.array([held.sum() - (held[f].sum() if f >= 0 else 0.0) for f in left_out])
+        reg, M = self.getOrDefault(self.regParam), len(machines)
+
+        def hinge(theta, X, y, w):
+            W = theta.reshape(d + 1, M)
+            fold, side = (y // K).astype(int), np.where((y % K)[:, None] == classes, 1.0, -1.0)
+            z = 1.0 - side * (X @ W[:d] + W[d])
+            share = w[:, None] * (fold[:, None] != left_out) / weight
+            curve = np.clip(z / ROUNDING, 0.0, 1.0)
+            R = -side * curve * share
+            loss = np.where(z < ROUNDING, 0.5 * curve * curve * ROUNDING, z - ROUNDING / 2)
+            return float((loss * share).sum()), np.concatenate([X.back(R), R.sum(0)[None]]).ravel()
+
+        def machine_fg(theta):
+            f, g, _ = sum_over(blocks, theta, hinge)
+            W = theta.reshape(d + 1, M)[:d]
+            g[:d * M] += reg * W.ravel()
+            return f + reg / 2 * float((W * W).sum()), g
+
+        W = lbfgs(machine_fg, np.zeros((d + 1) * M), tol=TOLERANCE).reshape(d + 1, M)
+        # the machine that never saw fold f, by (fold, class)
+        unseen = np.array([[machines.index((k, f)) if (k, f) in machines else j for j, k in enumerate(targets)]
+                           for f in range(folds)])
+        positive = np.array([held[:, k].sum() for k in targets])
+        yes, no = (positive + 1) / (positive + 2), 1 / (held.sum() - positive + 2)
+        goal = np.array(targets)
+
+        def platt(theta, X, y, w):
+            a, c = theta.reshape(2, -1)
+            m = np.take_along_axis(X @ W[:d] + W[d], unseen[(y // K).astype(int)], axis=1)
+            s = a * m + c
+            t = np.where((y % K)[:, None] == goal, yes, no)
+            r = w[:, None] * (1.0 / (1.0 + np.exp(-np.clip(s, -500, 500))) - t)
+            return float((w[:, None] * (np.logaddexp(0.0, s) - t * s)).sum()), np.concatenate([(r * m).sum(0), r.sum(0)])
+
+        def platt_fg(theta):
+            f, g, n = sum_over(blocks, theta, platt)
+            return f / n, g / n
+
+        a, c = lbfgs(platt_fg, np.zeros(2 * len(targets)), tol=TOLERANCE).reshape(2, -1)
+        blocks.unpersist()
+        pairs = [[W[:d, j].tolist(), float(W[d, j]), float(a[j]), float(c[j])] for j in range(len(targets))]
+        return PlattModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(), modelData=[K, pairs])
 
     @staticmethod
-    def _margins(machine, rows: DataFrame) -> DataFrame:
-        return machine.transform(rows).select("__y", "__pw", vector_to_array("rawPrediction")[1].alias("__m"))
+    def _splits(held: np.ndarray, k: int) -> list[int]:
+        """Folds without which both sides of class ``k`` keep weight."""
+        rest = held.sum(0) - held
+        return [f for f in range(len(held)) if rest[f, k] > 0 and rest[f].sum() - rest[f, k] > 0]
 
 
 class PlattModel(BaseClassifierModel):
     def _transform(self, df: DataFrame) -> DataFrame:
         K, pairs = self.getModelData()
-        x = self._features()
-        probs = []
-        for coef, b, a1, a0 in pairs:
-            margin = F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in coef]), lambda p, q: p * q),
-                                 F.lit(float(b)), lambda p, q: p + q)
-            probs.append(1.0 / (1.0 + F.exp(-(F.lit(a1) * margin + F.lit(a0)))))
-        if K == 2:
-            scores = [1.0 - probs[0], probs[0]]
-        else:
-            total = sum(probs[1:], probs[0])
-            scores = [p / total for p in probs]
-        return self._emit(df, scores, list(range(K)), log_space=False)
+        W, b, a, c = (np.array(part) for part in zip(*pairs))
+
+        def shares(X):
+            p = 1.0 / (1.0 + np.exp(-np.clip(a * (X @ W.T + b) + c, -500, 500)))
+            return np.hstack([1.0 - p, p]) if K == 2 else p / p.sum(axis=1, keepdims=True)
+
+        return self._emit(df, scored(self.getFeaturesCol(), shares), list(range(K)), log_space=False)
 
 
 class OneVsRestProbabilistic(BaseEstimator):

@@ -179,3 +179,28 @@ def test_svm_with_a_class_of_one_row(spark):
     rows = [(i, [float(i), 1.0], float(i == 0), 1.0) for i in range(12)]
     out = ProbabilisticLinearSVC(regParam=0.1).fit(_rows(spark, rows)).transform(_rows(spark, rows)).collect()
     assert all(0 <= r["probability"][1] <= 1 for r in out)
+
+
+def test_svm_machines_are_optimal_and_fold_free(spark):
+    rows = _classes(150)
+    fitted = ProbabilisticLinearSVC(weightCol="w", numClasses=3, regParam=0.01).fit(_rows(spark, rows).repartition(5))
+    X, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    w = np.array([r[3] for r in rows])
+
+    def value(v, k):
+        z = 1 - np.where(y == k, 1.0, -1.0) * (X @ v[:3] + v[3])
+        return (w * np.maximum(z, 0)).sum() / w.sum() + 0.005 * v[:3] @ v[:3]
+
+    rng = np.random.RandomState(4)
+    for k, (coef, b, slope, _) in enumerate(fitted.getModelData()[1]):
+        v = np.array([*coef, b])
+        assert slope > 0
+        # the rounded hinge lies within half the rounding below the hinge: no neighbour is better by more
+        assert all(value(v + s * rng.randn(4), k) > value(v, k) - 0.05 for s in (0.01, 0.1, 1.0) for _ in range(20))
+    out = fitted.transform(_rows(spark, rows)).select("label", "prediction").collect()
+    assert np.mean([r["label"] == r["prediction"] for r in out]) > 0.8
+
+
+def test_svm_without_rows_is_an_error(spark):
+    with pytest.raises(ValueError):
+        ProbabilisticLinearSVC().fit(_rows(spark, []))
