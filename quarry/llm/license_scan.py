@@ -1,7 +1,9 @@
 """Licence scan: text units compared with licence templates by the Dice coefficient over word bigrams.
 
 Units are the lines, the paragraphs (parted by blank lines) and the whole text
-of every document.  A unit and a template are normalised alike (A-Z lowered,
+of every document; templates of ``LONG`` bigrams or more, which are printed as
+several paragraphs, also meet every run of 2 to ``RUN`` consecutive paragraphs.
+A unit and a template are normalised alike (A-Z lowered,
 anything but a-z and 0-9 made a blank) and compared by 2 |A n B| / (|A| + |B|)
 over their sets of word bigrams.  For a coefficient of t or more the sizes must
 satisfy t / (2 - t) <= |A| / |B| <= (2 - t) / t, and at least
@@ -23,9 +25,37 @@ from pyspark.sql import functions as F
 from .textarrays import bytes_prefix, mix, slices, span_hash, text_column
 
 THRESHOLD = 0.8
+RUN = 8                         # paragraphs in a run, at most
+LONG = 60                       # bigrams from which a template meets runs of paragraphs
 
 # Public licence notices, (id, text).
+_BSD_TERMS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+    "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+    "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+    "with the distribution. ")
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. ")
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+    "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+    "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY "
+    "OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
 TEMPLATES = (
+    ("BSD-2-Clause", _BSD_TERMS + _BSD_DISCLAIMER),
+    ("BSD-3-Clause", _BSD_TERMS + _BSD_NAMES + _BSD_DISCLAIMER),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+     "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE "
+     "SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+     "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+     "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER "
+     "IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+     "PERFORMANCE OF THIS SOFTWARE."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
      "compliance with the License. You may obtain a copy of the License at "
@@ -118,7 +148,7 @@ def _hashed(pairs: set) -> np.ndarray:
 
 
 def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
+         text_col: str = "text", long: int = LONG) -> DataFrame:
     """One row per document: id, license, score, n_licenses, licenses.
 
     ``licenses`` are the ids of all templates that some unit matches, in order;
@@ -132,20 +162,22 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRES
     least = threshold / (2 - threshold)
     table = np.unique(_hashed(set().union(*(b for _, b in known))))
     few = min(len(b) for _, b in known) * least      # shared bigrams that any match needs
+    whole = [(name, b) for name, b in known if len(b) >= long]
+    many_needed = min((len(b) for _, b in whole), default=0) * least
+    widest = max((len(b) for _, b in whole), default=0) / least
 
-    def match(unit: bytes, best: dict) -> None:
-        own = bigrams(unit)
-        for name, other in known:
+    def match(own: set, templates: list, best: dict) -> None:
+        for name, other in templates:
             if least * len(other) <= len(own) <= len(other) / least:
                 score = 2 * len(own & other) / (len(own) + len(other))
                 if score >= threshold and score > best.get(name, 0.0):
                     best[name] = score
 
-    def units(text: bytes, places: np.ndarray) -> Iterator[bytes]:
-        """The units with enough hits: lines, then paragraphs, then the text."""
+    def units(text: bytes, places: np.ndarray, best: dict) -> None:
+        """Matches the units with enough hits: lines, paragraphs, the text; then runs of paragraphs."""
         lines = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 10)
         gaps = np.array([m.end() for m in _BLANK_LINES.finditer(text)], dtype=np.int64)
-        seen = set()
+        seen, sizes = set(), {}
         for cuts in (lines + 1, gaps, np.zeros(0, dtype=np.int64)):
             of = np.searchsorted(cuts, places, side="right")
             which, many = np.unique(of, return_counts=True)
@@ -154,7 +186,24 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRES
                 span = int(bounds[u]), int(bounds[u + 1])
                 if span not in seen:
                     seen.add(span)
-                    yield text[span[0]:span[1]]
+                    own = bigrams(text[span[0]:span[1]])
+                    sizes[span] = len(own)
+                    match(own, known, best)
+        if whole and len(gaps) and len(places) >= many_needed:
+            bounds = np.concatenate(([0], gaps, [len(text)]))
+            upto = np.searchsorted(places, bounds)
+
+            def fits(i: int) -> bool:
+                """Whether paragraph i alone leaves room for a match of a run that holds it."""
+                span = int(bounds[i]), int(bounds[i + 1])
+                if span not in sizes:
+                    sizes[span] = len(bigrams(text[span[0]:span[1]]))
+                return sizes[span] <= widest
+
+            for k in range(2, min(RUN, len(gaps) + 1) + 1):
+                for i in np.flatnonzero(upto[k:] - upto[:-k] >= many_needed).tolist():
+                    if all(fits(j) for j in range(i, i + k)):
+                        match(bigrams(text[int(bounds[i]):int(bounds[i + k])]), whole, best)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,8 +216,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRES
                         continue
                     r = int(row[i])
                     text = data[offs[r]:offs[r + 1]].tobytes()
-                    for unit in units(text, place[i:j] - offs[r]):
-                        match(unit, found[a + r])
+                    units(text, place[i:j] - offs[r], found[a + r])
             best = [min(f.items(), key=lambda x: (-x[1], x[0])) if f else (None, 0.0) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([b[0] for b in best], type=pa.string()),
@@ -181,7 +229,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRES
             .withColumnRenamed("id", id_col))
 
 
-def oracle_sql(templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> str:
+def oracle_sql(templates: tuple = TEMPLATES, threshold: float = THRESHOLD, long: int = LONG) -> str:
     """The same scan of ``documents`` in DuckDB SQL, without the pruning; licenses joined by commas."""
     values = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''"))
                        for i, (name, text) in enumerate(templates))
@@ -195,13 +243,19 @@ tpl_pairs AS (SELECT DISTINCT tid, name, w[i] || ' ' || w[i + 1] AS pair
 tpl_size AS (SELECT tid, name, count(*) AS b FROM tpl_pairs GROUP BY ALL),
 line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents),
 para AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) AS unit FROM documents),
-units AS (SELECT doc_id, unit, row_number() OVER () AS u FROM (
-              SELECT * FROM line UNION ALL SELECT * FROM para UNION ALL SELECT doc_id, text FROM documents)),
-words AS (SELECT doc_id, u, string_split({norm.format('unit')}, ' ') AS w FROM units WHERE unit IS NOT NULL),
-pairs AS (SELECT DISTINCT doc_id, u, w[i] || ' ' || w[i + 1] AS pair
-          FROM (SELECT doc_id, u, w, unnest(range(1, len(w))) AS i FROM words)),
+paras AS (SELECT doc_id, regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') AS p FROM documents),
+starts AS (SELECT doc_id, p, k, unnest(range(1, len(p) - k + 2)) AS i
+           FROM paras CROSS JOIN (SELECT unnest(range(2, {RUN + 1})) AS k) WHERE len(p) >= k),
+runs AS (SELECT doc_id, array_to_string(p[i:i + k - 1], ' ') AS unit FROM starts),
+units AS (SELECT doc_id, unit, run, row_number() OVER () AS u FROM (
+              SELECT doc_id, unit, false AS run FROM line UNION ALL SELECT doc_id, unit, false FROM para
+              UNION ALL SELECT doc_id, text, false FROM documents UNION ALL SELECT doc_id, unit, true FROM runs)),
+words AS (SELECT doc_id, u, run, string_split({norm.format('unit')}, ' ') AS w FROM units WHERE unit IS NOT NULL),
+pairs AS (SELECT DISTINCT doc_id, u, run, w[i] || ' ' || w[i + 1] AS pair
+          FROM (SELECT doc_id, u, run, w, unnest(range(1, len(w))) AS i FROM words)),
 sizes AS (SELECT u, count(*) AS a FROM pairs GROUP BY u),
-shared AS (SELECT doc_id, u, tid, count(*) AS c FROM pairs JOIN tpl_pairs USING (pair) GROUP BY ALL),
+shared AS (SELECT doc_id, u, tid, count(*) AS c FROM pairs JOIN tpl_pairs USING (pair) JOIN tpl_size USING (tid)
+           WHERE NOT run OR b >= {long} GROUP BY ALL),
 scored AS (SELECT doc_id, name, max(2.0 * c / (a + b)) AS score FROM shared JOIN sizes USING (u) JOIN tpl_size USING (tid)
            WHERE 2.0 * c / (a + b) >= {threshold} GROUP BY ALL),
 best AS (SELECT doc_id, first(name ORDER BY score DESC, name) AS license, max(score) AS score, count(*) AS n_licenses,
