@@ -9,11 +9,16 @@ blocked URLs).  Everything is DataFrame functions and Spark ML; no Python runs
 on executors.
 
 Training uses a bounded sample: the ``per_class`` URLs of each verdict that
-come first by hash.  Suffix statistics are computed over all rows.
+come first by hash.  Suffix statistics are computed over all rows; the share of
+blocked URLs that a labelled row sees leaves out its own fold (equal URLs share
+one), so that no row's label reaches its own features.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -32,6 +37,7 @@ RULES = (
 PER_CLASS = 5000
 TREES = 10
 DEPTH = 4
+FOLDS = 5                       # folds of the suffix statistics
 _FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "hyphens", "params",
              "query_length", "has_fragment", "secure", "suffix_log_count", "suffix_blocked"]
 
@@ -65,12 +71,19 @@ def lexical(df: DataFrame) -> DataFrame:
         (n - F.length(F.replace(url, c, F.lit("")))) / n * F.log2(
             F.greatest((n - F.length(F.replace(url, c, F.lit("")))) / n, F.lit(1e-12)))))
     suffix = F.element_at(F.split(F.col("host"), r"\."), -1)
-    df = df.select("*", suffix.alias("suffix"))
+    fold = F.pmod(F.xxhash64("url", F.lit(FOLDS)), F.lit(FOLDS))
+    df = df.select("*", suffix.alias("suffix"), F.when(F.col("rule_verdict").isNotNull(), fold).alias("fold"))
+    # one row a suffix: all rows, and (blocked, labelled) of each fold
     stats = df.groupBy("suffix").agg(
         F.log1p(F.count("*").cast("double")).alias("suffix_log_count"),
-        ((F.count_if(F.col("rule_verdict") == "block") + 1.0)
-         / (F.count("rule_verdict") + 2.0)).alias("suffix_blocked"))
-    df = df.join(stats, "suffix")
+        *[F.count_if((F.col("fold") == f) & (F.col("rule_verdict") == "block")).alias(f"b{f}") for f in range(FOLDS)],
+        *[F.count_if(F.col("fold") == f).alias(f"n{f}") for f in range(FOLDS)])
+
+    def others(kind: str) -> Column:
+        return reduce(add, [F.when(F.col("fold") == f, 0).otherwise(F.col(f"{kind}{f}")) for f in range(FOLDS)])
+
+    df = (df.join(stats, "suffix").withColumn("suffix_blocked", (others("b") + 1.0) / (others("n") + 2.0))
+          .drop("fold", *[f"{kind}{f}" for kind in "bn" for f in range(FOLDS)]))
     return df.select(
         "*", n.cast("double").alias("length"), F.length("host").cast("double").alias("host_length"),
         F.length("path").cast("double").alias("path_length"),

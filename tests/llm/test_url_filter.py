@@ -1,3 +1,4 @@
+import random
 import re
 
 from quarry.llm import url_filter
@@ -50,6 +51,34 @@ def test_table_and_trees(spark, sf_small):
     assert right >= 0.8 * sum(r.rule is not None for r in rows)
 
 
+def test_a_label_does_not_reach_its_own_features(spark):
+    def features(verdict):
+        rows = [(i, f"http://h{i}.a{i % 3}/p", f"h{i}.a{i % 3}", "/p", verdict if i == 7 else ("block" if i % 2 else "allow"))
+                for i in range(40)]
+        df = spark.createDataFrame(rows, "id long, url string, host string, path string, rule_verdict string")
+        return {r.id: r.suffix_blocked for r in url_filter.lexical(df).collect()}
+
+    one, two = features("block"), features("allow")
+    assert len(one) == 40 and one[7] == two[7]
+    assert any(one[i] != two[i] for i in one)
+
+
+def test_quality_on_urls_kept_out_of_training(spark):
+    # the hidden label follows the number of digits; a fifth of the hosts is ruled, the trees judge the rest
+    rng = random.Random(4)
+    rows, rules = [], []
+    for i in range(1500):
+        bad = rng.random() < 0.4
+        name = "".join(rng.choice("0123456789" if bad and rng.random() < 0.7 else "abcdefghij") for _ in range(12))
+        rows.append((i, f"http://{name}.{rng.choice(['com', 'net', 'org'])}/{'a' * rng.randint(1, 9)}", bad))
+        if i % 15 == 0:
+            rules.append((rows[-1][1].split("/")[2], "/", "block" if bad else "allow"))
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id bigint, url string")
+    got = url_filter.judge(pages, tuple(rules)).where("rule IS NULL").collect()
+    right = sum((r.verdict == "block") == rows[r.page_id][2] for r in got)
+    assert len(got) == 1400 and right >= 0.95 * len(got)
+
+
 def test_nothing_to_learn_from(spark):
     pages = spark.createDataFrame([(1, "http://a.org/"), (2, None)], "page_id bigint, url string")
     assert {r.verdict for r in url_filter.judge(pages).collect()} == {"allow"}
