@@ -294,19 +294,21 @@ def column_summary(t):
     return B.column_summary(_orders_with_nulls(t))
 
 
-@query("non_negative_columns", """
-SELECT 'l_orderkey' AS "Column" UNION ALL SELECT 'l_partkey' UNION ALL SELECT 'l_suppkey'
-UNION ALL SELECT 'l_linenumber' UNION ALL SELECT 'l_quantity' UNION ALL SELECT 'l_extendedprice'
-UNION ALL SELECT 'l_discount' UNION ALL SELECT 'l_tax'
-""")
+def _non_negative(source: str, *columns: str) -> str:
+    return " UNION ALL ".join(f"""SELECT '{c}' AS "Column" FROM {source}
+HAVING count(*) = count({c}) AND coalesce(min({c}) >= 0, true)""" for c in columns)
+
+
+@query("non_negative_columns", _non_negative(
+    "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))
 def non_negative_columns(t):
     """Numeric columns without negatives or nulls (all of lineitem's)."""
     return B.non_negative_columns(t("lineitem"))
 
 
-@query("non_negative_with_nulls", """
-SELECT 'o_orderkey' AS "Column" UNION ALL SELECT 'o_custkey'
-""")
+@query("non_negative_with_nulls", _non_negative(
+    "(SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice) FROM orders)",
+    "o_orderkey", "o_custkey", "o_totalprice"))
 def non_negative_with_nulls(t):
     """A numeric column with nulls is not a weight candidate."""
     return B.non_negative_columns(_orders_with_nulls(t))

@@ -60,11 +60,19 @@ RULES = {
     # every model but the linear passive-aggressive one does at least as well as the mean of the target
     "regression_models": lambda r: (r.set_index("model").holdout_score.drop("Passive Aggressive Regression") > -0.05).all(),
     "classification_models": lambda r: (r.holdout_score >= 0.2).all() and (r.holdout_score <= 1).all(),
-    "svm_classifiers": lambda r: (r.holdout_score <= 0).all() and (r.holdout_score > -1).all(),
-    "text_classification_models": lambda r: (r.holdout_score <= 0).all(),
+    # the class shares alone score -0.46 on this holdout: calibrated machines may lose at most 0.05 to them
+    "svm_classifiers": lambda r: (r.holdout_score <= 0).all() and (r.holdout_score > -0.51).all(),
+    "text_classification_models": lambda r: _beats_shares(r.set_index("model").holdout_score),
 }
 
 
+def _beats_shares(score):
+    """Negated log losses against that of the class shares: the margin each model must keep."""
+    least = {"Linear SVM": 0.05, "Gradient Boosted Trees": 0.05, "Kernel SVM": 0.005, "Neural Network": 0.01,
+             "Ridge Logistic Regression": 0.01, "Decision Tree": -0.05, "Random Forest": -0.05, "Extra Trees Classifier": -0.05}
+    return all(score[m] >= score["Dummy Benchmark"] + by for m, by in least.items())
+
+
 @pytest.mark.parametrize("name", sorted(n for n in set(E.queries()) - set(E.oracle_sql())
                                         if n != "pipeline" and not n.startswith("op")))
 def test_query_without_oracle(spark, name):
