@@ -18,6 +18,7 @@ from ..functions.expressions import key_hash
 from ..sources.paging import numbered
 
 HASHES = 1 << 32
+FEW_GROUPS = 10_000       # groups up to which their numbers are broadcast
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -82,6 +83,9 @@ def group_folds(df: DataFrame, group: str, out: str = "fold") -> DataFrame:
     """
     groups = df.select(group).where(F.col(group).isNotNull()).distinct()
     idx = numbered(groups, group).select(group, (F.col("#") - 1).cast("int").alias(out))
+    if groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
+        # a short list goes to the rows: shuffled, all rows of a group would meet in one task
+        idx = F.broadcast(idx)
     return df.join(idx, group, "left")
 
 
