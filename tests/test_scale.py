@@ -70,3 +70,39 @@ def test_few_groups_do_not_move_the_rows(spark, large):
     df = V.group_folds(spark.createDataFrame(rows, "id int, g string"), "g")
     assert not _moved(df)
     assert {(r["g"], r["fold"]) for r in df.collect()} == {(None, None), ("a", 0), ("b", 1)}
+
+
+def test_words_are_counted_in_tasks_of_bounded_text(spark, monkeypatch):
+    from quarry.operators import text
+    made, cut = [], text.cut_lineage
+
+    def watched(df):
+        made.append(df.rdd.getNumPartitions())
+        return cut(df)
+
+    monkeypatch.setattr(text, "cut_lineage", watched)
+    monkeypatch.setattr(text, "TASK_TEXT", 64, raising=False)
+    rows = [(i, f"alpha beta beta word{i % 3}" + " gamma" * (i % 2)) for i in range(200)] + [(0, "beta delta"), (None, "alpha"), (7, None)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    out = text.tfidf(df, "id", "t", min_df=0.0)
+    size = sum(len(t or "") for _, t in rows)
+    assert made == [-(-size // 64)]
+    norms = out.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
+    assert len(norms) == 201 and all(abs(r["s"] - 1) < 1e-9 for r in norms)
+
+
+def test_vocabulary_is_one_aggregate(spark):
+    from pyspark.ml.feature import CountVectorizer
+    from quarry.operators.features import text_stages
+    assert not any(isinstance(s, CountVectorizer) for s in text_stages(["t"]))
+    from quarry.operators.features import WordCounts
+    rows = [(["b", "a", "b"],), (["a", "c"],), (["b", "d", "a"],), ([],), (["e", "e", "e", "e"],)]
+    df = spark.createDataFrame(rows, "w array<string>")
+    model = WordCounts(inputCol="w", outputCol="v", minDF=0.4).fit(df)
+    assert model.vocabulary == ["a", "b"]
+    theirs = CountVectorizer(inputCol="w", outputCol="v", minDF=0.4).fit(df)
+    assert set(theirs.vocabulary) == {"a", "b"}
+    assert WordCounts(inputCol="w", outputCol="v", minDF=0.0).fit(df).vocabulary == ["e", "a", "b", "c", "d"]
+    assert [r["v"].toArray().tolist() for r in model.transform(df).collect()] == [[1, 2], [1, 0], [1, 1], [0, 0], [0, 0]]
+    with pytest.raises(ValueError):
+        WordCounts(inputCol="w", outputCol="v", minDF=1.0).fit(df)
