@@ -106,3 +106,19 @@ def test_vocabulary_is_one_aggregate(spark):
     assert [r["v"].toArray().tolist() for r in model.transform(df).collect()] == [[1, 2], [1, 0], [1, 1], [0, 0], [0, 0]]
     with pytest.raises(ValueError):
         WordCounts(inputCol="w", outputCol="v", minDF=1.0).fit(df)
+
+
+def test_passes_over_few_numbers_are_few_tasks(spark):
+    from quarry.operators.models import blocks as B
+    df = _frame(spark).repartition(16)
+    packed = B.training_blocks(df, "features", "label", F.col("weight")).persist()
+    d, tasks = B.measured(packed)
+    assert (d, tasks) == (2, 1)
+    total = lambda theta, x, y, w: (float((w * y).sum()), x.back(w[:, None]).ravel())
+    f, g, n = B.sum_over(packed, np.zeros(2), total, tasks)
+    again = B.sum_over(packed, np.zeros(2), total)
+    rows = df.toPandas()
+    assert f == again[0] == (rows.weight * rows.label).sum() and n == again[2] == rows.weight.sum()
+    assert g.tolist() == again[1].tolist() == (np.stack(rows.x) * rows.weight.to_numpy()[:, None]).sum(0).tolist()
+    assert B.measured(packed.limit(0))[0] is None
+    packed.unpersist()
