@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -204,3 +205,60 @@ def test_svm_machines_are_optimal_and_fold_free(spark):
 def test_svm_without_rows_is_an_error(spark):
     with pytest.raises(ValueError):
         ProbabilisticLinearSVC().fit(_rows(spark, []))
+
+
+def test_quadratic_discriminant_leaves_out_directions_without_variance(spark):
+    from quarry.operators.models.closed_form import QuadraticDiscriminant
+    rng = np.random.RandomState(0)
+    kind, label = rng.randint(0, 3, 400), (rng.rand(400) < 0.5).astype(float)
+    rows = [(i, float(x), *[float(k == j) for j in range(3)], float(y), 0.1)
+            for i, (x, k, y) in enumerate(zip(rng.randn(400) + label, kind, label))]
+    d = spark.createDataFrame(rows, "id int, x double, a double, b double, c double, label double, w double")
+
+    def shares(*columns):
+        v = VectorAssembler(inputCols=list(columns), outputCol="features").transform(d)
+        model = QuadraticDiscriminant(weightCol="w").fit(v)
+        return np.array([r["probability"].toArray() for r in model.transform(v).orderBy("id").collect()])
+
+    # the third of the one-hot columns is one less the others: it says nothing new
+    assert np.allclose(shares("x", "a", "b", "c"), shares("x", "a", "b"), atol=1e-6)
+
+
+def test_models_of_a_zoo_are_fitted_side_by_side(spark):
+    import threading
+    from quarry.plans.experiment import Experiment
+    from quarry.plans.q_models import _zoo
+    d = spark.createDataFrame([(i, float(i % 7), float(i % 7) * 2 + 1) for i in range(400)], "id int, x double, y double")
+    exp = Experiment(d, "y", False, key="id", nums=["x"], validation_method="test")
+    exp.models = {m: exp.models[m] for m in ("Linear Regression", "Ridge Regression", "Linear SVM", "Dummy Benchmark")}
+    want = {}
+    for m in exp.models:
+        exp.fit_fixed(m, {"mod__alpha": 1.0, "mod__C": 1.0})
+        want[m] = exp.score(exp.fitted[m], exp.split(False))
+    met, one_by_one = threading.Barrier(4), exp.fit_fixed
+    exp.fit_fixed = lambda model, params: met.wait(60) and False or one_by_one(model, {"mod__alpha": 1.0, "mod__C": 1.0})
+    got = {r["model"]: r["holdout_score"] for r in _zoo(exp).collect()}
+    assert list(got) == list(want) and np.allclose(list(got.values()), list(want.values()), atol=1e-9)
+
+
+def test_short_sums_meet_on_the_driver_with_the_same_bits(spark, monkeypatch):
+    from quarry.operators.models import blocks as B
+    d = VectorAssembler(inputCols=["x", "z"], outputCol="features").transform(
+        spark.range(5000, numPartitions=7).select(F.sin("id").alias("x"), F.cos("id").alias("z"), F.tan("id").alias("label")))
+    packed = B.training_blocks(d, "features", "label", F.lit(1.0)).persist()
+    fn = lambda theta, x, y, w: (float((w * y).sum()), x.back((w * y)[:, None]).ravel())
+    stages = spark.sparkContext.statusTracker()
+
+    def run(tag):
+        spark.sparkContext.setJobGroup(tag, tag)
+        f, g, n = B.sum_over(packed, np.zeros(2), fn)
+        spark.sparkContext._jsc.clearJobGroup()
+        jobs = stages.getJobIdsForGroup(tag)
+        return (f, g.tolist(), n), sum(len(stages.getJobInfo(j).stageIds) for j in jobs)
+
+    packed.count()
+    few, short = run("few")
+    monkeypatch.setattr(B, "DRIVER_VALUES", 0)
+    many, long = run("many")
+    packed.unpersist()
+    assert few == many and few[2] == 5000.0 and short < long
