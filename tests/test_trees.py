@@ -168,3 +168,32 @@ def test_penalties_change_a_classifier_that_learns(spark, data, classes):
     free, shrunk, none = fit(), fit(regLambda=100.0), fit(regAlpha=1e6)
     assert loss(free) < loss(shrunk) < math.log(classes) and loss(free) < 0.9 * prior
     assert loss(none) == pytest.approx(math.log(classes))
+
+
+@pytest.mark.parametrize("kind", ["forest", "forest of classes", "extra", "boosted", "boosted classes"])
+def test_forests_and_boosting_over_groups_equal_those_over_rows(spark, monkeypatch, kind):
+    from quarry.operators.models import trees as T
+    rng = np.random.RandomState(5)
+    x = rng.randint(0, 5, (3000, 2)).astype(float)
+    classes = 3 if "classes" in kind else 0
+    y = ((x.sum(axis=1) + rng.randint(0, 4, 3000)) % (classes or 9)).astype(float)
+    df = frame(spark, x, y, rng.randint(0, 3, 3000).astype(float))
+    passed, grow = [], T.grow
+    monkeypatch.setattr(T, "grow", lambda data, *rest: passed.append(data.count()) or grow(data, *rest))
+
+    def fit():
+        common = dict(weightCol="weight", keyCols=["key"], numClasses=classes)
+        if "boosted" in kind:
+            return SecondOrderBoosting(maxDepth=2, nEstimators=3, **common).fit(df)
+        return TreeEnsemble(maxDepth=4, numTrees=4, criterion="gini" if classes else "mse", bootstrap="forest" in kind,
+                            randomThresholds=kind == "extra", **common).fit(df)
+
+    few = fit()
+    assert max(passed) <= 25 * max(classes, 1) * (4 if "forest" in kind else 1)
+    monkeypatch.setattr(T, "GROUPING", 10 ** 9)
+    many = fit()
+    assert passed[-1] > 1000
+    for a, b in zip(few.trees, many.trees, strict=True):
+        assert (a.feature, a.threshold, a.left) == (b.feature, b.threshold, b.left)
+        assert np.allclose(a.value, b.value)
+    assert np.allclose(few.featureImportances.toArray(), many.featureImportances.toArray())
