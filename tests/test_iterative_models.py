@@ -167,6 +167,63 @@ def test_adaboost_is_the_same_after_repartitioning(spark, loss):
     assert 1 - np.mean((y - [r["prediction"] for r in rows]) ** 2) / y.var() > 0.7
 
 
+def test_draws_invert_the_poisson_shares(spark):
+    rates = [0.0, 0.3, 1.0, 7.5, 16.0, 40.0, None, float("nan")]
+    df = spark.createDataFrame([(i, rates[i % len(rates)]) for i in range(4000)], "k long, rate double")
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(5), "k"), 11) + 0.5) / F.lit(float(1 << 53))
+    for r in df.withColumn("u", u).withColumn("d", poisson_draw(F.col("rate"), 5, F.col("k"))).collect():
+        if r["rate"] is None or math.isnan(r["rate"]):
+            assert r["d"] == (None if r["rate"] is None else 0)
+        elif r["rate"] <= 16:
+            d, below = int(r["d"]), lambda k: sum(math.exp(-r["rate"]) * r["rate"] ** i / math.factorial(i) for i in range(k + 1))
+            assert below(d) > r["u"] - 1e-12 and (d == 0 or below(d - 1) < r["u"] + 1e-12)
+    mean = df.where("rate = 40").agg(F.avg(poisson_draw(F.col("rate"), 5, F.col("k")))).first()[0]
+    assert abs(mean - 40) < 2
+
+
+def test_adaboost_grows_the_trees_of_spark_from_few_passes(spark):
+    # rounded numbers: candidates are midpoints of few values for one feature, strides of weight for the other
+    from pyspark.ml.regression import DecisionTreeRegressor
+    rng = np.random.RandomState(4)
+    x = np.stack([rng.randint(0, 9, 900).astype(float), rng.randn(900).round(3)], 1)
+    df = _rows(spark, [(i, x[i].tolist(), float(x[i, 0] // 3 + abs(x[i, 1]) + rng.randn() / 9), 1.0) for i in range(900)])
+    model = AdaBoostRegressor(nEstimators=3, keyCols=["k"]).fit(df)
+    drawn = df.withColumn("w", poisson_draw(F.lit(1.0), 42, F.xxhash64("k"))).where("w > 0")
+    tree = DecisionTreeRegressor(weightCol="w", maxDepth=3, seed=42).fit(drawn)
+    a, b = ([r["prediction"] for r in m.transform(df).orderBy("k").collect()] for m in (tree, model.subModels[0]))
+    assert np.allclose(a, b)
+    # a tree grown here: a pass for each level, not Spark's rows made objects and sampled anew in each round
+    assert len(model.subModels[0].trees) == 1 and model.subModels[0].trees[0].feature[0] == 0
+    part = model.transform(df).orderBy("k").select("prediction").toPandas()["prediction"].to_numpy()
+    all_ = np.array([[r["prediction"] for r in m.transform(df).orderBy("k").collect()] for m in model.subModels]).T
+    w = np.array(model.getModelData()[0])
+    for row, got in zip(all_, part):
+        order = np.lexsort((w, row))
+        assert got == row[order][np.argmax(np.cumsum(w[order]) >= 0.5 * w.sum())]
+
+
+def test_regression_network_passes_over_different_rows_only(spark, monkeypatch):
+    from quarry.operators.models import iterative as it
+    rng = np.random.RandomState(6)
+    kinds = rng.randn(40, 2)
+    rows = [(i, kinds[i % 40].tolist(), float(kinds[i % 40].sum() + rng.randn()), 1.0 + i % 3) for i in range(800)]
+    seen, blocks = [], it.training_blocks
+    monkeypatch.setattr(it, "training_blocks", lambda df, *a: seen.append(df.count()) or blocks(df, *a))
+    merged = MLPRegressor(weightCol="w", hidden=3).fit(_rows(spark, rows))
+    monkeypatch.setattr(it, "GROUPING", 1e9)
+    whole = MLPRegressor(weightCol="w", hidden=3).fit(_rows(spark, rows))
+    assert seen == [40, 800]
+    a, b = ([r["prediction"] for r in m.transform(_rows(spark, rows)).orderBy("k").collect()] for m in (merged, whole))
+    assert np.allclose(a, b, atol=0.02)
+
+
+def test_rows_are_passed_over_in_slices():
+    x = np.arange(9000.0).reshape(4500, 2)
+    parts = list(Rows(2, None, None, x).slices())
+    assert max(p.n for _, p in parts) <= 2048 and np.array_equal(np.concatenate([x[at] for at, _ in parts]), x)
+    assert np.array_equal(np.concatenate([p.val for _, p in parts]), x)
+
+
 def test_svm_is_calibrated_on_margins_of_rows_it_never_saw(spark):
     # labels are noise and features outnumber what 60 rows can pin down: fitted margins look sure, unseen ones don't
     rng = np.random.RandomState(8)
