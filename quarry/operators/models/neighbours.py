@@ -89,11 +89,19 @@ class _Neighbours(_NeighbourParams):
         out._set(nNeighbors=k, weighting=weighting)
         return out
 
+    def searched(self, df: DataFrame) -> DataFrame:
+        """The rows with ``__near``, the ``maxNeighbors`` nearest: models of the same index then vote without a search."""
+        return self._found(df, self.getOrDefault(self.maxNeighbors))
+
+    def _found(self, df: DataFrame, k: int) -> DataFrame:
+        found = self.index.nearest(df.select(self._features().alias("x")), k)
+        keyed = df.withColumn("__x", self._features()).withColumn("__q", point_key("__x")).drop("__x")
+        return keyed.join(found.select(F.col("q").alias("__q"), F.col("near").alias("__near")), "__q", "left").drop("__q")
+
     def _votes(self, df: DataFrame) -> tuple[DataFrame, Column]:
         """The rows with ``__near``, and that column as (y, weight) votes."""
-        found = self.index.nearest(df.select(self._features().alias("x")), self.getOrDefault(self.nNeighbors))
-        keyed = df.withColumn("__x", self._features()).withColumn("__q", point_key("__x")).drop("__x")
-        out = keyed.join(found.select(F.col("q").alias("__q"), F.col("near").alias("__near")), "__q", "left").drop("__q")
+        k = self.getOrDefault(self.nNeighbors)
+        out = df.withColumn("__near", F.slice("__near", 1, k)) if "__near" in df.columns else self._found(df, k)
         near = F.col("__near")
         if self.getOrDefault(self.weighting) == "uniform":
             return out, F.transform(near, lambda p: F.struct(p["y"].alias("y"), F.lit(1.0).alias("w")))

@@ -7,11 +7,15 @@ with the least and the greatest distance of its points to the pivot.
 
 *Search.* Equal queries are one query.  It first visits the parts of its
 nearest cells until these hold k points, which gives an upper bound of its
-k-th distance; then every other part that the triangle inequality, and the
+k-th distance; then every part that the triangle inequality, and the
 plane halfway between two pivots, leave within that bound.  Inside a part only
 points in the ring of that width around the query's own distance to the pivot
-are looked at.  Each visit is one row in one exchange; a task holds one part
-and one Arrow batch of queries.  No bound decides a result: what is left out is
+are looked at.  A first visit is a row for each part; then stripes of many parts
+are visited, a row for each stripe, so that a query whose bounds prune little
+travels, and answers, once for thousands of points.  A task holds one stripe and
+one Arrow batch of queries, goes from part to part with all queries that reach
+it (one matrix product, exact distances for what that leaves), and narrows each
+query's bound on the way.  No bound decides a result: what is left out is
 farther away than the k-th.
 """
 
@@ -30,6 +34,10 @@ from ..session import cut_lineage
 MAX_PIVOTS, PIVOT_FLOATS = 2048, 1 << 22
 #: points of one part of a cell, and numbers that they may hold together
 CELL_ROWS, CELL_FLOATS = 4096, 1 << 22
+#: numbers that the points of a stripe may hold together, and stripes for each core below that
+STRIPE_FLOATS, CORE_STRIPES = 1 << 22, 4
+#: queries that are compared with a part together
+QUERY_ROWS = 1024
 _NEAR = "near array<struct<d: double, tie: bigint, y: double>>"
 
 
@@ -56,7 +64,7 @@ def slack(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def exact_distance(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Distances by their definition, summed in the order of the components."""
+    """Distances by their definition, summed in the order of the components, to one query or (components x rows) each row's own."""
     out = np.zeros(len(rows))
     for j in range(rows.shape[1]):
         out += np.square(rows[:, j] - query[j])
@@ -102,6 +110,18 @@ class Cells:
         return np.flatnonzero(ok & (beyond[p] <= wide))
 
 
+    def reach(self, queries: np.ndarray, limit: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """:meth:`within` for many queries: whether each may find a point in each of ``parts``."""
+        d, s = np.sqrt(squared(queries, self.pivots)), np.sqrt(slack(queries, self.pivots))
+        wide = (limit + 2 * s)[:, None]
+        p, at = self.pivot[parts], np.arange(len(d))
+        home = np.argmin(d, axis=1)
+        near = d[:, p]
+        gap = 2 * self.apart[home][:, p]
+        beyond = np.divide(near * near - np.square(d[at, home])[:, None], gap, out=np.zeros_like(near), where=gap > 0)
+        return (near - self.parts[parts, 3] <= wide) & (self.parts[parts, 2] - near <= wide) & (beyond <= wide)
+
+
 def _place(pivots: np.ndarray):
     """The nearest pivot of each point and the distance to it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,100 +148,154 @@ class Part:
         members = t.column("members").combine_chunks()
         self.start = np.append(0, np.cumsum(members.value_lengths().to_numpy()))
         self.tie, self.y = (f.to_numpy(zero_copy_only=False) for f in members.flatten().flatten())
-
-    def nearest(self, query: np.ndarray, k: int, limit: float) -> list[tuple]:
-        """(distance, tie, y) of the ``k`` nearest members within ``limit``, ties in order."""
-        a, b = 0, len(self.x)
-        if np.isfinite(limit):
-            d = float(np.sqrt(np.square(query - self.pivot).sum()))
-            room = 1e-9 * (1 + d + limit + (self.far[-1] if b else 0.0))
-            a = int(np.searchsorted(self.far, d - limit - room))
-            b = int(np.searchsorted(self.far, d + limit + room, side="right"))
+        # the product of (query, 1) and a lifted point is their squared distance less the query's square
+        square = np.einsum("ij,ij->i", self.x, self.x)
+        self.lifted, self.top = np.hstack([-2 * self.x, square[:, None]]), float(square.max(initial=0.0))
+
+    def add(self, best: "Nearest", rows: np.ndarray) -> None:
+        """What the part holds within the limits of the queries ``rows`` joins their nearest."""
+        for a in range(0, len(rows), QUERY_ROWS):
+            self._add(best, rows[a:a + QUERY_ROWS])
+
+    def _add(self, best: "Nearest", rows: np.ndarray) -> None:
+        q, limit, k = best.x[rows], best.limit[rows], best.k
+        d = np.sqrt(np.square(q - self.pivot).sum(axis=1))
+        room = 1e-9 * (1 + d + limit + (self.far[-1] if len(self.far) else 0.0))
+        # one ring for all queries
+        a = int(np.searchsorted(self.far, (d - limit - room).min()))
+        b = int(np.searchsorted(self.far, (d + limit + room).max(), side="right"))
         if a >= b:
-            return []
-        x = self.x[a:b]
-        rough = squared(query[None], x)[0]
-        margin = float(slack(query[None], x)[0])
-        bound = limit * limit if np.isfinite(limit) else np.inf
-        if len(rough) > k:
-            bound = min(bound, float(np.partition(rough, k - 1)[k - 1]) + margin)
-        pick = np.flatnonzero(rough <= bound * (1 + 1e-12) + margin)
-        if not len(pick):
-            return []
-        d = exact_distance(x[pick], query)
-        near = d <= limit
-        pick, d = pick[near] + a, d[near]
-        many = self.start[pick + 1] - self.start[pick]
-        at = np.repeat(self.start[pick] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-        d = np.repeat(d, many)
-        first = np.lexsort((self.tie[at], d))[:k]
-        return [{"d": p, "tie": q, "y": r} for p, q, r in zip(d[first].tolist(), self.tie[at[first]].tolist(), self.y[at[first]].tolist())]
-
-
-def _search(cells: Cells, k: int):
-    """Reads rows sorted by (part, role): a part's points, then its visitors; what only passes has role 2."""
-    kind = pa.list_(pa.struct([("d", pa.float64()), ("tie", pa.int64()), ("y", pa.float64())]))
-
+            return
+        square = np.einsum("ij,ij->i", q, q)
+        margin = 1e-12 * (1 + q.shape[1]) * (square + self.top)
+        rough = np.hstack([q, np.ones((len(q), 1))]) @ self.lifted[a:b].T
+        bound = limit * limit
+        wide = np.flatnonzero(~np.isfinite(limit))
+        if len(wide) and b - a > k:
+            bound[wide] = np.maximum(np.partition(rough[wide], k - 1, axis=1)[:, k - 1] + square[wide], 0) + margin[wide]
+        of, pick = np.nonzero(rough <= (bound * (1 + 1e-12) + margin - square)[:, None])
+        for c in range(0, len(of), 1 << 18):
+            i, p = of[c:c + (1 << 18)], pick[c:c + (1 << 18)] + a
+            d = exact_distance(self.x[p], q[i].T)
+            near = d <= limit[i]
+            i, p, d = i[near], p[near], d[near]
+            many = self.start[p + 1] - self.start[p]
+            at = np.repeat(self.start[p] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            best.take(rows[np.repeat(i, many)], np.repeat(d, many), self.tie[at], self.y[at])
+
+
+class Nearest:
+    """The ``k`` nearest (distance, tie, y) found for each of some queries, and the distance within which more may lie."""
+
+    def __init__(self, x: np.ndarray, limit: np.ndarray, k: int):
+        self.x, self.limit, self.k = x, limit.astype(float), k
+        self.held = [np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0)]
+        self.waiting: list[list[np.ndarray]] = []
+        self.count = 0
+
+    def take(self, row: np.ndarray, d: np.ndarray, tie: np.ndarray, y: np.ndarray) -> None:
+        """Some that lie within the limits; merged once they are as many as those that are kept."""
+        self.waiting.append([row, d, tie, y])
+        self.count += len(row)
+        if self.count >= max(4096, self.k * len(self.x) // 2):
+            self.merge()
+
+    def merge(self) -> None:
+        """Only the ``k`` nearest stay, ties in order; a full list narrows its query's limit."""
+        row, d, tie, y = (np.concatenate(c) for c in zip(self.held, *self.waiting))
+        self.waiting, self.count = [], 0
+        order = np.lexsort((tie, d, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = np.flatnonzero(place == self.k - 1)
+        self.limit[row[last]] = np.minimum(self.limit[row[last]], d[order[last]])
+        first = place < self.k
+        order = order[first]
+        self.held = [row[first], d[order], tie[order], y[order]]
+
+    def lists(self) -> pa.Array:
+        """Each query's list in order."""
+        self.merge()
+        row, d, tie, y = self.held
+        ends = np.searchsorted(row, np.arange(len(self.x) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
+            [pa.array(d), pa.array(tie.astype(np.int64)), pa.array(y.astype(float))], names=["d", "tie", "y"]))
+
+
+def _search(cells: Cells, k: int, last: bool):
+    """Reads rows sorted by (stripe, role): the points of a stripe by their parts, then its visitors; gives what each found there.
+
+    The ``last`` time the queries' points are no longer needed.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, index = None, [], None
         for batch in batches:
-            part = batch.column("part").to_numpy(zero_copy_only=False)
+            stripe = batch.column("stripe").to_numpy(zero_copy_only=False)
             role = batch.column("role").to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((part[1:] != part[:-1]) | (role[1:] != role[:-1])) + 1
-            for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(part)).tolist()):
+            cuts = np.flatnonzero((stripe[1:] != stripe[:-1]) | (role[1:] != role[:-1])) + 1
+            for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(stripe)).tolist()):
                 if a == b:
                     continue
                 some = batch.slice(a, b - a)
-                if part[a] != at:
-                    at, held, index = part[a], [], None
+                if stripe[a] != at:
+                    at, held, index = stripe[a], [], None
                 if role[a] == 0:
                     held.append(some)
                     continue
-                if role[a] == 2:
-                    yield pa.RecordBatch.from_arrays([some.column("q"), some.column("x"), some.column("near")],
-                                                     names=["q", "x", "near"])
-                    continue
                 if index is None:
-                    index = Part(held, cells.pivots[cells.pivot[at]])
+                    index = _parts(held, cells)
                     held = []
-                found = [index.nearest(x, k, limit) for x, limit in zip(
-                    matrix(some.column("x")), some.column("limit").to_numpy(zero_copy_only=False))]
-                yield pa.RecordBatch.from_arrays([some.column("q"), some.column("x"), pa.array(found, type=kind)],
+                best = Nearest(matrix(some.column("x")), some.column("limit").to_numpy(zero_copy_only=False), k)
+                known = np.array(list(index), dtype=np.int64)
+                known = known[np.argsort(cells.pivot[known], kind="stable")]
+                visits = np.concatenate([cells.reach(best.x[i:i + QUERY_ROWS], best.limit[i:i + QUERY_ROWS], known)
+                                         for i in range(0, len(best.x), QUERY_ROWS)])
+                for part, who in zip(known.tolist(), visits.T):
+                    if who.any():
+                        index[part].add(best, np.flatnonzero(who))
+                x = some.column("x")
+                yield pa.RecordBatch.from_arrays([some.column("q"), pa.nulls(len(x), x.type) if last else x, best.lists()],
                                                  names=["q", "x", "near"])
     return run
 
 
-def _route(cells: Cells, k: int, second: bool):
-    """One row for each visit; the second time also one row that carries what the first visits found."""
+def _parts(batches: list[pa.RecordBatch], cells: Cells) -> dict[int, Part]:
+    """The points of a stripe by their part."""
+    if not batches:
+        return {}
+    t = pa.Table.from_batches(batches).combine_chunks()
+    part = t.column("part").to_numpy()
+    order = np.argsort(part, kind="stable")
+    t = t.take(pa.array(order)).combine_chunks()
+    kinds, begin = np.unique(part[order], return_index=True)
+    ends = np.append(begin, len(part))
+    return {int(p): Part(t.slice(a, b - a).to_batches(), cells.pivots[cells.pivot[p]])
+            for p, a, b in zip(kinds, ends[:-1].tolist(), ends[1:].tolist())}
+
+
+def _route(cells: Cells, k: int, stripes: np.ndarray | None):
+    """One row for each visit: first to the parts of the nearest cells, then (``stripes`` of all parts) to all stripes within the limit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.arange(len(cells.parts))
+        begin = None if stripes is None else np.flatnonzero(np.append(True, stripes[1:] != stripes[:-1]))
         for batch in batches:
+            if not len(batch):
+                continue
             x = matrix(batch.column("x"))
-            near = batch.column("near").to_pylist() if second else None
-            who, part, limit = [], [], []
-            for i, (home, d, s) in enumerate(cells.routes(x, k)):
-                if not second:
-                    to, reach = home, np.inf
-                else:
-                    reach = near[i][k - 1]["d"] if len(near[i]) >= k else np.inf
-                    to = cells.within(d, float(s), reach) if np.isfinite(reach) else np.arange(len(cells.parts))
-                    to = np.setdiff1d(to, home, assume_unique=True)
-                who += [i] * len(to)
-                part += to.tolist()
-                limit += [reach] * len(to)
+            limit = batch.column("limit").to_numpy(zero_copy_only=False)
+            if stripes is None:
+                homes = [home for home, _, _ in cells.routes(x, k)]
+                who, to = np.repeat(np.arange(len(homes)), [len(h) for h in homes]), np.concatenate(homes)
+            else:
+                some = [np.logical_or.reduceat(cells.reach(x[a:a + QUERY_ROWS], limit[a:a + QUERY_ROWS], every), begin, axis=1)
+                        for a in range(0, len(x), QUERY_ROWS)]
+                who, to = np.nonzero(np.concatenate(some))
+                to = stripes[begin][to]
             for a in range(0, len(who), 10_000):
-                some = batch.select(["q", "x"]).take(pa.array(who[a:a + 10_000]))
-                n = len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[a:a + 10_000], type=pa.int32()), pa.array(np.ones(n, dtype=np.int32)), *some.columns,
-                     pa.array(limit[a:a + 10_000], type=pa.float64()), pa.nulls(n, batch.schema.field("near").type)],
-                    names=["part", "role", "q", "x", "limit", "near"])
-            if second:
-                # spread by what tells queries apart
-                own = np.array([r["a"] for r in batch.column("q").to_pylist()], dtype=np.int64)
+                some = batch.select(["q", "x", "limit"]).take(pa.array(who[a:a + 10_000]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((-1 - (own & 0x3FFFFFFF)).astype(np.int32)), pa.array(np.full(len(own), 2, dtype=np.int32)),
-                     batch.column("q"), batch.column("x"), pa.nulls(len(own), pa.float64()), batch.column("near")],
-                    names=["part", "role", "q", "x", "limit", "near"])
+                    [pa.array(to[a:a + 10_000].astype(np.int32)), pa.array(np.ones(len(some), dtype=np.int32)), *some.columns],
+                    names=["stripe", "role", "q", "x", "limit"])
     return run
 
 
@@ -276,22 +350,31 @@ class PivotIndex:
         """
         asked = (queries.select("x").where(F.expr(
                     "size(x) > 0 AND forall(x, v -> v IS NOT NULL AND abs(v) < double('infinity') AND NOT isnan(v))"))
-                 .select(point_key("x").alias("q"), "x").dropDuplicates(["q"])
-                 .withColumn("near", F.expr("cast(NULL as array<struct<d: double, tie: bigint, y: double>>)")))
+                 .select(point_key("x").alias("q"), "x").dropDuplicates(["q"]).withColumn("limit", F.lit(float("inf"))))
         if not len(self.cells.parts):
-            return asked.select("q", "near").where(F.lit(False))
+            return asked.select("q", F.expr(f"cast(NULL as {_NEAR.split(' ', 1)[1]})").alias("near")).where(F.lit(False))
+        cores = self.points.sparkSession.sparkContext.defaultParallelism
+        homes = self._visited(asked, k, None, min(len(self.cells.parts), CORE_STRIPES * cores))
+        # a query that found fewer than k may find the others anywhere
+        known = homes.select("q", "x", F.when(F.size("near") >= k, F.element_at("near", -1)["d"]).otherwise(F.lit(float("inf"))).alias("limit"))
+        stripes = self._stripes(CORE_STRIPES * cores)
+        return self._visited(known, k, stripes, int(stripes.max()) + 1).select("q", "near")
+
+    def _stripes(self, least: int) -> np.ndarray:
+        """The stripe of each part: whole parts in their order, up to ``STRIPE_FLOATS`` numbers, or ``least`` stripes where there are as many parts."""
+        points = self.cells.parts[:, 1]
+        size = max(1.0, min(STRIPE_FLOATS / max(1, self.cells.pivots.shape[1]), points.sum() / least))
+        return np.floor(np.maximum(np.cumsum(points) - points, 0) / size).astype(np.int64)
+
+    def _visited(self, asked: DataFrame, k: int, stripes: np.ndarray | None, tasks: int) -> DataFrame:
+        """(q, x, near) of the queries (q, x, limit) over the parts of their nearest cells, or over all ``stripes`` within the limit."""
+        place = F.col("part") if stripes is None else F.array(*map(F.lit, stripes.tolist()))[F.col("part")]
         here = self.points.select(
-            "part", F.lit(0).alias("role"), F.expr("cast(NULL as struct<a: bigint, b: bigint>)").alias("q"), "x",
-            F.lit(None).cast("double").alias("limit"), F.expr("cast(NULL as array<struct<d: double, tie: bigint, y: double>>)").alias("near"),
-            "members", "far")
-        found = asked
-        for second in (False, True):
-            routed = found.select("q", "x", "near").mapInArrow(
-                _route(self.cells, k, second), f"part int, role int, q struct<a: bigint, b: bigint>, x array<double>, limit double, {_NEAR}")
-            visits = routed.select("*", F.expr("cast(NULL as array<struct<tie: bigint, y: double>>)").alias("members"),
-                                   F.lit(None).cast("double").alias("far"))
-            seen = (here.unionAll(visits).repartition("part").sortWithinPartitions("part", "role")
-                    .mapInArrow(_search(self.cells, k), f"q struct<a: bigint, b: bigint>, x array<double>, {_NEAR}"))
-            found = seen.groupBy("q").agg(F.first("x").alias("x"), F.slice(
-                F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-        return found.select("q", "near")
+            place.cast("int").alias("stripe"), F.lit(0).alias("role"), F.expr("cast(NULL as struct<a: bigint, b: bigint>)").alias("q"),
+            "x", F.lit(None).cast("double").alias("limit"), "part", "members", "far")
+        visits = asked.mapInArrow(_route(self.cells, k, stripes), "stripe int, role int, q struct<a: bigint, b: bigint>, x array<double>, limit double")
+        visits = visits.select("*", F.lit(None).cast("int").alias("part"),
+                               F.expr("cast(NULL as array<struct<tie: bigint, y: double>>)").alias("members"), F.lit(None).cast("double").alias("far"))
+        seen = (here.unionAll(visits).repartitionById(tasks, F.pmod("stripe", F.lit(tasks))).sortWithinPartitions("stripe", "role")
+                .mapInArrow(_search(self.cells, k, stripes is not None), f"q struct<a: bigint, b: bigint>, x array<double>, {_NEAR}"))
+        return seen.groupBy("q").agg(F.first("x").alias("x"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))

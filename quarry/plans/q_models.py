@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import key_hash_sql
 from ..operators.jobs import side_by_side
+from ..session import cut_lineage
 from ..sources import files
 from .catalog import query
 from .experiment import Experiment
@@ -441,6 +442,8 @@ def _knn_answers(exp: Experiment, key: str, columns):
     ready = fitted.stages[0].transform(exp.split(False))
     for stage in fitted.stages[1:-1]:
         ready = stage.transform(ready)
+    # the nearest 20 hold the nearest 1 and 5: one search answers every vote
+    ready = cut_lineage(fitted.stages[-1].searched(ready.select(key, "features")).drop("features"))
     out = None
     for k in KNN_SIZES:
         for weighting in WEIGHTINGS:

@@ -95,3 +95,36 @@ def test_votes_by_weighting_and_saving(spark, tmp_path):
     with pytest.raises(ValueError):
         clf.voting(4)
     assert clf.transform(asked).columns[:5] == asked.columns
+
+
+def test_one_search_answers_every_vote(spark, sf_small, monkeypatch):
+    import __spark_entry__ as entry
+    asked, nearest = [], PivotIndex.nearest
+    monkeypatch.setattr(PivotIndex, "nearest", lambda self, df, k: asked.append(k) or nearest(self, df, k))
+    out = entry.queries()["knn_classification"](spark, sf_small)
+    assert asked == [20]
+    assert out.groupBy("k", "weights").count().count() == 6
+
+
+@pytest.mark.parametrize("floats", [64, 1 << 22])
+def test_vectors_that_no_bound_tells_apart(spark, monkeypatch, floats):
+    # bounds leave out little: a query is a row for each stripe, not for each of its parts
+    from quarry.operators import pivot_index as P
+    monkeypatch.setattr(P, "STRIPE_FLOATS", floats)
+    monkeypatch.setattr(P, "CORE_STRIPES", 1)
+    rng = np.random.default_rng(5)
+    points = [(v.tolist(), i, float(i % 3)) for i, v in enumerate(rng.standard_normal((1500, 16)))]
+    index = PivotIndex.build(frame(spark, points).repartition(4), 9, 30, 20)
+    asked = rng.standard_normal((60, 16))
+    queries = spark.createDataFrame([(q.tolist(),) for q in asked], "x array<double>")
+    names = {r.q: r.x for r in queries.select(point_key("x").alias("q"), "x").collect()}
+    found = index.nearest(queries, 9).collect()
+    assert len(found) == 60
+    for r in found:
+        assert [(p.d, p.tie, p.y) for p in r.near] == brute(points, names[r.q], 9)
+    stripes = index._stripes(4)
+    assert len(stripes) == len(index.cells.parts) and (np.diff(stripes) >= 0).all()
+    if floats > 64:
+        rows = queries.select(point_key("x").alias("q"), "x", F.lit(1e3).alias("limit")).toArrow().to_batches()
+        visits = sum(b.num_rows for b in P._route(index.cells, 9, stripes)(iter(rows)))
+        assert visits == 60 * len(set(stripes.tolist())) < 60 * len(index.cells.parts) / 4
