@@ -57,11 +57,12 @@ class NumericBlock(Estimator, HasInputCols, HasOutputCol, _Stage):
     scaler = Param(Params._dummy(), "scaler", "None | MinMax | MaxAbs | Standard | Robust", TypeConverters.toString)
     accuracy = Param(Params._dummy(), "accuracy", "0 = exact percentiles, else sketch accuracy",
                      TypeConverters.toInt)
+    apart = Param(Params._dummy(), "apart", "whether the values are columns of their own as well", TypeConverters.toBoolean)
 
     @keyword_only
-    def __init__(self, inputCols=None, outputCol="nums_vec", imputer="mean", scaler="None", accuracy=0):
+    def __init__(self, inputCols=None, outputCol="nums_vec", imputer="mean", scaler="None", accuracy=0, apart=False):
         super().__init__()
-        self._setDefault(imputer="mean", scaler="None", accuracy=0, outputCol="nums_vec")
+        self._setDefault(imputer="mean", scaler="None", accuracy=0, outputCol="nums_vec", apart=False)
         self._set(**self._input_kwargs)
 
     def setParams(self, **kw):
@@ -109,17 +110,19 @@ class NumericBlock(Estimator, HasInputCols, HasOutputCol, _Stage):
                 center[i] = a or 0.0
                 scale[i] = b if b and not math.isnan(b) else 1.0
         return NumericBlockModel(inputCols=cols, outputCol=self.getOutputCol(),
-                                 fill=fill, center=center, scale=scale)
+                                 fill=fill, center=center, scale=scale, apart=self.getOrDefault(self.apart))
 
 
 class NumericBlockModel(Model, HasInputCols, HasOutputCol, _Stage):
     fill = Param(Params._dummy(), "fill", "fill values", TypeConverters.toListFloat)
     center = Param(Params._dummy(), "center", "centre", TypeConverters.toListFloat)
     scale = Param(Params._dummy(), "scale", "scale", TypeConverters.toListFloat)
+    apart = Param(Params._dummy(), "apart", "whether the values are columns of their own as well", TypeConverters.toBoolean)
 
     @keyword_only
-    def __init__(self, inputCols=None, outputCol=None, fill=None, center=None, scale=None):
+    def __init__(self, inputCols=None, outputCol=None, fill=None, center=None, scale=None, apart=False):
         super().__init__()
+        self._setDefault(apart=False)
         self._set(**self._input_kwargs)
 
     def columns(self):
@@ -134,7 +137,10 @@ class NumericBlockModel(Model, HasInputCols, HasOutputCol, _Stage):
                             "attrs": {"numeric": [{"idx": i, "name": n} for i, n in enumerate(names)]}}}
         vector = array_to_vector(F.array(*self.columns())).alias(self.getOutputCol(), metadata=meta)
         missing = [c for c in names if c not in df.columns]
-        return _with_columns(df, names).withColumn(self.getOutputCol(), vector).drop(*missing)
+        out = _with_columns(df, names).withColumn(self.getOutputCol(), vector)
+        if self.getOrDefault(self.apart):
+            out = out.withColumns({f"{self.getOutputCol()}__{i}": v for i, v in enumerate(self.columns())})
+        return out.drop(*missing)
 
 
 # --- categoric block -------------------------------------------------------------------
@@ -311,6 +317,41 @@ class RBFFeaturesModel(Model, HasInputCol, HasOutputCol, _Stage):
         return df.withColumn(self.getOutputCol(), array_to_vector(project(vector_to_array(F.col(self.getInputCol())))))
 
 
+# --- features as plain numbers --------------------------------------------------------------
+
+PLAIN_FEATURES = 64     # most features that are also kept as an array of expressions
+
+
+class FeatureArray(Transformer, HasInputCols, HasOutputCol, _Stage):
+    """``<output>__x``: what the assembled vector ``<output>`` holds, as an array of column expressions.
+
+    Building a vector calls a function for each block of each row; who only
+    needs numbers reads this array, whose elements are plain expressions of the
+    source columns.  ``inputCols`` are the categoric columns, ``nums`` the
+    number of numeric ones.  Many categories leave the array out.
+    """
+    nums = Param(Params._dummy(), "nums", "numeric features", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, inputCols=None, outputCol=None, nums=0):
+        super().__init__()
+        self._setDefault(nums=0)
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        apart = [f"__nums__{i}" for i in range(self.getOrDefault(self.nums))]
+        parts = [F.col(c) for c in apart]
+        for c in self.getInputCols():
+            labels = df.schema[f"__idx_{c}"].metadata.get("ml_attr", {}).get("vals")
+            if labels is None or len(parts) + len(labels) - 1 > PLAIN_FEATURES:
+                return df.drop(*apart)
+            # the last label stands for unseen values
+            parts += [F.when(F.col(f"__cat_{c}") == F.lit(v), F.lit(1.0)).otherwise(F.lit(0.0)) for v in labels[:-1]]
+        if len(parts) > PLAIN_FEATURES:
+            return df.drop(*apart)
+        return df.withColumn(f"{self.getOutputCol()}__x", F.array(*parts)).drop(*apart)
+
+
 # --- the whole preprocessor --------------------------------------------------------------
 
 def preprocessor(nums: Sequence[str] = (), cats: Sequence[str] = (), text: Sequence[str] = (),
@@ -320,7 +361,7 @@ def preprocessor(nums: Sequence[str] = (), cats: Sequence[str] = (), text: Seque
     stages, parts = [], []
     if nums:
         stages.append(NumericBlock(inputCols=list(nums), outputCol="__nums", imputer=imputer,
-                                   scaler=scaler or "None", accuracy=accuracy))
+                                   scaler=scaler or "None", accuracy=accuracy, apart=not text))
         parts.append("__nums")
     if cats:
         stages += categoric_stages(cats)
@@ -331,6 +372,8 @@ def preprocessor(nums: Sequence[str] = (), cats: Sequence[str] = (), text: Seque
     if not parts:
         return Pipeline(stages=[ConstantFeature(outputCol=output)])
     stages.append(VectorAssembler(inputCols=parts, outputCol=output, handleInvalid="keep"))
+    if not text:
+        stages.append(FeatureArray(inputCols=list(cats), outputCol=output, nums=len(nums)))
     return Pipeline(stages=stages)
 
 

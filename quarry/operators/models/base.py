@@ -27,6 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def features_array(df: DataFrame, features: str) -> Column:
+    """The numbers of a vector column: plain expressions where the preprocessor left them beside it."""
+    plain = f"{features}__x"
+    return F.col(plain) if plain in df.columns else vector_to_array(F.col(features))
+
+
 class HasModelData(Params):
     """Fitted parameters as one JSON-friendly list (persisted with the model)."""
     modelData = Param(Params._dummy(), "modelData", "fitted parameters", typeConverter=TypeConverters.toList)

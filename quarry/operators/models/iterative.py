@@ -610,7 +610,7 @@ class OneVsRestProbabilistic(BaseEstimator):
 
     def _fit(self, df: DataFrame):
         K = self.getOrDefault(self.numClasses)
-        data = df.persist(StorageLevel.MEMORY_AND_DISK)
+        data = df.drop(f"{self.getFeaturesCol()}__x").persist(StorageLevel.MEMORY_AND_DISK)
 
         def one(k):
             clf = self._classifier.copy()

@@ -61,15 +61,24 @@ def line_fold_models(df: DataFrame, x: str, y: str, fold: str = "fold") -> DataF
 
 # --- penalised least squares on Spark ML (R2-R4) ------------------------------------------
 
+import numpy as np  # noqa: E402
+from pyspark.ml.linalg import Vectors  # noqa: E402
 from pyspark.ml.param import Param, Params, TypeConverters  # noqa: E402
 from pyspark.ml.regression import LinearRegression  # noqa: E402
 
 from .base import BaseEstimator  # noqa: E402
 
 
+MOMENT_FEATURES = 16    # most features whose products are SQL sums
+
+
 class PenalisedLinearRegression(BaseEstimator):
     """1/(2n) sum r^2 + l1 ||w||_1 + l2/2 ||w||^2, solved by Spark's LinearRegression.
 
+    The solver needs no more of the rows than their weight, means and products:
+    where the features are few and plain columns, these come from SQL sums, and
+    Spark's solver is given a few rows that have the same ones.
+
     Spark standardises the label internally and divides the L2 part of its
     penalty by the label's std (glmnet convention); the L1 part is unchanged.
     So regParam = l1 + l2 * std(y) and elasticNetParam = l1 / regParam give
@@ -87,10 +96,44 @@ class PenalisedLinearRegression(BaseEstimator):
 
     def _fit(self, df: DataFrame):
         w, y = self._weight(), F.col(self.getLabelCol()).cast("double")
+        plain = f"{self.getFeaturesCol()}__x"
+        if plain in df.columns:
+            d = (df.select(F.size(plain)).first() or [0])[0]
+            if 0 < d <= MOMENT_FEATURES:
+                return self._solved(*self._alike(df, d))
         s = df.agg(F.sum(w).alias("sw"), F.sum(w * y).alias("swy")).first()
         mean = F.lit(s["swy"] / s["sw"])
         # the population deviation, as in Spark's normal-equation solver (up to 4096 features)
         std = math.sqrt(df.agg(F.sum(w * (y - mean) * (y - mean))).first()[0] / s["sw"])
+        return self._solved(df, std)
+
+    def _alike(self, df: DataFrame, d: int) -> tuple[DataFrame, float]:
+        """(rows, deviation of y): 2 (d + 1) rows of the weight, the means and the products that the rows of ``df`` have."""
+        w, y = self._weight(), F.col(self.getLabelCol()).cast("double")
+        x = F.col(f"{self.getFeaturesCol()}__x")
+        rows = df.select(w.alias("w"), *[x[j].alias(f"v{j}") for j in range(d)], y.alias(f"v{d}"))
+        v = [F.col(f"v{j}") for j in range(d + 1)]
+        n, *sums = rows.agg(F.sum("w"), *[F.sum(F.col("w") * c) for c in v]).first()
+        mean = np.array(sums) / n
+        about = rows.select("w", *[(c - F.lit(float(m))).alias(f"v{j}") for j, (c, m) in enumerate(zip(v, mean))])
+        pairs = [(i, j) for i in range(d + 1) for j in range(i + 1)]
+        products = np.zeros((d + 1, d + 1))
+        for (i, j), s in zip(pairs, about.agg(*[F.sum(F.col("w") * v[i] * v[j]) for i, j in pairs]).first()):
+            products[i, j] = products[j, i] = s / n
+        # points on either side of the mean along the axes of the scatter
+        scale = np.sqrt(np.maximum(np.diag(products), 0.0))
+        unit = np.where(scale > 0, scale, 1.0)
+        size, axes = np.linalg.eigh(products / np.outer(unit, unit))
+        steps = (axes * np.sqrt(np.maximum(size, 0.0) * (d + 1))).T * scale
+        points = np.concatenate([mean + steps, mean - steps])
+        names = [self.getFeaturesCol(), self.getLabelCol()]
+        weighted = self.isDefined(self.weightCol) and self.getOrDefault(self.weightCol)
+        out = df.sparkSession.createDataFrame(
+            [(Vectors.dense(p[:d]), float(p[d]), *([float(n / len(points))] if weighted else [])) for p in points],
+            names + ([self.getWeightCol()] if weighted else []))
+        return out.coalesce(1), float(scale[d])
+
+    def _solved(self, df: DataFrame, std: float):
         l1, l2 = self.getOrDefault(self.l1), self.getOrDefault(self.l2)
         lam = l1 + l2 * (std if std > 0 else 1.0)
         kw = dict(featuresCol=self.getFeaturesCol(), labelCol=self.getLabelCol(),

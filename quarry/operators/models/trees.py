@@ -37,11 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...session import cut_lineage
-from .base import BaseClassifierModel, BaseEstimator, BaseModel
+from .base import BaseClassifierModel, BaseEstimator, BaseModel, features_array
 
 MAX_CELLS = 1 << 21
 GROUPING = 4                    # rows for each possible group from which on trees grow over groups
 GROUP_TASK = 1 << 14            # groups that a task passes over
+PLAIN_CUTS = 512                # thresholds of all features that are compared in the query itself
 SAMPLE_ROWS = 20_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -481,6 +482,17 @@ def _summed_groups(rows: DataFrame, *by: str) -> DataFrame:
                                                F.sum((w > 0).cast("double")).alias("n"))
 
 
+def _bin(value: Column, cuts: np.ndarray) -> Column:
+    """How many of the sorted ``cuts`` lie below a value, by halves; NaN is above all."""
+    def count(a: int, b: int) -> Column:
+        if a == b:
+            return F.lit(a).cast("long")
+        m = (a + b) // 2
+        return F.when(value > float(cuts[m]), count(m + 1, b)).otherwise(count(a, m))
+
+    return count(0, len(cuts))
+
+
 def _groups(data: DataFrame, dim: int, cuts: list[np.ndarray], edges: np.ndarray | None = None, by_class: bool = False,
             draws: Callable | None = None, trees: int = 1) -> DataFrame:
     """Sums of the rows between the same thresholds: (tree, x, kind, s0, s1, s2, n), x being bins, kind a class or a bin of the target.
@@ -502,7 +514,16 @@ def _groups(data: DataFrame, dim: int, cuts: list[np.ndarray], edges: np.ndarray
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t)), *[pa.array(v[at]) for v in (code, kind, wt, y)]],
                                                  names=["tree", "code", "kind", "w", "y"])
 
-    sums = _summed_groups(data.mapInArrow(binned, "tree bigint, code bigint, kind double, w double, y double"), "tree", "code", "kind")
+    if draws is None and sum(len(c) for c in [*cuts, () if edges is None else edges]) <= PLAIN_CUTS:
+        # few thresholds are compared in the query itself: no row goes to Python
+        code = F.lit(0).cast("long")
+        for j in range(dim):
+            code = code * (len(cuts[j]) + 1) + _bin(F.col("x")[j], cuts[j])
+        kind = F.col("y") if by_class else F.lit(0.0) if edges is None else _bin(F.col("y"), edges).cast("double")
+        rows = data.select(F.lit(0).cast("long").alias("tree"), code.alias("code"), kind.alias("kind"), "w", "y")
+    else:
+        rows = data.mapInArrow(binned, "tree bigint, code bigint, kind double, w double, y double")
+    sums = _summed_groups(rows, "tree", "code", "kind")
     # the bins of a group, from its code
     place, digits = 1, []
     for c in reversed(cuts):
@@ -527,7 +548,7 @@ class _TreeEstimator(BaseEstimator, _TreeParams):
     def _rows(self, df: DataFrame) -> DataFrame:
         """(x, y, w, rid) of the training rows."""
         keys = [F.col(f"`{c}`") for c in self.getOrDefault(self.keyCols)]
-        rows = df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], self._features().alias("x"),
+        rows = df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)], features_array(df, self.getFeaturesCol()).alias("x"),
                          F.col(self.getLabelCol()).cast("double").alias("y"), self._weight().alias("w"))
         rid = F.xxhash64(*[f"k{i}" for i in range(len(keys))]) if keys else F.xxhash64("x", "y")
         return rows.select("x", "y", "w", rid.alias("rid")).where("y IS NOT NULL")
